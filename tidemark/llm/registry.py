@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat
+from . import chat, urls
 
 QUERIES = {
     "op2_chat_formatting": chat.op2_chat_formatting,
+    "op9_url_filters": urls.op9_url_filters,
 }
 ORACLES = {
     "op2_chat_formatting": chat.OP2_SQL,
