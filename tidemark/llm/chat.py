@@ -23,7 +23,6 @@ from .common import table, written
 HEAD, MID, TAIL = "### ", ": ", "</turn>\n"
 #: Control characters inside texts and roles become a backslash and a letter.
 ESCAPES = (("\\", "\\b"), ("#", "\\h"), ("<", "\\l"), (":", "\\c"))
-LAZY_ROUNDS = 4
 
 
 def escape(c: Column) -> Column:
@@ -52,28 +51,27 @@ def reply_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     tree_id, leaf_id, branch_rank, path_score, depth, role, text."""
     nodes = messages.filter("tree_id is not null and msg_id is not null").dropDuplicates(["tree_id", "msg_id"]) \
         .select("tree_id", "msg_id", "parent_id", "role", "text", F.coalesce("score", F.lit(0.0)).alias("score"))
-    ids = nodes.select("tree_id", F.col("msg_id").alias("parent_id"), F.lit(True).alias("known"))
-    state = nodes.join(ids, ["tree_id", "parent_id"], "left").select(
+    slim = written(nodes.select("tree_id", "msg_id", "parent_id", "score"), "reply-nodes")
+    ids = slim.select("tree_id", F.col("msg_id").alias("parent_id"), F.lit(True).alias("known"))
+    state = slim.join(ids, ["tree_id", "parent_id"], "left").select(
         "tree_id", F.col("msg_id").alias("node"), F.when(F.col("known"), F.col("parent_id")).alias("jump"), F.lit(1).cast("long").alias("n"), F.col("score").alias("total")
     )
-    largest = nodes.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 1
+    largest = slim.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 1
     rounds, levels = math.ceil(math.log2(largest)) if largest > 1 else 0, []
     for k in range(rounds):
         levels.append(state.select("tree_id", "node", "jump").filter("jump is not null"))
         up = state.select("tree_id", F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("n").alias("more"), F.col("total").alias("added"))
-        state = state.join(up, ["tree_id", "jump"], "left").select(
+        state = written(state.join(up, ["tree_id", "jump"], "left").select(
             "tree_id", "node", F.col("next").alias("jump"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), (F.col("total") + F.coalesce("added", F.lit(0.0))).alias("total")
-        )
-        if rounds > LAZY_ROUNDS:
-            state = written(state, "reply-paths")
+        ), "reply-jumps")
     rooted = state.filter("jump is null")  # what still has an ancestor after all rounds is on a cycle
-    leaves = rooted.join(nodes.select("tree_id", F.col("parent_id").alias("node")).filter("node is not null").distinct(), ["tree_id", "node"], "left_anti") \
+    leaves = rooted.join(slim.select("tree_id", F.col("parent_id").alias("node")).filter("node is not null").distinct(), ["tree_id", "node"], "left_anti") \
         .select("tree_id", F.col("node").alias("leaf_id"), (F.col("total") / F.col("n")).alias("path_score"))
     ranked = leaves.withColumn("branch_rank", F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("path_score"), "leaf_id")))
     chosen = (ranked if branches is None else ranked.filter(F.col("branch_rank") <= branches)).withColumn("node", F.col("leaf_id"))
     for level in reversed(levels):
         further = chosen.join(level, ["tree_id", "node"]).select("tree_id", "leaf_id", "path_score", "branch_rank", F.col("jump").alias("node"))
-        chosen = chosen.select(further.columns).unionByName(further)
+        chosen = written(chosen.select(further.columns).unionByName(further), "reply-paths")
     return chosen.join(rooted.select("tree_id", "node", F.col("n").alias("depth")), ["tree_id", "node"]).join(
         nodes.select("tree_id", F.col("msg_id").alias("node"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")), ["tree_id", "node"]
     ).select("tree_id", "leaf_id", "branch_rank", "path_score", "depth", "role", "text")
