@@ -1,0 +1,91 @@
+"""Secret scans: token candidates, judged by a random forest, DataFrame functions only.
+
+Candidates are long tokens with a digit, in text order, each once a text. The forest sees
+length, changes between character classes, dictionary coverage, path signs and the words
+next to the token, and takes away false alarms. It learns from labelled findings (before,
+token, after, label 1 = secret); at most ``max_labelled`` of them, a documented bound.
+
+Defined cases: a null or empty text has no candidate and stays as it is; repeated rows are
+judged alike; a text's secrets are replaced wherever they stand in it; further columns
+stay; an empty table gives an empty result; without labels of both classes every candidate
+gets the only class seen (or counts as a secret, if there is none).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import table
+from .trees import Scorer, bounded_sample, fit
+
+TOKEN = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,400}+[0-9])[A-Za-z0-9_+/=-]{16,}+"
+NEAR = 40
+# Short frequent words of four languages, and words that name a secret.
+DICTIONARY = ("the", "and", "tion", "that", "with", "for", "ing", "les", "des", "que", "est", "une", "der", "die", "und", "den", "sch", "los", "las", "por", "con", "para", "example", "sample", "test", "index", "page", "file", "http", "www")
+NAMING = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "api-key", "access_key", "private_key", "credential", "auth", "bearer")
+FEATURES = ["chars", "changes", "distinct_ratio", "digit_ratio", "coverage", "n_path", "n_upper", "named", "assigned", "quoted"]
+PLACEHOLDER = "[SECRET]"
+
+
+def candidates(text: Column) -> Column:
+    """array<struct<before, token, after>>, each token once, at its first place."""
+    whole = F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
+
+    def around(token: Column) -> Column:
+        at = F.instr(text, token)
+        start = F.greatest(at - NEAR, F.lit(1))
+        return F.struct(F.substr(text, start, at - start).alias("before"), token.alias("token"), F.substr(text, at + F.length(token), F.lit(NEAR)).alias("after"))
+
+    return F.coalesce(F.transform(whole, around), F.array().cast("array<struct<before:string,token:string,after:string>>"))
+
+
+def features(before: Column, token: Column, after: Column) -> dict[str, Column]:
+    """What the forest sees of a candidate."""
+    n = F.greatest(F.length(token), F.lit(1)).cast("double")
+    rest = lambda c, what: F.length(F.regexp_replace(c, what, ""))
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[a-z]+", "a"), "[A-Z]+", "B"), "[0-9]+", "0")
+    return {
+        "chars": n, "changes": (F.length(F.regexp_replace(classes, "[^aB0]+", "-")) - 1).cast("double"),
+        "distinct_ratio": F.size(F.array_distinct(F.split(token, ""))) / n, "digit_ratio": 1 - rest(token, "[0-9]") / n,
+        "coverage": 1 - rest(F.lower(token), "|".join(sorted(DICTIONARY, key=len, reverse=True))) / n, "n_path": n - rest(token, "[/.=]"), "n_upper": n - rest(token, "[A-Z]"),
+        "named": F.lower(before).rlike("|".join(NAMING)).cast("double"), "assigned": F.rlike(before, F.lit(r"[=:]\s*[\"']?$")).cast("double"),
+        "quoted": (F.rlike(before, F.lit("[\"']$")) & F.rlike(after, F.lit("^[\"']"))).cast("double"),
+    }
+
+
+def findings(docs: DataFrame) -> DataFrame:
+    """One row a candidate: before, token, after."""
+    return docs.select(F.explode(candidates(F.col("text"))).alias("c")).select("c.*")
+
+
+def train(labelled: DataFrame, max_labelled: int = 20_000, trees: int = 20, depth: int = 5) -> Scorer:
+    """labelled: before, token, after, label."""
+    sample = bounded_sample(labelled.filter("label is not null"), "token", max_labelled)
+    seen = features(F.col("before"), F.col("token"), F.col("after"))
+    return fit(sample.select(*[seen[f].alias(f) for f in FEATURES], "label"), FEATURES, "forest", trees, depth)
+
+
+def scan(docs: DataFrame, score: Scorer, threshold: float = 0.5) -> DataFrame:
+    """Adds n_candidates, secrets (array of struct before, token, after, score) and redacted."""
+    def judged(c: Column) -> Column:
+        return F.struct(c["before"], c["token"], c["after"], score(features(c["before"], c["token"], c["after"])).alias("score"))
+
+    held = F.filter(F.transform("candidates", judged), lambda c: c["score"] >= threshold)
+    longest_first = F.array_sort(F.col("secrets.token"), lambda a, b: F.length(b) - F.length(a))
+    redacted = F.aggregate(longest_first, F.col("text"), lambda t, s: F.replace(t, s, F.lit(PLACEHOLDER)))
+    return docs.withColumn("candidates", candidates(F.col("text"))).withColumn("secrets", held) \
+        .withColumns({"n_candidates": F.size("candidates").cast("long"), "redacted": F.when(F.size("secrets") > 0, redacted).otherwise(F.col("text"))}).drop("candidates")
+
+
+def weak_labels(found: DataFrame) -> DataFrame:
+    """Findings labelled by how they are written: a value given to a name that says secret
+    is one; anything else isn't."""
+    seen = features(F.col("before"), F.col("token"), F.col("after"))
+    return found.distinct().withColumn("label", ((seen["named"] == 1) & (seen["assigned"] == 1)).cast("int"))
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = scan(docs.select("doc_id", "text"), train(weak_labels(findings(docs))))
+    return out.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), F.array_join("secrets.token", ",").alias("secrets"), F.sha2(F.coalesce("redacted", F.lit("")), 256).alias("redacted_sha256"))
