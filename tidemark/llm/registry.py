@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, secrets, urls, warc
+from . import chat, decontaminate, secrets, urls, warc
 
 QUERIES = {
     "op2_chat_formatting": chat.op2_chat_formatting,
+    "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
     "op5_secret_scans": secrets.op5_secret_scans,
     "op7_warc": warc.op7_warc,
     "op9_url_filters": urls.op9_url_filters,
 }
 ORACLES = {
     "op2_chat_formatting": chat.OP2_SQL,
+    "op4_benchmark_decontamination": decontaminate.OP4_SQL,
     "op7_warc": warc.OP7_SQL,
 }
