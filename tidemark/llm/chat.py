@@ -52,19 +52,23 @@ def reply_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     nodes = messages.filter("tree_id is not null and msg_id is not null").dropDuplicates(["tree_id", "msg_id"]) \
         .select("tree_id", "msg_id", "parent_id", "role", "text", F.coalesce("score", F.lit(0.0)).alias("score"))
     slim = written(nodes.select("tree_id", "msg_id", "parent_id", "score"), "reply-nodes")
+    sizes = slim.groupBy("tree_id").agg(F.count("*").alias("tree_n"))
     ids = slim.select("tree_id", F.col("msg_id").alias("parent_id"), F.lit(True).alias("known"))
-    state = slim.join(ids, ["tree_id", "parent_id"], "left").select(
-        "tree_id", F.col("msg_id").alias("node"), F.when(F.col("known"), F.col("parent_id")).alias("jump"), F.lit(1).cast("long").alias("n"), F.col("score").alias("total")
+    state = slim.join(ids, ["tree_id", "parent_id"], "left").join(sizes, "tree_id").select(
+        "tree_id", "tree_n", F.col("msg_id").alias("node"), F.when(F.col("known"), F.col("parent_id")).alias("jump"), F.lit(1).cast("long").alias("n"), F.col("score").alias("total")
     )
-    largest = slim.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 1
+    largest = sizes.agg(F.max("tree_n")).first()[0] or 1
     rounds, levels = math.ceil(math.log2(largest)) if largest > 1 else 0, []
-    for k in range(rounds):
-        levels.append(state.select("tree_id", "node", "jump").filter("jump is not null"))
-        up = state.select("tree_id", F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("n").alias("more"), F.col("total").alias("added"))
-        state = written(state.join(up, ["tree_id", "jump"], "left").select(
-            "tree_id", "node", F.col("next").alias("jump"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), (F.col("total") + F.coalesce("added", F.lit(0.0))).alias("total")
+    done = state.filter("tree_n <= 1")
+    for k in range(rounds):  # a tree takes part until the jumps are longer than it has nodes
+        open_ = state.filter(F.col("tree_n") > 2**k)
+        levels.append(open_.select("tree_id", "node", "jump").filter("jump is not null"))
+        up = open_.select("tree_id", F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("n").alias("more"), F.col("total").alias("added"))
+        state = written(open_.join(up, ["tree_id", "jump"], "left").select(
+            "tree_id", "tree_n", "node", F.col("next").alias("jump"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), (F.col("total") + F.coalesce("added", F.lit(0.0))).alias("total")
         ), "reply-jumps")
-    rooted = state.filter("jump is null")  # what still has an ancestor after all rounds is on a cycle
+        done = done.unionByName(state.filter(F.col("tree_n") <= 2 ** (k + 1)))
+    rooted = done.filter("jump is null")  # what still has an ancestor after all rounds is on a cycle
     leaves = rooted.join(slim.select("tree_id", F.col("parent_id").alias("node")).filter("node is not null").distinct(), ["tree_id", "node"], "left_anti") \
         .select("tree_id", F.col("node").alias("leaf_id"), (F.col("total") / F.col("n")).alias("path_score"))
     ranked = leaves.withColumn("branch_rank", F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("path_score"), "leaf_id")))
