@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, packing, secrets, urls, warc
+from . import chat, decontaminate, langid, neighbours, packing, secrets, urls, warc
 
 QUERIES = {
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_language_id": langid.op3_language_id,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
     "op5_secret_scans": secrets.op5_secret_scans,
+    "op6_nearest_neighbours": neighbours.op6_nearest_neighbours,
     "op7_warc": warc.op7_warc,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_url_filters": urls.op9_url_filters,
@@ -16,5 +17,6 @@ QUERIES = {
 ORACLES = {
     "op2_chat_formatting": chat.OP2_SQL,
     "op4_benchmark_decontamination": decontaminate.OP4_SQL,
+    "op6_nearest_neighbours": neighbours.OP6_SQL,
     "op7_warc": warc.OP7_SQL,
 }
