@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, neighbours, packing, secrets, urls, warc
+from . import chat, decontaminate, langid, neighbours, packing, secret_scan, urls, warc
 
 QUERIES = {
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_language_id": langid.op3_language_id,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
-    "op5_secret_scans": secrets.op5_secret_scans,
+    "op5_secret_scans": secret_scan.op5_secret_scans,
     "op6_nearest_neighbours": neighbours.op6_nearest_neighbours,
     "op7_warc": warc.op7_warc,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
