@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, neighbours, packing, secret_scan, urls, warc
+from . import chat, decontaminate, jaccard, langid, neighbours, packing, secret_scan, urls, warc
 
 QUERIES = {
+    "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_language_id": langid.op3_language_id,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
@@ -15,6 +16,7 @@ QUERIES = {
     "op9_url_filters": urls.op9_url_filters,
 }
 ORACLES = {
+    "op1_ngram_jaccard_join": jaccard.OP1_SQL,
     "op2_chat_formatting": chat.OP2_SQL,
     "op4_benchmark_decontamination": decontaminate.OP4_SQL,
     "op6_nearest_neighbours": neighbours.OP6_SQL,
