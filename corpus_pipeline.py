@@ -1,5 +1,64 @@
-"""placeholder until its stages exist"""
+"""A training corpus from documents: five stages, each on all that the one before it kept.
+
+language ID -> n-gram Jaccard join -> benchmark decontamination -> secret scans -> packing.
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
+Rows without a doc_id leave at the second stage, of rows with equal ids one stays there.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontaminate, jaccard, langid, packing, secret_scan
+from tidemark.llm.common import table, written
+
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the language models, learned from all labelled documents, don't accept:
+    texts without a letter, and those far from every language."""
+    models = langid.train(docs)
+    return docs if models is None else langid.identify(docs, models).filter("accepted").select(*docs.columns)
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group of similar documents."""
+    stay = jaccard.similar(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark window."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the texts; every document stays."""
+    score = secret_scan.train(secret_scan.weak_labels(secret_scan.findings(docs)))
+    clean = secret_scan.scan(docs, score).withColumn("text", F.col("redacted"))
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return clean.select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the remaining documents in sequences of at most 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("ngram_jaccard", ngram_jaccard),
+    ("benchmark_decontamination", decontamination),
+    ("secret_scans", secret_scans),
+    ("best_fit_packing", best_fit_packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

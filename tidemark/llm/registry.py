@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, langid, neighbours, packing, secret_scan, urls, warc
+from . import chat, decontaminate, jaccard, langid, neighbours, packing, repeats, secret_scan, urls, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_warc": warc.op7_warc,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_url_filters": urls.op9_url_filters,
+    "op10_suffix_array_dedup": repeats.op10_suffix_array_dedup,
 }
 ORACLES = {
     "op1_ngram_jaccard_join": jaccard.OP1_SQL,
