@@ -5,9 +5,10 @@
    a few bytes a signature; classes that share a signature meet in its bucket and are tied to
    the smallest of them, which makes (representative, member) rows, never pairs.
 3. A representative's members are compared by sketches (a lower bound of the sets'
-   difference), and what is left by the exact sets. Both steps give a forest of the members
-   they connect, not the pairs. Many members are dealt in blocks: all against the first
-   block, then those not in the most common component against all blocks.
+   difference); components of what is left are compared by the exact sets, each text moved
+   once. Both steps give a forest of the members they connect, not the pairs. Many members
+   are dealt in blocks: all against the first block, then those not in the most common
+   component against all blocks.
 4. Components of the exact links, named by their smallest document.
 
 Defined cases: a text without words has an empty set and is linked with nothing; rows
@@ -17,7 +18,7 @@ are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ from .components import components
 from .partenum import signatures
 from .shingles import set_key, shingle_sets
 
-BUCKET_SIGNATURES = 2_000_000
+BUCKET_SIGNATURES = 4_000_000
 BLOCK_SHINGLES, BLOCK_MOST, BLOCK_LEAST = 2_000_000, 2000, 50
 MIN_SLOTS, MAX_SLOTS = 64, 4096
 
@@ -182,33 +183,66 @@ def exact_links(sets: list[np.ndarray], chunk: int = 2048) -> Iterator[tuple[np.
             yield np.full(len(j), i), j
 
 
-def _links(assigned: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """assigned (rep, task, cls) to exact links (a, b) that connect what each task holds."""
-    keys = ["rep", "task"]
-
-    def sketched(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (rep, task), g in _groups(parts, keys):
+def _near(assigned: DataFrame, classes: DataFrame) -> DataFrame:
+    """assigned (rep, task, cls) to (a, b) that connect what the sketches can't tell apart."""
+    def compared(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, g in _groups(parts, ["rep", "task"]):
             g = g.drop_duplicates("cls")
-            at = forest(len(g), near_sketches(g["sketch"].tolist(), g["n"].to_numpy()))
-            more = np.bincount(at, minlength=len(g))[at] > 1
-            if more.any():
-                yield pd.DataFrame({"rep": rep, "task": task, "part": at[more], "cls": g["cls"].to_numpy()[more], "doc_id": g["doc_id"].to_numpy()[more]})
+            if len(g) > 1:
+                yield _forest_rows(g["cls"].to_numpy(), near_sketches(g["sketch"].tolist(), g["n"].to_numpy()))
+
+    rows = assigned.join(classes, "cls").select("rep", "task", "cls", "n", "sketch")
+    return _by_task(rows).mapInPandas(compared, "a long, b long").distinct()
 
+
+def _exact(assigned: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """assigned (rep, task, cls) to exact links (a, b) that connect what each task holds."""
     def compared(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, g in _groups(parts, [*keys, "part"]):
+        for _, g in _groups(parts, ["rep", "task"]):
             sets = [s for piece in by_chars(g) for s in shingle_sets(piece["text"].tolist())]
             held = {k: s for k, s, c in zip(map(set_key, sets), sets, g["cls"], strict=True) if k == c}
-            names = np.array(list(held), np.int64)
-            at = forest(len(names), exact_links(list(held.values())))
-            rest = at != np.arange(len(at))
-            if rest.any():
-                yield pd.DataFrame({"a": names[rest], "b": names[at[rest]]})
+            if len(held) > 1:
+                yield _forest_rows(np.array(list(held), np.int64), exact_links(list(held.values())))
+
+    where = assigned.join(classes.select("cls", "doc_id"), "cls").select("rep", "task", "cls", "doc_id")
+    rows = where.join(docs.select("doc_id", "text"), "doc_id").select("rep", "task", "cls", "text")
+    return _by_task(rows).mapInPandas(compared, "a long, b long").distinct()
+
 
-    parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    rows = assigned.join(classes, "cls").select("rep", "task", "cls", "doc_id", "n", "sketch")
-    near = written(rows.repartition(int(parts), *keys).sortWithinPartitions(*keys).mapInPandas(sketched, "rep long, task long, part long, cls long, doc_id long"), "near")
-    texts = near.join(docs.select("doc_id", "text"), "doc_id").select("rep", "task", "part", "cls", "text")
-    return texts.repartition(int(parts), *keys, "part").sortWithinPartitions(*keys, "part").mapInPandas(compared, "a long, b long").distinct()
+def _by_task(rows: DataFrame) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "rep", "task").sortWithinPartitions("rep", "task")
+
+
+def _forest_rows(names: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    at = forest(len(names), pairs)
+    rest = at != np.arange(len(at))
+    return pd.DataFrame({"a": names[rest], "b": names[at[rest]]})
+
+
+def connect(ties: DataFrame, sizes: DataFrame, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """ties (rep, cls), sizes (cls, n): components (node, label) of what ``compare`` finds
+    among the members of each rep. A rep of many members is dealt in blocks: first each block
+    with the first one; then, of such reps, members outside the most common component with
+    all blocks. Pairs within one component need no comparison, so none is missed."""
+    block_rows = F.greatest(F.lit(BLOCK_LEAST), F.least(F.lit(BLOCK_MOST), (F.lit(BLOCK_SHINGLES) / F.max("n")).cast("int")))
+    blocks = ties.join(sizes, "cls").groupBy("rep").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("blocks"))
+    dealt = written(ties.join(blocks, "rep").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks"))), "blocks")
+    others = F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1)
+    tasks = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).when(F.col("block") > 0, F.array("block")).otherwise(others)
+    links = written(compare(dealt.select("rep", F.explode(tasks).alias("task"), "cls")), "links")
+    labels = components(links)
+    crowded = dealt.filter("blocks > 1")
+    if crowded.isEmpty():
+        return labels
+    named = crowded.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    main = named.groupBy("rep", "label").count().groupBy("rep").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    minor = written(named.join(main, "rep").filter("label <> main").select("rep", "blocks", "block", "cls"), "minor")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    one = minor.select("rep", (F.col("block") * F.col("blocks")).alias("first"), every.alias("other"), "cls").select("rep", (F.col("first") + F.col("other")).alias("task"), "cls")
+    left = minor.select("rep", F.col("block").alias("left")).distinct()
+    two = crowded.join(left, "rep").select("rep", (F.col("left") * F.col("blocks") + F.col("block")).alias("task"), "cls")
+    return components(links.union(compare(one.union(two).distinct())))
 
 
 def similar(docs: DataFrame) -> DataFrame:
@@ -217,27 +251,12 @@ def similar(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     members = written(with_sets(docs), "sets")
     classes = members.filter("cls <> 0").groupBy("cls").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("c")).select("cls", "c.*")
+    sizes = classes.select("cls", "n")
     total = members.agg(F.sum("n")).first()[0] or 0
     ties = written(shared_signatures(docs, max(1, -(-total * 13 // (10 * BUCKET_SIGNATURES)))), "ties")
-    ties = ties.union(ties.select("rep", F.col("rep").alias("cls")).distinct())
-    block_rows = F.greatest(F.lit(BLOCK_LEAST), F.least(F.lit(BLOCK_MOST), (F.lit(BLOCK_SHINGLES) / F.col("n")).cast("int")))
-    sizes = ties.groupBy("rep").agg(F.count("*").alias("members")).join(classes.select(F.col("cls").alias("rep"), "n"), "rep") \
-        .select("rep", F.ceil(F.col("members") / block_rows).cast("int").alias("blocks"))
-    dealt = written(ties.join(sizes, "rep").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks"))), "blocks")
-    first = dealt.withColumn("task", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).when(F.col("block") > 0, F.array("block")).otherwise(F.sequence(F.lit(1).cast("long"), F.col("blocks").cast("long") - 1))))
-    links = written(_links(first.select("rep", "task", "cls"), classes, docs), "links")
-    labels = components(links)
-    crowded = dealt.filter("blocks > 1")
-    if not crowded.isEmpty():
-        named = crowded.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        main = named.groupBy("rep", "label").count().groupBy("rep").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-        minor = named.join(main, "rep").filter("label <> main")
-        left = minor.select("rep", "block").distinct().withColumnRenamed("block", "left")
-        task = F.col("left") * F.col("blocks") + F.col("block")
-        second = minor.withColumn("left", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).select("rep", task.alias("task"), "cls") \
-            .union(crowded.join(left, "rep").select("rep", task.alias("task"), "cls"))
-        labels = components(links.union(_links(second.distinct(), classes, docs)))
-    named = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    near = connect(ties.union(ties.select("rep", F.col("rep").alias("cls")).distinct()), sizes, lambda rows: _near(rows, classes))
+    labels = connect(near.select(F.col("label").alias("rep"), F.col("node").alias("cls")), sizes, lambda rows: _exact(rows, classes, docs))
+    named = members.select("doc_id", "n", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     smallest = named.filter("cls <> 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return named.join(smallest, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
