@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import scalars
+
+QUERIES: dict = {**scalars.QUERIES}
+ORACLES: dict = {**scalars.ORACLES}
