@@ -11,7 +11,7 @@ _RNG = np.random.default_rng(31)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE, _INVERSE = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 2**64)
 _PLACE = np.uint64((1 << 24) - 1)
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 
 @functools.cache
