@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import scalars
+from .plans import products, scalars
 
-QUERIES: dict = {**scalars.QUERIES}
-ORACLES: dict = {**scalars.ORACLES}
+QUERIES: dict = {**scalars.QUERIES, **products.QUERIES}
+ORACLES: dict = {**scalars.ORACLES, **products.ORACLES}
