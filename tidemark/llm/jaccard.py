@@ -31,7 +31,8 @@ from .partenum import signatures
 from .shingles import set_key, shingle_sets
 
 BUCKET_SIGNATURES = 4_000_000
-BLOCK_SHINGLES, BLOCK_MOST, BLOCK_LEAST = 2_000_000, 2000, 50
+#: Members of a block, and their shingles in all: of sketches (half a byte a shingle), of sets.
+SKETCH_BLOCK, SET_BLOCK = (6000, 40_000_000), (2000, 4_000_000)
 MIN_SLOTS, MAX_SLOTS = 64, 4096
 
 
@@ -195,8 +196,9 @@ def _near(assigned: DataFrame, classes: DataFrame) -> DataFrame:
     return _by_task(rows).mapInPandas(compared, "a long, b long").distinct()
 
 
-def _exact(assigned: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """assigned (rep, task, cls) to exact links (a, b) that connect what each task holds."""
+def _exact(assigned: DataFrame, texts: DataFrame) -> DataFrame:
+    """assigned (rep, task, cls) and texts (cls, text) to exact links (a, b) that connect what
+    each task holds."""
     def compared(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, g in _groups(parts, ["rep", "task"]):
             sets = [s for piece in by_chars(g) for s in shingle_sets(piece["text"].tolist())]
@@ -204,9 +206,7 @@ def _exact(assigned: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
             if len(held) > 1:
                 yield _forest_rows(np.array(list(held), np.int64), exact_links(list(held.values())))
 
-    where = assigned.join(classes.select("cls", "doc_id"), "cls").select("rep", "task", "cls", "doc_id")
-    rows = where.join(docs.select("doc_id", "text"), "doc_id").select("rep", "task", "cls", "text")
-    return _by_task(rows).mapInPandas(compared, "a long, b long").distinct()
+    return _by_task(assigned.join(texts, "cls").select("rep", "task", "cls", "text")).mapInPandas(compared, "a long, b long").distinct()
 
 
 def _by_task(rows: DataFrame) -> DataFrame:
@@ -220,13 +220,13 @@ def _forest_rows(names: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray
     return pd.DataFrame({"a": names[rest], "b": names[at[rest]]})
 
 
-def connect(ties: DataFrame, sizes: DataFrame, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def connect(ties: DataFrame, sizes: DataFrame, block: tuple[int, int], compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """ties (rep, cls), sizes (cls, n): components (node, label) of what ``compare`` finds
     among the members of each rep. A rep of many members is dealt in blocks: first each block
     with the first one; then, of such reps, members outside the most common component with
     all blocks. Pairs within one component need no comparison, so none is missed."""
-    block_rows = F.greatest(F.lit(BLOCK_LEAST), F.least(F.lit(BLOCK_MOST), (F.lit(BLOCK_SHINGLES) / F.max("n")).cast("int")))
-    blocks = ties.join(sizes, "cls").groupBy("rep").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("blocks"))
+    needed = F.ceil(F.greatest(F.count("*") / F.lit(block[0]), F.sum("n") / F.lit(block[1])))
+    blocks = ties.join(sizes, "cls").groupBy("rep").agg(needed.cast("long").alias("blocks"))
     dealt = written(ties.join(blocks, "rep").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks"))), "blocks")
     others = F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1)
     tasks = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).when(F.col("block") > 0, F.array("block")).otherwise(others)
@@ -254,8 +254,11 @@ def similar(docs: DataFrame) -> DataFrame:
     sizes = classes.select("cls", "n")
     total = members.agg(F.sum("n")).first()[0] or 0
     ties = written(shared_signatures(docs, max(1, -(-total * 13 // (10 * BUCKET_SIGNATURES)))), "ties")
-    near = connect(ties.union(ties.select("rep", F.col("rep").alias("cls")).distinct()), sizes, lambda rows: _near(rows, classes))
-    labels = connect(near.select(F.col("label").alias("rep"), F.col("node").alias("cls")), sizes, lambda rows: _exact(rows, classes, docs))
+    ties = ties.union(ties.select("rep", F.col("rep").alias("cls")).distinct())
+    near = written(connect(ties, sizes, SKETCH_BLOCK, lambda rows: _near(rows, classes)), "near")
+    where = near.select(F.col("node").alias("cls")).join(classes.select("cls", "doc_id"), "cls")
+    texts = written(where.join(docs, "doc_id").select("cls", "text"), "texts")  # each text moves once
+    labels = connect(near.select(F.col("label").alias("rep"), F.col("node").alias("cls")), sizes, SET_BLOCK, lambda rows: _exact(rows, texts))
     named = members.select("doc_id", "n", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     smallest = named.filter("cls <> 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return named.join(smallest, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
