@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import products, scalars
+from .plans import products, quality_queries, scalars
 
-QUERIES: dict = {**scalars.QUERIES, **products.QUERIES}
-ORACLES: dict = {**scalars.ORACLES, **products.ORACLES}
+QUERIES: dict = {**scalars.QUERIES, **products.QUERIES, **quality_queries.QUERIES}
+ORACLES: dict = {**scalars.ORACLES, **products.ORACLES, **quality_queries.ORACLES}
