@@ -91,7 +91,7 @@ def by_suffixes(contexts: DataFrame, buckets: int) -> DataFrame:
         rows = rows[rows["bytes"].str.len() >= WINDOW].reset_index(drop=True)
         if len(rows) < 2:
             return _intervals(np.zeros(0, np.int64), np.zeros(0, np.int64))
-        text, place, run = repeated_starts(rows["bytes"].tolist(), WINDOW, lambda flat, at: Hashes(flat).of(at, at + WINDOW))
+        text, place, run = repeated_starts(rows["bytes"].tolist(), WINDOW, lambda flat, a, b: Hashes(flat).of(a, b))
         key, start = rows["key"].to_numpy()[text], rows["lo"].to_numpy()[text] + place
         held = _elsewhere(run, key, start, rows["n"].to_numpy()[text] > 1)
         return _intervals(key[held], start[held])

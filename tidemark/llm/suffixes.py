@@ -24,21 +24,14 @@ def suffix_types(text: np.ndarray) -> np.ndarray:
 
 
 def _sorted_direct(text: np.ndarray, at: np.ndarray, depth: int, alike: np.ndarray | None) -> np.ndarray:
-    """The places in at in the order of the ``depth`` bytes from there on, eight at a time;
-    only ties go on. Places known to begin alike (equal numbers in ``alike``, not 0) are
-    sorted once."""
-    if alike is not None and len(at):
-        known = alike[at] != 0
-        _, first, which = np.unique(alike[at[known]], return_index=True, return_inverse=True)
-        stand_ins = np.concatenate([at[~known], at[known][first]])
-        position = np.empty(len(stand_ins), np.int64)
-        order = _order(text, stand_ins, depth)
-        position[order] = np.arange(len(order))
-        keys = np.empty(len(at), np.int64)
-        keys[~known] = position[: (~known).sum()]
-        keys[known] = position[(~known).sum() :][which]
-        return at[np.argsort(keys, kind="stable")]
-    return at[_order(text, at, depth)]
+    """The places in at in the order of the ``depth`` bytes from there on. Places that are
+    known to begin alike (equal numbers in ``alike``) are sorted once."""
+    if alike is None or not len(at):
+        return at[_order(text, at, depth)]
+    _, first, which = np.unique(alike[at], return_index=True, return_inverse=True)
+    position = np.empty(len(first), np.int64)
+    position[_order(text, at[first], depth)] = np.arange(len(first))
+    return at[np.argsort(position[which], kind="stable")]
 
 
 def _order(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
@@ -59,7 +52,7 @@ def _order(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
 
 def suffix_array(text: np.ndarray, depth: int, alike: np.ndarray | None = None) -> np.ndarray:
     """All suffixes of a uint8 array, ordered by their first ``depth`` bytes. ``alike`` may
-    number places that are known to have the same ``depth`` bytes (0: not known)."""
+    number the places so that equal numbers have the same ``depth`` bytes."""
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
@@ -99,22 +92,23 @@ def suffix_array(text: np.ndarray, depth: int, alike: np.ndarray | None = None)
     return out
 
 
-def repeated_starts(texts: list[bytes], size: int, alike_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_starts(texts: list[bytes], size: int, hashes_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Groups of equal ``size``-byte strings in the texts, from their joint suffix array: runs
-    of neighbours whose common prefixes reach that length. ``alike_of(flat, starts)`` gives
-    the hashes that stand for those prefixes. Returns (text number, place) of every start
-    whose string stands more than once, and the number of its run."""
+    of neighbours whose common prefixes reach that length. ``hashes_of(flat, a, b)`` gives the
+    hashes of the stretches a to b, which stand for prefixes (shorter ones at a text's end).
+    Returns text number, place and run of every start whose string stands more than once."""
     gap = np.zeros(1, np.uint8)
     flat = np.concatenate([x for t in texts for x in (np.frombuffer(t, np.uint8), gap)])
     sizes = np.array([len(t) + 1 for t in texts])
     begins = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(texts)), sizes)
-    whole = np.nonzero(np.arange(len(flat)) + size <= (begins + sizes - 1)[owner])[0]
-    alike = np.zeros(len(flat), np.uint64)
-    alike[whole] = alike_of(flat, whole) | np.uint64(1)
+    at, ends = np.arange(len(flat)), (begins + sizes - 1)[owner]
+    alike = hashes_of(flat, at, np.minimum(at + size, ends))
     order = suffix_array(flat, size, alike)
-    order = order[alike[order] != 0]
-    run = np.cumsum(np.concatenate([[0], alike[order[1:]] != alike[order[:-1]]])) if len(order) else order
-    more = np.bincount(run)[run] > 1 if len(order) else np.zeros(0, bool)
+    order = order[(at + size <= ends)[order]]
+    if not len(order):
+        return order, order, order
+    run = np.cumsum(np.concatenate([[0], alike[order[1:]] != alike[order[:-1]]]))
+    more = np.bincount(run)[run] > 1
     at, run = order[more], run[more]
     return owner[at], at - begins[owner[at]], run
