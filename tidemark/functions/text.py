@@ -108,10 +108,14 @@ def document_kind(label: Column, url: Column, file_type: Column) -> Column:
     link = F.coalesce(F.try_url_decode(F.coalesce(url, F.lit(""))), url, F.lit(""))
     path = F.coalesce(F.try_parse_url(link, F.lit("PATH")), F.lit(""))
     text = normalize_text(F.concat_ws(" ", F.coalesce(label, F.lit("")), link, path, F.coalesce(file_type, F.lit(""))))
-    out = F.lit("other")
-    for kind in reversed(KIND_TERMS):
-        out = F.when(text.rlike("|".join(quoted(t) for t in KIND_TERMS[kind])), kind).otherwise(out)
-    return out
+
+    def first_kind(t: Column) -> Column:
+        out = F.lit("other")
+        for kind in reversed(KIND_TERMS):
+            out = F.when(t.rlike("|".join(quoted(x) for x in KIND_TERMS[kind])), kind).otherwise(out)
+        return out
+
+    return F.transform(F.array(text), first_kind)[0]  # the text is made once, not once a kind
 
 
 def compact_summary(c: Column, most: int) -> Column:
