@@ -33,7 +33,7 @@ from .shingles import set_key, shingle_sets
 BUCKET_SIGNATURES = 4_000_000
 #: Members of a block, and their shingles in all: of sketches (half a byte a shingle), of sets.
 SKETCH_BLOCK, SET_BLOCK = (6000, 40_000_000), (2000, 4_000_000)
-MIN_SLOTS, MAX_SLOTS = 64, 4096
+MIN_SLOTS, MAX_SLOTS = 512, 1 << 17
 
 
 def linked(a: int, b: int, common: int) -> bool:
@@ -41,10 +41,11 @@ def linked(a: int, b: int, common: int) -> bool:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Counts of shingles by hash slot, about half as many slots as shingles. The sum of the
-    differences of two sketches is at most the number of elements in which the sets differ."""
-    slots = min(MAX_SLOTS, max(MIN_SLOTS, 1 << max(0, (len(shingles) // 2).bit_length())))
-    return np.minimum(np.bincount((shingles & np.uint64(slots - 1)).astype(np.int64), minlength=slots), 255).astype(np.uint8).tobytes()
+    """Odd sketch: the parity of the shingles by hash slot, three to six slots a shingle. The
+    slots in which two sketches differ are at most the elements in which the sets differ."""
+    slots = min(MAX_SLOTS, max(MIN_SLOTS, 1 << (3 * len(shingles)).bit_length()))
+    odd = np.bincount((shingles & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def with_sets(docs: DataFrame) -> DataFrame:
@@ -146,11 +147,11 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
 
 def near_sketches(sketches: list[bytes], sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs that the sketches can't rule out."""
-    slots = min(map(len, sketches))
-    m = np.stack([np.frombuffer(s, np.uint8).astype(np.uint16).reshape(-1, slots).sum(axis=0, dtype=np.uint16) for s in sketches])
+    words = min(map(len, sketches)) // 8
+    m = np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, words), axis=0) for s in sketches])  # longer ones fold
     for i in range(len(m) - 1):
         rest = m[i + 1 :]
-        near = 7 * (np.maximum(rest, m[i]) - np.minimum(rest, m[i])).sum(axis=1, dtype=np.int64) <= sizes[i] + sizes[i + 1 :]
+        near = 7 * np.bitwise_count(rest ^ m[i]).sum(axis=1, dtype=np.int64) <= sizes[i] + sizes[i + 1 :]
         if near.any():
             b = np.nonzero(near)[0] + i + 1
             yield np.full(len(b), i), b
