@@ -36,11 +36,11 @@ def _components(docs):
     return {i: (len(sets[i]), label[i]) for i in sets}
 
 
-@pytest.mark.parametrize("blocks", [None, ((3, 1000), (2, 1000))])
+@pytest.mark.parametrize("blocks", [None, 3])
 def test_jaccard_brute_force(spark, monkeypatch, blocks):
     if blocks:
-        monkeypatch.setattr(jaccard, "SKETCH_BLOCK", blocks[0])
-        monkeypatch.setattr(jaccard, "SET_BLOCK", blocks[1])
+        monkeypatch.setattr(jaccard, "BLOCK_MOST", blocks)
+        monkeypatch.setattr(jaccard, "BLOCK_LEAST", 2)
     rng = np.random.default_rng(3)
     base = [[f"w{x}" for x in rng.integers(0, 50, n)] for n in (3, 6, 9, 40, 120)]
     docs = [(0, None), (1, ""), (2, " \t\n"), (3, "One two"), (4, "one TWO")]
