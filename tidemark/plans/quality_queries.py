@@ -117,6 +117,22 @@ def full_report(s, d):
 
 QUERIES["k00_quality_report"] = full_report
 ORACLES["k00_quality_report"] = " union all ".join(f"(select code, count, samples from ({ORACLES[n]}))" for n in _PARTS)
+#: Single rules: number, code, and the report that has it.
+_SINGLE = [
+    *[(n, code, "k02_notice_rules") for n, code in zip((2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14), [c for c, _ in _NOTICE], strict=True)],
+    (15, "award_detail_summary_mismatch", "k15_summary_mismatch"), (17, "multiple_result_summarized_unsafely", "k15_summary_mismatch"),
+    (19, "invalid_bidder_amount", "k19_bidder_details"), (20, "negative_bidder_amount", "k19_bidder_details"), (21, "orphan_bidder_row", "k19_bidder_details"),
+    (22, "duplicate_award_detail", "k22_award_details"), (23, "orphan_award_row", "k22_award_details"), (24, "invalid_award_amount", "k22_award_details"), (25, "negative_award_amount", "k22_award_details"),
+    (26, "invalid_award_rate", "k22_award_details"), (27, "award_parse_error_without_raw", "k22_award_details"), (28, "award_order_not_exact", "k22_award_details"),
+    (29, "duplicate_contract_detail", "k29_contract_details"), (30, "orphan_contract_row", "k29_contract_details"), (31, "invalid_contract_amount", "k29_contract_details"), (32, "negative_contract_amount", "k29_contract_details"),
+    (33, "contract_parse_error_without_raw", "k29_contract_details"), (34, "contract_order_not_exact", "k29_contract_details"),
+    (35, "duplicate_procurement_request", "k35_request_rules"), (36, "blank_procurement_request_no", "k35_request_rules"), (37, "invalid_procurement_request_amount", "k35_request_rules"), (39, "orphan_procurement_request_link", "k35_request_rules"),
+    (40, "duplicate_access_service", "k40_access_rules"), (41, "missing_access_service", "k40_access_rules"), (42, "missing_collection_run_status", "k40_access_rules"), (43, "collection_not_complete", "k40_access_rules"), (44, "api_access_attention", "k40_access_rules"),
+]
+for _k, _code, _part in _SINGLE:
+    _name = f"k{_k:02d}_{_code}"
+    QUERIES.setdefault(_name, lambda s, d, part=_part, code=_code: QUERIES[part](s, d).filter(F.col("code") == code))
+    ORACLES.setdefault(_name, f"select code, count, samples from ({ORACLES[_part]}) where code = '{_code}'")
 QUERIES["k18_empty_notice_data"] = lambda s, d: history(s, d).agg((F.count("*") == 0).alias("empty_notice_data"))
 ORACLES["k18_empty_notice_data"] = "select count(*) = 0 as empty_notice_data from orders"
 QUERIES["k46_summary_record"] = lambda s, d: full_report(s, d).agg(F.count("*").alias("rules"), F.count_if(F.col("count") > 0).alias("broken"), F.sum("count").alias("findings"))
