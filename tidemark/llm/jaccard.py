@@ -29,7 +29,7 @@ from .components import components
 from .partenum import signatures
 from .shingles import set_key, shingle_sets
 
-BUCKET_SIGNATURES = 8_000_000
+BUCKET_SIGNATURES = 4_000_000
 BLOCK_SHINGLES, BLOCK_MOST, BLOCK_LEAST = 2_000_000, 2000, 50
 MIN_SLOTS, MAX_SLOTS = 512, 1 << 17
 
@@ -144,15 +144,18 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
 
 
 def near_sketches(sketches: list[bytes], sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs that the sketches can't rule out."""
-    words = min(map(len, sketches)) // 8
-    m = np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, words), axis=0) for s in sketches])  # longer ones fold
-    for i in range(len(m) - 1):
-        rest = m[i + 1 :]
-        near = 7 * np.bitwise_count(rest ^ m[i]).sum(axis=1, dtype=np.int64) <= sizes[i] + sizes[i + 1 :]
-        if near.any():
-            b = np.nonzero(near)[0] + i + 1
-            yield np.full(len(b), i), b
+    """Pairs that sizes and sketches can't rule out. Linked sets differ by a third in size at
+    most, so their sketches have equal lengths, or one twice the other's, which folds."""
+    bits = np.array([len(x) for x in sketches])
+    for n in np.unique(bits).tolist():
+        at = np.nonzero((bits == n) | (bits == 2 * n))[0]
+        m = np.stack([np.bitwise_xor.reduce(np.frombuffer(sketches[i], np.uint64).reshape(-1, n // 8), axis=0) for i in at])
+        own, size = bits[at] == n, sizes[at]
+        for i in np.nonzero(own)[0].tolist():
+            rest = np.nonzero((~own | (np.arange(len(at)) > i)) & (4 * size >= 3 * size[i]) & (4 * size[i] >= 3 * size))[0]
+            near = rest[7 * np.bitwise_count(m[rest] ^ m[i]).sum(axis=1, dtype=np.int64) <= size[i] + size[rest]]
+            if len(near):
+                yield np.full(len(near), at[i]), at[near]
 
 
 def exact_links(sets: list[np.ndarray], chunk: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
