@@ -78,6 +78,20 @@ def test_language_id(spark, sf):
     assert langid.identify(docs, langid.train(docs.selectExpr("text", "cast(null as string) as lang"))).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_language_limits_cover_all_texts(spark):
+    rng = np.random.default_rng(5)
+    words = [f"{a}{b}{c}" for a in "bdgklmnp" for b in "aeiou" for c in "nrst"]
+    text = lambda n: " ".join(rng.choice(words, n))
+    rows = [(text(60), "aa") for _ in range(1100)] + [("copy " * 40, "aa")] * 300 + [(text(60).upper().replace("A", "Ж"), "bb") for _ in range(2)] + [("kurz", "cc")]
+    models = langid.train(spark.createDataFrame(rows, "text string, lang string"))
+    distinct = sorted({t for t, k in rows if k == "aa"})
+    low = models.entropies(distinct)[0].min(axis=1)
+    at = dict(zip(models.langs, models.limits, strict=True))
+    assert np.allclose(at["aa"], (low.mean(), 8 * max(low.std(), 0.1)), atol=1e-6)
+    every = np.array([*low, *models.entropies([t for t, k in rows if k == "bb"])[0].min(axis=1)])
+    assert np.isfinite(at["bb"]).all() and np.allclose(at["cc"], (every.mean(), 8 * max(every.std(), 0.1)), atol=1e-6)
+
+
 # ---- 4
 @pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 40])
 def test_decontaminate(spark, block):

@@ -5,8 +5,11 @@ on the driver, at most ``MAX_NGRAMS`` 4-grams over all languages (the most frequ
 language, if there are more), and broadcast as sorted hash arrays shared by the languages:
 one lookup gives a row of log probabilities. A text's language is the one of the lowest
 cross-entropy a character. A text whose cross-entropy lies far above what the language's own
-training texts have, for its length, isn't accepted; the thresholds come from a bounded
-sample of training texts.
+training texts have, for its length, isn't accepted; the thresholds are mean and deviation
+over all distinct training texts of at least ``LIMIT_CHARS`` characters. A language without
+such a text gets the common limit, that of all languages' texts together (of any length, if
+none is long enough; nothing is rejected if none has a letter); one with a single such text
+gets the common limit or its own, whichever accepts more.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and not accepted;
 equal texts are judged alike, ties go to the first language in order; without any training
@@ -28,7 +31,7 @@ from .common import by_chars, small_batches, table, written
 
 ORDER = 4
 MAX_NGRAMS = 2_000_000
-CALIBRATION_ROWS = 1000
+LIMIT_CHARS = 100
 DISCOUNT = 0.75
 UNKNOWN = "und"
 _LETTER = re.compile("[A-Za-zà-öø-ÿ]")
@@ -202,7 +205,7 @@ def _counted(lang: str, counts: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
     return pd.DataFrame({"lang": lang, "key": counts[0].view(np.int64), "n": counts[1]})
 
 
-def train(labelled: DataFrame, max_ngrams: int = MAX_NGRAMS, calibration_rows: int = CALIBRATION_ROWS) -> LanguageModels | None:
+def train(labelled: DataFrame, max_ngrams: int = MAX_NGRAMS) -> LanguageModels | None:
     """labelled: text, lang. None if there is nothing to learn from."""
     labelled = labelled.filter("lang is not null and text is not null and text <> ''").select("text", "lang")
     counts = written(count_grams(labelled), "grams")
@@ -213,18 +216,27 @@ def train(labelled: DataFrame, max_ngrams: int = MAX_NGRAMS, calibration_rows: i
     if max(sizes.values()) > most:
         counts = counts.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))).filter(F.col("at") <= most).drop("at")
     models = LanguageModels(counts.toPandas())
-    sample = labelled.orderBy(F.xxhash64("text"), "text", "lang").limit(calibration_rows)
-    models.limits = _limits(models, with_entropies(sample, models).select("lang", "e.*").toPandas())
+    models.limits = _limits(models, labelled)
     return models
 
 
-def _limits(models: LanguageModels, seen: pd.DataFrame, z: float = 8.0) -> np.ndarray:
-    """For each language mean and deviation of the cross-entropy of its own texts, z times."""
+def _limits(models: LanguageModels, labelled: DataFrame, z: float = 8.0) -> np.ndarray:
+    """For each language mean and deviation of the cross-entropy of its own texts, z times;
+    copies of a text count once."""
+    known = with_entropies(labelled, models).filter("e.chars > 0").select("lang", F.sha2("text", 256).alias("digest"), "e.entropy", (F.col("e.chars") >= LIMIT_CHARS).alias("long"))
+    each = known.groupBy("lang", "digest", "long").agg(F.min("entropy").alias("entropy"))
+    seen = each.groupBy("long", "lang").agg(F.count("*").alias("n"), F.sum("entropy").alias("s"), F.sum(F.col("entropy") * F.col("entropy")).alias("q")).toPandas().sort_values("lang")
+
+    def limit(rows: pd.DataFrame) -> tuple[float, float]:
+        n, s, q = (float(rows[c].sum()) for c in "nsq")
+        return (s / n, z * max(np.sqrt(max(q / n - (s / n) ** 2, 0.0)), 0.1)) if n else (np.inf, 0.0)
+
+    enough = seen[seen["long"].astype(bool)]
+    common = limit(enough if len(enough) else seen)
     out = []
     for lang in models.langs:
-        own = seen[(seen["lang"] == lang) & (seen["chars"] >= 100)]["entropy"]
-        mean, dev = (own.mean(), own.std(ddof=0)) if len(own) else (np.inf, 0.0)
-        out.append((mean, z * max(dev, 0.1)))
+        own = enough[enough["lang"] == lang]
+        out.append(limit(own) if own["n"].sum() > 1 else max(common, limit(own), key=sum) if len(own) else common)
     return np.array(out)
 
 
