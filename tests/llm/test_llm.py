@@ -92,6 +92,52 @@ def test_language_limits_cover_all_texts(spark):
     assert np.isfinite(at["bb"]).all() and np.allclose(at["cc"], (every.mean(), 8 * max(every.std(), 0.1)), atol=1e-6)
 
 
+def _kneser_ney(texts):
+    """P(d | abc) of one language from all its 4-grams, by definition."""
+    grams = {4: {}}
+    for t in texts:
+        for k in langid.grams([t])[0].tolist():
+            grams[4][k] = grams[4].get(k, 0) + 1
+    for n in (3, 2, 1):
+        grams[n] = {}
+        for k in grams[n + 1]:
+            low = k & ((1 << 16 * n) - 1)
+            grams[n][low] = grams[n].get(low, 0) + 1
+    sums = {n: {} for n in grams}
+    for n, found in grams.items():
+        for k, v in found.items():
+            total, kinds = sums[n].get(k >> 16, (0, 0))
+            sums[n][k >> 16] = (total + v, kinds + 1)
+
+    def prob(n, k):
+        if not n:
+            return 1 / (len(grams[1]) + 1)
+        k &= (1 << 16 * n) - 1
+        low = prob(n - 1, k)
+        if k >> 16 not in sums[n]:
+            return low
+        total, kinds = sums[n][k >> 16]
+        return max(grams[n].get(k, 0) - 0.75, 0) / total + min(0.75 * kinds / total, 1) * low
+
+    return lambda k: prob(4, k)
+
+
+@pytest.mark.parametrize("block", [langid.BLOCK_BYTES, 3000])
+def test_language_models_hold_every_gram(spark, block):
+    rng = np.random.default_rng(8)
+    word = lambda low, n: "".join(map(chr, rng.integers(low, low + n, rng.integers(2, 6))))
+    texts = {"aa": [" ".join(word(97, 26) for _ in range(60)) for _ in range(8)], "bb": [" ".join(word(97, 9) for _ in range(60)) for _ in range(5)], "zh": [" ".join(word(0x4E00, 3000) for _ in range(60)) for _ in range(8)]}
+    models = langid.train(spark.createDataFrame([(t, k) for k, v in texts.items() for t in v], "text string, lang string"), block)
+    assert (len(models.upper.shared) > 5) == (block == 3000)
+    other = [" ".join(word(97, 26) for _ in range(40)), " ".join(word(0x4E00, 3500) for _ in range(40)), "ж qz"]
+    keys = langid.grams([t for v in texts.values() for t in v] + other)[0]
+    models_of = [_kneser_ney(v) for v in texts.values()]
+    expected = np.log([[p(k) for p in models_of] for k in keys.tolist()])
+    assert np.allclose(models.log_probs(keys), expected, atol=1e-4)
+    docs = _docs(spark, list(enumerate([texts["zh"][0], texts["aa"][0], other[0]])))
+    assert [r["lang_pred"] for r in langid.identify(docs, models).orderBy("doc_id").collect()] == ["zh", "aa", "aa"]
+
+
 # ---- 4
 @pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 40])
 def test_decontaminate(spark, block):

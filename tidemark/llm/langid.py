@@ -1,9 +1,10 @@
 """Language ID: interpolated Kneser-Ney character 4-gram models, one per language.
 
-Counts of all labelled training texts are summed by Spark. The models are computed from them
-on the driver, at most ``MAX_NGRAMS`` 4-grams over all languages (the most frequent of each
-language, if there are more), and broadcast as sorted hash arrays shared by the languages:
-one lookup gives a row of log probabilities. A text's language is the one of the lowest
+Counts of all labelled training texts are summed by Spark, and the models are computed from
+all of them in groups of n-grams that share their contexts: 4- and 3-grams by the two
+characters in the middle, 2-grams by their first. The groups are broadcast in blocks of about
+``BLOCK_BYTES`` as sorted hash arrays shared by the languages: one lookup gives a row of log
+probabilities. A worker holds one block at a time, if there are several. A text's language is the one of the lowest
 cross-entropy a character. A text whose cross-entropy lies far above what the language's own
 training texts have, for its length, isn't accepted; the thresholds are mean and deviation
 over all distinct training texts of at least ``LIMIT_CHARS`` characters. A language without
@@ -18,6 +19,7 @@ text everything is ``und``; further columns stay; an empty table gives an empty
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -25,12 +27,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import by_chars, small_batches, table, written
 
 ORDER = 4
-MAX_NGRAMS = 2_000_000
+BLOCK_BYTES = 64 << 20
+GROUP_VALUES = 1_000_000
 LIMIT_CHARS = 100
 DISCOUNT = 0.75
 UNKNOWN = "und"
@@ -100,70 +102,167 @@ class HashTable:
         return out
 
 
-class _Counts:
-    """One language's interpolated Kneser-Ney estimates, from its 4-gram counts."""
+def _order(lang: np.ndarray, keys: np.ndarray, counts: np.ndarray, n_langs: int) -> tuple:
+    """Interpolated Kneser-Ney estimates of one order from n-gram counts, all of each context:
+    distinct keys, their discounted shares, contexts, and what each leaves to the lower order
+    (all, where it is unseen); a column a language."""
+    seen, contexts = np.unique(keys), np.unique(keys >> np.uint64(16))
+    share, weight = np.zeros((len(seen), n_langs)), np.ones((len(contexts), n_langs))
+    for k in np.unique(lang):
+        own, n = keys[lang == k], counts[lang == k].astype(float)
+        context, at, kinds = np.unique(own >> np.uint64(16), return_inverse=True, return_counts=True)
+        total = np.bincount(at, n)
+        share[np.searchsorted(seen, own), k] = np.maximum(n - DISCOUNT, 0) / total[at]
+        weight[np.searchsorted(contexts, context), k] = np.minimum(DISCOUNT * kinds / total, 1.0)
+    return seen, share, contexts, weight
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        self.levels = []  # from 4-grams down: (keys, discounted share, contexts, context weight)
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order].astype(float)
-        for n in range(ORDER, 0, -1):
-            contexts, at, kinds = np.unique(keys >> np.uint64(16), return_inverse=True, return_counts=True)
-            total = np.bincount(at, counts)
-            self.levels.append((keys, np.maximum(counts - DISCOUNT, 0) / total[at], contexts, DISCOUNT * kinds / total))
-            if n > 1:  # continuation counts: distinct characters before
-                keys, counts = np.unique(keys & _MASK[n - 1], return_counts=True)
-                counts = counts.astype(float)
-        self.floor = 1.0 / (len(keys) + 1)
 
-    def share(self, k: int, keys: np.ndarray) -> np.ndarray:
-        return _value(self.levels[k][0], self.levels[k][1], keys, 0.0)
+def _logs(order: tuple, lower: np.ndarray) -> tuple[list, np.ndarray]:
+    """[keys, log probabilities, contexts, log weights] and the probabilities, from an order's
+    estimates and the lower order's probabilities of its keys."""
+    keys, share, contexts, weight = order
+    prob = share + weight[np.searchsorted(contexts, keys >> np.uint64(16))] * lower
+    return [keys, np.log(prob).astype(np.float32), contexts, np.log(weight).astype(np.float32)], prob
 
-    def weight(self, k: int, contexts: np.ndarray) -> np.ndarray:
-        """What a context leaves to the lower order; all, if it is unseen."""
-        return np.minimum(_value(self.levels[k][2], self.levels[k][3], contexts, 1.0), 1.0)
 
-    def prob(self, n: int, keys: np.ndarray) -> np.ndarray:
-        if not n:
-            return np.full(len(keys), self.floor)
-        k, keys = ORDER - n, keys & _MASK[n]
-        return self.share(k, keys) + self.weight(k, keys >> np.uint64(16)) * self.prob(n - 1, keys)
+class Blocks:
+    """Tables by group, several groups to a broadcast block."""
 
+    def __init__(self, groups: int, block_of: np.ndarray, shared: list):
+        self.groups, self.block_of, self.shared = groups, block_of, shared
 
-def _value(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], default)
+    def each(self, by: np.ndarray) -> Iterator[tuple[np.ndarray, list]]:
+        """Places in ``by`` (what groups go by), and the tables they belong to. Places of a
+        group without any table don't come."""
+        block = self.block_of[(by % np.uint64(self.groups)).astype(np.int64)]
+        for b, held in enumerate(self.shared):
+            at = np.nonzero(block == b)[0]
+            if len(at):
+                yield at, held.value
+                if len(self.shared) > 1 and hasattr(held, "_value"):
+                    del held._value  # the next one takes its room
+
+
+def _tables(arrays: list) -> list:
+    return [HashTable(k, v) for k, v in zip(arrays[::2], arrays[1::2], strict=True)]
+
+
+def _prime(least: int) -> int:
+    while any(least % d == 0 for d in range(2, int(least**0.5) + 1)):
+        least += 1
+    return least
+
+
+def _group_count(rows: int, n_langs: int) -> int:
+    return _prime(max(31, rows * n_langs // GROUP_VALUES))
+
+
+def _in_blocks(counts: DataFrame, by: Column, groups: int, build, langs: list[str], block_bytes: int) -> Blocks:
+    """counts (lang, key, n) to Blocks of what ``build`` makes of a group's language numbers,
+    keys and counts: arrays, keys and rows by turns."""
+    number = {lang: k for k, lang in enumerate(langs)}
+
+    def built(part: pd.DataFrame) -> pd.DataFrame:
+        arrays = build(part["lang"].map(number).to_numpy(), part["key"].to_numpy().view(np.uint64), part["n"].to_numpy())
+        return pd.DataFrame({"g": [part["g"].iloc[0]], "size": [sum(a.nbytes for a in arrays)], "arrays": [pickle.dumps(arrays)]})
+
+    made = written(counts.withColumn("g", by % groups).groupBy("g").applyInPandas(built, "g long, size long, arrays binary"), "model")
+    block_of, cuts, filled = np.full(groups, -1), [], block_bytes
+    for g, size in sorted(map(tuple, made.select("g", "size").collect())):
+        if filled + size > block_bytes:
+            cuts.append(g)
+            filled = 0
+        filled += size
+        block_of[g] = len(cuts) - 1
+    shared = []
+    for low, high in zip(cuts, [*cuts[1:], groups], strict=True):
+        held = [pickle.loads(r["arrays"]) for r in made.filter((F.col("g") >= low) & (F.col("g") < high)).select("arrays").collect()]
+        shared.append(counts.sparkSession.sparkContext.broadcast(_tables([np.concatenate(x) for x in zip(*held, strict=True)])))
+    return Blocks(groups, block_of, shared)
 
 
 class LanguageModels:
     """All languages' models: log probability rows of every n-gram seen in any of them, and
-    the rows of the contexts' back-off weights."""
-
-    def __init__(self, counts: pd.DataFrame):
-        self.langs = sorted(counts["lang"].unique())
-        each = [_Counts(c["key"].to_numpy().view(np.uint64), c["n"].to_numpy()) for lang in self.langs for c in [counts[counts["lang"] == lang]]]
-        logs = lambda f: np.log(np.stack([f(c) for c in each], axis=1)).astype(np.float32)
-        self.grams, self.backoffs = [], []
-        for n in range(ORDER, 0, -1):
-            keys = np.unique(np.concatenate([c.levels[ORDER - n][0] for c in each]))
-            self.grams.append(HashTable(keys, logs(lambda c, n=n, keys=keys: c.prob(n, keys))))
-            contexts = np.unique(np.concatenate([c.levels[ORDER - n][2] for c in each]))
-            self.backoffs.append(HashTable(contexts, logs(lambda c, n=n, contexts=contexts: c.weight(ORDER - n, contexts))))
-        self.floor = np.log(np.array([c.floor for c in each])).astype(np.float32)
+    the rows of the contexts' back-off weights. ``first`` is the 1-grams' table (characters),
+    ``second`` the 2-grams' blocks, ``upper`` the 4- and 3-grams'."""
+
+    def __init__(self, counts: DataFrame, block_bytes: int = BLOCK_BYTES):
+        masked = lambda df, n: df.select("lang", F.col("key").bitwiseAND(F.lit((1 << 16 * n) - 1)).alias("key"))
+        # continuation counts: distinct characters before
+        pairs = written(masked(masked(counts, 3).distinct(), 2).groupBy("lang", "key").agg(F.count("*").alias("n")), "pairs")
+        chars = masked(pairs, 1).groupBy("lang", "key").agg(F.count("*").alias("n")).toPandas()
+        sizes = [df.count() for df in (counts, pairs)]
+        self.langs = langs = sorted(chars["lang"].unique())
+        number = {lang: k for k, lang in enumerate(langs)}
+        lang = chars["lang"].map(number).to_numpy()
+        self.floor = floor = 1.0 / (np.bincount(lang) + 1)
+        first, _ = _logs(_order(lang, chars["key"].to_numpy().view(np.uint64), chars["n"].to_numpy(), len(langs)), floor)
+        self.first = counts.sparkSession.sparkContext.broadcast(_tables(first))
+        self.upper = self.second = None
         self.limits: np.ndarray | None = None
+        at = self  # what the tasks take along: the tables so far
+
+        def second(lang: np.ndarray, keys: np.ndarray, n: np.ndarray) -> list:
+            order = _order(lang, keys, n, len(langs))
+            return _logs(order, np.exp(at.log_first(order[0]).astype(float)))[0]
+
+        def upper(lang: np.ndarray, keys: np.ndarray, n: np.ndarray) -> list:
+            four = _order(lang, keys, n, len(langs))
+            kinds = [(np.full(len(u), k), u, c) for k in np.unique(lang) for u, c in [np.unique(keys[lang == k] & _MASK[3], return_counts=True)]]
+            three = _order(*map(np.concatenate, zip(*kinds, strict=True)), len(langs))
+            low, prob = _logs(three, np.exp(at.log_second(three[0]).astype(float)))
+            return _logs(four, prob[np.searchsorted(three[0], four[0] & _MASK[3])])[0] + low
+
+        self.second = _in_blocks(pairs, F.shiftrightunsigned("key", 16), _group_count(sizes[1], len(langs)), second, langs, block_bytes)
+        middle = F.shiftrightunsigned("key", 16).bitwiseAND(F.lit((1 << 32) - 1))
+        self.upper = _in_blocks(counts, middle, _group_count(sizes[0], len(langs)), upper, langs, block_bytes)
+
+    def log_first(self, keys: np.ndarray) -> np.ndarray:
+        table, left = self.first.value
+        at = table.find(keys & _MASK[1])
+        out = table.rows[at]
+        out[at < 0] = left.rows[0] + np.log(self.floor).astype(np.float32)
+        return out
+
+    def log_second(self, keys: np.ndarray) -> np.ndarray:
+        """Of 2-grams (the last two characters of each key)."""
+        keys = keys & _MASK[2]
+        out = np.empty((len(keys), len(self.langs)), np.float32)
+        open_ = np.ones(len(keys), bool)
+        for at, (table, left) in self.second.each(keys >> np.uint64(16)):
+            row = table.find(keys[at])
+            out[at] = table.rows[row]
+            open_[at] = False
+            _miss(out, at[row < 0], left, keys >> np.uint64(16), lambda k: self.log_first(keys[k]))
+        rest = np.nonzero(open_)[0]
+        out[rest] = self.log_first(keys[rest])
+        return out
 
-    def log_probs(self, keys: np.ndarray, n: int = ORDER) -> np.ndarray:
-        if not n:
-            return np.broadcast_to(self.floor, (len(keys), len(self.langs)))
-        k = ORDER - n
-        at = self.grams[k].find(keys)
-        out = self.grams[k].rows[at]
-        if len(miss := np.nonzero(at < 0)[0]):
-            left = keys[miss]
-            out[miss] = self.log_probs(left & _MASK[n - 1], n - 1)
-            context = self.backoffs[k].find(left >> np.uint64(16))
-            seen = context >= 0
-            out[miss[seen]] += self.backoffs[k].rows[context[seen]]
+    def log_probs(self, keys: np.ndarray) -> np.ndarray:
+        """A row for each 4-gram; where it is unseen, the weight of its context and the row of
+        the next shorter one."""
+        out = np.zeros((len(keys), len(self.langs)), np.float32)
+        short = np.ones(len(keys), bool)
+        for at, (four, left4, three, left3) in self.upper.each((keys >> np.uint64(16)) & _MASK[2]):
+            row = four.find(keys[at])
+            out[at] = four.rows[row]
+            short[at] = False
+            miss = at[row < 0]
+
+            def shorter(k: np.ndarray) -> np.ndarray:
+                row = three.find(keys[k] & _MASK[3])  # noqa: B023
+                low = three.rows[row]  # noqa: B023
+                gone = row < 0
+                low[gone] = 0
+                short[k[gone]] = True
+                context = left3.find((keys[k[gone]] >> np.uint64(16)) & _MASK[2])  # noqa: B023
+                low[np.nonzero(gone)[0][context >= 0]] = left3.rows[context[context >= 0]]  # noqa: B023
+                return low
+
+            _miss(out, miss, left4, keys >> np.uint64(16), shorter)
+        rest = np.nonzero(short)[0]
+        if len(rest):
+            out[rest] += self.log_second(keys[rest])
         return out
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -174,6 +273,14 @@ class LanguageModels:
         return -sums / np.maximum(sizes, 1)[:, None], sizes
 
 
+def _miss(out: np.ndarray, at: np.ndarray, left: HashTable, contexts: np.ndarray, lower) -> None:
+    """Fills rows ``at``: the lower order's, and the context's weight where it is seen."""
+    if len(at):
+        out[at] = lower(at)
+        context = left.find(contexts[at])
+        out[at[context >= 0]] += left.rows[context[context >= 0]]
+
+
 def count_grams(labelled: DataFrame) -> DataFrame:
     """(text, lang) to lang, key, n over all texts; each task adds up its own first."""
     small_batches(labelled.sparkSession)
@@ -205,17 +312,13 @@ def _counted(lang: str, counts: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
     return pd.DataFrame({"lang": lang, "key": counts[0].view(np.int64), "n": counts[1]})
 
 
-def train(labelled: DataFrame, max_ngrams: int = MAX_NGRAMS) -> LanguageModels | None:
+def train(labelled: DataFrame, block_bytes: int = BLOCK_BYTES) -> LanguageModels | None:
     """labelled: text, lang. None if there is nothing to learn from."""
     labelled = labelled.filter("lang is not null and text is not null and text <> ''").select("text", "lang")
     counts = written(count_grams(labelled), "grams")
-    sizes = {r["lang"]: r["count"] for r in counts.groupBy("lang").count().collect()}
-    if not sizes:
+    if counts.isEmpty():
         return None
-    most = max_ngrams // len(sizes)
-    if max(sizes.values()) > most:
-        counts = counts.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))).filter(F.col("at") <= most).drop("at")
-    models = LanguageModels(counts.toPandas())
+    models = LanguageModels(counts, block_bytes)
     models.limits = _limits(models, labelled)
     return models
 
@@ -243,11 +346,9 @@ def _limits(models: LanguageModels, labelled: DataFrame, z: float = 8.0) -> np.n
 def with_entropies(docs: DataFrame, models: LanguageModels) -> DataFrame:
     """Adds e: lang, entropy, chars, score, accepted of every whole text."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
     @F.pandas_udf("lang_pred string, entropy double, chars long, score double, accepted boolean")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+        m = models
         for batch in batches:
             out = pd.DataFrame({"lang_pred": UNKNOWN, "entropy": np.nan, "chars": 0, "score": 0.0, "accepted": False}, index=range(len(batch)))
             known = pd.DataFrame({"at": np.arange(len(batch)), "text": batch.to_numpy()})[[has_letter(t) for t in batch]]
