@@ -237,6 +237,17 @@ def test_urls(spark):
     assert urls.judge_urls(df, labelled.limit(0)).filter("rule is null and verdict <> 'block'").count() >= 0
 
 
+def test_url_suffixes_of_all_labels(spark):
+    rows = [(f"http://h{i}.s{k:02d}.org/p{i:02d}", k % 2) for k in range(60) for i in range(40)] + [("http://once.net/p", 1)]
+    labelled = spark.createDataFrame(rows, "url string, label int")
+    asked = spark.createDataFrame([(f"http://new.s{k:02d}.org/p77", k % 2) for k in range(60)], "url string, label int")
+    got = urls.judge_urls(asked, labelled, rules=(), max_labelled=60).collect()
+    assert len(got) == 60 and all((r["verdict"] == "block") == bool(r["label"]) for r in got)
+    known = {r["url"]: r for r in urls.training_rows(labelled, urls.suffix_counts(labelled)).collect()}
+    assert len(known) == len(rows) and (known["http://once.net/p"]["suffix_rate"], known["http://once.net/p"]["suffix_seen"]) == (0.5, 0.0)
+    assert all((r["suffix_rate"] > 0.5) == bool(r["label"]) for u, r in known.items() if "once" not in u)
+
+
 # ---- 10
 @pytest.mark.parametrize("hot", [4000, 1])
 def test_repeats_brute_force(spark, monkeypatch, hot):

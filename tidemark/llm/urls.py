@@ -1,7 +1,8 @@
 """URL filters: block and allow rules, and gradient-boosted trees on lexical features.
 
 The trees are trained from labelled URLs (url, label 1 = block); at most ``max_labelled`` of
-them, a documented bound, the first by hash. Rules win over the trees; of the rules that fit,
+them, a documented bound, the first by hash. The suffix statistics cover all labelled URLs; a
+training row's leave out the fold of labels its own URL belongs to. Rules win over the trees; of the rules that fit,
 the longest wins.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, fits no rule and
@@ -17,13 +18,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, table, written
 from .trees import bounded_sample, fit
 
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 FEATURES = ["url_chars", "host_chars", "path_chars", "depth", "digit_ratio", "entropy", "n_params", "n_labels", "n_hyphens", "has_fragment", "suffix_rate", "suffix_seen"]
 #: Rules beyond this number are a table to join, not literals in the plan.
 MAX_LITERAL_RULES = 1000
+FOLDS = 5
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -69,10 +71,39 @@ def with_features(parted: DataFrame) -> DataFrame:
     })
 
 
-def suffix_statistics(labelled: DataFrame) -> DataFrame:
-    """Per host suffix, at most one row a labelled URL: smoothed share of blocked, rows seen."""
-    rate = (F.sum("label") + 1.0) / (F.count("*") + 2.0)
-    return labelled.groupBy("suffix").agg(rate.alias("suffix_rate"), F.log1p(F.count("*")).alias("suffix_seen"))
+def with_suffix(urls: DataFrame) -> DataFrame:
+    return urls.withColumn("suffix", suffix_of(host_path(F.col("url"))[0]))
+
+
+def fold() -> Column:
+    """Equal URLs fall into one fold."""
+    return F.coalesce(F.crc32(F.col("url").cast("binary")) % FOLDS, F.lit(0))
+
+
+def suffix_counts(labelled: DataFrame) -> DataFrame:
+    """Labelled URLs and blocked ones of each host suffix and fold."""
+    return with_suffix(labelled).groupBy("suffix", fold().alias("fold")).agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
+
+
+def _rates(n: Column, blocked: Column) -> dict[str, Column]:
+    """Smoothed share of blocked, rows seen; 0.5 and 0 if there are none."""
+    n, blocked = F.coalesce(n, F.lit(0)), F.coalesce(blocked, F.lit(0))
+    return {"suffix_rate": (blocked + 1.0) / (n + 2.0), "suffix_seen": F.log1p(n)}
+
+
+def suffix_statistics(counts: DataFrame) -> DataFrame:
+    """A row a host suffix, from all folds."""
+    return counts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).select("suffix", *[c.alias(k) for k, c in _rates(F.col("n"), F.col("blocked")).items()])
+
+
+def training_rows(sample: DataFrame, counts: DataFrame) -> DataFrame:
+    """Labelled URLs with their features; the suffix statistics come from the other folds.
+    Without the row alone, the rate would tell its label: a blocked row's is the lower one."""
+    mine = with_suffix(sample).withColumn("own", fold())
+    keys = mine.select("suffix", "own").distinct()
+    others = keys.join(counts, "suffix").filter("fold <> own").groupBy("suffix", "own").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"))
+    joined = mine.join(others, ["suffix", "own"], "left")
+    return with_features(with_parts(joined.withColumns(_rates(F.col("n"), F.col("blocked"))).drop("own", "n", "blocked")))
 
 
 def with_rule(parted: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
@@ -93,12 +124,11 @@ def with_rule(parted: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataF
 
 def judge_urls(urls: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, max_labelled: int = 20_000, trees: int = 10, depth: int = 4) -> DataFrame:
     """urls (url, ...) and labelled (url, label) to urls with host, path, rule, score, verdict."""
-    sample = bounded_sample(labelled.filter("label is not null").select("url", F.col("label").cast("int").alias("label")), "url", max_labelled)
-    known = with_features(with_parts(sample))
-    stats = suffix_statistics(known)
-    prior = {"suffix_rate": 0.5, "suffix_seen": 0.0}
-    score = fit(known.join(stats, "suffix", "left").fillna(prior), FEATURES, "gbt", trees, depth)
-    judged = with_features(with_rule(with_parts(urls), rules)).join(F.broadcast(stats), "suffix", "left").fillna(prior)  # a row a labelled URL at most
+    known = labelled.filter("label is not null").select("url", F.col("label").cast("int").alias("label"))
+    counts = written(suffix_counts(known), "suffixes")
+    score = fit(training_rows(bounded_sample(known, "url", max_labelled), counts), FEATURES, "gbt", trees, depth)
+    joined = with_suffix(urls).join(suffix_statistics(counts), "suffix", "left").fillna({"suffix_rate": 0.5, "suffix_seen": 0.0})
+    judged = with_features(with_rule(with_parts(joined), rules))
     judged = judged.withColumn("score", score({f: F.col(f) for f in FEATURES}))
     return judged.withColumn("verdict", F.coalesce("rule_action", F.when(F.col("score") > 0.5, "block").otherwise("allow"))).drop(*FEATURES, "suffix", "rule_action")
 
