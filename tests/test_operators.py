@@ -80,3 +80,11 @@ def test_archive_paragraphs(spark):
 
 def test_schema_findings():
     assert quality.schema_findings(["a", "b", "a"], ["a", "c"]) == [("missing_column", "c"), ("duplicate_header", "a")]
+
+
+def test_unnotified_every_recipient(spark):
+    notices = spark.sql("select 1L as id, timestamp '2001-02-01' as first_seen, 3 as score, 'tier_1' as tier, 'new' as review_status")
+    recipients = spark.range(1500).selectExpr("cast(id as string) as recipient")
+    sent = spark.sql("select 'immediate' as type, 'sent' as status, '1' as key, '7' as recipient")
+    out = tables.unnotified(notices, recipients, sent, F.lit("2001-01-01").cast("timestamp"), 2, ("tier_1",), ("closed",))
+    assert out.select("recipient").distinct().count() == 1499

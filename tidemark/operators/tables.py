@@ -51,11 +51,10 @@ def readable(documents: DataFrame, insights: DataFrame) -> DataFrame:
 
 
 def unnotified(notices: DataFrame, recipients: DataFrame, deliveries: DataFrame, baseline: Column, least: int, tiers: Sequence[str], closed: Sequence[str]) -> DataFrame:
-    """New notices since the baseline, for each recipient who hasn't had the alert. The
-    recipients are a short configured list."""
+    """New notices since the baseline, for each recipient who hasn't had the alert."""
     fresh = notices.filter((F.col("first_seen") >= baseline) & (F.col("score") >= least) & F.col("tier").isin(*tiers) & ~F.col("review_status").isin(*closed))
     sent = deliveries.filter((F.col("type") == "immediate") & (F.col("status") == "sent")).select(F.col("key").alias("__key"), "recipient").distinct()
-    return fresh.withColumn("__key", F.col("id").cast("string")).crossJoin(F.broadcast(recipients.limit(1000))).join(sent, ["__key", "recipient"], "left_anti").drop("__key")
+    return fresh.withColumn("__key", F.col("id").cast("string")).crossJoin(recipients).join(sent, ["__key", "recipient"], "left_anti").drop("__key")
 
 
 def similar_pairs(notices: DataFrame, order: Sequence[Column], limit: int = 8, considered: int = 20) -> DataFrame:
