@@ -16,3 +16,9 @@ def test_query_matches_sql(spark, sf, duck, name):
         same(df, registry.ORACLES[name], duck)
     else:
         assert df.count() >= 0
+
+
+@pytest.mark.parametrize("name", ["c22_dashboard_filter", "f11_sample_ids", "e20_request_links"])
+def test_no_whole_group_in_one_task(spark, sf, name):
+    plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and (name != "c22_dashboard_filter" or "Window" not in plan)

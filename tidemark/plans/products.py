@@ -54,7 +54,8 @@ of_notices("c18_is_upcoming", lambda n: n.select("id", D.is_upcoming(F.col("cate
 of_notices("c19_chronology_reject", lambda n: n.filter(~(F.col("deadline") < F.col("first_seen") + F.make_interval(days=(F.col("id") % 30).cast("int")))).select("id"), "select id from notices where not deadline < first_seen + to_days(cast(id % 30 as int))")
 add("c20_host_allowlist", lambda s, d: bind.read(s, d, "pages").filter(F.col("url").startswith("https://") & F.lower(F.try_parse_url("url", F.lit("HOST"))).rlike(r"(^|\.)example\.net$") & F.col("url").contains("/en/")).select("page_id"), "select page_id from pages where url like 'https://%' and regexp_matches(regexp_extract(url, '://([^/?#:]*)', 1), '(^|\\.)example\\.net$') and contains(url, '/en/')")
 of_notices("c21_list_filter", lambda n: n.filter("review_status = 'new' and tier = 'tier_1' and score >= 2").orderBy(F.desc("score"), "deadline_at", F.desc("first_seen"), "id").limit(50).select("id", "score"), "select id, score from notices where review_status = 'new' and tier = 'tier_1' and score >= 2 order by score desc, deadline_at, first_seen desc, id limit 50")
-of_notices("c22_dashboard_filter", lambda n: n.filter(F.col("active") & T.normalize_text(F.col("title")).contains("high") & (F.col("label") != "")).withColumn("total", F.count("*").over(Window.partitionBy())).orderBy("id").limit(25).select("id", "total"), f"select id, count(*) over () as total from notices where {ACTIVE} and contains(lower(title), 'high') and {LABEL} <> '' order by id limit 25")
+_counted = lambda rows: rows.orderBy("id").limit(25).crossJoin(rows.agg(F.count("*").alias("total"))).select("id", "total")
+of_notices("c22_dashboard_filter", lambda n: _counted(n.filter(F.col("active") & T.normalize_text(F.col("title")).contains("high") & (F.col("label") != ""))), f"select id, count(*) over () as total from notices where {ACTIVE} and contains(lower(title), 'high') and {LABEL} <> '' order by id limit 25")
 of_notices("c23_visible_filter", lambda n: n.filter(F.col("tier").isin("tier_1", "tier_2") & ~T.is_sample(F.col("source_id"), F.col("url"))).select("id"), f"select id from notices where {VISIBLE}")
 of_notices("c24_not_historical", lambda n: n.filter(F.col("first_seen").isNull() | (F.to_date("first_seen") >= F.lit("2001-01-15").cast("date"))).select("id"), "select id from notices where cast(first_seen as date) >= date '2001-01-15'")
 of_notices("c25_priority_metadata", lambda n: n.select("id", F.when(F.col("tier") != "tier_1", 70).when(F.col("review_status").isin("not_relevant", "lost", "closed"), 80).otherwise(0).alias("rank")), "select id, case when tier <> 'tier_1' then 70 when review_status in ('not_relevant', 'lost', 'closed') then 80 else 0 end as rank from notices")
@@ -170,7 +171,14 @@ of_notices("e15_workbook_counts", lambda n: n.groupBy("tier", "active").count(),
 add("e16_status_label_counts", lambda s, d: I(s, d).groupBy(T.labelled(F.col("status"), {"extracted": "done"}).alias("label")).count(), "select case status when 'extracted' then 'done' else status end as label, count(*) as count from insights group by 1", "attachments", "insights")
 of_notices("e18_qa_distributions", lambda n: n.groupBy(F.coalesce(F.nullif(F.when(F.col("id") % 9 == 0, "").otherwise(F.col("source_id")), F.lit("")), F.lit("(blank)")).alias("value")).count().orderBy(F.desc("count"), "value"), "select case when id % 9 = 0 then '(blank)' else source_id end as value, count(*) as count from notices group by 1")
 add("e19_search_term_set", lambda s, d: A_(s, d).groupBy("notice_id").agg(F.array_join(F.array_sort(F.collect_set("label")), "; ").alias("terms")), "select notice_id, string_agg(distinct label, '; ' order by label) as terms from attachments group by 1", "attachments")
-add("e20_request_links", lambda s, d: A_(s, d).groupBy("supp").agg(F.size(F.collect_set("notice_id")).cast("bigint").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("notice_id")), 1, 5), ",").alias("first")), "select supp, count(distinct notice_id) as n, array_to_string(list_sort(list(distinct notice_id))[1:5], ',') as first from attachments group by 1", "attachments")
+def _first_five(each, key, id_, name):
+    """each (key, id, n), a row a pair: per key the sum of n and the five smallest ids."""
+    first = each.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(F.asc_nulls_last(id_)))).filter("rn <= 5").groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(id_)), ",").alias(name))
+    total = each.groupBy(key).agg(F.sum("n").alias("n"))
+    return total.join(first, total[key].eqNullSafe(first[key])).select(total[key], "n", name)
+
+
+add("e20_request_links", lambda s, d: _first_five(A_(s, d).select("supp", "notice_id").distinct().withColumn("n", F.col("notice_id").isNotNull().cast("bigint")), "supp", "notice_id", "first"), "select supp, count(distinct notice_id) as n, array_to_string(list_sort(list(distinct notice_id))[1:5], ',') as first from attachments group by 1", "attachments")
 _rollup = lambda s, d: O.single_detail_rollup(_history(s, d).select("record_id"), _details(s, d).withColumn("record_id", F.col("notice_id").cast("string")), "value")
 add("e21_single_detail_rollup", lambda s, d: _rollup(s, d).select("record_id", "detail_count", "status", (F.col("value") != "").alias("filled")), "select cast(o_orderkey as varchar) as record_id, case when count_if(parse_status <> 'ok') = 0 and count(det.id) > 0 then count_if(parse_status = 'ok') end as detail_count, case when count(det.id) = 0 then 'none' when count_if(parse_status <> 'ok') > 0 then 'parse issue' when count_if(parse_status = 'ok') > 1 then 'multiple' else 'single' end as status, count(det.id) = 1 and count_if(parse_status <> 'ok') = 0 as filled from orders left join det on notice_id = o_orderkey group by o_orderkey", "attachments", "hist")
 add("e22_status_min", lambda s, d: I(s, d).groupBy("notice_id").agg(F.min_by("status", O.ranked(F.col("status"), O.STATUS_ORDER)).alias("status")), "select notice_id, arg_min(status, case status when 'extracted' then 0 when 'processed_no_evidence' then 1 when 'missing_document_url' then 2 else 5 end) as status from insights group by 1", "attachments", "insights")
@@ -202,7 +210,7 @@ add("f06_task_summary", lambda s, d: O.task_summary(_PARAS(s, d), "doc_id", ("no
 add("f07_first_link_wins", lambda s, d: O.first_by(_LINKS(s, d), ["page_id", "href"], F.col("ord")).select("page_id", "ord"), "select page_id, cast(min(ord) as int) as ord from links group by page_id, href", "links")
 add("f08_consecutive_dedup", lambda s, d: O.consecutive_dedup(_PARAS(s, d), "doc_id").groupBy("doc_id").agg(F.count("*").alias("n")), "select doc_id, count(*) as n from (select *, lag(paragraph) over (partition by doc_id order by seq) as b from paras) where b is null or b <> paragraph group by 1", "paras")
 add("f10_duplicate_keys", lambda s, d: A_(s, d).groupBy("notice_id", "line").count().filter("count > 1").select("notice_id", "line", (F.col("count") - 1).alias("surplus")), "select notice_id, line, count(*) - 1 as surplus from attachments group by 1, 2 having count(*) > 1", "attachments")
-of_notices("f11_sample_ids", lambda n: n.groupBy("review_status").agg(F.count("*").alias("n"), F.min("id").alias("x"), F.array_join(F.slice(F.array_sort(F.collect_set("id")), 1, 5), ",").alias("samples")).drop("x"), "select review_status, count(*) as n, array_to_string(list_sort(list(distinct id))[1:5], ',') as samples from notices group by 1")
+of_notices("f11_sample_ids", lambda n: _first_five(n.groupBy("review_status", "id").agg(F.count("*").alias("n")), "review_status", "id", "samples"), "select review_status, count(*) as n, array_to_string(list_sort(list(distinct id))[1:5], ',') as samples from notices group by 1")
 add("f12_attachment_dedup", lambda s, d: O.first_by(A_(s, d).withColumn("identity", T.attachment_identity(F.col("label"), F.col("url"))), ["notice_id", "identity"], F.col("id")).select("notice_id", "id"), "select notice_id, min(id) as id from attachments group by notice_id, label, line", "attachments")
 add("f13_item_index", lambda s, d: _LINKS(s, d).select("page_id", "href", (F.col("ord") + 1).alias("item_index")), "select page_id, href, cast(ord + 1 as int) as item_index from links", "links")
 
