@@ -5,10 +5,14 @@
    a few bytes a signature; classes that share a signature meet in its bucket and are tied to
    the smallest of them, which makes (representative, member) rows, never pairs.
 3. A representative's members are compared by sketches (a lower bound of the sets'
-   difference), and what is left by the exact sets. Both steps give a forest of the members
-   they connect, not the pairs. Many members are dealt in blocks: all against the first
-   block, then those not in the most common component against all blocks.
-4. Components of the exact links, named by their smallest document.
+   difference), which gives a forest of the members they connect, not the pairs. Many members
+   are dealt in blocks: all against the first block, then those not in the most common
+   component against all blocks.
+4. What sketches connect is compared by the exact sets, again to a forest. A class is in the
+   groups of several representatives; its text is sent once, to the component that all of
+   them make together, unless that is too large for a task: then once a group. Only texts that
+   pass a Bloom filter of fixed size, made of the wanted documents, are shuffled.
+5. Components of the exact links, named by their smallest document.
 
 Defined cases: a text without words has an empty set and is linked with nothing; rows
 without a doc_id are left out; repeated rows are rows of the result each; further columns
@@ -24,14 +28,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_chars, small_batches, table, written
+from .common import bloom, by_chars, in_bloom, small_batches, table, written
 from .components import components
 from .partenum import signatures
 from .shingles import set_key, shingle_sets
 
 BUCKET_SIGNATURES = 4_000_000
 BLOCK_SHINGLES, BLOCK_MOST, BLOCK_LEAST = 2_000_000, 2000, 50
-MIN_SLOTS, MAX_SLOTS = 512, 1 << 17
+MIN_SLOTS, MAX_SLOTS = 128, 1 << 17
 
 
 def linked(a: int, b: int, common: int) -> bool:
@@ -39,15 +43,15 @@ def linked(a: int, b: int, common: int) -> bool:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Odd sketch: the parity of the shingles by hash slot, three to six slots a shingle. The
+    """Odd sketch: the parity of the shingles by hash slot, one or two slots a shingle. The
     slots in which two sketches differ are at most the elements in which the sets differ."""
-    slots = min(MAX_SLOTS, max(MIN_SLOTS, 1 << (3 * len(shingles)).bit_length()))
+    slots = min(MAX_SLOTS, max(MIN_SLOTS, 1 << len(shingles).bit_length()))
     odd = np.bincount((shingles & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def with_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), cls (key of the set, 0 if empty), sketch."""
+    """doc_id, text_key, n (set size), cls (key of the set, 0 if empty), sketch."""
     @F.pandas_udf("n long, cls long, sketch binary")
     def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -56,7 +60,7 @@ def with_sets(docs: DataFrame) -> DataFrame:
                 rows += [(len(s), set_key(s), sketch(s)) for s in shingle_sets(part["text"].tolist())]
             yield pd.DataFrame(rows, columns=["n", "cls", "sketch"])
 
-    return docs.filter("doc_id is not null").select("doc_id", measured("text").alias("m")).select("doc_id", "m.*")
+    return docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_key"), measured("text").alias("m")).select("doc_id", "text_key", "m.*")
 
 
 def shared_signatures(docs: DataFrame, buckets: int) -> DataFrame:
@@ -196,10 +200,11 @@ def _links(assigned: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
             at = forest(len(g), near_sketches(g["sketch"].tolist(), g["n"].to_numpy()))
             more = np.bincount(at, minlength=len(g))[at] > 1
             if more.any():
-                yield pd.DataFrame({"rep": rep, "task": task, "part": at[more], "cls": g["cls"].to_numpy()[more], "doc_id": g["doc_id"].to_numpy()[more]})
+                cls = g["cls"].to_numpy()
+                yield pd.DataFrame({"rep": rep, "task": task, "part": cls[at[more]], "cls": cls[more], "doc_id": g["doc_id"].to_numpy()[more], "n": g["n"].to_numpy()[more]})
 
     def compared(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, g in _groups(parts, [*keys, "part"]):
+        for _, g in _groups(parts, ["held"]):
             sets = [s for piece in by_chars(g) for s in shingle_sets(piece["text"].tolist())]
             held = {k: s for k, s, c in zip(map(set_key, sets), sets, g["cls"], strict=True) if k == c}
             names = np.array(list(held), np.int64)
@@ -208,15 +213,21 @@ def _links(assigned: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
             if rest.any():
                 yield pd.DataFrame({"a": names[rest], "b": names[at[rest]]})
 
-    parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = assigned.join(classes, "cls").select("rep", "task", "cls", "doc_id", "n", "sketch")
-    near = written(rows.repartition(int(parts), *keys).sortWithinPartitions(*keys).mapInPandas(sketched, "rep long, task long, part long, cls long, doc_id long"), "near")
-    texts = near.join(docs.select("doc_id", "text"), "doc_id").select("rep", "task", "part", "cls", "text")
-    return texts.repartition(int(parts), *keys, "part").sortWithinPartitions(*keys, "part").mapInPandas(compared, "a long, b long").distinct()
+    near = written(rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInPandas(sketched, "rep long, task long, part long, cls long, doc_id long, n long"), "near")
+    together = components(near.select(F.col("part").alias("a"), F.col("cls").alias("b")))
+    one = near.select("cls", "doc_id", "n").distinct().join(together.withColumnRenamed("node", "cls"), "cls")
+    wide = one.groupBy("label").agg(F.count("*").alias("members"), F.sum("n").alias("total")).filter((F.col("members") > BLOCK_MOST) | (F.col("total") > BLOCK_SHINGLES)).select("label")
+    wide = written(one.join(wide, "label").select("cls"), "wide")
+    small = one.join(wide, "cls", "left_anti").select(F.col("label").alias("held"), "cls", "doc_id")
+    groups = small.union(near.join(wide, "cls", "left_semi").select(F.xxhash64("rep", "task", "part"), "cls", "doc_id"))
+    texts = in_bloom(docs.select("doc_id", "text"), "doc_id", bloom(near, "doc_id")).join(groups, "doc_id").select("held", "cls", "text")
+    return texts.repartition(parts, "held").sortWithinPartitions("held").mapInPandas(compared, "a long, b long").distinct()
 
 
 def similar(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to doc_id, n_shingles, component_id."""
+    """(doc_id, text) to doc_id, n_shingles, component_id, text_key (xxhash64 of the text)."""
     small_batches(docs.sparkSession, 500)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     members = written(with_sets(docs), "sets")
@@ -243,11 +254,27 @@ def similar(docs: DataFrame) -> DataFrame:
         labels = components(links.union(_links(second.distinct(), classes, docs)))
     named = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     smallest = named.filter("cls <> 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return named.join(smallest, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return named.join(smallest, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_key")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The documents that stay, one of each group: that with the smallest doc_id, of rows with
+    its id and text one. A row is known by id and text, so of rows with one id and different
+    texts each is judged by its own text. Rows without an id aren't compared and stay. Only
+    documents that a Bloom filter of the others' ids lets through are shuffled."""
+    judged = written(similar(docs).select("doc_id", "text_key", (F.col("doc_id") == F.col("component_id")).alias("__stays")), "judged")
+    rows = judged.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.max("__stays").alias("stays"))
+    open_ = written(rows.filter("n > 1 or not stays").select("doc_id"), "open")
+    pages, key = bloom(open_, "doc_id"), F.xxhash64("text")
+    named = docs.filter("doc_id is not null")
+    stay = rows.filter("stays").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    maybe = in_bloom(named.withColumns({"__id": F.col("doc_id").cast("long"), "__key": key}), "__id", pages).join(stay, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"])
+    sure = in_bloom(named.withColumn("__id", F.col("doc_id").cast("long")), "__id", pages, inside=False)
+    return sure.select(*docs.columns).union(maybe.select(*docs.columns)).union(docs.filter("doc_id is null"))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return similar(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_key")
 
 
 OP1_SQL = r"""
