@@ -32,7 +32,7 @@ from .common import small_batches, table, written
 from .suffixes import repeated_starts
 
 WINDOW, GRAM = 400, 100
-BUCKET_BYTES = 1_000_000
+BUCKET_BYTES = 600_000
 HOT_CONTEXTS = 4000
 INTERVAL = "key long, start long, end long"
 
@@ -146,13 +146,14 @@ def repeated_intervals(keyed: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """Adds n_bytes, n_removed, n_spans and kept (the remaining bytes)."""
+    """Adds n_bytes, n_removed, n_spans, kept (the remaining bytes) and n_kept_chars (whole
+    characters among them)."""
     spark = docs.sparkSession
     small_batches(spark, 500)
     key = F.xxhash64("doc_id", "text")
     spans = repeated_intervals(docs.select(key.alias("key"), "text")).withColumnsRenamed({"key": "__key", "spans": "__spans"})
 
-    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
+    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary, n_kept_chars long")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, found in batches:
             rows = []
@@ -166,13 +167,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     if x["end"] > end:
                         removed += x["end"] - max(x["start"], end if end >= 0 else 0)
                         end = at = x["end"]
-                rows.append((len(text), removed, n, b"".join([*kept, text[at:]])))
-            yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
+                left = b"".join([*kept, text[at:]])
+                rows.append((len(text), removed, n, left, len(left.decode("utf-8", "ignore"))))
+            yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept", "n_kept_chars"])
 
     return docs.withColumn("__key", key).join(spans, "__key", "left").withColumn("__r", cut("text", "__spans")) \
-        .select(*[F.col(c) for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")], "__r.*")
+        .select(*[F.col(c) for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept", "n_kept_chars")], "__r.*")
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_kept_chars")

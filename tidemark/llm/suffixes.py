@@ -34,19 +34,27 @@ def _sorted_direct(text: np.ndarray, at: np.ndarray, depth: int, alike: np.ndarr
     return at[np.argsort(position[which], kind="stable")]
 
 
-def _order(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """By the first eight bytes, then ties by the rest."""
+def _order(text: np.ndarray, at: np.ndarray, depth: int, rounds: int = 4) -> np.ndarray:
+    """By eight bytes at a time as long as ``rounds``, then the remaining ties by the rest."""
     whole = text.tobytes()
-    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(8, np.uint8)]), 8)
-    keys = np.ascontiguousarray(windows[at]).view(">u8").ravel().astype(np.uint64)
-    out = np.argsort(keys, kind="stable")
-    keys = keys[out]
-    starts = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0]
-    sizes = np.diff([*starts, len(at)])
-    for a, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-        places = at[out[a : a + size]].tolist()
-        tails = [whole[p + 8 : p + depth] for p in places]
-        out[a : a + size] = out[a : a + size][sorted(range(size), key=tails.__getitem__)]
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(8 * rounds, np.uint8)]), 8)
+    out, group = np.arange(len(at)), np.zeros(len(at), np.int64)
+    tied = np.arange(len(at))
+    for r in range(rounds):
+        keys = np.ascontiguousarray(windows[at[out[tied]] + 8 * r]).view(">u8").ravel().astype(np.uint64)
+        order = np.lexsort((keys, group[tied])) if r else np.argsort(keys, kind="stable")
+        out[tied], keys = out[tied[order]], keys[order]
+        first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (group[tied[1:]] != group[tied[:-1]])])
+        group[tied] = tied[np.maximum.accumulate(np.where(first, np.arange(len(tied)), 0))]
+        alone = first & np.concatenate([first[1:], [True]])
+        tied = tied[~alone]
+        if not len(tied):
+            return out
+    starts = np.nonzero(np.concatenate([[True], group[tied[1:]] != group[tied[:-1]]]))[0]
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(tied)], strict=True):
+        mine = tied[a:b]
+        tails = [whole[p + 8 * rounds : p + depth] for p in at[out[mine]].tolist()]
+        out[mine] = out[mine][sorted(range(b - a), key=tails.__getitem__)]
     return out
 
 
@@ -101,7 +109,7 @@ def repeated_starts(texts: list[bytes], size: int, hashes_of) -> tuple[np.ndarra
     flat = np.concatenate([x for t in texts for x in (np.frombuffer(t, np.uint8), gap)])
     sizes = np.array([len(t) + 1 for t in texts])
     begins = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(texts)), sizes)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     at, ends = np.arange(len(flat)), (begins + sizes - 1)[owner]
     alike = hashes_of(flat, at, np.minimum(at + size, ends))
     order = suffix_array(flat, size, alike)
