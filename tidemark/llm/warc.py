@@ -1,10 +1,12 @@
 """WARC archives as a chunked record table.
 
 Writing: ``dedupe_payloads`` decides which record of equal payloads is the response and
-which are revisits; ``write_archives`` cuts payloads into chunk rows and lets Spark's text
-writer put them, one WARC record a chunk (segments, where there is more than one), into one
-gzip archive a task. Reading: ``read_chunks`` streams the archives through a decompressor
-and gives rows (record, chunk number, bytes, running SHA-1), never holding a whole payload.
+which are revisits; only payloads whose digest may stand twice, by a Bloom filter of fixed
+size, are shuffled for that. ``write_archives`` cuts payloads into chunk rows and lets Spark's
+text writer put them, one WARC record a chunk (segments, where there is more than one), into
+one gzip archive a task. Reading: Spark's text reader streams the archives, cut where a record
+begins; ``read_chunks`` puts together what was cut within a payload, one record at a time, and
+gives rows (record, chunk number, bytes, running SHA-1). No whole archive or payload is held.
 
 Defined cases: a null payload is empty; equal payloads of fewer than ``min_bytes`` are all
 responses; of repeated record ids each row is a record of its own; rows without an id are
@@ -15,18 +17,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import bloom, in_bloom, scratch, small_batches, table, written
 
 CHUNK = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+VERSION = b"WARC/1.1\r\n"
+BEGIN = b"\r\n\r\n" + VERSION
 CHUNK_SCHEMA = "page_id long, chunk_no int, record_type string, payload_bytes long, payload_digest string, refers_to long, n_bytes long, running_sha1 string, last boolean"
 
 
@@ -41,8 +44,12 @@ def dedupe_payloads(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     responses, else the largest page_id with an equal payload."""
     rows = pages.filter("page_id is not null").select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("payload")) \
         .withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32_sha1(F.col("payload"))})
-    first = rows.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).filter(F.col("n") > 1).drop("n")
-    return rows.join(first, ["payload_digest", "payload_bytes"], "left").select(
+    twice = rows.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).filter(F.col("n") > 1).drop("n")
+    first = written(twice, "payloads")
+    pages_of = bloom(first, "payload_digest")
+    joined = in_bloom(rows, "payload_digest", pages_of).join(first, ["payload_digest", "payload_bytes"], "left").select(*rows.columns, "first_id")
+    single = in_bloom(rows, "payload_digest", pages_of, inside=False).withColumn("first_id", F.lit(None).cast("long"))
+    return joined.unionByName(single).select(
         "page_id", "payload", "payload_bytes", "payload_digest", F.when((F.col("payload_bytes") >= min_bytes) & (F.col("first_id") != F.col("page_id")), F.col("first_id")).alias("refers_to")
     )
 
@@ -73,86 +80,57 @@ def write_archives(records: DataFrame, path: str, chunk: int = CHUNK) -> None:
     chunks.select(record_text(chunk).alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
-class _Stream:
-    """Lines and byte runs from a gzip archive, decompressed a little at a time."""
-
-    def __init__(self, packed: bytes, step: int = 1 << 18):
-        self.packed, self.at, self.step, self.ready = memoryview(packed), 0, step, bytearray()
-        self.gz = zlib.decompressobj(31)
-
-    def more(self) -> bool:
-        if self.gz.eof and self.gz.unused_data:  # the next member
-            self.gz, rest = zlib.decompressobj(31), self.gz.unused_data
-            self.ready += self.gz.decompress(rest, self.step)
-            return True
-        data = self.gz.unconsumed_tail or self.packed[self.at : self.at + self.step]
-        if not self.gz.unconsumed_tail:
-            self.at += len(data)
-        if not len(data):
-            return False
-        self.ready += self.gz.decompress(data, self.step)
-        return True
-
-    def take(self, n: int) -> bytes:
-        while len(self.ready) < n and self.more():
-            pass
-        out = bytes(self.ready[:n])
-        del self.ready[:n]
-        return out
-
-    def head(self) -> dict[str, str] | None:
-        """The next record's headers; None at the end."""
-        while (end := self.ready.find(b"\r\n\r\n")) < 0 and self.more():
-            pass
-        if end < 0:
-            return None
-        lines = self.take(end + 4).decode().strip().split("\r\n")
-        return dict(x.split(": ", 1) for x in lines[1:])
-
-
-def _chunk_rows(packed: bytes) -> Iterator[tuple]:
-    stream, sha, seen = _Stream(packed), hashlib.sha1(), 0
-    while (head := stream.head()) is not None:
+def _records(cuts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record, from an archive cut at every ``BEGIN``."""
+    held = b""
+    for cut in cuts:
+        held = held + BEGIN + cut if held else cut.removeprefix(VERSION)
+        head, found, block = held.partition(b"\r\n\r\n")
+        fields = dict(x.split(": ", 1) for x in head.decode().strip().split("\r\n")) if found else {}
+        size = int(fields.get("Content-Length", -1))
+        if 0 <= size <= len(block):
+            yield fields, block[:size]
+            held = b""
+    if held.strip():
+        raise ValueError("an archive ends within a record")
+
+
+def _chunk_rows(cuts: Iterator[bytes]) -> Iterator[tuple]:
+    sha, seen = hashlib.sha1(), 0
+    for head, block in _records(cuts):
         page, _, no = head["WARC-Record-ID"][len("<urn:page:") : -1].partition(":")
         revisit = head["WARC-Type"] == "revisit"
         if not no:
             sha, seen = hashlib.sha1(), 0
-        left = size = int(head["Content-Length"])
-        while left:  # a segment, too, passes in small pieces
-            piece = stream.take(min(left, 1 << 16))
-            if not piece:
-                raise ValueError("an archive ends within a record")
-            sha.update(piece)
-            left -= len(piece)
-        stream.take(4)
-        seen += size
+        sha.update(block)
+        seen += len(block)
         total, digest = int(head["WARC-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:")
         refers = int(head["WARC-Refers-To"][len("<urn:page:") : -1]) if revisit else None
         running = base64.b32encode(sha.digest()).decode()
         last = revisit or seen >= total
         if last and not revisit and running != digest:
             raise ValueError(f"the payload of page {page} doesn't have its digest")
-        yield int(page), int(no or 0), "revisit" if revisit else "response", total, digest, refers, size, running, last
+        yield int(page), int(no or 0), "revisit" if revisit else "response", total, digest, refers, len(block), running, last
 
 
 def read_chunks(spark: SparkSession, path: str, rows: int = 5000) -> DataFrame:
     """The chunk table of the archives: one row a chunk, with the SHA-1 of the payload up to
     and with it; a digest that doesn't match in the end is an error."""
+    small_batches(spark, 64)
     names = [x.split()[0] for x in CHUNK_SCHEMA.split(", ")]
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for packed in part["content"]:
-                held = []
-                for row in _chunk_rows(packed):
-                    held.append(row)
-                    if len(held) >= rows:
-                        yield _frame(held, names)
-                        held = []
+        held = []
+        for row in _chunk_rows(cut for part in parts for cut in part["value"]):
+            held.append(row)
+            if len(held) >= rows:
                 yield _frame(held, names)
+                held = []
+        yield _frame(held, names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInPandas(read, CHUNK_SCHEMA)
+    # gzip files aren't split: a partition has whole archives, their records in order
+    cuts = spark.read.option("lineSep", BEGIN.decode()).option("pathGlobFilter", "*.gz").text(path)
+    return cuts.select(F.col("value").cast("binary").alias("value")).mapInPandas(read, CHUNK_SCHEMA)
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
