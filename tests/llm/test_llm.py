@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.oracle import connect, same
-from tidemark.llm import chat, decontaminate, jaccard, langid, neighbours, packing, registry, repeats, secret_scan, urls, warc
+from tidemark.llm import chat, common, decontaminate, jaccard, langid, neighbours, packing, registry, repeats, secret_scan, urls, warc
 
 DOCS = "doc_id long, text string, extra string, n long"
+DOCS_COLUMNS = ["doc_id", "text", "extra", "n"]
 
 
 def _docs(spark, rows):
@@ -58,6 +59,21 @@ def test_jaccard_empty(spark):
     assert jaccard.similar(_docs(spark, [(7, None), (8, "a b")])).count() == 2
 
 
+def test_representatives(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, base), (2, base + " more"), (3, "own text"), (3, base + " x"), (3, "own text"), (None, base), (4, None), (5, ""), (None, None)]
+    kept = sorted(((r["doc_id"], r["text"]) for r in jaccard.representatives(_docs(spark, rows)).collect()), key=str)
+    assert kept == sorted([(1, base), (3, "own text"), (None, base), (4, None), (5, ""), (None, None)], key=str)
+    assert jaccard.representatives(_docs(spark, [])).columns == DOCS_COLUMNS
+
+
+def test_bloom(spark):
+    keys = spark.range(0, 5000, 7)
+    pages = common.bloom(keys, "id")
+    inside, outside = (common.in_bloom(spark.range(5000), "id", pages, x) for x in (True, False))
+    assert inside.join(keys, "id", "left_semi").count() == keys.count() and inside.count() + outside.count() == 5000 and inside.count() < 1000
+
+
 # ---- 2
 def test_chat_trees(spark):
     rows = [(1, 1, None, "user", "a", 0.0), (1, 2, 1, "assistant", "b", 1.0), (1, 3, 1, "assistant", "c#<\\h", 2.0), (1, 4, 3, "user", None, 1.0), (2, 9, 77, None, "orphan", None), (3, 1, 2, "x", "cycle", 0.0), (3, 2, 1, "x", "cycle", 0.0), (None, 1, None, "x", "none", 0.0)]
@@ -152,12 +168,44 @@ def test_decontaminate(spark, block):
 
 
 # ---- 5
-def test_secret_scans(spark):
-    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
-    docs = _docs(spark, [(1, f'my token = "{key}" here {key}'), (2, None), (3, ""), (4, "see /a1/long/path/to/some/file"), (5, f"see {key[::-1]} there")])
-    score = secret_scan.train(secret_scan.weak_labels(secret_scan.findings(docs)))
-    got = {r["doc_id"]: (r["n_candidates"], r["redacted"]) for r in secret_scan.scan(docs, score).collect()}
-    assert got[1] == (1, 'my token = "[SECRET]" here [SECRET]') and got[2] == (0, None) and got[3] == (0, "") and got[4][1].endswith("file") and got[5][0] == 1
+def _places(text):
+    found = [m for m in re.finditer(r"[A-Za-z0-9_+/=-]+", text or "") if len(m[0]) >= 16 and re.search("[0-9]", m[0])]
+    return [(text[: m.start()], m[0], text[m.end() :]) for m in found]
+
+
+def test_secret_candidates_brute_force(spark, sf):
+    long = "x" * 450 + "1" + "y" * 70_000
+    texts = [None, "", "0123456789abcdef", "a" * 20, long, f"{long}, {long}", "k=AAAABBBBCCCC1111 k='AAAABBBBCCCC1111x' AAAABBBBCCCC1111", "é0123456789abcdeé 0123456789abcde"]
+    docs = _docs(spark, list(enumerate(texts))).unionByName(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id") + 100, "text", F.lit("e").alias("extra"), F.lit(5).alias("n")).toDF("doc_id", "text", "extra", "n"))
+    for r in docs.select("text", secret_scan.candidates(F.col("text")).alias("c")).collect():
+        exp = _places(r["text"])
+        assert [c["token"] for c in r["c"]] == [t for _, t, _ in exp]
+        assert all(b.endswith(c["before"]) and (a or "").startswith(c["after"]) for c, (b, _, a) in zip(r["c"], exp, strict=True))
+
+
+def test_secret_scans(spark, sf):
+    corpus = spark.read.parquet(f"{sf}/documents.parquet")
+    words = secret_scan.common_words(corpus)
+    counts = {}
+    for (t,) in corpus.select("text").collect():
+        for w in re.findall(r"[^\W\d_]+", (t or "").lower()):
+            if 3 <= len(w) <= 12:
+                counts[w] = counts.get(w, 0) + 1
+    assert words == sorted(counts, key=lambda w: (-counts[w], w))[:300]
+    detector = secret_scan.train(secret_scan.planted_findings(corpus.filter("doc_id % 2 = 0")), words)
+    held = secret_scan.planted_findings(corpus.filter("doc_id % 2 = 1")).withColumn("p", detector.judge(F.struct("before", "token", "after"))["score"] >= 0.5).groupBy("label", "p").count().collect()
+    n = {(r["label"], r["p"]): r["count"] for r in held}
+    right = n[1, True]
+    assert right / (right + n.get((1, False), 0)) > 0.95 and right / (right + n.get((0, True), 0)) > 0.95
+    key, card = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "4845168114407329"
+    rows = [(1, f'bare {key} and my token = "{key}" here, {key}x1'), (2, None), (3, ""), (4, "see /a1/long/path/to/some/file"), (5, f"pay {card} now"), (5, f"pay {card} now")]
+    names = ("secrets", "candidates", "n_candidates", "redacted", "__found", "n_chars")
+    docs = _docs(spark, rows).withColumns({c: F.lit(7) for c in names})
+    got = [(r["doc_id"], r["text"]) for r in secret_scan.redact(docs, detector).collect()]
+    assert sorted(got, key=str) == sorted([(1, f'bare [SECRET] and my token = "[SECRET]" here, {key}x1'), *rows[1:]], key=str) or sorted(got, key=str) == sorted([(1, 'bare [SECRET] and my token = "[SECRET]" here, [SECRET]'), *rows[1:]], key=str)
+    out = secret_scan.redact(docs, detector)
+    assert out.columns == docs.columns and out.filter(" or ".join(f"{c} <> 7" for c in names[:-1])).count() == 0
+    assert secret_scan.scan(docs.limit(0), detector).count() == 0 and secret_scan.train(secret_scan.planted_findings(docs.limit(0)), secret_scan.common_words(docs.limit(0))).words == []
 
 
 # ---- 6
@@ -178,6 +226,22 @@ def test_neighbours_recall_and_ties(spark):
     assert neighbours.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_search_less_than_all(spark):
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=(40, 24))
+    v = np.repeat(centre, 200, axis=0) + 0.4 * rng.normal(size=(8000, 24))
+    v[4000:4040] = v[50] * np.exp2(np.arange(40) - 20)[:, None]  # one cosine, many vectors
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(50, [9.0] * 24), (7, None)], "vec_id long, embedding array<double>").repartition(5)
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0, searched=3000).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    v[50] = min(tuple(v[50]), (9.0,) * 24)
+    m = v / np.linalg.norm(v, axis=1)[:, None]
+    best = {i: set(np.argsort(-(m @ m[i]), kind="stable")[:6]) - {i} for i in range(0, 8000, 50) if not 4000 <= i < 4040}
+    assert np.mean([len({x for _, x in got[i]} & best[i]) / 5 for i in best]) >= 0.9
+    assert [x for _, x in sorted(got[4000])] == [50, 4001, 4002, 4003, 4004]
+
+
 # ---- 7
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "a"), (2, None), (3, "a"), (4, ""), (5, "é\r\n\r\nWARC/1.1\r\n" * 50), (None, "x")]
@@ -189,6 +253,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert [r["chunk_no"] for r in chunks if r["page_id"] == 5] == list(range(13))
 
 
+def test_warc_long_and_hard_payloads(spark, tmp_path):
+    hard = "\r\n\r\nWARC/1.1\r\nContent-Length: 1\r\n\r\n"
+    rows = [(1, hard * 40_000), (2, "é" * 700_000), (3, hard), (4, hard), (3, hard), (5, "\r\n"), (6, hard[:14])]
+    path = f"file://{tmp_path}/w"
+    warc.write_archives(warc.dedupe_payloads(spark.createDataFrame(rows, "page_id long, html string").repartition(3)), path)
+    got = sorted((r["page_id"], r["record_type"], r["payload_bytes"], r["refers_to"]) for r in warc.read_chunks(spark, path).filter("last").collect() for r in [r])
+    assert [g[:3] for g in got] == [(1, "response", len(hard) * 40_000), (2, "response", 1_400_000), (3, "revisit", len(hard)), (3, "revisit", len(hard)), (4, "response", len(hard)), (5, "response", 2), (6, "response", 14)]
+    empty = f"file://{tmp_path}/e"
+    warc.write_archives(warc.dedupe_payloads(spark.createDataFrame([], "page_id long, html string")), empty)
+    assert warc.read_chunks(spark, empty).count() == 0
+
+
 # ---- 8
 def test_packing(spark):
     from public_tokenizers import path
@@ -234,7 +310,31 @@ def test_urls(spark):
             host, path, rule, verdict = cases[r["url"]]
             assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and (verdict or r["verdict"]) == r["verdict"]
     urls.MAX_LITERAL_RULES = 1000
-    assert urls.judge_urls(df, labelled.limit(0)).filter("rule is null and verdict <> 'block'").count() >= 0
+    assert {r["verdict"] for r in urls.judge_urls(df, labelled.limit(0)).filter("rule is null").collect()} == {"block"}
+    clashing = ("host", "depth", "suffix", "best", "score", "own", "n", "rule_action", "__row")
+    out = urls.judge_urls(df.withColumns({c: F.lit(-7) for c in clashing}), labelled)
+    assert {"depth", "suffix", "best", "own", "n", "rule_action", "__row"} <= set(out.columns) and out.filter("depth <> -7 or suffix <> -7 or best <> -7 or own <> -7 or rule_action <> -7 or score < 0").count() == 0
+    assert urls.judge_urls(df.limit(0), labelled).count() == 0
+    assert urls.judge_urls(df.union(df), labelled).count() == 2 * len(cases)
+
+
+def test_url_rules_match_sql(spark, sf):
+    rules = "(values " + ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in urls.RULES) + ") r(action, rh, rp)"
+    sql = f"""with u as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as x from pages),
+      p as (select page_id, translate(regexp_extract(x, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substr(x, length(regexp_extract(x, '^[^/?#]*')) + 1), '^[^?#]*') as path from u),
+      m as (select page_id, arg_max(rh || rp, length(rh || rp)) as rule, arg_max(action, length(rh || rp)) as ruled from p, {rules} where (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by 1)
+      select p.page_id, host, path, rule, ruled from p left join m using (page_id)"""
+    out = registry.QUERIES["op9_url_filters"](spark, sf)
+    same(out.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled")), sql, connect(sf))
+
+
+def test_url_trees_held_out(spark):
+    rng = np.random.default_rng(3)
+    good = [f"https://site{i}.org/{'/'.join(rng.choice(['news', 'about', 'story', 'help'], 2))}" for i in range(400)]
+    bad = [f"http://x{rng.integers(10**9)}.org/{rng.integers(10**12)}/a?{'&'.join(f'p{j}={rng.integers(10**6)}' for j in range(6))}" for _ in range(400)]
+    df = spark.createDataFrame([(u, 0) for u in good] + [(u, 1) for u in bad], "url string, label int").withColumn("held", F.crc32("url") % 4 == 0)
+    out = urls.judge_urls(df.filter("held"), df.filter("not held"), rules=())
+    assert out.filter("(verdict = 'block') <> (label = 1)").count() <= 0.05 * out.count() and out.count() > 100
 
 
 def test_url_suffixes_of_all_labels(spark):

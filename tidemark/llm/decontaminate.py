@@ -3,12 +3,13 @@
 Words are runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z. Every window of
 ten consecutive words of a benchmark item (all of a shorter item) goes into sorted hash
 arrays; a window of a document found there is compared word by word before it counts. A
-benchmark of more than ``block_bytes`` is passed in blocks, each broadcast alone; the passes
-over the documents follow each other in one stage.
+benchmark of more than ``block_bytes`` is passed in blocks, each broadcast alone; each pass is
+written to the shared folder, so that one block at a time is held.
 
 Defined cases: null texts have no words; a null item id counts as an empty one; items with
 equal ids count once; repeated documents are judged alike; further columns stay (one named
-``contamination`` is replaced); empty tables give no hits or no rows.
+``contamination`` is replaced by ``with_contamination``, kept by ``decontaminate``); empty
+tables give no hits or no rows.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .common import small_batches, table
+from .common import boxed, small_batches, table, unboxed, written
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -115,45 +117,52 @@ def _scanner(known):
     return scan
 
 
-def with_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs (text, ...) and benchmark (item_id, text) to docs with contamination: n_words,
-    the merged word spans hit, the ids of the items whose windows occur."""
+def _judged(docs: DataFrame, benchmark: DataFrame, block_bytes: int) -> DataFrame:
+    """Boxed documents with __found."""
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + 16 * F.count("*")).first()[0]
     blocks = max(1, -(-total // block_bytes))
-    out = docs.withColumn("contamination", F.lit(None).cast(f"struct<{RESULT.replace(' long', ':long').replace('spans ', 'spans:').replace('items ', 'items:')}>"))
+    empty = F.lit(None).cast(f"struct<{RESULT.replace(' long', ':long').replace('spans ', 'spans:').replace('items ', 'items:')}>")
+    out = boxed(docs, "text").withColumn("__found", empty)
     for b in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         known = spark.sparkContext.broadcast(WindowSet([tuple(r) for r in part.toLocalIterator()]))
-        out = out.withColumn("contamination", _scanner(known)(F.col("text"), F.col("contamination")))
+        out = out.withColumn("__found", _scanner(known)(F.col("text"), F.col("__found")))
+        if blocks > 1:
+            out = written(out, "contamination")
+            known.destroy()
     return out
 
 
-def remove_spans(judged: DataFrame) -> DataFrame:
-    """Takes the words of contaminated spans out of the texts."""
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        def one(text, found):
-            if text is None or found is None or not len(found):
-                return text
-            at, kept, words = 0, [], list(WORD.finditer(text))
-            for x in found:
-                kept.append(text[at : words[x["start"]].start()])
-                at = words[x["end"] - 1].end()
-            return "".join(kept) + text[at:]
+def with_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs (text, ...) and benchmark (item_id, text) to docs with contamination: n_words,
+    the merged word spans hit, the ids of the items whose windows occur."""
+    return unboxed(_judged(docs, benchmark, block_bytes), docs.columns, contamination=F.col("__found"))
+
 
-        return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
+@F.pandas_udf(StringType())
+def _without(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    """Texts without the words of the spans."""
+    def one(text, found):
+        if text is None or found is None or not len(found):
+            return text
+        at, kept, words = 0, [], list(WORD.finditer(text))
+        for x in found:
+            kept.append(text[at : words[x["start"]].start()])
+            at = words[x["end"] - 1].end()
+        return "".join(kept) + text[at:]
 
-    return judged.withColumn("text", cut("text", "contamination.spans"))
+    return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the documents, or the spans, that hold a benchmark window."""
-    judged = with_contamination(docs, benchmark)
-    kept = judged.filter(F.size("contamination.spans") == 0) if remove == "documents" else remove_spans(judged)
-    return kept.drop("contamination")
+    judged = _judged(docs, benchmark, block_bytes)
+    if remove == "documents":
+        return unboxed(judged.filter(F.size("__found.spans") == 0), docs.columns)
+    return unboxed(judged, docs.columns, text=_without("text", "__found.spans")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,8 @@ gets the common limit or its own, whichever accepts more.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and not accepted;
 equal texts are judged alike, ties go to the first language in order; without any training
-text everything is ``und``; further columns stay; an empty table gives an empty result.
+text everything is ``und``; further columns stay, but those named like the results are
+replaced (``accepted_only`` keeps all as they are); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_chars, small_batches, table, written
+from .common import boxed, by_chars, small_batches, table, unboxed, written
 
 ORDER = 4
 BLOCK_BYTES = 64 << 20
@@ -51,11 +52,12 @@ def has_letter(text: str | None) -> bool:
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the 4-grams of each text (16 bits a code point, the last one predicted), and
-    where each text's begin. Case is folded, everything but letters is a space, once."""
+    where each text's begin. Case is folded, everything but letters is a space, once. Code
+    points beyond 16 bits share the numbers of the private use area."""
     each = [np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     pad = np.zeros(ORDER - 1, np.uint32)
     flat = np.concatenate([x for e in each for x in (pad, e)]) if each else pad
-    flat = (flat & np.uint32(0xFFFF)).astype(np.uint64)
+    flat = np.where(flat > 0xFFFF, 0xE000 + flat % 0x1900, flat).astype(np.uint64)
     real = np.ones(len(flat), bool)
     at = 0
     starts = np.cumsum([0, *(len(e) + ORDER - 1 for e in each)])[:-1]
@@ -367,8 +369,13 @@ def with_entropies(docs: DataFrame, models: LanguageModels) -> DataFrame:
 def identify(docs: DataFrame, models: LanguageModels | None) -> DataFrame:
     """Adds lang_pred, score and accepted."""
     if models is None:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "accepted": F.lit(False)})
-    return with_entropies(docs, models).withColumns({"lang_pred": F.col("e.lang_pred"), "score": F.col("e.score"), "accepted": F.col("e.accepted")}).drop("e")
+        return unboxed(boxed(docs), docs.columns, lang_pred=F.lit(UNKNOWN), score=F.lit(0.0), accepted=F.lit(False))
+    return unboxed(with_entropies(boxed(docs, "text"), models), docs.columns, lang_pred=F.col("e.lang_pred"), score=F.col("e.score"), accepted=F.col("e.accepted"))
+
+
+def accepted_only(docs: DataFrame, models: LanguageModels) -> DataFrame:
+    """The documents that the models accept, with their own columns."""
+    return unboxed(with_entropies(boxed(docs, "text"), models).filter("e.accepted"), docs.columns)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

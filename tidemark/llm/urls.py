@@ -7,7 +7,7 @@ the longest wins.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, fits no rule and
 is judged by the trees on its empty features; repeated rows are judged alike; further columns
-stay; an empty table gives an empty result; without labels of both classes the trees give the
+stay, but those named like the results are replaced; an empty table gives an empty result; without labels of both classes the trees give the
 only class seen, or allow if there is none.
 """
 
@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table, written
+from .common import ascii_lower, boxed, table, unboxed, written
 from .trees import bounded_sample, fit
 
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -127,10 +127,11 @@ def judge_urls(urls: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str,
     known = labelled.filter("label is not null").select("url", F.col("label").cast("int").alias("label"))
     counts = written(suffix_counts(known), "suffixes")
     score = fit(training_rows(bounded_sample(known, "url", max_labelled), counts), FEATURES, "gbt", trees, depth)
-    joined = with_suffix(urls).join(suffix_statistics(counts), "suffix", "left").fillna({"suffix_rate": 0.5, "suffix_seen": 0.0})
+    joined = with_suffix(boxed(urls, "url")).join(suffix_statistics(counts), "suffix", "left").fillna({"suffix_rate": 0.5, "suffix_seen": 0.0})
     judged = with_features(with_rule(with_parts(joined), rules))
     judged = judged.withColumn("score", score({f: F.col(f) for f in FEATURES}))
-    return judged.withColumn("verdict", F.coalesce("rule_action", F.when(F.col("score") > 0.5, "block").otherwise("allow"))).drop(*FEATURES, "suffix", "rule_action")
+    verdict = F.coalesce("rule_action", F.when(F.col("score") > 0.5, "block").otherwise("allow"))
+    return unboxed(judged, urls.columns, host=F.col("host"), path=F.col("path"), rule=F.col("rule"), score=F.col("score"), verdict=verdict)
 
 
 def weak_labels(pages: DataFrame, junk: float = 0.2) -> DataFrame:
