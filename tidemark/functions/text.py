@@ -106,14 +106,14 @@ def normalize_homepage(c: Column) -> Column:
 def document_kind(label: Column, url: Column, file_type: Column) -> Column:
     """The first kind one of whose words stands anywhere in label, link or type."""
     link = F.coalesce(F.try_url_decode(F.coalesce(url, F.lit(""))), url, F.lit(""))
-    path = F.coalesce(F.try_parse_url(link, F.lit("PATH")), F.lit(""))
-    text = normalize_text(F.concat_ws(" ", F.coalesce(label, F.lit("")), link, path, F.coalesce(file_type, F.lit(""))))
+    text = normalize_text(F.concat_ws(" ", F.coalesce(label, F.lit("")), link, F.coalesce(file_type, F.lit(""))))
+    every = "|".join(quoted(x) for words in KIND_TERMS.values() for x in words)
 
     def first_kind(t: Column) -> Column:
         out = F.lit("other")
         for kind in reversed(KIND_TERMS):
             out = F.when(t.rlike("|".join(quoted(x) for x in KIND_TERMS[kind])), kind).otherwise(out)
-        return out
+        return F.when(t.rlike(every), out).otherwise("other")
 
     return F.transform(F.array(text), first_kind)[0]  # the text is made once, not once a kind
 

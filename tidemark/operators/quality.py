@@ -7,6 +7,7 @@ up to five ids, the smallest, which a window limit finds without gathering a cod
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,11 +76,27 @@ def detail_rules(prefix: str, rate: str | None = None) -> dict[str, Column]:
     return rules
 
 
-def summary_mismatch(notices: DataFrame, details: DataFrame, code: str, unsafe: str) -> DataFrame:
-    """The notice's count against its good details, and values filled although there are several."""
-    n = details.filter("parse_status = 'ok'").groupBy("record_id").agg(F.count("*").alias("n"))
+def summary_mismatch(notices: DataFrame, details: DataFrame, code: str, unsafe: str | None = None, pairs: Mapping[str, str] | None = None) -> DataFrame:
+    """The notice's count against its good details, its values (``pairs``: summary column to
+    detail column) against those of a single one, and values filled although there are several."""
+    pairs = pairs or {}
+    n = details.filter("parse_status = 'ok'").groupBy("record_id").agg(F.count("*").alias("n"), *[F.max(d).alias(f"__{d}") for d in pairs.values()])
     j = notices.join(n, "record_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return report(j, {code: F.col("detail_count").isNotNull() & (F.col("detail_count") != F.col("n")), unsafe: (F.col("n") > 1) & ~blank("detail_value")}, F.col("record_id"))
+    differ = F.lit(False)
+    for summary, detail in pairs.items():
+        differ = differ | ~F.trim(F.col(summary)).eqNullSafe(F.trim(F.col(f"__{detail}")))
+    rules = {code: (F.col("detail_count").isNotNull() & (F.col("detail_count") != F.col("n"))) | ((F.col("n") == 1) & differ)}
+    if unsafe:
+        rules[unsafe] = (F.col("n") > 1) & ~blank("detail_value")
+    return report(j, rules, F.col("record_id"))
+
+
+def request_amounts(requests: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Amounts of a request that are no number or negative, field by field."""
+    each = requests.select("request_no", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("amount")) for f in fields])).alias("a"))
+    state = amount_status(F.col("a.amount"))["status"]
+    rules = {f"{what}_procurement_request_amount": state == what.replace("non_numeric", "invalid") for what in ("invalid", "negative")}
+    return report(each, rules, F.concat_ws(":", "request_no", "a.field"))
 
 
 def access_findings(access: DataFrame, expected: Sequence[str]) -> DataFrame:
@@ -91,7 +108,25 @@ def access_findings(access: DataFrame, expected: Sequence[str]) -> DataFrame:
     return lost.unionByName(rest).unionByName(duplicates(access, ["service_id"], "duplicate_access_service"))
 
 
-def schema_findings(columns: Sequence[str], required: Sequence[str]) -> list[tuple[str, str]]:
-    """Fatal findings of one file's header: missing and repeated columns."""
-    seen = [c for c in columns if columns.count(c) > 1]
-    return [("missing_column", c) for c in required if c not in columns] + [("duplicate_header", c) for c in dict.fromkeys(seen)]
+def schema_findings(columns: Sequence[str] | None, required: Sequence[str]) -> list[tuple[str, str]]:
+    """Fatal findings of one file's header: no file (None), no header, missing and repeated columns."""
+    if columns is None:
+        return [("missing_file", "")]
+    if not columns:
+        return [("missing_header", "")]
+    seen = [c for c in columns if list(columns).count(c) > 1]
+    return [("missing_column", c) for c in required if c not in columns] + [("duplicate_header", c) for c in sorted(set(seen))]
+
+
+def fatal_findings(headers: Mapping[str, Sequence[str] | None], required: Mapping[str, Sequence[str]], start: str, end: str) -> tuple[bool, list[tuple[str, str, str]]]:
+    """Whether the tables may be checked at all, and what is fatal: (table, finding, what)."""
+    found = [(name, *f) for name, columns in required.items() for f in schema_findings(headers.get(name), columns)]
+    days = []
+    for name, day in (("start", start), ("end", end)):
+        try:
+            days.append(date.fromisoformat(day))
+        except ValueError:
+            found.append(("period", "invalid_date", name))
+    if len(days) == 2 and days[0] > days[1]:
+        found.append(("period", "start_after_end", f"{start} {end}"))
+    return not found, found

@@ -35,6 +35,31 @@ def first_by(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
 
 
+def placed(df: DataFrame, path: str, *order: Column) -> DataFrame:
+    """Adds place, from 1, in the order of all rows. Rows are sorted into ranges and written to
+    ``path``; a row's place is its place in its range plus the sizes of the ranges before, of
+    which there is one row each."""
+    df.orderBy(*order).withColumn("__m", F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path).withColumn("__range", F.shiftright("__m", 33))
+    sizes = rows.groupBy("__range").agg(F.count("*").alias("__size"))
+    before = sizes.withColumn("__base", F.sum("__size").over(Window.orderBy("__range")) - F.col("__size")).drop("__size")
+    at = F.col("__base") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(F.broadcast(before), "__range").withColumn("place", at).drop("__m", "__range", "__base")
+
+
+def grant_items(items: DataFrame, as_of: Column, days: int, host: str) -> DataFrame:
+    """items (external_id, title, url, published_at, window) to notices: an https link of the
+    official host or one below it, a title of the portfolio, and a deadline or publication not
+    too long ago; a deadline before the publication is an error of the source."""
+    official = F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit(""))
+    window, published = dates.two_date_window(F.col("window")), dates.normal_date(F.col("published_at"))
+    rows = items.filter((F.trim("external_id") != "") & F.col("url").startswith("https://") & (F.lower(official).eqNullSafe(host) | F.lower(official).endswith("." + host)))
+    rows = rows.withColumns({"published_at": published, "start_at": window["start"], "deadline_at": window["end"]})
+    recent = (F.to_date(F.nullif("deadline_at", F.lit(""))) >= F.to_date(as_of)) | (F.to_date(F.nullif("published_at", F.lit(""))) >= F.date_sub(F.to_date(as_of), days))
+    backwards = (F.col("published_at") != "") & (F.col("deadline_at") != "") & (F.col("deadline_at") < F.col("published_at"))
+    return rows.filter(F.coalesce(recent, F.lit(False)) & ~backwards)
+
+
 def document_rows(notices: DataFrame, attachments: DataFrame, as_of: Column) -> DataFrame:
     """One row a link, a gap row where a notice has none; kind and deadline label derived."""
     links = attachments.select(F.col("notice_id").alias("id"), F.col("id").alias("attachment_id"), F.col("label").alias("document_label"), F.col("url").alias("document_url"))

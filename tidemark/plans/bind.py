@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def folder(spark: SparkSession, what: str) -> str:
+    """A new folder in the one that all executors share, spark.checkpoint.dir; local masters may
+    do without and get a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{shared or 'file://' + tempfile.mkdtemp(prefix='tidemark-')}/tidemark-{what}-{uuid.uuid4().hex}"
+
+
 def as_of(text: str = AS_OF):
     return F.lit(text).cast("timestamp")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import amounts as A
 from ..functions import dates as D
 from ..functions import text as T
+from ..operators import classify as C
 from ..operators import merge as M
 from ..operators import tables as O
 from . import bind
@@ -196,8 +197,9 @@ add("f02_last_wins_dedup", lambda s, d: A_(s, d).groupBy("notice_id", "label").a
 
 def _round_robin(s, d):
     h = _history(s, d).groupBy("bid_no").agg(F.max(F.year("date")).alias("year"), F.max(F.col("status") == "P").alias("core"), F.max("date").alias("last"))
-    w = Window.partitionBy("year").orderBy(F.desc("core"), F.desc("last"), F.desc("bid_no"))
-    return h.withColumn("rn", F.row_number().over(w)).orderBy("rn", F.desc("year")).select("bid_no", F.col("year").cast("bigint").alias("year"), "rn")
+    all_ = O.placed(h, bind.folder(s, "years"), F.asc("year"), F.desc("core"), F.desc("last"), F.desc("bid_no"))
+    first = all_.groupBy("year").agg(F.min("place").alias("first"))  # a row a year
+    return all_.join(first, "year").select("bid_no", F.col("year").cast("bigint").alias("year"), (F.col("place") - F.col("first") + 1).cast("int").alias("rn")).orderBy("rn", F.desc("year"))
 
 
 add("f03_year_round_robin", _round_robin, "select bid_no, year, cast(row_number() over (partition by year order by core desc, last desc, bid_no desc) as int) as rn from (select cast(o_custkey as varchar) as bid_no, max(year(o_orderdate)) as year, max(o_orderstatus = 'P') as core, max(o_orderdate) as last from orders group by 1)")
@@ -214,7 +216,7 @@ of_notices("f11_sample_ids", lambda n: _first_five(n.groupBy("review_status", "i
 add("f12_attachment_dedup", lambda s, d: O.first_by(A_(s, d).withColumn("identity", T.attachment_identity(F.col("label"), F.col("url"))), ["notice_id", "identity"], F.col("id")).select("notice_id", "id"), "select notice_id, min(id) as id from attachments group by notice_id, label, line", "attachments")
 add("f13_item_index", lambda s, d: _LINKS(s, d).select("page_id", "href", (F.col("ord") + 1).alias("item_index")), "select page_id, href, cast(ord + 1 as int) as item_index from links", "links")
 
-# orders: the k first rows show the order
+# orders: every row with its place; two of them are limits
 _ORDERS = {
     "g01_list_order": ("true", ["score desc", "deadline_at", "first_seen desc", "id"]), "g02_workbench_order": ("true", ["tier_rank", "score desc", "deadline_at", "id"]), "g03_tier_case_order": ("true", ["tier_rank", "deadline_at", "id"]),
     "g04_urgent_order": (f"active and {VISIBLE} and label <> ''", ["days", "tier_rank", "id"]), "g05_public_order": ("true", ["active desc", "tier_rank", "deadline_at", "id"]), "g06_new_rows_order": ("first_seen >= timestamp '2001-01-01'", ["active desc", "tier_rank", "deadline_at", "id"]),
@@ -222,12 +224,20 @@ _ORDERS = {
     "g10_detail_order": ("true", ["buyer", "external_id"]), "g11_page_limit": ("active", ["id"]), "g12_weekly_alert_order": ("active and label <> ''", ["days", "tier_rank", "id"]),
 }
 _BAND = "case when label in ('D-DAY', 'D-1', 'D-2', 'D-3') then 0 when label <> '' then 1 else 2 end"
-for _name, (_where, _keys) in _ORDERS.items():
-    def _q(n, where=_where, keys=_keys):
-        cols = [F.desc(k[:-5]) if k.endswith(" desc") else F.asc(k) for k in keys]
-        return n.withColumn("band", F.expr(_BAND)).filter(where).orderBy(*cols).limit(100).withColumn("place", F.row_number().over(Window.orderBy(*cols))).select("id", "place")  # the 100 rows only
+_LIMITS = {"g08_action_queue_topk": 100, "g11_page_limit": 100}
+
+
+def _ordered(s, d, name, where, keys):
+    rows = view(s, d).withColumn("band", F.expr(_BAND)).filter(where)
+    cols = [F.desc(k[:-5]) if k.endswith(" desc") else F.asc(k) for k in keys]
+    if name in _LIMITS:
+        rows = rows.orderBy(*cols).limit(_LIMITS[name])
+    return O.placed(rows, bind.folder(s, "order"), *cols).select("id", "place")
 
-    of_notices(_name, _q, f"select id, cast(row_number() over (order by {', '.join(_keys)}) as int) as place from (select *, {_BAND} as band from (select *, {DAYS} as days, {LABEL} as label, {ACTIVE} as active, {TIER} as tier_rank from notices)) where {_where} qualify place <= 100")
+
+for _name, (_where, _keys) in _ORDERS.items():
+    _limit = f" qualify place <= {_LIMITS[_name]}" if _name in _LIMITS else ""
+    add(_name, lambda s, d, name=_name, where=_where, keys=_keys: _ordered(s, d, name, where, keys), f"select id, row_number() over (order by {', '.join(_keys)}) as place from (select *, {_BAND} as band from (select *, {DAYS} as days, {LABEL} as label, {ACTIVE} as active, {TIER} as tier_rank from notices)) where {_where}{_limit}", "notices")
 
 # sets, generators, packed lists
 of_notices("h01_union_sources", lambda n: n.filter("source_id = 'P'").select("id").unionByName(n.filter("source_id <> 'P'").select("id")).agg(F.count("*").alias("n")), "select count(*) as n from notices")
@@ -238,7 +248,7 @@ _MONTHS_SQL = "(select greatest(a, m) as start, least(b, last_day(m)) as \"end\"
 _iso = lambda df: df.select(*[F.col(c).cast("string").alias(c) if t == "date" else F.col(c) for c, t in df.dtypes])
 of_notices("h04_month_windows", lambda n: _iso(_MONTHS(n)), f'select cast(start as varchar) as start, cast("end" as varchar) as "end" from {_MONTHS_SQL}')
 of_notices("h05_trailing_windows", lambda n: _iso(n.agg(F.to_date(F.max("deadline")).alias("b")).select(F.explode(F.sequence(F.lit(0), F.lit(89), F.lit(30))).alias("k"), "b").select(F.date_sub("b", F.least(F.lit(89), F.col("k") + 29)).alias("start"), F.date_sub("b", F.col("k")).alias("end"))), "select cast(b - (k + 29) as varchar) as start, cast(b - k as varchar) as \"end\" from (select cast(max(deadline) as date) as b from notices), (select unnest([0, 30, 60]) as k)")
-of_notices("h06_window_term_grid", lambda n: _MONTHS(n).crossJoin(F.broadcast(n.select(F.col("source_id").alias("term")).distinct())).groupBy("term").count(), f"select term, count(*) as count from {_MONTHS_SQL}, (select distinct source_id as term from notices) group by 1")
+of_notices("h06_window_term_grid", lambda n: n.select(F.col("source_id").alias("term")).distinct().crossJoin(F.broadcast(_MONTHS(n))).groupBy("term").count(), f"select term, count(*) as count from {_MONTHS_SQL}, (select distinct source_id as term from notices) group by 1")
 
 
 def _packed(s, d):
@@ -266,9 +276,21 @@ of_notices("h13_history_notice_rows", lambda n: n.select(A.notice_identity(F.col
 # payloads and companies
 add("a01_explode_notice_payload", lambda s, d: bind.read(s, d, "events").select("event_id", F.explode(F.coalesce(F.from_json("props", "array<map<string,bigint>>"), F.array(F.from_json("props", "map<string,bigint>")))).alias("item")).select("event_id", F.col("item")["k"].alias("k")), "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
 add("a02_map_notice_item", lambda s, d: bind.read(s, d, "events").select("event_id", F.coalesce(F.nullif(F.get_json_object("props", "$.title"), F.lit("")), F.get_json_object("props", "$.k"), F.lit("")).alias("title"), A.notice_identity(F.col("user_id").cast("string"), F.get_json_object("props", "$.k")).alias("external_id")), "select event_id, coalesce(json_extract_string(props, '$.k'), '') as title, user_id || '-' || json_extract_string(props, '$.k') as external_id from events")
-of_notices("a03_map_grant_item", lambda n: n.filter("category = 'grant_application'").filter(F.col("deadline") >= tz() - F.expr("interval 60 days")).select("id", "title", "deadline_at"), f"select id, title, deadline_at from notices where category = 'grant_application' and deadline >= {AT} - interval 60 day")
-of_notices("a11_write_notices_csv", lambda n: n.filter(VISIBLE).select("id", "source_id", "title", "buyer", "budget", "deadline_at", F.when(F.col("active"), F.col("label")).otherwise("").alias("label")), f"select id, source_id, title, buyer, budget, deadline_at, case when {ACTIVE} then {LABEL} else '' end as label from notices where {VISIBLE}")
-add("a12_write_documents_csv", lambda s, d: O.document_rows(N(s, d), A_(s, d), tz()).select("id", "title", F.coalesce("document_label", F.lit("")).alias("document_label"), F.coalesce("document_url", F.lit("")).alias("document_url"), "kind"), "select n.id, title, coalesce(label, '') as document_label, coalesce(a.url, '') as document_url, case when a.id is null then 'missing' else 'other' end as kind from notices n left join attachments a on a.notice_id = n.id", "notices", "attachments")
+
+
+def _grants(s, d):
+    n, key = N(s, d), F.col("id")
+    end = F.when(key % 11 == 0, F.date_sub(F.to_date("first_seen"), 3)).otherwise(F.to_date("deadline"))
+    items = n.select(
+        "id", F.col("external_id"), F.when(key % 2 == 0, "탄소중립 설비 지원사업 모집 공고").when(key % 10 == 5, "탄소중립 설명회 모집 공고").otherwise(F.col("title")).alias("title"),
+        F.concat(F.when(key % 3 == 0, "https://www.grants.example/n/").when(key % 3 == 1, "https://GRANTS.example/n/").when(key % 6 == 2, "http://grants.example/n/").otherwise("https://xgrants.example/n/"), key).alias("url"),
+        F.date_format("first_seen", "yyyy.MM.dd").alias("published_at"), F.when(key % 7 == 0, "상시").otherwise(F.concat(F.date_format(F.date_sub(end, 10), "yyyy.MM.dd"), F.lit(" ~ "), F.date_format(end, "yyyy.MM.dd"))).alias("window"),
+    )
+    return O.grant_items(items, tz(), 60, "grants.example").filter(C.portfolio_grant(F.col("title"))).select("id", "title", "published_at", "start_at", "deadline_at")
+
+
+add("a03_map_grant_item", _grants, """select id, '탄소중립 설비 지원사업 모집 공고' as title, strftime(first_seen, '%Y-%m-%d') as published_at, case when id % 7 = 0 then '' else strftime(e - 10, '%Y-%m-%d') end as start_at, case when id % 7 = 0 then '' else strftime(e, '%Y-%m-%d') end as deadline_at
+  from (select *, case when id % 11 = 0 then cast(first_seen as date) - 3 else cast(deadline as date) end as e from notices) where id % 2 = 0 and id % 3 < 2 and (id % 7 = 0 or e >= cast(first_seen as date)) and ((id % 7 <> 0 and e >= date '2001-07-25') or cast(first_seen as date) >= date '2001-07-25' - 60)""", "notices")
 add("a16_company_sources", lambda s, d: bind.read(s, d, "supplier").filter("s_name <> ''").orderBy("s_suppkey").limit(50).select(F.concat(F.lit("company_"), T.pad_ticker(F.col("s_suppkey").cast("string"))).alias("source_id"), F.lit(False).alias("enabled")), "select 'company_' || lpad(cast(s_suppkey as varchar), 6, '0') as source_id, false as enabled from supplier where s_name <> '' order by s_suppkey limit 50")
 
 # merges
@@ -311,7 +333,8 @@ add("i11_backfill_attachments", lambda s, d: M.upsert_attachments(_again(s, d),
 add("e11_backfill_summary", lambda s, d: _upd(s, d).agg(F.count_if(F.expr("change = 'inserted'")).alias("added"), F.count_if(F.expr("change = 'updated'")).alias("updated"), F.count_if(F.expr("change = 'deduplicated'")).alias("deduplicated")), "select count_if(c is null) as added, count_if(c is not null and i is not null) as updated, (select count(*) from (select row_number() over (partition by notice_id, label, line order by id) as rn from attachments where id <= 4) where rn > 1) as deduplicated from (select notice_id, label, line, min(case when id <= 4 then id end) as c, min(case when id >= 4 then id end) as i from attachments group by 1, 2, 3)", "attachments")
 add("i12_record_delivery", lambda s, d: M.record_delivery(L(s, d), L(s, d).filter("status = 'failed'").withColumn("status", F.lit("sent")), tz(bind.EVENTS_AS_OF)).groupBy("status", "change").count(), "select 'sent' as status, case when status = 'failed' then 'updated' else 'kept' end as change, count(*) as count from deliveries group by 2", "deliveries")
 of_notices("i13_add_missing_columns", lambda n: M.add_missing_columns(n.select("id"), {"note": "", "id": 0}), "select id, '' as note from notices")
-of_notices("i14_baseline", lambda n: M.baseline(n.filter("id < 0").select(F.col("deadline").alias("baseline_at")), tz()).select(F.date_format("baseline_at", "yyyy-MM-dd HH:mm:ss").alias("baseline_at"), "first"), f"select '{bind.AS_OF}' as baseline_at, true as first")
+_base = lambda n, where: M.baseline(n.filter(where).select(F.col("deadline").alias("baseline_at")), tz()).select(F.date_format("baseline_at", "yyyy-MM-dd HH:mm:ss").alias("baseline_at"), "first")
+of_notices("i14_baseline", lambda n: _base(n, "id < 0").unionByName(_base(n, "id % 5 = 0")), f"select '{bind.AS_OF}' as baseline_at, true as first union all select strftime(max(deadline), '%Y-%m-%d %H:%M:%S'), false from notices where id % 5 = 0")
 
 # data products
 of_notices("m01_notice_view", lambda n: n.select("id", "days", F.when(F.col("active"), F.col("label")).otherwise("").alias("label"), "active", F.array_join(F.array_sort("keywords"), ",").alias("keywords")), f"select id, cast({DAYS} as int) as days, case when {ACTIVE} then {LABEL} else '' end as label, {ACTIVE} as active, array_to_string(list_sort(keywords), ',') as keywords from notices")
@@ -350,8 +373,10 @@ add("m11_immediate_batch", lambda s, d: O.unnotified(N(s, d), _rec(s, d), L(s, d
 _NEW = "(tier = 'tier_1' and cast(first_seen as date) = date '2001-07-15')"
 of_notices("m12_daily_sections", lambda n: n.filter(f"active and {VISIBLE}").select("id", F.when(F.expr(_NEW), "new").otherwise("ongoing").alias("section")), f"select id, case when {_NEW} then 'new' else 'ongoing' end as section from notices where {ACTIVE} and {VISIBLE}")
 of_notices("m13_weekly_digest", lambda n: n.filter(f"active and {VISIBLE} and review_status not in ('not_relevant', 'closed')").groupBy("tier").agg(F.count("*").alias("items"), F.count_if(F.expr(_NEW)).alias("new"), F.count_if(F.expr("label <> ''")).alias("alerts")), f"select tier, count(*) as items, count_if({_NEW}) as new, count_if({LABEL} <> '') as alerts from notices where {ACTIVE} and {VISIBLE} and review_status not in ('not_relevant', 'closed') group by 1")
-of_notices("m14_group_by_tier", lambda n: n.filter("active").groupBy("tier").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids")), f"select tier, string_agg(cast(id as varchar), ',' order by id) as ids from notices where {ACTIVE} group by 1")
-add("m15_digest_due", lambda s, d: N(s, d).select(D.iso_week_key(F.col("deadline")).alias("key")).distinct().crossJoin(F.broadcast(_rec(s, d))).join(L(s, d).select("key", "recipient"), ["key", "recipient"], "left_anti"), f"select distinct strftime(deadline, '%G-W%V') as key, recipient from notices, {_REC_SQL} r where not exists (select 1 from deliveries l where l.key = strftime(deadline, '%G-W%V') and l.recipient = r.recipient)", "notices", "deliveries")
+of_notices("m14_group_by_tier", lambda n: n.filter("active").select("tier", "id").orderBy(O.tier_rank(F.col("tier")), "id"), f"select tier, id from notices where {ACTIVE}")
+_WEEK = lambda: D.iso_week_key(F.col("deadline")).alias("key")
+_SENT = lambda s, d: N(s, d).filter("id % 997 = 0").select(_WEEK()).distinct().crossJoin(_rec(s, d).filter("recipient <> '3'"))
+add("m15_digest_due", lambda s, d: N(s, d).select(_WEEK()).distinct().crossJoin(_rec(s, d)).join(_SENT(s, d), ["key", "recipient"], "left_anti"), f"select distinct strftime(deadline, '%G-W%V') as key, recipient from notices, {_REC_SQL} r where recipient = '3' or strftime(deadline, '%G-W%V') not in (select strftime(deadline, '%G-W%V') from notices where id % 997 = 0)", "notices")
 bench("m16_workbook_notices", lambda w: w.select("id", "tier", "active", "label", "fit"), "select id, tier, active, label, fit from bench")
 add("m17_documents", lambda s, d: _with_insights(s, d).select("id", F.col("attachment_id").alias("document"), "summary"), f"select n.id, a.id as document, i.summary from notices n join attachments a on a.notice_id = n.id join (select notice_id, document_url, any_value(status) as status, any_value(summary) as summary from insights group by 1, 2) i on i.notice_id = n.id and i.document_url = a.url where {VISIBLE} and i.status = 'extracted' and i.summary <> ''", "notices", "attachments", "insights")
 add("m18_fallback", lambda s, d: _workbench(s, d).filter("summary is null").join(O.first_by(A_(s, d), ["notice_id"], F.col("id")).select(F.col("notice_id").alias("id"), F.col("url").alias("link")), "id", "left").select("id", F.coalesce("link", "url").alias("link")), "select b.id, coalesce(a.url, b.url) as link from bench b left join attachments a on a.notice_id = b.id and a.id = 1 where summary is null", *_BV)

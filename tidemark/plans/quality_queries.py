@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import functions as F
 
@@ -11,6 +11,7 @@ from . import bind
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+_REPORTS: dict = {}
 START, END = "1995-06-01", "2001-06-30"
 ID = "cast(o_orderkey as varchar)"
 _if = lambda n, a, b: F.when(F.col("o_orderkey") % n == 0, a).otherwise(b)
@@ -28,13 +29,38 @@ def history(s, d):
     )
 
 
-def details(s, d):
-    a = bind.attachments(s, d)
+def details(a):
     c = lambda n, x, y: F.when(F.col("part") % n == 0, x).otherwise(y)
     return a.select(F.when(F.col("part") % 31 == 0, "none").otherwise(F.col("notice_id").cast("string")).alias("record_id"), "line", "supp", c(41, "n/a", c(43, "-1", F.col("price").cast("string"))).alias("amount"), c(47, "120", c(53, "x", "88.5")).alias("rate"),
                     c(59, "bad", "ok").alias("parse_status"), c(118, "", "[raw]").alias("raw_entry"), c(61, "N", "Y").alias("exact"))
 
 
+class Views:
+    """The tables that the reports share; with ``keep`` each is made once and written."""
+
+    def __init__(self, s, d, keep=False):
+        self.s, self.d, self.keep = s, d, keep
+
+    def _held(self, df, name):
+        if not self.keep:
+            return df
+        at = bind.folder(self.s, name)
+        df.write.parquet(at)
+        return self.s.read.schema(df.schema).parquet(at)
+
+    @cached_property
+    def history(self):
+        return self._held(history(self.s, self.d), "history")
+
+    @cached_property
+    def attachments(self):
+        return self._held(bind.attachments(self.s, self.d).select("notice_id", "line", "supp", "part", "price"), "attachments")
+
+    @cached_property
+    def details(self):
+        return details(self.attachments)
+
+
 def _rows(spec, frm):
     """SQL of a report: code -> condition."""
     return " union all ".join(f"select '{code}' as code, count_if({cond}) as count, coalesce(array_to_string(list_sort(list(distinct {sid}) filter ({cond}))[1:5], ','), '') as samples from {frm}" for code, cond, sid in spec)
@@ -54,15 +80,15 @@ _DETAIL = [("invalid_{0}_amount", "part % 41 = 0"), ("negative_{0}_amount", "par
 _RATE = ("invalid_{0}_rate", "part % 47 = 0 or part % 53 = 0")
 
 
-def _notices(s, d):
-    return K.report(history(s, d), K.notice_rules(START, END, ["budget", "price"]), F.col("record_id"))
+def _notices(v):
+    return K.report(v.history, K.notice_rules(START, END, ["budget", "price"]), F.col("record_id"))
 
 
 def _detail(prefix, rate):
-    def query(s, d):
-        t = details(s, d)
+    def query(v):
+        t = v.details
         out = K.report(t, K.detail_rules(prefix, rate), F.col("record_id"))
-        lost = K.orphans(t, history(s, d), "record_id", f"orphan_{prefix}_row")
+        lost = K.orphans(t, v.history, "record_id", f"orphan_{prefix}_row")
         return out.unionByName(lost).unionByName(K.duplicates(t, ["record_id", "line", "supp"], f"duplicate_{prefix}_detail", surplus=False))
 
     spec = [(c.format(prefix), cond, _RID) for c, cond in _DETAIL + ([_RATE] if rate else [])]
@@ -72,47 +98,67 @@ def _detail(prefix, rate):
 
 
 for _n, _p, _r in (("k22_award_details", "award", "rate"), ("k29_contract_details", "contract", None), ("k19_bidder_details", "bidder", None)):
-    QUERIES[_n], ORACLES[_n] = _detail(_p, _r)
-QUERIES["k02_notice_rules"], ORACLES["k02_notice_rules"] = _notices, _rows([(c, x, _SID) for c, x in _NOTICE], "orders")
-QUERIES["k01_duplicate_record_id"] = lambda s, d: K.duplicates(history(s, d).withColumn("key", F.concat_ws("-", "bid_no", F.col("o_orderkey") % 10)), ["key"], "duplicate_record_id")
+    _REPORTS[_n], ORACLES[_n] = _detail(_p, _r)
+_REPORTS["k02_notice_rules"], ORACLES["k02_notice_rules"] = _notices, _rows([(c, x, _SID) for c, x in _NOTICE], "orders")
+_REPORTS["k01_duplicate_record_id"] = lambda v: K.duplicates(v.history.withColumn("key", F.concat_ws("-", "bid_no", F.col("o_orderkey") % 10)), ["key"], "duplicate_record_id")
 ORACLES["k01_duplicate_record_id"] = f"select 'duplicate_record_id' as code, cast(sum(n - 1) as bigint) as count, array_to_string((list(x order by x))[1:5], ',') as samples from (select (case when {k(89)} then '' else cast(o_custkey as varchar) end) || '-' || (o_orderkey % 10) as x, count(*) as n from orders group by 1 having count(*) > 1)"
 
 
-def _mismatch(s, d):
-    n = history(s, d).select("record_id", (F.col("o_orderkey") % 5).alias("detail_count"), _if(3, "v", "").alias("detail_value"))
-    return K.summary_mismatch(n, details(s, d), "award_detail_summary_mismatch", "multiple_result_summarized_unsafely")
+def _mismatch(v):
+    n = v.history.select("record_id", (F.col("o_orderkey") % 5).alias("detail_count"), _if(3, "v", "").alias("detail_value"))
+    return K.summary_mismatch(n, v.details, "award_detail_summary_mismatch", "multiple_result_summarized_unsafely")
+
 
+def _contract_mismatch(v):
+    n = v.history.select("record_id", (F.col("o_orderkey") % 5).alias("detail_count"), _if(3, "x", (F.col("o_orderkey") % 7).cast("string")).alias("contract_value"))
+    found = v.details.withColumn("value", F.when(F.col("record_id") != "none", (F.col("record_id").cast("long") % 7).cast("string")))
+    return K.summary_mismatch(n, found, "contract_detail_summary_mismatch", pairs={"contract_value": "value"})
 
-QUERIES["k15_summary_mismatch"] = _mismatch
-ORACLES["k15_summary_mismatch"] = bind.sql("attachments") + f", c as (select {_RID} as r, count(*) as n from attachments where part % 59 <> 0 group by 1), j as (select o_orderkey, {_SID} as r, coalesce(n, 0) as n from orders left join c on c.r = {_SID}) " + _rows([("award_detail_summary_mismatch", "o_orderkey % 5 <> n", "r"), ("multiple_result_summarized_unsafely", "n > 1 and o_orderkey % 3 = 0", "r")], "j")
 
+_COUNTED = f", c as (select {_RID} as r, count(*) as n from attachments where part % 59 <> 0 group by 1), j as (select o_orderkey, {_SID} as r, coalesce(n, 0) as n from orders left join c on c.r = {_SID}) "
+_REPORTS["k15_summary_mismatch"] = _mismatch
+ORACLES["k15_summary_mismatch"] = bind.sql("attachments") + _COUNTED + _rows([("award_detail_summary_mismatch", "o_orderkey % 5 <> n", "r"), ("multiple_result_summarized_unsafely", "n > 1 and o_orderkey % 3 = 0", "r")], "j")
+_REPORTS["k16_contract_detail_summary_mismatch"] = _contract_mismatch
+ORACLES["k16_contract_detail_summary_mismatch"] = bind.sql("attachments") + _COUNTED + _rows([("contract_detail_summary_mismatch", "o_orderkey % 5 <> n or (n = 1 and o_orderkey % 3 = 0)", "r")], "j")
 
-def _requests(s, d):
-    t = bind.attachments(s, d).select(F.col("supp").alias("request_no"), (F.col("line") % 2).alias("operation"), F.when(F.col("part") % 41 == 0, "n/a").otherwise(F.col("price").cast("string")).alias("budget"), F.concat_ws(";", "notice_id", F.when(F.col("part") % 37 == 0, "lost")).alias("links"))
+
+def _requests(v):
+    price = F.col("price").cast("string")
+    t = v.attachments.select(
+        F.col("supp").alias("request_no"), (F.col("line") % 2).alias("operation"), F.when(F.col("part") % 41 == 0, "n/a").otherwise(price).alias("budget"), F.when(F.col("part") % 43 == 0, "-5").otherwise("").alias("representative"),
+        F.when(F.col("part") % 47 == 0, F.concat(F.lit("-"), price)).otherwise(price).alias("total"), F.lit("").alias("current"), F.concat_ws(";", "notice_id", F.when(F.col("part") % 37 == 0, "lost")).alias("links"),
+    )
     links = t.select(F.explode(F.filter(F.split("links", ";"), lambda x: x != "")).alias("record_id"))
-    known = bind.notices(s, d).select(F.col("id").cast("string").alias("record_id"))
-    rules = {"invalid_procurement_request_amount": K.amount_status(F.col("budget"))["status"] == "invalid", "blank_procurement_request_no": F.col("request_no").isNull()}
-    return K.report(t, rules, F.col("request_no")).unionByName(K.orphans(links, known, "record_id", "orphan_procurement_request_link")).unionByName(K.duplicates(t, ["request_no", "operation"], "duplicate_procurement_request"))
+    known = bind.notices(v.s, v.d).select(F.col("id").cast("string").alias("record_id"))
+    amounts = K.request_amounts(t, ["budget", "representative", "total", "current"])
+    rules = K.report(t, {"blank_procurement_request_no": F.col("request_no").isNull()}, F.col("request_no"))
+    return amounts.unionByName(rules).unionByName(K.orphans(links, known, "record_id", "orphan_procurement_request_link")).unionByName(K.duplicates(t, ["request_no", "operation"], "duplicate_procurement_request"))
 
 
-QUERIES["k35_request_rules"] = _requests
-ORACLES["k35_request_rules"] = bind.sql("attachments") + _rows([("invalid_procurement_request_amount", "part % 41 = 0", "cast(supp as varchar)"), ("blank_procurement_request_no", "supp is null", "cast(supp as varchar)"), ("orphan_procurement_request_link", "part % 37 = 0", "'lost'")], "attachments") + " union all select 'duplicate_procurement_request', cast(sum(n - 1) as bigint), array_to_string((list(x order by x))[1:5], ',') from (select supp || '-' || (line % 2) as x, count(*) as n from attachments group by 1 having count(*) > 1)"
+_REPORTS["k35_request_rules"] = _requests
+_NEGATIVE = "(select supp || ':representative' as x from attachments where part % 43 = 0 union all select supp || ':total' from attachments where part % 47 = 0)"
+ORACLES["k35_request_rules"] = bind.sql("attachments") + _rows([("invalid_procurement_request_amount", "part % 41 = 0", "supp || ':budget'"), ("blank_procurement_request_no", "supp is null", "cast(supp as varchar)"), ("orphan_procurement_request_link", "part % 37 = 0", "'lost'")], "attachments") \
+    + " union all " + _rows([("negative_procurement_request_amount", "true", "x")], _NEGATIVE) \
+    + " union all select 'duplicate_procurement_request', cast(sum(n - 1) as bigint), array_to_string((list(x order by x))[1:5], ',') from (select supp || '-' || (line % 2) as x, count(*) as n from attachments group by 1 having count(*) > 1)"
 
 
-def _access(s, d):
-    a = bind.read(s, d, "supplier").select(F.concat(F.lit("svc"), F.col("s_suppkey") % 40).alias("service_id"), F.when(F.col("s_suppkey") % 7 == 0, "error").otherwise("usable").alias("status"), F.when(F.col("s_suppkey") % 9 == 0, "").when(F.col("s_suppkey") % 5 == 0, "partial").otherwise("completed").alias("run_status"))
+def _access(v):
+    a = bind.read(v.s, v.d, "supplier").select(F.concat(F.lit("svc"), F.col("s_suppkey") % 40).alias("service_id"), F.when(F.col("s_suppkey") % 7 == 0, "error").otherwise("usable").alias("status"), F.when(F.col("s_suppkey") % 9 == 0, "").when(F.col("s_suppkey") % 5 == 0, "partial").otherwise("completed").alias("run_status"))
     return K.access_findings(a, ["svc1", "svc2", "absent"])
 
 
-QUERIES["k40_access_rules"] = _access
+_REPORTS["k40_access_rules"] = _access
 _SVC = "'svc' || (s_suppkey % 40)"
 ORACLES["k40_access_rules"] = "select 'missing_access_service' as code, count(*) as count, string_agg(x, ',' order by x) as samples from (select unnest(['svc1', 'svc2', 'absent']) as x) where x not in (select 'svc' || (s_suppkey % 40) from supplier) union all " + _rows([("missing_collection_run_status", "s_suppkey % 9 = 0", _SVC), ("collection_not_complete", "s_suppkey % 9 <> 0 and s_suppkey % 5 = 0", _SVC), ("api_access_attention", "s_suppkey % 7 = 0", _SVC)], "supplier") + f" union all select 'duplicate_access_service', cast(coalesce(sum(n - 1), 0) as bigint), coalesce(array_to_string((list(x order by x))[1:5], ','), '') from (select {_SVC} as x, count(*) as n from supplier group by 1 having count(*) > 1)"
-_PARTS = ("k02_notice_rules", "k01_duplicate_record_id", "k22_award_details", "k29_contract_details", "k19_bidder_details", "k15_summary_mismatch", "k35_request_rules", "k40_access_rules")
+_PARTS = ("k02_notice_rules", "k01_duplicate_record_id", "k22_award_details", "k29_contract_details", "k19_bidder_details", "k15_summary_mismatch", "k16_contract_detail_summary_mismatch", "k35_request_rules", "k40_access_rules")
+for _n, _report in _REPORTS.items():
+    QUERIES[_n] = lambda s, d, report=_report: report(Views(s, d))
 
 
 def full_report(s, d):
-    """All findings of all tables."""
-    return reduce(lambda a, b: a.unionByName(b), [QUERIES[n](s, d) for n in _PARTS])
+    """All findings of all tables; what the reports share is made once."""
+    v = Views(s, d, keep=True)
+    return reduce(lambda a, b: a.unionByName(b), [_REPORTS[n](v) for n in _PARTS])
 
 
 QUERIES["k00_quality_report"] = full_report
@@ -126,7 +172,7 @@ _SINGLE = [
     (26, "invalid_award_rate", "k22_award_details"), (27, "award_parse_error_without_raw", "k22_award_details"), (28, "award_order_not_exact", "k22_award_details"),
     (29, "duplicate_contract_detail", "k29_contract_details"), (30, "orphan_contract_row", "k29_contract_details"), (31, "invalid_contract_amount", "k29_contract_details"), (32, "negative_contract_amount", "k29_contract_details"),
     (33, "contract_parse_error_without_raw", "k29_contract_details"), (34, "contract_order_not_exact", "k29_contract_details"),
-    (35, "duplicate_procurement_request", "k35_request_rules"), (36, "blank_procurement_request_no", "k35_request_rules"), (37, "invalid_procurement_request_amount", "k35_request_rules"), (39, "orphan_procurement_request_link", "k35_request_rules"),
+    (35, "duplicate_procurement_request", "k35_request_rules"), (36, "blank_procurement_request_no", "k35_request_rules"), (37, "invalid_procurement_request_amount", "k35_request_rules"), (38, "negative_procurement_request_amount", "k35_request_rules"), (39, "orphan_procurement_request_link", "k35_request_rules"),
     (40, "duplicate_access_service", "k40_access_rules"), (41, "missing_access_service", "k40_access_rules"), (42, "missing_collection_run_status", "k40_access_rules"), (43, "collection_not_complete", "k40_access_rules"), (44, "api_access_attention", "k40_access_rules"),
 ]
 for _k, _code, _part in _SINGLE:

@@ -40,7 +40,7 @@ class _Reader(HTMLParser):
 
     def handle_data(self, data):
         if data.strip():
-            self.texts.append(" ".join(data.split()))
+            self.texts.append(data.strip())
         if self.cell is not None:
             self.cell.append(data)
 
