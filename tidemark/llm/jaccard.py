@@ -28,12 +28,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bloom, by_chars, in_bloom, small_batches, table, written
+from .common import bloom, by_chars, in_bloom, release_memory, small_batches, table, written
 from .components import components
 from .partenum import signatures
 from .shingles import set_key, shingle_sets
 
-BUCKET_SIGNATURES = 4_000_000
+BUCKET_SIGNATURES = 1_500_000
 BLOCK_SHINGLES, BLOCK_MOST, BLOCK_LEAST = 2_000_000, 2000, 50
 MIN_SLOTS, MAX_SLOTS = 128, 1 << 17
 
@@ -59,6 +59,7 @@ def with_sets(docs: DataFrame) -> DataFrame:
             for part in by_chars(batch.to_frame("text")):
                 rows += [(len(s), set_key(s), sketch(s)) for s in shingle_sets(part["text"].tolist())]
             yield pd.DataFrame(rows, columns=["n", "cls", "sketch"])
+        release_memory()
 
     return docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_key"), measured("text").alias("m")).select("doc_id", "text_key", "m.*")
 
@@ -78,6 +79,7 @@ def shared_signatures(docs: DataFrame, buckets: int) -> DataFrame:
                     held.append((np.array([keys[i] for i in fresh], np.int64)[who], sig))
             if held:
                 yield _packed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), buckets)
+        release_memory()
 
     def met(parts: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(parts["sigs"]), np.uint32)
@@ -92,7 +94,10 @@ def shared_signatures(docs: DataFrame, buckets: int) -> DataFrame:
         sig, cls = sig[order], cls[order]
         first = np.concatenate([[True], sig[1:] != sig[:-1]])
         rep = cls[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
-        return pd.DataFrame({"rep": rep, "cls": cls})[rep != cls].drop_duplicates()
+        found = pd.DataFrame({"rep": rep, "cls": cls})[rep != cls].drop_duplicates()
+        del sig, cls, order, mine, first, rep
+        release_memory()
+        return found
 
     blobs = docs.filter("doc_id is not null and text is not null").select("text").mapInPandas(packed, "bucket int, classes binary, counts binary, sigs binary")
     return blobs.groupBy("bucket").applyInPandas(met, "rep long, cls long").distinct()
@@ -202,6 +207,7 @@ def _links(assigned: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
             if more.any():
                 cls = g["cls"].to_numpy()
                 yield pd.DataFrame({"rep": rep, "task": task, "part": cls[at[more]], "cls": cls[more], "doc_id": g["doc_id"].to_numpy()[more], "n": g["n"].to_numpy()[more]})
+        release_memory()
 
     def compared(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, g in _groups(parts, ["held"]):
@@ -212,6 +218,7 @@ def _links(assigned: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
             rest = at != np.arange(len(at))
             if rest.any():
                 yield pd.DataFrame({"a": names[rest], "b": names[at[rest]]})
+        release_memory()
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = assigned.join(classes, "cls").select("rep", "task", "cls", "doc_id", "n", "sketch")

@@ -29,12 +29,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import boxed, by_chars, small_batches, table, unboxed, written
+from .common import boxed, by_chars, release_memory, small_batches, table, unboxed, written
 
 ORDER = 4
 BLOCK_BYTES = 64 << 20
 GROUP_VALUES = 1_000_000
 LIMIT_CHARS = 100
+JUDGED_CHARS = 200_000  # looked up at once
 DISCOUNT = 0.75
 UNKNOWN = "und"
 _LETTER = re.compile("[A-Za-zà-öø-ÿ]")
@@ -301,6 +302,8 @@ def count_grams(labelled: DataFrame) -> DataFrame:
         for lang, mine in held.items():
             if mine:
                 yield _counted(lang, _added(mine))
+        held.clear()
+        release_memory()
 
     return labelled.select("text", "lang").mapInPandas(counted, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
@@ -354,7 +357,7 @@ def with_entropies(docs: DataFrame, models: LanguageModels) -> DataFrame:
         for batch in batches:
             out = pd.DataFrame({"lang_pred": UNKNOWN, "entropy": np.nan, "chars": 0, "score": 0.0, "accepted": False}, index=range(len(batch)))
             known = pd.DataFrame({"at": np.arange(len(batch)), "text": batch.to_numpy()})[[has_letter(t) for t in batch]]
-            for part in by_chars(known):
+            for part in by_chars(known, limit=JUDGED_CHARS):
                 each, sizes = m.entropies(part["text"].tolist())
                 best = each.argmin(axis=1)
                 low = each[np.arange(len(each)), best]
@@ -362,6 +365,7 @@ def with_entropies(docs: DataFrame, models: LanguageModels) -> DataFrame:
                 ok = np.ones(len(low), bool) if m.limits is None else low <= m.limits[best, 0] + m.limits[best, 1] + 20 / np.sqrt(sizes)
                 out.loc[part["at"], :] = pd.DataFrame({"lang_pred": [m.langs[b] for b in best], "entropy": low, "chars": sizes, "score": share, "accepted": ok}).to_numpy()
             yield out.astype({"entropy": float, "chars": "int64", "score": float, "accepted": bool})
+        release_memory()
 
     return docs.withColumn("e", judge("text"))
 
