@@ -50,11 +50,15 @@ def _order(text: np.ndarray, at: np.ndarray, depth: int, rounds: int = 4) -> np.
         tied = tied[~alone]
         if not len(tied):
             return out
-    starts = np.nonzero(np.concatenate([[True], group[tied[1:]] != group[tied[:-1]]]))[0]
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(tied)], strict=True):
-        mine = tied[a:b]
-        tails = [whole[p + 8 * rounds : p + depth] for p in at[out[mine]].tolist()]
-        out[mine] = out[mine][sorted(range(b - a), key=tails.__getitem__)]
+    tails = [whole[p + 8 * rounds : p + depth] for p in at[out[tied]].tolist()]
+    perm = list(range(len(tied)))
+    starts = np.nonzero(np.concatenate([[True], group[tied[1:]] != group[tied[:-1]]]))[0].tolist()
+    for a, b in zip(starts, [*starts[1:], len(tied)], strict=True):
+        if b - a > 2:
+            perm[a:b] = sorted(perm[a:b], key=tails.__getitem__)
+        elif tails[a] > tails[a + 1]:
+            perm[a], perm[a + 1] = a + 1, a
+    out[tied] = out[tied[perm]]
     return out
 
 
