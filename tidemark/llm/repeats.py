@@ -34,6 +34,7 @@ from .suffixes import repeated_starts
 WINDOW, GRAM = 400, 100
 BUCKET_BYTES = 600_000
 HOT_CONTEXTS = 4000
+SLICE_BYTES = 4_000_000
 INTERVAL = "key long, start long, end long"
 
 
@@ -59,13 +60,27 @@ def occurrences(keyed: DataFrame) -> DataFrame:
 
 def _contexts(wanted: DataFrame, keyed: DataFrame) -> DataFrame:
     """wanted (anchor, key, lo, hi, n, contexts) with the bytes of each context."""
+    fields = ["anchor", "key", "lo", "hi", "n", "contexts"]
+
+    def rows(held: list[tuple]) -> pd.DataFrame:
+        *numbers, found = zip(*held, strict=True)
+        out = {c: np.concatenate(x) for c, x in zip(("anchor", "key", "lo", "n", "contexts"), numbers, strict=True)}
+        return pd.DataFrame(out | {"bytes": [b for x in found for b in x]})
+
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for text, want in zip(_utf8(part["text"]), part["want"], strict=True):
-                yield pd.DataFrame({"anchor": [w["anchor"] for w in want], "key": [w["key"] for w in want], "lo": [w["lo"] for w in want], "n": [w["n"] for w in want], "contexts": [w["contexts"] for w in want], "bytes": [text[w["lo"] : w["hi"]] for w in want]})
-
-    per_text = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "key", "lo", "hi", "n", "contexts")).alias("want"))
-    return per_text.join(keyed.select("key", "text"), "key").mapInPandas(cut, "anchor long, key long, lo long, n long, contexts long, bytes binary")
+            held, size = [], 0
+            for text, anchor, key, lo, hi, n, contexts in zip(_utf8(part["text"]), *(part[c] for c in fields), strict=True):
+                held.append((anchor, key, lo, n, contexts, [text[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]))
+                size += int((hi - lo).sum())
+                if size > SLICE_BYTES:
+                    yield rows(held)
+                    held, size = [], 0
+            if held:
+                yield rows(held)
+
+    per_text = wanted.groupBy("key").agg(F.collect_list(F.struct(*fields)).alias("want")).select(F.col("key").alias("__key"), *[F.col(f"want.{c}").alias(c) for c in fields])
+    return per_text.join(keyed.select(F.col("key").alias("__key"), "text"), "__key").drop("__key").mapInPandas(cut, "anchor long, key long, lo long, n long, contexts long, bytes binary")
 
 
 def _intervals(key: np.ndarray, start: np.ndarray) -> pd.DataFrame:

@@ -28,10 +28,14 @@ def _sorted_direct(text: np.ndarray, at: np.ndarray, depth: int, alike: np.ndarr
     known to begin alike (equal numbers in ``alike``) are sorted once."""
     if alike is None or not len(at):
         return at[_order(text, at, depth)]
-    _, first, which = np.unique(alike[at], return_index=True, return_inverse=True)
-    position = np.empty(len(first), np.int64)
-    position[_order(text, at[first], depth)] = np.arange(len(first))
-    return at[np.argsort(position[which], kind="stable")]
+    values = alike[at]
+    by = np.argsort(values)
+    values = values[by]
+    starts = np.nonzero(np.concatenate([[True], values[1:] != values[:-1]]))[0]
+    counts = np.diff(np.append(starts, len(at)))
+    order = _order(text, at[by[starts]], depth)
+    counts, starts = counts[order], starts[order]
+    return at[by[np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(len(at))]]
 
 
 def _order(text: np.ndarray, at: np.ndarray, depth: int, rounds: int = 4) -> np.ndarray:
@@ -42,7 +46,7 @@ def _order(text: np.ndarray, at: np.ndarray, depth: int, rounds: int = 4) -> np.
     tied = np.arange(len(at))
     for r in range(rounds):
         keys = np.ascontiguousarray(windows[at[out[tied]] + 8 * r]).view(">u8").ravel().astype(np.uint64)
-        order = np.lexsort((keys, group[tied])) if r else np.argsort(keys, kind="stable")
+        order = np.lexsort((keys, group[tied])) if r else np.argsort(keys)
         out[tied], keys = out[tied[order]], keys[order]
         first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (group[tied[1:]] != group[tied[:-1]])])
         group[tied] = tied[np.maximum.accumulate(np.where(first, np.arange(len(tied)), 0))]
