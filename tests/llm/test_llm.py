@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.oracle import connect, same
-from tidemark.llm import chat, common, decontaminate, jaccard, langid, neighbours, packing, registry, repeats, secret_scan, urls, warc
+from tidemark.llm import chat, common, decontaminate, jaccard, langid, neighbours, packing, registry, repeats, secret_scan, trees, urls, warc
 
 DOCS = "doc_id long, text string, extra string, n long"
 DOCS_COLUMNS = ["doc_id", "text", "extra", "n"]
@@ -397,3 +397,9 @@ def test_pipeline_empty(spark, sf, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 1, 70, 500, 600])
+def test_bounded_sample_brute_force(spark, most):
+    rows = [(f"k{i % 211}" if i % 3 else None, i % 2) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, label int")
+    want = df.orderBy(F.xxhash64("k"), "k", "label").limit(most).collect()
+    assert trees.bounded_sample(df.repartition(7), "k", most).collect() == want
