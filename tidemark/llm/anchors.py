@@ -15,7 +15,7 @@ PIECE = 1 << 20
 
 
 @functools.cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def hash_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, b, np.uint64))]) for b in (_BASE, _INVERSE))
 
@@ -29,14 +29,14 @@ class Hashes:
     """Hashes of any stretch of a byte string."""
 
     def __init__(self, flat: np.ndarray):
-        self.up, self.down = _powers(1 << max(16, len(flat).bit_length()))
+        self.up, self.down = hash_powers(1 << max(16, len(flat).bit_length()))
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[flat] * self.up[: len(flat)])])
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[b] - self.sums[a]) * self.down[a])
 
 
-def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
+def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     n = len(x) - w + 1
     padded = np.full(-(-len(x) // w) * w, np.iinfo(np.uint64).max, np.uint64)
     padded[: len(x)] = x
@@ -75,7 +75,7 @@ def anchors(texts: list[bytes], window: int, gram: int) -> tuple[np.ndarray, np.
         return none, none, none.astype(np.uint64), hashes, starts
     at = np.arange(len(flat) - gram + 1)
     h = hashes.of(at, at + gram)
-    low = _sliding_min((h & ~_PLACE) | at.astype(np.uint64), window - gram + 1)
+    low = sliding_min((h & ~_PLACE) | at.astype(np.uint64), window - gram + 1)
     ok = np.zeros(len(low), bool)
     for a, n in zip(starts.tolist(), sizes.tolist(), strict=True):
         if n >= window:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, langid, neighbours, packing, repeats, secret_scan, urls, warc
+from . import chat, decontaminate, filter_audit, hard_negatives, jaccard, langid, neighbours, packing, repeats, secret_scan, substrings, urls, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_url_filters": urls.op9_url_filters,
     "op10_suffix_array_dedup": repeats.op10_suffix_array_dedup,
+    "op11_hard_negative_mining": hard_negatives.op11_hard_negative_mining,
+    "op12_substring_dedup": substrings.op12_substring_dedup,
+    "op13_filter_interaction_audit": filter_audit.op13_filter_interaction_audit,
 }
 ORACLES = {
     "op1_ngram_jaccard_join": jaccard.OP1_SQL,
@@ -22,4 +25,7 @@ ORACLES = {
     "op4_benchmark_decontamination": decontaminate.OP4_SQL,
     "op6_nearest_neighbours": neighbours.OP6_SQL,
     "op7_warc": warc.OP7_SQL,
+    "op11_hard_negative_mining": hard_negatives.OP11_SQL,
+    "op12_substring_dedup": substrings.OP12_SQL,
+    "op13_filter_interaction_audit": filter_audit.OP13_SQL,
 }
