@@ -136,7 +136,8 @@ def repeats(keyed: DataFrame) -> DataFrame:
     window = grown.select(*at, "doc_id", F.posexplode("windows").alias("at", "window"))
     shared = window.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("window", "low")
     matched = window.join(shared, "window").filter("low < doc_id").groupBy(*at).agg(F.sort_array(F.collect_list("at")).alias("some"))
-    matching = contexts.select(*at, "first", "last").join(matched, at, "left").filter("first < last or some is not null")
+    # a table, so that the join below is of two shuffles, of which Spark splits large partitions
+    matching = written(contexts.select(*at, "first", "last").join(matched, at, "left").filter("first < last or some is not null"), "matching")
     whole = F.col("doc_id") > F.col("first")
     hits = found.join(matching, at).filter(whole | F.col("some").isNotNull()).select("key", "lo", "hi", F.when(~whole, F.col("some")).alias("some"))
     return hits.groupBy("key").agg(F.collect_set(F.struct("lo", "hi", "some")).alias("repeats"))
