@@ -109,3 +109,11 @@ def iso_week_key(c: Column) -> Column:
 
 def daily_slot_key(c: Column, slot: str) -> Column:
     return F.concat(F.date_format(c, "yyyy-MM-dd"), F.lit("-" + slot))
+
+
+def not_historical(published: Column, baseline: Column) -> Column:
+    """Not published before the baseline, by date if the text has only a date; what has no
+    readable date counts as new."""
+    at = parse_notice_ts(published)
+    only_date = F.length(F.regexp_replace(F.coalesce(published, F.lit("")), r"\D", "")) <= 8
+    return F.coalesce(F.when(only_date, F.to_date(at) >= F.to_date(baseline)).otherwise(at >= baseline), F.lit(True))

@@ -11,6 +11,17 @@ from ..functions import text
 from .tables import first_by
 
 
+def last_by(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
+    """One row a key, the last in the order: two rows of a key must not multiply what they join."""
+    return first_by(df, keys, *[x.desc() for x in order])
+
+
+def _one_each(patch: DataFrame, *keys: str) -> DataFrame:
+    """One row a key: the last by ``arrival`` if there is that column, else by all values."""
+    order = [F.col("arrival")] if "arrival" in patch.columns else []
+    return last_by(patch, keys, *order, *[F.col(c) for c in patch.columns if c not in (*keys, "arrival")]).drop("arrival")
+
+
 def upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str], keep: Mapping[str, Column] | None = None) -> DataFrame:
     """All of incoming over current by key, one full outer join. ``keep`` has, for a column, the
     condition (on c.* and n.*) under which the stored value stays."""
@@ -23,10 +34,11 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str], keep: M
 
 
 def upsert_notices(current: DataFrame, incoming: DataFrame, as_of: Column) -> DataFrame:
-    """Source fields are overwritten; review and first_seen stay; a manual tier stays."""
+    """Source fields are overwritten; review and first_seen stay; a manual tier stays. Of several
+    incoming rows of a notice the last by ``arrival`` counts."""
     human, manual = F.lit(True), F.col("c.tier_source") == "manual"
     keep = {"review_status": human, "first_seen": human, "tier": manual, "tier_source": manual}
-    fresh = incoming.withColumns({"first_seen": as_of, "last_seen": as_of})
+    fresh = _one_each(incoming, "source_id", "external_id").withColumns({"first_seen": as_of, "last_seen": as_of})
     return upsert(current, fresh, ["source_id", "external_id"], keep)
 
 
@@ -42,28 +54,43 @@ def upsert_attachments(current: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def upsert_fit_review(current: DataFrame, patch: DataFrame, notices: DataFrame, defaults: Mapping[str, str], allowed: Mapping[str, Sequence[str]]) -> tuple[DataFrame, DataFrame]:
-    """Given value, else stored, else default. Returns the table and the rejected patches."""
+    """Given value, else stored, else default; of several valid patches of a notice the last
+    counts. Returns the table and the rejected patches."""
     valid = F.lit(True)
     for c, values in allowed.items():
         valid = valid & (F.col(c).isNull() | F.col(c).isin(*values))
     known = patch.join(notices.select(F.col("id").alias("notice_id")), "notice_id", "left_semi")
-    good = known.filter(valid)
-    rejected = patch.join(good.select("notice_id"), "notice_id", "left_anti")
-    c, n = current.alias("c"), good.alias("n")
+    rejected = known.filter(~F.coalesce(valid, F.lit(False))).unionByName(patch.join(notices.select(F.col("id").alias("notice_id")), "notice_id", "left_anti"))
+    c, n = current.alias("c"), _one_each(known.filter(valid), "notice_id").alias("n")
     j = c.join(n, "notice_id", "full_outer")
     return j.select("notice_id", *[F.coalesce(F.col(f"n.{x}"), F.col(f"c.{x}"), F.lit(d)).alias(x) for x, d in defaults.items()]), rejected
 
 
-def set_review(notices: DataFrame, patch: DataFrame) -> DataFrame:
-    p = patch.select(F.col("id"), F.col("review_status").alias("__s"))
-    return notices.join(p, "id", "left").withColumn("review_status", F.coalesce("__s", "review_status")).drop("__s")
-
-
-def set_tier(notices: DataFrame, patch: DataFrame) -> DataFrame:
-    """patch (id, tier, reason); a patch without a reason is not applied."""
-    p = patch.filter(F.trim("reason") != "").select("id", F.col("tier").alias("__t"))
+def set_review(notices: DataFrame, patch: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """patch (id, review_status and perhaps note, arrival): the last of a notice counts; status,
+    and where the tables have them, review_note and reviewed_at."""
+    p = _one_each(patch, "id")
+    p = p.select("id", F.col("review_status").alias("__s"), (F.col("note") if "note" in p.columns else F.lit(None).cast("string")).alias("__n"))
+    hit = F.col("__s").isNotNull()
+    new = {"review_status": F.coalesce("__s", "review_status")}
+    if "review_note" in notices.columns:
+        new["review_note"] = F.when(hit, F.coalesce("__n", F.lit(""))).otherwise(F.col("review_note"))
+    if "reviewed_at" in notices.columns and as_of is not None:
+        new["reviewed_at"] = F.when(hit, as_of).otherwise(F.col("reviewed_at"))
+    return notices.join(p, "id", "left").withColumns(new).drop("__s", "__n")
+
+
+def set_tier(notices: DataFrame, patch: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """patch (id, tier, reason and perhaps arrival); a patch without a reason is not applied, of
+    the others the last of a notice counts."""
+    p = _one_each(patch.filter(F.trim("reason") != ""), "id").select("id", F.col("tier").alias("__t"), F.trim("reason").alias("__r"))
     hit = F.col("__t").isNotNull()
-    return notices.join(p, "id", "left").withColumns({"tier": F.coalesce("__t", "tier"), "tier_source": F.when(hit, "manual").otherwise(F.col("tier_source"))}).drop("__t")
+    new = {"tier": F.coalesce("__t", "tier"), "tier_source": F.when(hit, "manual").otherwise(F.col("tier_source"))}
+    if "tier_reason" in notices.columns:
+        new["tier_reason"] = F.when(hit, F.col("__r")).otherwise(F.col("tier_reason"))
+    if "tiered_at" in notices.columns and as_of is not None:
+        new["tiered_at"] = F.when(hit, as_of).otherwise(F.col("tiered_at"))
+    return notices.join(p, "id", "left").withColumns(new).drop("__t", "__r")
 
 
 def delete_cascade(notices: DataFrame, children: Mapping[str, DataFrame], deliveries: DataFrame, ids: DataFrame) -> dict[str, DataFrame]:
@@ -78,7 +105,7 @@ def delete_cascade(notices: DataFrame, children: Mapping[str, DataFrame], delive
 
 def record_delivery(ledger: DataFrame, outcomes: DataFrame, as_of: Column) -> DataFrame:
     """By (type, key, recipient); sent_at only when sent; failures overwrite and may be retried."""
-    came = outcomes.withColumn("sent_at", F.when(F.col("status") == "sent", as_of))
+    came = _one_each(outcomes, "type", "key", "recipient").withColumn("sent_at", F.when(F.col("status") == "sent", as_of))
     return upsert(ledger, came, ["type", "key", "recipient"])
 
 

@@ -10,6 +10,7 @@ from ..operators import merge as M
 from ..operators import tables as O
 from ..sources import pages as P
 from ..streaming import notices as S
+from ..streaming.keyed import KeyedTable
 from . import bind, products, scalars
 
 QUERIES: dict = {}
@@ -140,21 +141,69 @@ def _events(s, d):
 
 
 def _ingest(s, d):
+    """Orders arrive in four files, every fifth twice; a batch a file."""
     at = folder(s, "ingest")
-    stream = _stream(s, d, "orders").select(F.col("o_orderstatus").alias("source_id"), F.col("o_orderkey").cast("string").alias("external_id"), F.col("o_orderpriority").alias("title"), F.lit("new").alias("review_status"), F.lit("tier_2").alias("tier"), F.lit("automatic").alias("tier_source"))
-    S.ingest(stream, f"{at}/table", f"{at}/state", bind.as_of()).awaitTermination()
-    versions = s.read.parquet(f"{at}/table")
-    last = versions.agg(F.max("v")).first()[0]
-    return versions.filter(F.col("v") == last).groupBy("source_id").agg(F.count("*").alias("n"), F.date_format(F.max("first_seen"), "yyyy-MM-dd").alias("first_seen"))
+    rows = bind.read(s, d, "orders").withColumn("arrival", F.explode(F.when(F.col("o_orderkey") % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    rows.repartition(4).write.parquet(f"{at}/landed")
+    stream = S.files(s, f"{at}/landed", rows.schema, per_trigger=1).select(F.col("o_orderstatus").alias("source_id"), F.col("o_orderkey").cast("string").alias("external_id"), F.col("o_orderpriority").alias("title"), F.lit("new").alias("review_status"), F.lit("tier_2").alias("tier"), F.lit("automatic").alias("tier_source"), "arrival")
+    table = KeyedTable(s, f"{at}/table", ["source_id", "external_id"])
+    S.ingest(stream, table, f"{at}/state", bind.as_of()).awaitTermination()
+    return table.read().groupBy("source_id").agg(F.count("*").alias("n"), F.countDistinct("external_id").alias("keys"), F.date_format(F.max("first_seen"), "yyyy-MM-dd").alias("first_seen"))
 
 
-add("j01_stream_ingest", _ingest, "select o_orderstatus as source_id, count(*) as n, '2001-07-25' as first_seen from orders group by 1")
+add("j01_stream_ingest", _ingest, "select o_orderstatus as source_id, count(*) as n, count(distinct o_orderkey) as keys, '2001-07-25' as first_seen from orders group by 1")
 _text = lambda df: df.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes])
 add("j02_first_seen", lambda s, d: _text(S.drained(S.first_seen(_events(s, d), ["recipient"], "ts"), folder(s, "first"), "complete")), "select user_id as recipient, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as last_seen from events group by 1")
-add("j03_immediate_alerts", lambda s, d: S.drained(S.alerts(_events(s, d).filter("event_type = 'signup'"), bind.as_of("2024-01-10 00:00:00")), folder(s, "alerts"), "append").select("key", "recipient"), "select event_id as key, user_id as recipient from events where event_type = 'signup' and ts >= timestamp '2024-01-10'")
-add("j04_digest_windows", lambda s, d: S.drained(S.digest_windows(_events(s, d), "ts"), folder(s, "digest"), "complete"), "select strftime(ts, '%Y-%m-%d') as day, count(*) as count from events group by 1")
+_BASELINE = "2024-01-10 00:00:00"
+
+
+def _seen(s, d):
+    """Events as notices first seen, with what an alert asks for."""
+    e = _stream(s, d, "events")
+    ts = F.col("ts").cast("timestamp")
+    published = F.when(F.col("event_id") % 4 == 0, F.date_format(ts - F.expr("interval 6 days"), "yyyyMMdd")).when(F.col("event_id") % 4 == 1, F.date_format(ts - F.expr("interval 6 days"), "yyyy-MM-dd HH:mm:ss")).otherwise("")
+    return e.select(ts.alias("ts"), F.col("event_id").alias("key"), F.col("user_id").alias("recipient"), F.when(F.col("event_type") == "purchase", "tier_1").when(F.col("event_type") == "signup", "tier_2").otherwise("tier_3").alias("tier"),
+                    (F.col("event_id") % 7).alias("score"), F.when(F.col("event_id") % 11 == 0, "closed").otherwise("new").alias("review_status"), F.when(F.col("event_id") % 13 == 0, "sample_x").otherwise("board").alias("source_id"), published.alias("published_at"))
+
+
+def _ledger(s, at):
+    return KeyedTable(s, f"{at}/ledger", S.LEDGER)
+
+
+def _alerts(s, d):
+    """The stream is read twice, the second time from its beginning: nothing is sent again."""
+    at = folder(s, "alerts")
+    for run in ("first", "again"):
+        S.alerts(_seen(s, d), _ledger(s, at), f"{at}/{run}", bind.as_of(_BASELINE), least=2).awaitTermination()
+    return _ledger(s, at).read().groupBy("type", "key", "recipient", "status").agg(F.count("*").alias("n"))
+
+
+add("j03_immediate_alerts", _alerts, f"select 'immediate' as type, cast(event_id as varchar) as key, cast(user_id as varchar) as recipient, 'sent' as status, count(*) as n from (select *, ts - interval 6 day as p from events) where event_type = 'purchase' and ts > timestamp '{_BASELINE}' and event_id % 7 >= 2 and event_id % 11 <> 0 and event_id % 13 <> 0 and case event_id % 4 when 0 then cast(p as date) >= date '{_BASELINE[:10]}' when 1 then date_trunc('second', p) >= timestamp '{_BASELINE}' else true end group by all")
+
+
+def _digests(s, d):
+    at = folder(s, "digests")
+    for run in ("first", "again"):
+        S.digests(_seen(s, d), KeyedTable(s, f"{at}/counts-{run}", ["type", "key"], 4), _ledger(s, at), f"{at}/{run}", ("desk", "head"), delay="2 hours").awaitTermination()
+    return _ledger(s, at).read().select("type", "key", "recipient", F.date_format("sent_at", "yyyy-MM-dd HH:mm").alias("sent_at"), "tier_1", "tier_2")
+
+
+add("j04_digest_windows", _digests, """with e as (select ts, event_type, date_trunc('day', ts) as day from events), p as (
+  select *, 'daily' as type, case when ts <= day + interval 10 hour then day + interval 10 hour when ts <= day + interval 17 hour then day + interval 17 hour else day + interval 34 hour end as due from e
+  union all select *, 'weekly', date_trunc('week', ts) + interval 7 day from e)
+select type, case type when 'daily' then strftime(due, '%Y-%m-%d-%H%M') else strftime(due - interval 7 day, '%G-W%V') end as key, recipient, strftime(due, '%Y-%m-%d %H:%M') as sent_at,
+  count_if(event_type = 'purchase') as tier_1, count_if(event_type = 'signup') as tier_2 from p, (values ('desk'), ('head')) r(recipient)
+where event_type in ('purchase', 'signup') and due <= (select max(ts) from events) - interval 2 hour group by all""")
 add("j05_revision_stream", lambda s, d: S.drained(S.latest_revision(_stream(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id"), "user_id", "ts", "event_id"), folder(s, "revisions"), "complete"), "select user_id, event_id as kept from (select *, row_number() over (partition by user_id order by ts desc, event_id) as rn from events) where rn = 1")
-add("j06_late_policy", lambda s, d: S.drained(S.late_policy(_events(s, d), bind.as_of("2024-01-10 00:00:00")), folder(s, "late"), "append").groupBy("alert").count(), "select ts >= timestamp '2024-01-10' as alert, count(*) as count from events group by 1")
+def _late(s, d):
+    at = folder(s, "late")
+    stored = KeyedTable(s, f"{at}/stored", ["key"])
+    S.late_policy(_seen(s, d), stored, _ledger(s, at), f"{at}/state", bind.as_of(_BASELINE)).awaitTermination()
+    gone = _ledger(s, at).read().select(F.col("key").cast("long").alias("key"), F.lit(True).alias("sent"))
+    return stored.read().join(gone, "key", "left").groupBy("alert", F.coalesce("sent", F.lit(False)).alias("sent")).count()
+
+
+add("j06_late_policy", _late, f"select ts >= timestamp '{_BASELINE}' as alert, ts >= timestamp '{_BASELINE}' as sent, count(*) as count from events group by all")
 
 
 def _insight_run(s, d):

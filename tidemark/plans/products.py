@@ -310,8 +310,11 @@ def _fit(s, d):
 
 
 add("i04_upsert_fit_review", _fit, "select id as notice_id, case when id % 14 = 0 then 'medium' else 'low' end as fit, 'pending' as decision from notices where id % 7 = 0", "notices")
-of_notices("i05_set_review", lambda n: M.set_review(n, n.filter("id % 5 = 0").select("id", F.lit("won").alias("review_status"))).select("id", "review_status"), "select id, case when id % 5 = 0 then 'won' else review_status end as review_status from notices")
-of_notices("i06_set_tier", lambda n: M.set_tier(n, n.filter("id % 5 = 0").select("id", F.lit("tier_1").alias("tier"), F.when(F.col("id") % 2 == 0, "why").otherwise(" ").alias("reason"))).select("id", "tier", "tier_source"), "select id, case when id % 10 = 0 then 'tier_1' else tier end as tier, case when id % 10 = 0 then 'manual' else tier_source end as tier_source from notices")
+_patch = lambda n, **values: n.filter("id % 5 = 0").withColumn("arrival", F.explode(F.array(F.lit(1), F.lit(2)))).select("id", "arrival", *[v.alias(k) for k, v in values.items()])
+of_notices("i05_set_review", lambda n: M.set_review(n.withColumn("review_note", F.lit("old")), _patch(n, review_status=F.when(F.col("arrival") == 2, "won").otherwise("lost"), note=F.concat(F.lit("by "), "buyer", F.lit(" "), "arrival"))).select("id", "review_status", "review_note"),
+           "select id, case when id % 5 = 0 then 'won' else review_status end as review_status, case when id % 5 = 0 then 'by ' || buyer || ' 2' else 'old' end as review_note from notices")
+of_notices("i06_set_tier", lambda n: M.set_tier(n.withColumn("tier_reason", F.lit("old")), _patch(n, tier=F.concat(F.lit("tier_"), "arrival"), reason=F.when((F.col("id") % 2 == 0) & (F.col("arrival") == 2), " ").otherwise(F.concat(F.lit(" why "), "buyer")))).select("id", "tier", "tier_source", "tier_reason"),
+           "select id, case when id % 10 = 0 then 'tier_1' when id % 5 = 0 then 'tier_2' else tier end as tier, case when id % 5 = 0 then 'manual' else tier_source end as tier_source, case when id % 5 = 0 then 'why ' || buyer else 'old' end as tier_reason from notices")
 
 
 def _cascade(s, d):
