@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import classify as C
 from ..operators import merge as M
+from ..operators import payloads as Payloads
+from ..operators import sync as Sync
 from ..operators import tables as O
 from ..sources import pages as P
 from ..streaming import notices as S
@@ -224,13 +225,64 @@ def _reconcile(s, d):
 add("m26_reconcile_open", _reconcile, f"select case when id % 3 = 0 then 'inserted' when id % 2 = 0 and deadline >= {products.AT} then 'updated' else 'kept' end as change, count(*) as n, count_if(deadline >= {products.AT}) as open from notices where id % 3 <> 0 or (id % 2 = 0 and deadline >= {products.AT}) group by 1", "notices")
 
 
-def _sync(s, d):
-    """Titles classified, gated and counted by source, as one run would land them."""
-    docs = bind.read(s, d, "documents").select("doc_id", "source", F.substring_index("text", "\n", 1).alias("title"))
-    none = F.lit("")
-    tier = C.tier_cascade(F.col("title"), none, none, none, scalars.TERMS)
-    rows = docs.withColumn("tier", tier["tier"]).filter(C.related_reference(F.col("title"), F.col("tier"), scalars.TERMS))
-    return rows.groupBy("source").agg(F.count("*").alias("accepted"), F.count_if(F.col("tier") == "tier_1").alias("tier_1"))
+_SHAPES = ('{{"response":{{"body":{{"items":[{0},5,{0},"x",null]}}}}}}', '{{"response":{{"body":{{"items":{{"item":[{0},"x"]}}}}}}}}', '{{"response":{{"body":{{"items":{{"item":{0}}}}}}}}}', '{{"response":{{"body":{{"items":{0}}}}}}}',
+           '{{"response":{{"body":{{"items":"{0}"}}}}}}', '{{"response":{{"body":', '{{"response":{{"body":{{"items":{{"item":null}}}}}}}}', '{{"response":{{"body":{{}}}}}}')
+_KEPT = (2, 1, 1, 1, 0, 0, 0, 0)  # items of each shape that are objects
+
+
+def _payloads(s, d):
+    """Each event's properties as an answer, in one of eight shapes."""
+    shape = lambda t: F.concat(*[x for part in t.format("\0").split("\0") for x in (F.lit(part), F.col("props"))][:-1])
+    n, chosen = (F.col("event_id") % len(_SHAPES)).cast("int"), F.lit(None).cast("string")
+    for i, t in enumerate(_SHAPES):
+        chosen = F.when(n == i, shape(t)).otherwise(chosen)
+    return bind.read(s, d, "events").select("event_id", chosen.alias("payload"))
+
+
+add("a01_explode_notice_payload", lambda s, d: Payloads.explode_items(_payloads(s, d), "payload").select("event_id", "item_pos", F.variant_get("item", "$.k", "bigint").alias("k")),
+    f"select event_id, cast(pos as int) as item_pos, cast(json_extract(props, '$.k') as bigint) as k from (select *, unnest(range(({list(_KEPT)})[event_id % 8 + 1])) as pos from events)")
+_FAILING = ("src3", "src7")
+
 
+def _landed(s, d, broken=_FAILING):
+    """Documents as calls: one item each, the title its first line; two sources break."""
+    c = bind.read(s, d, "documents").select("doc_id", "source", F.substring_index("text", "\n", 1).alias("title"))
+    payload = F.concat(F.lit('{"response":{"body":{"items":{"item":'), F.to_json(F.struct(F.col("doc_id").alias("id"), "title")), F.lit("}}}}"))
+    cut = F.col("source").isin(broken[0]) & (F.col("doc_id") % 7 == 0)
+    error = F.when(F.col("source").isin(*broken[1:]) & (F.col("doc_id") % 3 == 0), "TimeoutError").otherwise("")
+    return c.select(F.col("source").alias("source_id"), F.col("doc_id").alias("pos"), F.when(cut, F.substring(payload, 1, 30)).otherwise(payload).alias("payload"), error.alias("error"))
 
-add("m27_sync", _sync, scalars._X.replace("doc_id,", "doc_id, source,", 1) + f"select source, count(*) as accepted, count_if(k = 1) as tier_1 from (select *, {scalars._plain_cascade} as k from t) where k < 3 or {scalars._has(scalars.TERMS.topic)} or regexp_matches(x, 'ti([^o]|o[^n]|o?$)') group by 1")
+
+def _stored(s, d):
+    """Every third document's notice was stored before."""
+    c = bind.read(s, d, "documents").filter("doc_id % 3 = 0")
+    at, text = bind.as_of("2001-01-01 00:00:00"), lambda x: F.lit(x)
+    return c.select(F.col("source").alias("source_id"), F.col("doc_id").cast("string").alias("external_id"), text("old").alias("title"), text("").alias("category"), text("").alias("buyer"), text("watch").alias("review_status"), text("automatic").alias("tier_source"), text("tier_3").alias("tier"), at.alias("first_seen"), at.alias("last_seen"))
+
+
+def _sources(fatal=None):
+    names = [f"src{i}" for i in range(20)]
+    return [Sync.Source(n, n != fatal) for n in names]
+
+
+def _sync(s, d):
+    """One run in which two optional sources fail: what is stored by source afterwards."""
+    at = folder(s, "sync")
+    merged = Sync.run(_landed(s, d), _sources(), _stored(s, d), f"{at}/merged", f"{at}/ledger", 1, scalars.TERMS, bind.as_of())
+    return merged.groupBy("source_id").agg(F.count_if(F.expr("change = 'inserted'")).alias("inserted"), F.count_if(F.expr("change = 'updated'")).alias("updated"), F.count_if(F.expr("change = 'kept'")).alias("kept"), F.count_if(F.expr("change = 'updated' and review_status = 'watch' and title <> 'old'")).alias("reviews_kept"), F.count_if(F.expr("tier = 'tier_1'")).alias("tier_1"))
+
+
+def _runs(s, d):
+    """Three runs: every source answers, two optional ones fail, one that must not fail does."""
+    at = folder(s, "runs")
+    for number, (broken, fatal) in enumerate(((("-", "-"), None), (_FAILING, None), (_FAILING, "src3")), 1):
+        Sync.run(_landed(s, d, broken), _sources(fatal), _stored(s, d), f"{at}/merged-{number}", f"{at}/ledger", number, scalars.TERMS, bind.as_of())
+    return s.read.parquet(f"{at}/ledger").withColumn("started_at", F.date_format("started_at", "yyyy-MM-dd HH:mm"))
+
+
+_TITLED = scalars._X.replace("doc_id,", "doc_id, source,", 1) + f", g as (select *, {scalars._plain_cascade} as k, {scalars._plain_cascade} < 3 or {scalars._has(scalars.TERMS.topic)} or regexp_matches(x, 'ti([^o]|o[^n]|o?$)') as ok from t where x <> '')"
+_ACC = "ok and source not in ('src3', 'src7')"
+add("m27_sync", _sync, _TITLED + f""" select t.source as source_id, count_if(acc and t.doc_id % 3 <> 0) as inserted, count_if(acc and t.doc_id % 3 = 0) as updated, count_if(not acc and t.doc_id % 3 = 0) as kept, count_if(acc and t.doc_id % 3 = 0) as reviews_kept, count_if(acc and k = 1) as tier_1
+  from (select t.doc_id, t.source, k, coalesce({_ACC.replace("source", "t.source")}, false) as acc from t left join g on g.doc_id = t.doc_id) t where acc or doc_id % 3 = 0 group by 1""")
+_RUN = lambda n, status, message, cond: f"select {n} as run, '2001-07-25 10:00' as started_at, '{status}' as status, '{message}' as message, 20 as sources, count_if({cond}) as candidates, count_if({cond} and doc_id % 3 <> 0) as inserted from g"
+add("a15_run_ledger", _runs, _TITLED + " " + " union all ".join((_RUN(1, "success", "", "ok"), _RUN(2, "partial", "src3: not JSON; src7: TimeoutError", _ACC), _RUN(3, "failed", "src3: not JSON", "ok and cast(substr(source, 4) as int) < 3"))))

@@ -187,7 +187,6 @@ of_notices("e23_metadata_options", lambda n: n.select("review_status").distinct(
 _SYNC = f"select source_id, count(*) as candidates, count_if({VISIBLE}) as accepted, count_if({VISIBLE} and first_seen >= timestamp '2001-01-01') as new from notices group by 1"
 _sync = lambda n: n.groupBy("source_id").agg(F.count("*").alias("candidates"), F.count_if(F.expr(VISIBLE)).alias("accepted"), F.count_if(F.expr(f"{VISIBLE} and first_seen >= timestamp '2001-01-01'")).alias("new"))
 of_notices("e24_sync_metrics", _sync, _SYNC)
-of_notices("a15_run_ledger", lambda n: _sync(n).agg(F.count("*").alias("sources"), F.sum("candidates").alias("notices"), F.sum("new").alias("new"), F.lit("success").alias("status")), f"select count(*) as sources, cast(sum(candidates) as bigint) as notices, cast(sum(new) as bigint) as new, 'success' as status from ({_SYNC})")
 
 # windows
 _EXACT_ORDER = ["stamp", "id"]
@@ -274,7 +273,6 @@ add("h12_missing_row_drop", lambda s, d: I(s, d).filter("summary <> ''").unionBy
 of_notices("h13_history_notice_rows", lambda n: n.select(A.notice_identity(F.col("buyer"), F.lpad((F.col("id") % 10).cast("string"), 3, "0")).alias("record_id"), F.col("id"), F.year("deadline").cast("bigint").alias("year"), F.when(F.col("id") % 2 == 0, "not collected").otherwise("pending").alias("data_status")), "select buyer || '-' || lpad(cast(id % 10 as varchar), 3, '0') as record_id, id, year(deadline) as year, case when id % 2 = 0 then 'not collected' else 'pending' end as data_status from notices")
 
 # payloads and companies
-add("a01_explode_notice_payload", lambda s, d: bind.read(s, d, "events").select("event_id", F.explode(F.coalesce(F.from_json("props", "array<map<string,bigint>>"), F.array(F.from_json("props", "map<string,bigint>")))).alias("item")).select("event_id", F.col("item")["k"].alias("k")), "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
 add("a02_map_notice_item", lambda s, d: bind.read(s, d, "events").select("event_id", F.coalesce(F.nullif(F.get_json_object("props", "$.title"), F.lit("")), F.get_json_object("props", "$.k"), F.lit("")).alias("title"), A.notice_identity(F.col("user_id").cast("string"), F.get_json_object("props", "$.k")).alias("external_id")), "select event_id, coalesce(json_extract_string(props, '$.k'), '') as title, user_id || '-' || json_extract_string(props, '$.k') as external_id from events")
 
 
