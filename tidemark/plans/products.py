@@ -85,9 +85,9 @@ def _with_insights(s, d):
 
 add("d07_documents_with_insights", lambda s, d: _with_insights(s, d).select("id", "attachment_id", "status"), f"select n.id, a.id as attachment_id, 'extracted' as status from notices n join attachments a on a.notice_id = n.id where {VISIBLE} and exists (select 1 from (select *, row_number() over (partition by notice_id, document_url order by id) as rn from insights) i where i.notice_id = n.id and i.document_url = a.url and status = 'extracted' and summary <> '')", "notices", "attachments", "insights")
 _PAIR_ORDER = lambda: [F.desc("score"), F.col("deadline_at"), F.col("id")]
-of_notices("d08_similar_pairs", lambda n: O.similar_pairs(n.filter("active"), _PAIR_ORDER()), f"""select left_id, right_id, common from (
+of_notices("d08_similar_pairs", lambda n: O.similar_pairs(n.filter("active"), _PAIR_ORDER(), considered=40), f"""select left_id, right_id, common from (
   select l.id as left_id, r.id as right_id, array_to_string(list_sort(list_intersect(l.keywords, r.keywords)), ',') as common, l.rn as a, r.rn as b from (select *, row_number() over (order by score desc, deadline_at, id) as rn from notices where {ACTIVE}) l,
-  (select *, row_number() over (order by score desc, deadline_at, id) as rn from notices where {ACTIVE}) r where l.rn < r.rn and r.rn <= 20 and (len(list_intersect(l.keywords, r.keywords)) >= 2 or (len(list_intersect(l.keywords, r.keywords)) = 1 and l.buyer = r.buyer)) order by a, b limit 8)""")
+  (select *, row_number() over (order by score desc, deadline_at, id) as rn from notices where {ACTIVE}) r where l.rn < r.rn and r.rn <= 40 and (len(list_intersect(l.keywords, r.keywords)) >= 2 or (len(list_intersect(l.keywords, r.keywords)) = 1 and l.buyer = r.buyer)) order by a, b limit 8)""")
 
 
 def _history(s, d):
@@ -158,8 +158,6 @@ add("e03_kind_summary", _kind_summary, f"select k.kind, count(x.kind) as count f
 add("e04_extraction_outcomes", lambda s, d: I(s, d).groupBy("status").count(), "select status, count(*) as count from insights group by 1", "attachments", "insights")
 of_notices("e05_workbench_summary", lambda n: n.agg(F.count("*").alias("total"), F.count_if(F.col("active")).alias("active"), F.count_if(F.col("active") & (F.col("tier") == "tier_1")).alias("active_tier_1"), F.count_if(F.col("active") & (F.col("tier") == "tier_2")).alias("active_tier_2"), F.count_if(F.to_date("first_seen") == F.to_date(tz())).alias("new_today"), F.count_if(F.col("active") & F.col("label").isin("D-DAY", "D-1", "D-2", "D-3")).alias("d3"), F.count_if(F.col("active") & (F.col("label") != "")).alias("d7")),
            f"select count(*) as total, count_if({ACTIVE}) as active, count_if({ACTIVE} and tier = 'tier_1') as active_tier_1, count_if({ACTIVE} and tier = 'tier_2') as active_tier_2, count_if(cast(first_seen as date) = date '2001-07-25') as new_today, count_if({ACTIVE} and {LABEL} in ('D-DAY', 'D-1', 'D-2', 'D-3')) as d3, count_if({ACTIVE} and {LABEL} <> '') as d7 from notices")
-add("e06_public_summary", lambda s, d: O.document_rows(N(s, d), A_(s, d), tz()).agg(F.count_distinct("id").alias("notices"), F.count_distinct("document_url").alias("urls"), F.count_if(F.col("kind") == "missing").alias("missing")), "select count(distinct n.id) as notices, count(distinct a.url) as urls, count_if(a.id is null) as missing from notices n left join attachments a on a.notice_id = n.id", "notices", "attachments")
-of_notices("e07_briefing_summary", lambda n: n.filter(F.col("active") & F.expr(VISIBLE)).agg(F.count("*").alias("eligible"), F.count_if(F.col("days") <= 7).alias("urgent"), F.count_if(F.col("review_status") == "watch").alias("watched")), f"select count(*) as eligible, count_if({DAYS} <= 7) as urgent, count_if(review_status = 'watch') as watched from notices where {ACTIVE} and {VISIBLE}")
 _NEWTIER = "(case when contains(title, 'URGENT') then 'tier_1' when contains(title, 'LOW') then 'tier_3' else 'tier_2' end)"
 of_notices("e08_tier_audit", lambda n: n.withColumn("t", F.expr(_NEWTIER)).agg(F.count_if(F.expr("tier_source = 'manual'")).alias("manual"), F.count_if(F.expr("tier_source <> 'manual' and t <> tier")).alias("would_change"), F.count_if(F.expr("t = 'tier_1'")).alias("tier_1")), f"select count_if(tier_source = 'manual') as manual, count_if(tier_source <> 'manual' and {_NEWTIER} <> tier) as would_change, count_if({_NEWTIER} = 'tier_1') as tier_1 from notices")
 of_notices("e09_title_audit", lambda n: n.withColumn("t", F.expr(_NEWTIER)).groupBy("t").agg(F.count("*").alias("n"), F.count_if(F.expr("t <> 'tier_1' and review_status = 'new'")).alias("quarantine")), f"select {_NEWTIER} as t, count(*) as n, count_if({_NEWTIER} <> 'tier_1' and review_status = 'new') as quarantine from notices group by 1")
@@ -342,18 +340,6 @@ of_notices("m01_notice_view", lambda n: n.select("id", "days", F.when(F.col("act
 _ELIGIBLE = "active and tier in ('tier_1', 'tier_2') and review_status not in ('needs_review', 'closed', 'not_relevant')"
 
 
-def action_queue(s, d, due_days=7, limit=100):
-    """The briefing's queue: open notices due soon, best tier first, with document counts."""
-    due = view(s, d).filter(_ELIGIBLE).filter(f"days between 0 and {due_days}")
-    counts = A_(s, d).groupBy(F.col("notice_id").alias("id")).agg(F.count("*").alias("documents"))
-    top = due.join(counts, "id", "left").withColumn("documents", F.coalesce("documents", F.lit(0)))
-    return top.orderBy("tier_rank", "days", F.desc("score"), "id").limit(limit).select("id", "title", "tier", "days", "label", "score", "documents")
-
-
-add("m02_action_queue", action_queue, f"select n.id, title, tier, cast({DAYS} as int) as days, {LABEL} as label, score, (select count(*) from attachments a where a.notice_id = n.id) as documents from notices n where {ACTIVE} and {VISIBLE} and review_status not in ('needs_review', 'closed', 'not_relevant') and {DAYS} between 0 and 7 order by {TIER}, days, score desc, n.id limit 100", "notices", "attachments")
-QUERIES["m02_briefing"], ORACLES["m02_briefing"] = QUERIES["m02_action_queue"], ORACLES["m02_action_queue"]
-
-
 def _workbench(s, d):
     best = O.first_by(I(s, d).filter("summary <> ''"), ["notice_id"], O.ranked(F.col("status"), O.STATUS_ORDER), F.col("document_label"), F.col("id")).select(F.col("notice_id").alias("id"), F.col("summary"), F.col("status").alias("document_status"))
     return view(s, d).filter(VISIBLE).join(best, "id", "left").join(R(s, d).withColumnRenamed("notice_id", "id"), "id", "left").withColumn("fit", F.coalesce("fit", F.lit("not_reviewed")))
@@ -363,7 +349,6 @@ bind.SQL["bench"] = f"best as (select * from (select notice_id, summary, status,
 _BV = ("notices", "attachments", "insights", "reviews", "bench")
 bench = lambda name, q, sql: add(name, lambda s, d: q(_workbench(s, d)), sql, *_BV)
 bench("m03_workbench", lambda w: w.select("id", "summary", "document_status", "fit", "active"), "select id, summary, document_status, fit, active from bench")
-bench("m04_public_projection", lambda w: w.select("id", "title", "url", "deadline_at", F.coalesce("document_status", F.lit("fallback_notice_info")).alias("status")), "select id, title, url, deadline_at, coalesce(document_status, 'fallback_notice_info') as status from bench")
 of_notices("m05_new_tier1_today", lambda n: n.filter((F.to_date("first_seen") == F.lit("2001-07-11").cast("date")) & (F.col("tier") == "tier_1") & F.col("active")).select("id"), f"select id from notices where cast(first_seen as date) = date '2001-07-11' and tier = 'tier_1' and {ACTIVE}")
 of_notices("m06_urgent_list", lambda n: n.filter(f"active and {VISIBLE} and label <> ''").select("id", "label"), f"select id, {LABEL} as label from notices where {ACTIVE} and {VISIBLE} and {LABEL} <> ''")
 of_notices("m07_upcoming_list", lambda n: n.filter(D.is_upcoming(F.col("category"), F.col("deadline"), F.lit(""), F.col("deadline") - F.expr("interval 3 days"), tz()) & (F.col("tier") == "tier_1")).select("id"), f"select id from notices where category = 'grant_application' and tier = 'tier_1' and deadline - interval 3 day > {AT}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import landed, products, quality_queries, scalars
+from .plans import briefings, landed, products, quality_queries, scalars
 
-QUERIES: dict = {**scalars.QUERIES, **products.QUERIES, **quality_queries.QUERIES, **landed.QUERIES}
-ORACLES: dict = {**scalars.ORACLES, **products.ORACLES, **quality_queries.ORACLES, **landed.ORACLES}
+QUERIES: dict = {**scalars.QUERIES, **products.QUERIES, **quality_queries.QUERIES, **landed.QUERIES, **briefings.QUERIES}
+ORACLES: dict = {**scalars.ORACLES, **products.ORACLES, **quality_queries.ORACLES, **landed.ORACLES, **briefings.ORACLES}
