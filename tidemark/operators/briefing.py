@@ -27,7 +27,7 @@ def flagged(notices: DataFrame, attachments: DataFrame, as_of: Column, due_days:
     active = dates.is_active(F.col("category"), F.col("deadline_at"), F.lit(""), F.lit(None).cast("timestamp"), as_of)
     sample = F.lower(F.coalesce("source_id", F.lit(""))).startswith("sample_")
     v = notices.filter(F.col("tier").isin(*VISIBLE) & ~sample).join(counts, "id", "left") \
-        .withColumns({"documents": F.coalesce("documents", F.lit(0)), "days": days, "label": dates.deadline_label(days)})
+        .withColumns({"documents": F.coalesce("documents", F.lit(0)), "days": days, "label": F.when(active, dates.deadline_label(days)).otherwise("")})
     v = v.withColumn("eligible", (F.col("score") >= min_score) & active & ~F.col("review_status").isin(*LEFT_OUT))
     flag = lambda c: F.col("eligible") & F.coalesce(c, F.lit(False))
     return v.withColumns({
@@ -112,5 +112,5 @@ def public_counts(notices: DataFrame) -> DataFrame:
     one = notices.agg(
         F.count("*").alias("total_notices"), F.count_if(active).alias("active_notices"), *[F.count_if(active & (F.col("tier") == f"tier_{i}")).alias(f"active_tier_{i}") for i in (1, 2, 3)],
         F.count_if("new_today").alias("new_today"), F.count_if("new_tier_1").alias("new_tier_1_today"), F.count_if(F.col("new_today") & active).alias("new_active_today"), F.coalesce(documents, F.lit(0)).alias("extracted_documents"),
-        F.count_if(F.col("label").isin("D-4", "D-5", "D-6", "D-7")).alias("deadline_d7"), F.count_if(F.col("label").isin("D-DAY", "D-1", "D-2", "D-3")).alias("deadline_d3"))
+        F.count_if(F.col("label") == "D-7").alias("deadline_d7"), F.count_if(F.col("label") == "D-3").alias("deadline_d3"))
     return one.crossJoin(links)  # a row each

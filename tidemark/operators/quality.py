@@ -6,7 +6,7 @@ up to five ids, the smallest, which a window limit finds without gathering a cod
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -130,3 +130,61 @@ def fatal_findings(headers: Mapping[str, Sequence[str] | None], required: Mappin
     if len(days) == 2 and days[0] > days[1]:
         found.append(("period", "start_after_end", f"{start} {end}"))
     return not found, found
+
+
+def per_record(tables: Mapping[str, DataFrame], links: DataFrame) -> DataFrame:
+    """record_id with the rows and the good rows of each detail table, and the links to it: a
+    row a record, summed in the map tasks before anything moves."""
+    names = [*tables, "links"]
+    parts = [t.select("record_id", *[(F.lit(1) if n == m else F.lit(0)).alias(m) for m in names], *[(F.col("parse_status").eqNullSafe("ok").cast("int") if n == m else F.lit(0)).alias(f"{m}_good") for m in tables]) for n, t in tables.items()]
+    parts.append(links.select("record_id", *[F.lit(int(m == "links")).alias(m) for m in names], *[F.lit(0).alias(f"{m}_good") for m in tables]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out.groupBy("record_id").agg(*[F.sum(c).alias(c) for c in out.columns[1:]])
+
+
+def _distribution(rows: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """One row: for each name the JSON of value -> rows, sorted by value; a list counts each value."""
+    def named(n: str) -> Callable[[Column], Column]:
+        return lambda v: F.struct(F.lit(n).alias("name"), F.coalesce(F.nullif(F.trim(v), F.lit("")), F.lit("(blank)")).alias("value"))
+
+    listed = [F.transform(c, named(n)) for n, c in columns.items()]
+    counts = rows.select(F.explode(F.flatten(F.array(*listed))).alias("x")).groupBy("x.name", "x.value").count()
+    maps = counts.groupBy("name").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "count"))))).alias("json"))
+    return maps.agg(*[F.coalesce(F.max(F.when(F.col("name") == n, F.col("json"))), F.lit("{}")).alias(n) for n in columns])
+
+
+def summary_record(notices: DataFrame, details: Mapping[str, DataFrame], requests: DataFrame, access: DataFrame, start: str, end: str, amounts: Sequence[str], write: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One row: the period, 25 counters, four distributions and the run's status. Each table is
+    read once: its flags are summed in one aggregate, details and links come down to a row a
+    record (``write`` keeps that table), which the notices are joined with. details: awards,
+    contracts, bidders; requests has links (ids joined by ;); access service_id, status."""
+    rules = notice_rules(start, end, amounts)
+    states = F.array(*[amount_status(F.col(a))["status"] for a in amounts])
+    values = lambda what: F.coalesce(F.sum(F.size(F.filter(states, lambda s: s == what))), F.lit(0))
+    n = lambda code: F.count_if(F.coalesce(rules[code], F.lit(False)))
+    links = requests.select(F.explode(F.filter(F.split(F.coalesce("links", F.lit("")), ";"), lambda x: F.trim(x) != "")).alias("record_id"))
+    records = write(per_record(details, links))
+    joined = notices.join(records, "record_id", "left")
+    good = lambda t: F.coalesce(f"{t}_good", F.lit(0))
+    differs = lambda t: F.count_if(F.coalesce(F.col(f"{t}_count") != good(t), F.lit(False)))
+    own = joined.agg(
+        F.count("*").alias("notices"), n("blank_bid_notice_no").alias("blank_bid_notice_no"), n("notice_date_outside_period").alias("notice_date_outside_period"), n("invalid_date_value").alias("invalid_date_values"),
+        n("date_chronology_violation").alias("chronology_violations"), values("invalid").alias("invalid_amount_values"), values("negative").alias("negative_amount_values"),
+        *[n(f"{x}_status_without_data").alias(f"{x}_status_without_data") for x in ("participant", "award", "contract", "request")], n("procurement_request_data_without_number").alias("procurement_request_data_without_number"),
+        differs("awards").alias("award_detail_summary_mismatch"), differs("contracts").alias("contract_detail_summary_mismatch"),
+        F.count_if((good("awards") > 1) & ~blank("detail_value")).alias("unsafe_multiple_summary"),
+        (F.count_if(~blank("record_id")) - F.count_distinct(F.when(~blank("record_id"), F.col("record_id")))).alias("duplicate_record_rows"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    rows = records.agg(*[total(t).alias(t) for t in details])
+    lost = records.filter(~blank("record_id")).join(notices.select("record_id"), "record_id", "left_anti").agg(
+        total("awards").alias("orphan_award_rows"), total("contracts").alias("orphan_contract_rows"), total("links").alias("orphan_procurement_request_links"), total("bidders").alias("orphan_bidder_rows"))
+    asked = requests.agg(F.count("*").alias("procurement_requests"))
+    runs = access.agg(F.count("*").alias("access_rows"), F.coalesce(F.max(F.when(F.col("service_id") == "collection_run", F.col("status"))), F.lit("unknown")).alias("collection_run_status"))
+    shares = _distribution(notices, {"relevance_status": F.array("relevance_status"), "notice_year": F.array("notice_year"), "categories": F.split("categories", ";")})
+    services = _distribution(access, {"access_status": F.array("status")})
+    out = own
+    for one in (rows, lost, asked, runs, shares, services):
+        out = out.crossJoin(one)  # a row each
+    return out.withColumns({"start_date": F.lit(start), "end_date": F.lit(end)})

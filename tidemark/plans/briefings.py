@@ -1,10 +1,12 @@
-"""Queries of the briefing and the public projection."""
+"""Queries of the briefing, the public projection and the audits by title rules."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import audits as Audits
 from ..operators import briefing as B
+from ..operators import classify as C
 from . import bind
 
 QUERIES: dict = {}
@@ -14,7 +16,7 @@ LIMIT = 20
 _DAYS = f"date_diff('day', date '{AS_OF[:10]}', cast(deadline as date))"
 bind.SQL["briefed"] = f"""briefed as (select *, eligible and cast(first_seen as date) = date '{AS_OF[:10]}' as new_today, eligible and days between 0 and 7 as urgent, eligible and label <> '' as due, eligible and documents = 0 as missing,
   eligible and review_status in ('watch', 'interesting') as watched, eligible and documents = 0 and score >= 5 as high_missing from (select *, score >= 3 and deadline >= timestamp '{AS_OF}' and review_status not in ('not_relevant', 'closed', 'needs_review') as eligible from (
-  select n.*, cast({_DAYS} as int) as days, case when {_DAYS} = 0 then 'D-DAY' when {_DAYS} between 1 and 7 then 'D-' || {_DAYS} else '' end as label, coalesce(a.documents, 0) as documents from notices n left join (select notice_id, count(*) as documents from attachments group by 1) a on a.notice_id = n.id where tier in ('tier_1', 'tier_2'))))"""
+  select n.*, cast({_DAYS} as int) as days, case when deadline < timestamp '{AS_OF}' then '' when {_DAYS} = 0 then 'D-DAY' when {_DAYS} between 1 and 7 then 'D-' || {_DAYS} else '' end as label, coalesce(a.documents, 0) as documents from notices n left join (select notice_id, count(*) as documents from attachments group by 1) a on a.notice_id = n.id where tier in ('tier_1', 'tier_2'))))"""
 _VIEWS = ("notices", "attachments", "briefed")
 _SHOWN = ", ".join(B.SHOWN)
 _LISTED = "score desc, deadline_at, first_seen desc, id"
@@ -82,4 +84,17 @@ add("m04_public_projection", _projection, f"""select n.id, title, n.url, tier, i
   (list({_S} order by case part % 3 when 1 then 0 when 0 then 1 else 3 end, name, url, {_S}) filter ({_READ} and id <= 3))[1] as primary_summary from linked group by 1) a on a.notice_id = n.id""", *_VIEWS, "shown", "linked")
 add("e06_public_summary", lambda s, d: B.public_counts(B.public_notices(workbench(s, d), _PUBLIC)), """select count(*) as total_notices, count_if(is_active) as active_notices, count_if(is_active and tier = 'tier_1') as active_tier_1, count_if(is_active and tier = 'tier_2') as active_tier_2, 0 as active_tier_3,
   count_if(is_new) as new_today, count_if(is_new and is_active and tier = 'tier_1') as new_tier_1_today, count_if(is_new and is_active) as new_active_today, (select count(*) from linked a join shown n on n.id = a.notice_id where a.id <= 3 and supp % 4 < 2) as extracted_documents,
-  count_if(label in ('D-4', 'D-5', 'D-6', 'D-7')) as deadline_d7, count_if(label in ('D-DAY', 'D-1', 'D-2', 'D-3')) as deadline_d3, (select count(distinct a.url) from linked a join shown n on n.id = a.notice_id) as public_document_links from shown""", *_VIEWS, "shown", "linked")
+  count_if(label = 'D-7') as deadline_d7, count_if(label = 'D-3') as deadline_d3, (select count(distinct a.url) from linked a join shown n on n.id = a.notice_id) as public_document_links from shown""", *_VIEWS, "shown", "linked")
+
+# Rules for the titles at hand: urgent work is tier 1, high equipment tier 2, low is nothing to advise on.
+_TERMS = C.TierTerms(non_consulting=("low",), domain_1=("urgent", "high", "medium"), work_1=("urgent",), domain_2=("high",), support_2=("high",), equipment_2=("high",))
+_GROUPS = {"ghg": ("medium",), "environment": ("low", "urgent")}
+_POLICY = {"domain_keyword_groups": ["ghg", "environment"], "strong_keyword_groups": ["ghg"], "generic_environment_terms": ["low"], "explicit_consulting_environment_terms": ["none"], "advisory_terms": ["none"]}
+_policy = lambda: C.title_policy(F.col("title"), _GROUPS, (), ("nothing",), _POLICY, _TERMS)["tier"]
+_NEW = "(case when contains(title, 'LOW') then 'tier_3' when contains(title, 'HIGH') and category = 'grant_application' then 'tier_2' when contains(title, 'URGENT') and category <> 'grant_application' then 'tier_1' else 'tier_3' end)"
+_SAID = "(case when contains(title, 'URGENT') or contains(title, 'HIGH') or contains(title, 'MEDIUM') then 'strong' when contains(title, 'LOW') then 'needs_review' else 'ignore' end)"
+_CONCERNED = "source_id = 'O'"
+add("e08_tier_audit", lambda s, d: Audits.tier_audit(bind.notices(s, d), _TERMS), f"select count(*) as total, count_if(tier_source <> 'manual') as automatic, count_if(tier_source = 'manual') as manual_preserved, {', '.join(f"count_if(tier_source <> 'manual' and {_NEW} = '{x}') as {x}" for x in Audits.TIERS)}, count_if(tier_source <> 'manual' and {_NEW} <> tier) as would_change from notices", "notices")
+add("i08_reclassify", lambda s, d: Audits.reclassify(bind.notices(s, d), _TERMS).select("id", "tier", "tier_source"), f"select id, case when tier_source <> 'manual' then {_NEW} else tier end as tier, tier_source from notices", "notices")
+add("e09_title_audit", lambda s, d: Audits.title_audit(bind.notices(s, d).filter(_CONCERNED), _policy()), f"select count(*) as total, {', '.join(f"count_if({_SAID} = '{x}') as {x}" for x in ('strong', 'needs_review', 'ignore'))}, count_if({_SAID} <> 'strong' and review_status = 'new') as eligible_for_quarantine from notices where {_CONCERNED}", "notices")
+add("i09_quarantine", lambda s, d: Audits.quarantine(bind.notices(s, d).withColumn("review_note", F.lit("")), _policy(), "look at it", F.expr(_CONCERNED)).select("id", "review_status", "review_note"), f"select id, case when {_CONCERNED} and {_SAID} <> 'strong' and review_status = 'new' then 'needs_review' else review_status end as review_status, case when {_CONCERNED} and {_SAID} <> 'strong' and review_status = 'new' then 'look at it' else '' end as review_note from notices", "notices")

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import classify as C
 from ..operators import merge as M
 from ..operators import payloads as Payloads
 from ..operators import sync as Sync
 from ..operators import tables as O
+from ..sources import boards as Boards
 from ..sources import pages as P
 from ..streaming import notices as S
 from ..streaming.keyed import KeyedTable
@@ -29,8 +35,41 @@ def add(name, query, sql=None, *views):
 
 _PAGES = lambda s, d: bind.read(s, d, "pages")
 add("a05_html_to_text", lambda s, d: P.html_to_text(_PAGES(s, d)))
-_BOARD = P.BoardSpec(r"<li><a href=[^>]*>[^<]*</a></li>", {"url": 'href="([^"]*)"', "title": ">([^<]+)</a>"})
-add("a06_extract_board_rows", lambda s, d: P.board_rows(_PAGES(s, d), _BOARD), r"""select page_id, cast(ord as int) as ord, regexp_extract(r, 'href="([^"]*)"', 1) as url, trim(regexp_extract(r, '>([^<]+)</a>', 1)) as title from (select page_id, unnest(range(len(m))) as ord, unnest(m) as r from (select page_id, regexp_extract_all(html, '<li><a href=[^>]*>[^<]*</a></li>') as m from pages))""")
+_BASE = "https://board.example/web/list.do?x=1"
+_ROWS = {  # a document's row on each board; {0} its id, {1} the title, {2} the day of the month
+    "onclick_table": '<tr onClick="javascript:goDetail({0})" style="x"><td>8</td><td>{1}</td><td>r</td><td>2026-04-13 09:00 ~ 2026-05-{2} 16:00</td><td><span>접수마감</span></td></tr>',
+    "sequence_table": "<tr><td>1</td><td class=t><a href='#' onclick=\"location.href='./view.do?article_seq={0}&amp;cpage=1'\">{1}</a></td><td>a</td><td></td><td>2026.05.{2}</td></tr>",
+    "card_list": '<a href="/x/notice/view.do?seq={0}" class="i"><b class="board_title">{1}</b><div class="board_col board_col_date">2025.12.{2}</div></a>',
+    "auction_table": "<tr><td>4</td><td><a href='../y/notice/view.do?seq={0}'>{1}</a></td><td>m</td><td>2026-04-{2}</td></tr>",
+    "subject_cards": '<li><a href="ex/View.do?cbIdx=277&amp;bcIdx={0}"><span class="date">2026-03-{2}</span><span class="subject">{1}</span></a></li>',
+    "badge_table": "<tr><td>9</td><td><a href='#' onclick=\"fn_view('PB_{0}');\"><span>마감</span> {1}</a></td><td>m</td><td>2026-02-{2}</td></tr>",
+}
+
+
+def _boards(s, d):
+    """Documents as rows of listing pages, eight a page, the pages' layouts in turn."""
+    title = F.substring_index("text", "\n", 1)
+    for k, v in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        title = F.replace(title, F.lit(k), F.lit(v))
+    docs = bind.read(s, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 8).alias("page_id"), title.alias("title"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0").alias("day"))
+    out = []
+    for n, (name, row) in enumerate(_ROWS.items()):
+        parts = [F.lit(x) if x not in ("0", "1", "2") else F.col(("doc_id", "title", "day")[int(x)]).cast("string") for x in re.split(r"[{](\d)[}]", row)]
+        pages = docs.filter(F.col("page_id") % len(_ROWS) == n).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.concat(*parts).alias("row")))), lambda x: x["row"]), "\n").alias("html"))
+        gate = C.portfolio_grant if name in ("subject_cards", "badge_table") else C.customer_grant
+        out.append(Boards.board_rows(pages, Boards.LAYOUTS[name], _BASE, lambda t, gate=gate: gate(t, scalars._G)).withColumn("layout", F.lit(name)))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+_BOARD_SQL = f"""with l as (select doc_id, doc_id // 8 as page_id, doc_id % 8 as ord, lpad(cast(doc_id % 28 + 1 as varchar), 2, '0') as day, trim(regexp_replace({scalars._LINE_SQL}, '[\\s\\x{{3000}}\\x{{00A0}}]+', ' ', 'g')) as y from documents),
+k as (select *, lower(y) as z, ({list(_ROWS)})[page_id % 6 + 1] as layout from l)
+select page_id, cast(row_number() over (partition by page_id order by ord) as int) as n, layout, case layout when 'badge_table' then 'PB_' else '' end || doc_id as external_id, y as title,
+  'https://board.example/' || case layout when 'onclick_table' then 'web/bsnPuanView.do?bsnDvCd=CNF&bsnTrgtCd=ETR&bsnPuanId=' when 'sequence_table' then 'web/view.do?article_seq=' when 'card_list' then 'x/notice/view.do?seq=' when 'auction_table' then 'y/notice/view.do?seq=' when 'subject_cards' then 'web/ex/View.do?cbIdx=277&bcIdx=' else 'web/pbancView.do?seq=PB_' end || doc_id as url,
+  case layout when 'onclick_table' then '' when 'sequence_table' then '2026-05-' || day when 'card_list' then '2025-12-' || day when 'auction_table' then '2026-04-' || day when 'subject_cards' then '2026-03-' || day else '2026-02-' || day end as published_at,
+  case layout when 'onclick_table' then '2026-04-13 09:00' else '' end as start_at, case layout when 'onclick_table' then '2026-05-' || day || ' 16:00' else '' end as deadline_at, case layout when 'onclick_table' then '접수마감' when 'badge_table' then '마감' else '' end as source_status
+from k where {scalars._g_sql} and case when layout not in ('subject_cards', 'badge_table') then true when contains(z, 'by') and not contains(z, 'of') then false when contains(z, 'on') then contains(z, 'tion') when contains(z, 're') then true else contains(z, 'sh') end"""
+_numbered = lambda rows: rows.select("page_id", F.row_number().over(Window.partitionBy("page_id").orderBy("ord")).alias("n"), "layout", *Boards.FIELDS)
+add("a06_extract_board_rows", lambda s, d: _numbered(_boards(s, d)), _BOARD_SQL)
 _CARD = P.BoardSpec(r"<card>.*?</card>", {"category": "<b>([^<]*)</b>", "title": "<i>([^<]*)</i>", "url": 'href="([^"]*)"', "external_id": 'data-id="([^"]*)"'})
 
 

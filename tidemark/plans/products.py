@@ -158,9 +158,6 @@ add("e03_kind_summary", _kind_summary, f"select k.kind, count(x.kind) as count f
 add("e04_extraction_outcomes", lambda s, d: I(s, d).groupBy("status").count(), "select status, count(*) as count from insights group by 1", "attachments", "insights")
 of_notices("e05_workbench_summary", lambda n: n.agg(F.count("*").alias("total"), F.count_if(F.col("active")).alias("active"), F.count_if(F.col("active") & (F.col("tier") == "tier_1")).alias("active_tier_1"), F.count_if(F.col("active") & (F.col("tier") == "tier_2")).alias("active_tier_2"), F.count_if(F.to_date("first_seen") == F.to_date(tz())).alias("new_today"), F.count_if(F.col("active") & F.col("label").isin("D-DAY", "D-1", "D-2", "D-3")).alias("d3"), F.count_if(F.col("active") & (F.col("label") != "")).alias("d7")),
            f"select count(*) as total, count_if({ACTIVE}) as active, count_if({ACTIVE} and tier = 'tier_1') as active_tier_1, count_if({ACTIVE} and tier = 'tier_2') as active_tier_2, count_if(cast(first_seen as date) = date '2001-07-25') as new_today, count_if({ACTIVE} and {LABEL} in ('D-DAY', 'D-1', 'D-2', 'D-3')) as d3, count_if({ACTIVE} and {LABEL} <> '') as d7 from notices")
-_NEWTIER = "(case when contains(title, 'URGENT') then 'tier_1' when contains(title, 'LOW') then 'tier_3' else 'tier_2' end)"
-of_notices("e08_tier_audit", lambda n: n.withColumn("t", F.expr(_NEWTIER)).agg(F.count_if(F.expr("tier_source = 'manual'")).alias("manual"), F.count_if(F.expr("tier_source <> 'manual' and t <> tier")).alias("would_change"), F.count_if(F.expr("t = 'tier_1'")).alias("tier_1")), f"select count_if(tier_source = 'manual') as manual, count_if(tier_source <> 'manual' and {_NEWTIER} <> tier) as would_change, count_if({_NEWTIER} = 'tier_1') as tier_1 from notices")
-of_notices("e09_title_audit", lambda n: n.withColumn("t", F.expr(_NEWTIER)).groupBy("t").agg(F.count("*").alias("n"), F.count_if(F.expr("t <> 'tier_1' and review_status = 'new'")).alias("quarantine")), f"select {_NEWTIER} as t, count(*) as n, count_if({_NEWTIER} <> 'tier_1' and review_status = 'new') as quarantine from notices group by 1")
 of_notices("e10_prune_audit", lambda n: n.agg(F.count_if(T.normalize_text(F.col("title")).contains("low")).alias("excluded"), F.count_if(~T.normalize_text(F.col("title")).contains("low") & (F.col("tier") == "unclassified")).alias("unrelated")), "select count_if(contains(lower(title), 'low')) as excluded, count_if(not contains(lower(title), 'low') and tier = 'unclassified') as unrelated from notices")
 _YEAR = "(case when year(deadline) < 1996 then null else year(deadline) end)"
 of_notices("e12_annual_summary", lambda n: n.groupBy(F.year("deadline").cast("bigint").alias("year")).agg(F.count("*").alias("total"), F.count_if(F.expr("tier = 'tier_1'")).alias("core"), F.sum(A.listing_budget(F.col("budget"))).cast("bigint").alias("budget")), "select year(deadline) as year, count(*) as total, count_if(tier = 'tier_1') as core, cast(sum(cast(budget as bigint)) as bigint) as budget from notices group by 1")
@@ -324,8 +321,6 @@ def _cascade(s, d):
 
 
 add("i07_delete_cascade", _cascade, "select 'attachments' as \"table\", count(*) as n, count(*) as linked from attachments where notice_id % 5 <> 0 union all select 'deliveries', count(*), count_if(id % 5 <> 0) from notices union all select 'insights', count(*), count(*) from insights where notice_id % 5 <> 0 union all select 'notices', count(*), count(*) from notices where id % 5 <> 0 union all select 'reviews', count(*), count(*) from reviews where notice_id % 5 <> 0", "notices", "attachments", "insights", "reviews")
-of_notices("i08_reclassify", lambda n: n.withColumn("tier", F.when(F.col("tier_source") != "manual", F.expr(_NEWTIER)).otherwise(F.col("tier"))).select("id", "tier"), f"select id, case when tier_source <> 'manual' then {_NEWTIER} else tier end as tier from notices")
-of_notices("i09_quarantine", lambda n: n.withColumn("review_status", F.when(F.expr(f"{_NEWTIER} <> 'tier_1' and review_status = 'new'"), "needs_review").otherwise(F.col("review_status"))).select("id", "review_status"), f"select id, case when {_NEWTIER} <> 'tier_1' and review_status = 'new' then 'needs_review' else review_status end as review_status from notices")
 add("i10_prune", lambda s, d: M.delete_cascade(N(s, d), {"attachments": A_(s, d)}, N(s, d).select(F.col("id").alias("notice_id")), N(s, d).filter(T.normalize_text(F.col("title")).contains("low")))["attachments"].select("notice_id", "id"), "select notice_id, id from attachments where notice_id not in (select id from notices where contains(lower(title), 'low'))", "notices", "attachments")
 _again = lambda s, d: _upd(s, d).filter("change <> 'deduplicated'").select("notice_id", "id", "label", "url")
 add("i11_backfill_attachments", lambda s, d: M.upsert_attachments(_again(s, d), _slim(s, d)).groupBy("change").count(), "select 'updated' as change, count(*) as count from (select distinct notice_id, label, line from attachments)", "attachments")

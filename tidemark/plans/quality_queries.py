@@ -6,6 +6,7 @@ from functools import cached_property, reduce
 
 from pyspark.sql import functions as F
 
+from ..operators import gate as G
 from ..operators import quality as K
 from . import bind
 
@@ -181,5 +182,66 @@ for _k, _code, _part in _SINGLE:
     ORACLES.setdefault(_name, f"select code, count, samples from ({ORACLES[_part]}) where code = '{_code}'")
 QUERIES["k18_empty_notice_data"] = lambda s, d: history(s, d).agg((F.count("*") == 0).alias("empty_notice_data"))
 ORACLES["k18_empty_notice_data"] = "select count(*) = 0 as empty_notice_data from orders"
-QUERIES["k46_summary_record"] = lambda s, d: full_report(s, d).agg(F.count("*").alias("rules"), F.count_if(F.col("count") > 0).alias("broken"), F.sum("count").alias("findings"))
-ORACLES["k46_summary_record"] = f"select count(*) as rules, count_if(count > 0) as broken, cast(sum(count) as bigint) as findings from ({ORACLES['k00_quality_report']})"
+
+
+_REQUIRED = {"notices": ("record_id", "bid_no", "notice_date", "close_date", "open_date"), "awards": ("record_id", "amount", "parse_status"), "contracts": ("record_id", "amount"), "requests": ("request_no",), "bidders": ("record_id",)}
+
+
+def _gate(s, d):
+    """The tables as files, once whole and once broken in every way."""
+    at = bind.folder(s, "gate")
+    h, a = history(s, d), details(bind.attachments(s, d))
+    save = lambda df, name: df.write.csv(f"{at}/{name}", header=True)
+    save(h, "good/notices")
+    save(a, "good/awards")
+    save(a.drop("amount"), "bad/awards")
+    a.select(F.concat_ws(",", F.lit("record_id"), F.lit("amount"), F.lit("record_id")).alias("value")).limit(1).coalesce(1).write.text(f"{at}/bad/contracts")
+    a.select(F.lit("").alias("value")).limit(1).coalesce(1).write.text(f"{at}/bad/bidders")
+    paths = {"notices": f"{at}/good/notices", "awards": f"{at}/bad/awards", "contracts": f"{at}/bad/contracts", "requests": f"{at}/bad/requests", "bidders": f"{at}/bad/bidders"}
+    read = lambda: s.read.csv(f"{at}/good/notices", header=True, inferSchema=False).fillna("")
+    report = lambda: K.report(read(), K.notice_rules(START, END, ["budget", "price"]), F.col("record_id"))
+    runs = {"whole": ({"notices": paths["notices"], "awards": f"{at}/good/awards"}, START), "broken": (paths, "2001-13-01"), "period": ({"notices": paths["notices"]}, "2001-07-01")}
+    out = [G.gated(G.fatal(s, p, {k: _REQUIRED[k] for k in p}, start, END), report).select(F.lit(name).alias("files"), "code", "count", "samples") for name, (p, start) in runs.items()]
+    return reduce(lambda x, y: x.unionByName(y), out)
+
+
+QUERIES["k45_fatal_gate"] = _gate
+ORACLES["k45_fatal_gate"] = f"""select 'whole' as files, code, count, samples from ({ORACLES["k02_notice_rules"]}) union all select 'broken', * from (values ('awards:missing_column', 1, 'amount'), ('contracts:duplicate_header', 1, 'record_id'), ('requests:missing_file', 1, ''), ('bidders:missing_header', 1, ''), ('period:invalid_date', 1, 'start'))
+  union all select 'period', 'period:start_after_end', 1, '2001-07-01 {END}'"""
+
+
+def _summary(s, d):
+    v = Views(s, d)
+    part = F.col("o_orderkey")
+    h = v.history.withColumns({"record_id": F.when(part % 101 == 0, F.lit("twice")).otherwise(F.col("record_id")), "awards_count": part % 5, "contracts_count": part % 4, "detail_value": _if(3, "v", ""), "relevance_status": F.when(part % 3 == 0, "core").when(part % 3 == 1, "review").otherwise(""), "categories": F.when(part % 2 == 0, "a;b").otherwise("b")})
+    t = v.details
+    tables = {"awards": t, "contracts": t.filter(v_part(3)), "bidders": t.filter(v_part(2))}
+    requests = v.attachments.select(F.concat_ws(";", "notice_id", F.when(F.col("part") % 37 == 0, "lost")).alias("links"))
+    access = bind.read(s, d, "supplier").select(F.when(F.col("s_suppkey") == 1, "collection_run").otherwise("svc").alias("service_id"), F.when(F.col("s_suppkey") % 7 == 0, "error").otherwise("usable").alias("status"))
+
+    def write(df):
+        at = bind.folder(s, "records")
+        df.write.parquet(at)
+        return s.read.parquet(at)
+
+    return K.summary_record(h, tables, requests, access, START, END, ["budget", "price"], write)
+
+
+v_part = lambda n: F.col("supp") % n == 0
+_CONDITIONS = dict(_NOTICE)
+_JSON = "(select '{' || string_agg('\"' || v || '\":' || n, ',' order by v) || '}' from (select {0} as v, count(*) as n from {1} group by 1))"
+_share = lambda value, source: _JSON.replace("{0}", value).replace("{1}", source)
+QUERIES["k46_summary_record"] = _summary
+ORACLES["k46_summary_record"] = bind.sql("attachments") + f""", h as (select *, case when {k(101)} then 'twice' else {_SID} end as r from orders),
+d as (select *, {_RID} as r, part % 59 <> 0 as good from attachments),
+p as (select r, count_if(good) as a, count_if(good and supp % 3 = 0) as c from d group by 1), j as (select h.*, coalesce(a, 0) as a, coalesce(c, 0) as c from h left join p using (r)),
+l as (select cast(notice_id as varchar) as r from attachments union all select 'lost' from attachments where part % 37 = 0)
+select '{START}' as start_date, '{END}' as end_date, count(*) as notices, (select count(*) from d) as awards, (select count(*) from d where supp % 3 = 0) as contracts, (select count(*) from d where supp % 2 = 0) as bidders, (select count(*) from d) as procurement_requests, (select count(*) from supplier) as access_rows,
+  count_if(r <> '') - count(distinct case when r <> '' then r end) as duplicate_record_rows, count_if({_CONDITIONS["blank_bid_notice_no"]}) as blank_bid_notice_no, count_if({_CONDITIONS["notice_date_outside_period"]}) as notice_date_outside_period, count_if({_CONDITIONS["invalid_date_value"]}) as invalid_date_values,
+  count_if({_CONDITIONS["date_chronology_violation"]}) as chronology_violations, count_if({_CONDITIONS["non_numeric_amount"]}) as invalid_amount_values, count_if({_CONDITIONS["negative_amount"]}) as negative_amount_values,
+  {", ".join(f"count_if({_CONDITIONS[x + '_status_without_data']}) as {x}_status_without_data" for x in ("participant", "award", "contract", "request"))}, count_if({_CONDITIONS["procurement_request_data_without_number"]}) as procurement_request_data_without_number,
+  count_if(o_orderkey % 5 <> a) as award_detail_summary_mismatch, count_if(o_orderkey % 4 <> c) as contract_detail_summary_mismatch, count_if(a > 1 and {k(3)}) as unsafe_multiple_summary,
+  (select count(*) from d where r not in (select r from h)) as orphan_award_rows, (select count(*) from d where supp % 3 = 0 and r not in (select r from h)) as orphan_contract_rows, (select count(*) from d where supp % 2 = 0 and r not in (select r from h)) as orphan_bidder_rows,
+  (select count(*) from l where r not in (select r from h)) as orphan_procurement_request_links, (select max(case when s_suppkey % 7 = 0 then 'error' else 'usable' end) from supplier where s_suppkey = 1) as collection_run_status,
+  {_share("case o_orderkey % 3 when 0 then 'core' when 1 then 'review' else '(blank)' end", "orders")} as relevance_status, {_share(f"case when {k(73)} then '1900' else cast(year(o_orderdate) as varchar) end", "orders")} as notice_year,
+  {_share("c", "(select 'b' as c from orders union all select 'a' from orders where o_orderkey % 2 = 0)")} as categories, {_share("case when s_suppkey % 7 = 0 then 'error' else 'usable' end", "supplier")} as access_status from j"""
