@@ -18,7 +18,7 @@ def list_order() -> list[Column]:
     return [F.desc("score"), F.coalesce("deadline_at", F.lit("")), F.desc("first_seen"), F.col("id")]
 
 
-def flagged(notices: DataFrame, attachments: DataFrame, as_of: Column, due_days: int = 7, min_score: int = 3) -> DataFrame:
+def flagged(notices: DataFrame, attachments: DataFrame, as_of: Column, due_days: int = 7, min_score: int = 3, tiers: tuple[str, ...] = VISIBLE) -> DataFrame:
     """Visible notices that are no samples, with what the briefing asks of them: eligible, and,
     false for those that aren't, new_today, urgent, due (has a deadline label), missing (no
     document), watched, high_missing (two points above the least score)."""
@@ -26,7 +26,7 @@ def flagged(notices: DataFrame, attachments: DataFrame, as_of: Column, due_days:
     days = dates.days_remaining(F.col("deadline"), as_of)
     active = dates.is_active(F.col("category"), F.col("deadline_at"), F.lit(""), F.lit(None).cast("timestamp"), as_of)
     sample = F.lower(F.coalesce("source_id", F.lit(""))).startswith("sample_")
-    v = notices.filter(F.col("tier").isin(*VISIBLE) & ~sample).join(counts, "id", "left") \
+    v = notices.filter(F.col("tier").isin(*tiers) & ~sample).join(counts, "id", "left") \
         .withColumns({"documents": F.coalesce("documents", F.lit(0)), "days": days, "label": F.when(active, dates.deadline_label(days)).otherwise("")})
     v = v.withColumn("eligible", (F.col("score") >= min_score) & active & ~F.col("review_status").isin(*LEFT_OUT))
     flag = lambda c: F.col("eligible") & F.coalesce(c, F.lit(False))

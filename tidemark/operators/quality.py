@@ -47,7 +47,8 @@ def orphans(details: DataFrame, notices: DataFrame, key: str, code: str) -> Data
     return report(lost, {code: F.lit(True)}, F.col(key))
 
 
-def notice_rules(start: str, end: str, amounts: Sequence[str]) -> dict[str, Column]:
+def notice_rules(start: str, end: str, amounts: Sequence[str], contract_details: Column | None = None) -> dict[str, Column]:
+    """contract_details: the notice's good contract rows, which count as contract data."""
     notice, close, opening = (parse_data_ts(F.coalesce(F.col(c), F.lit(""))) for c in ("notice_date", "close_date", "open_date"))
     bad = notice.isNull() | (~blank("close_date") & close.isNull()) | (~blank("open_date") & opening.isNull())
     chronology = F.when(notice > close, True).otherwise(F.coalesce(close > opening, F.lit(False)))
@@ -59,7 +60,7 @@ def notice_rules(start: str, end: str, amounts: Sequence[str]) -> dict[str, Colu
         "notice_date_outside_period": ~F.to_date(notice).between(F.lit(start).cast("date"), F.lit(end).cast("date")), "date_chronology_violation": chronology,
         "notice_year_mismatch": ~blank("notice_year") & (F.year(notice).cast("string") != F.trim("notice_year")), "non_numeric_amount": any_("invalid"), "negative_amount": any_("negative"),
         "participant_status_without_data": missing("participant_status", "participant_count"), "award_status_without_data": missing("award_status", "award_company"),
-        "contract_status_without_data": missing("contract_status", "contract_no"), "request_status_without_data": missing("request_status", "request_no", "request_name"),
+        "contract_status_without_data": missing("contract_status", "contract_no") & (F.coalesce(contract_details if contract_details is not None else F.lit(0), F.lit(0)) == 0), "request_status_without_data": missing("request_status", "request_no", "request_name"),
         "procurement_request_data_without_number": ~blank("request_name") & blank("request_no"),
     }
 
@@ -160,7 +161,7 @@ def summary_record(notices: DataFrame, details: Mapping[str, DataFrame], request
     read once: its flags are summed in one aggregate, details and links come down to a row a
     record (``write`` keeps that table), which the notices are joined with. details: awards,
     contracts, bidders; requests has links (ids joined by ;); access service_id, status."""
-    rules = notice_rules(start, end, amounts)
+    rules = notice_rules(start, end, amounts, F.col("contracts_good"))
     states = F.array(*[amount_status(F.col(a))["status"] for a in amounts])
     values = lambda what: F.coalesce(F.sum(F.size(F.filter(states, lambda s: s == what))), F.lit(0))
     n = lambda code: F.count_if(F.coalesce(rules[code], F.lit(False)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import audits as Audits
 from ..operators import briefing as B
 from ..operators import classify as C
+from ..operators import workbench as W
 from . import bind
 
 QUERIES: dict = {}
@@ -45,7 +46,7 @@ add("m02_briefing", lambda s, d: B.lists(flagged(s, d), LIMIT, bind.folder(s, "d
     _list("action_queue", f"{_BRANCH} is not null", _QUEUE), _list("new_today", "new_today", _LISTED), _list("urgent", "urgent", _LISTED), _list("missing_documents", "missing", _LISTED), _list("deadline_priority", "due", _LISTED, False))), *_VIEWS)
 
 
-def workbench(s, d):
+def workbench(s, d, tiers=B.VISIBLE):
     """Notices with nested links and insights, some without a public link, and inner columns."""
     a = bind.attachments(s, d)
     url = F.when(F.col("line") % 4 == 3, "").when(F.col("line") % 4 == 2, F.concat(F.lit("ftp://h/"), "part")).otherwise(F.col("url"))
@@ -54,8 +55,8 @@ def workbench(s, d):
     status = F.when(F.col("supp") % 4 < 2, "extracted").when(F.col("supp") % 4 == 2, "missing_document_url").otherwise("download_failed")
     summary = F.when(F.col("quantity") < 10, " ").otherwise(F.concat(F.lit("task "), "part"))
     found = a.filter("id <= 3").groupBy("notice_id").agg(F.array_sort(F.collect_list(F.struct("id", label.alias("document_label"), url.alias("document_url"), status.alias("status"), summary.alias("summary"), F.lit("/inner/path").alias("cache_path")))).alias("insights"))
-    n = B.flagged(bind.notices(s, d), a, bind.as_of(AS_OF))
-    n = n.withColumns({"active": F.col("deadline") >= bind.as_of(AS_OF), "new_today": F.to_date("first_seen") == F.lit(AS_OF[:10]).cast("date"), "source_id": F.when(F.col("id") % 17 == 0, "sample_x").otherwise(F.col("source_id")), "review_note": F.lit("inner")})
+    n = B.flagged(bind.notices(s, d), a, bind.as_of(AS_OF), tiers=tiers)
+    n = n.withColumns({"tiered_at": F.when(F.col("id") % 2 == 0, bind.as_of(AS_OF)), "active": F.col("deadline") >= bind.as_of(AS_OF), "new_today": F.to_date("first_seen") == F.lit(AS_OF[:10]).cast("date"), "source_id": F.when(F.col("id") % 17 == 0, "sample_x").otherwise(F.col("source_id")), "review_note": F.lit("inner")})
     n = n.withColumn("new_tier_1", F.col("new_today") & F.col("active") & (F.col("tier") == "tier_1"))
     key = lambda x: x.withColumnRenamed("notice_id", "id")
     return n.join(key(links), "id", "left").join(key(found), "id", "left")
@@ -98,3 +99,48 @@ add("e08_tier_audit", lambda s, d: Audits.tier_audit(bind.notices(s, d), _TERMS)
 add("i08_reclassify", lambda s, d: Audits.reclassify(bind.notices(s, d), _TERMS).select("id", "tier", "tier_source"), f"select id, case when tier_source <> 'manual' then {_NEW} else tier end as tier, tier_source from notices", "notices")
 add("e09_title_audit", lambda s, d: Audits.title_audit(bind.notices(s, d).filter(_CONCERNED), _policy()), f"select count(*) as total, {', '.join(f"count_if({_SAID} = '{x}') as {x}" for x in ('strong', 'needs_review', 'ignore'))}, count_if({_SAID} <> 'strong' and review_status = 'new') as eligible_for_quarantine from notices where {_CONCERNED}", "notices")
 add("i09_quarantine", lambda s, d: Audits.quarantine(bind.notices(s, d).withColumn("review_note", F.lit("")), _policy(), "look at it", F.expr(_CONCERNED)).select("id", "review_status", "review_note"), f"select id, case when {_CONCERNED} and {_SAID} <> 'strong' and review_status = 'new' then 'needs_review' else review_status end as review_status, case when {_CONCERNED} and {_SAID} <> 'strong' and review_status = 'new' then 'look at it' else '' end as review_note from notices", "notices")
+
+
+def _bench(s, d):
+    return W.notices(workbench(s, d, W.TIERS), bind.as_of(AS_OF))
+
+
+bind.SQL["desk"] = f"""desk as (select n.*, case when id % 17 = 0 then 'sample_not_priority' when tier <> 'tier_1' then 'not_priority' when review_status in ('not_relevant', 'closed', 'lost', 'won') then 'not_priority' else 'official_tier_1' end as priority,
+  case when id % 17 = 0 then 90 when tier <> 'tier_1' then 80 when review_status in ('not_relevant', 'closed', 'lost', 'won') then 70 else 0 end as rank,
+  case when reads > 0 then 'extracted' when links > 0 then 'fallback_notice_info' else 'not_attempted' end as document_status, case when not is_active then '' when {_DAYS} = 0 then 'D-DAY' when {_DAYS} between 1 and 7 then 'D-' || {_DAYS} else '' end as label
+  from (select n.*, deadline >= timestamp '{AS_OF}' as is_active, cast(first_seen as date) = date '{AS_OF[:10]}' as is_new, coalesce(links, 0) as links, coalesce(named, 0) as named, coalesce(reads, 0) as reads from notices n
+  left join (select notice_id, count(*) as links, count_if(line % 4 <> 3) as named, count_if({_READ} and id <= 3) as reads from attachments group by 1) a on a.notice_id = n.id where tier in ('tier_1', 'tier_2', 'tier_3')) n)"""
+_DESK = ("notices", "attachments", "desk")
+_NEW_1 = "(tier = 'tier_1' and (is_new or (tier_source = 'manual' and id % 2 = 0)) and is_active and priority = 'official_tier_1')"
+add("m03_workbench", lambda s, d: _bench(s, d).select("id", "tier", "active", "label", "document_status", F.col("priority.status").alias("priority"), F.col("priority.rank").alias("rank"), "new_today", "new_tier_1", "readable", "fallback", F.coalesce(F.size("attachments"), F.lit(0)).alias("links")),
+    f"select id, tier, is_active as active, label, document_status, priority, rank, is_new as new_today, {_NEW_1} as new_tier_1, reads as readable, document_status <> 'extracted' as fallback, links from desk", *_DESK)
+add("m03_documents", lambda s, d: W.documents(_bench(s, d)).select("notice_id", "title", "document_label", "document_url", "summary"),
+    f"select n.id as notice_id, title, {_LABEL} as document_label, case line % 4 when 3 then '' when 2 then 'ftp://h/' || part else a.url end as document_url, 'task ' || part as summary from desk n join attachments a on a.notice_id = n.id where {_READ} and a.id <= 3", *_DESK)
+add("m05_new_tier1_today", lambda s, d: _bench(s, d).filter("new_tier_1").select("id"), f"select id from desk where {_NEW_1}", *_DESK)
+add("c25_priority_metadata", lambda s, d: _bench(s, d).select("id", "priority.status", "priority.rank", (F.length("priority.reason") > 0).alias("reasoned")), "select id, priority as status, rank, true as reasoned from desk", *_DESK)
+add("e05_workbench_summary", lambda s, d: W.counts(_bench(s, d)), f"""select count(*) as total_notices, count_if(is_active) as active_notices, {", ".join(f"count_if(is_active and tier = '{x}') as active_{x}, count_if(tier = '{x}') as {x}" for x in W.TIERS)}, count_if(is_new) as new_today, count_if(is_new and is_active) as new_active_today, count_if({_NEW_1}) as new_tier_1_today,
+  count_if(is_new and tier = 'tier_2') as new_tier_2_today, cast(sum(reads) as bigint) as extracted_documents, count_if(document_status = 'fallback_notice_info') as fallback_notices, count_if(document_status = 'fallback_notice_info' and named = 0) as missing_document_urls,
+  count_if(priority = 'official_tier_1') as official_tier_1_priorities, count_if(label = 'D-7') as deadline_d7, count_if(label = 'D-3') as deadline_d3 from desk""", *_DESK)
+add("e15_workbook_counts", lambda s, d: W.workbook_counts(_bench(s, d)), "select 'activity' as counted, tier, case when is_active then 'active' else 'closed' end as value, count(*) as count from desk group by all union all select 'label', '', label, count(*) from desk group by all union all select 'extracted', tier, '', cast(sum(reads) as bigint) from desk group by all", *_DESK)
+
+
+def _read_documents(s, d):
+    """Line items as documents that reading got more or less far with."""
+    a = bind.attachments(s, d)
+    key = lambda n: F.col("part") % n == 0
+    status = W.extraction_status(F.when(key(7), "").when(key(5), F.concat(F.lit("ftp://h/"), "part")).otherwise(F.col("url")), F.when(F.col("notice_id") % 17 == 0, "sample_x").otherwise("s"), F.lit("http://h/n"), F.when(key(3), "pdf").otherwise("HWPX"),
+                                 F.when(F.col("supp") % 6 < 5, F.col("supp") % 6 > 0), F.col("supp") % 6 > 1, F.col("supp") % 6 > 2)
+    return a.select("notice_id", "id", status.alias("status"))
+
+
+add("c26_extraction_status", _read_documents, "select notice_id, id, case when part % 7 = 0 then 'missing_document_url' when notice_id % 17 = 0 then 'sample_source' when part % 3 = 0 or part % 5 = 0 then 'unsupported_file_type' else (['download_failed', 'parse_failed', 'processed_no_evidence', 'extracted', 'extracted', 'not_attempted'])[supp % 6 + 1] end as status from attachments", "notices", "attachments")
+
+
+def _annual(s, d):
+    n, key = bind.notices(s, d), F.col("id")
+    h = n.select(F.when(key % 5 == 0, " ").otherwise(F.year("deadline").cast("string")).alias("notice_year"), F.when(key % 35 == 0, "none").otherwise(F.col("deadline_at")).alias("notice_date"), F.when(key % 3 == 0, "core").when(key % 3 == 1, "review").when(key % 2 == 0, "exclude: x").otherwise("").alias("relevance_status"),
+                 F.when(key % 4 == 0, "n/a").otherwise(F.col("budget")).alias("budget"))
+    return W.annual(h)
+
+
+add("e12_annual_summary", _annual, "select case when id % 35 = 0 then '' else cast(year(deadline) as varchar) end as year, count(*) as total, count_if(id % 3 = 0) as core, count_if(id % 3 = 1) as review, count_if(id % 3 = 2 and id % 2 = 0) as excluded, cast(coalesce(sum(cast(budget as bigint)) filter (id % 4 <> 0), 0) as bigint) as budget, count_if(id % 4 <> 0) as budget_known from notices group by 1", "notices")

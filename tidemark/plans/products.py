@@ -59,9 +59,6 @@ _counted = lambda rows: rows.orderBy("id").limit(25).crossJoin(rows.agg(F.count(
 of_notices("c22_dashboard_filter", lambda n: _counted(n.filter(F.col("active") & T.normalize_text(F.col("title")).contains("high") & (F.col("label") != ""))), f"select id, count(*) over () as total from notices where {ACTIVE} and contains(lower(title), 'high') and {LABEL} <> '' order by id limit 25")
 of_notices("c23_visible_filter", lambda n: n.filter(F.col("tier").isin("tier_1", "tier_2") & ~T.is_sample(F.col("source_id"), F.col("url"))).select("id"), f"select id from notices where {VISIBLE}")
 of_notices("c24_not_historical", lambda n: n.filter(F.col("first_seen").isNull() | (F.to_date("first_seen") >= F.lit("2001-01-15").cast("date"))).select("id"), "select id from notices where cast(first_seen as date) >= date '2001-01-15'")
-of_notices("c25_priority_metadata", lambda n: n.select("id", F.when(F.col("tier") != "tier_1", 70).when(F.col("review_status").isin("not_relevant", "lost", "closed"), 80).otherwise(0).alias("rank")), "select id, case when tier <> 'tier_1' then 70 when review_status in ('not_relevant', 'lost', 'closed') then 80 else 0 end as rank from notices")
-add("c26_extraction_status", lambda s, d: O.document_rows(N(s, d), A_(s, d), tz()).select("id", F.coalesce("attachment_id", F.lit(0)).alias("attachment_id"), F.when(F.col("document_url").isNull(), "missing_document_url").when(T.file_extension(F.col("document_label")) == "", "unsupported_file_type").when(~T.is_http(F.col("document_url")), "not_attempted").otherwise("extracted").alias("status")),
-    "select n.id, coalesce(a.id, 0) as attachment_id, case when a.id is null then 'missing_document_url' else 'unsupported_file_type' end as status from notices n left join attachments a on a.notice_id = n.id", "notices", "attachments")
 of_notices("c27_intake_review_flag", lambda n: n.filter("review_status = 'needs_review'").select("id", F.lit("review").alias("category"), F.concat(F.lit("check: "), "title").alias("note")), "select id, 'review' as category, 'check: ' || title as note from notices where review_status = 'needs_review'")
 
 # joins
@@ -156,14 +153,10 @@ def _kind_summary(s, d):
 
 add("e03_kind_summary", _kind_summary, f"select k.kind, count(x.kind) as count from (select unnest({list(T.KINDS)}) as kind) k left join ({_DOCS_SQL}) x on x.kind = k.kind group by 1", "notices", "attachments")
 add("e04_extraction_outcomes", lambda s, d: I(s, d).groupBy("status").count(), "select status, count(*) as count from insights group by 1", "attachments", "insights")
-of_notices("e05_workbench_summary", lambda n: n.agg(F.count("*").alias("total"), F.count_if(F.col("active")).alias("active"), F.count_if(F.col("active") & (F.col("tier") == "tier_1")).alias("active_tier_1"), F.count_if(F.col("active") & (F.col("tier") == "tier_2")).alias("active_tier_2"), F.count_if(F.to_date("first_seen") == F.to_date(tz())).alias("new_today"), F.count_if(F.col("active") & F.col("label").isin("D-DAY", "D-1", "D-2", "D-3")).alias("d3"), F.count_if(F.col("active") & (F.col("label") != "")).alias("d7")),
-           f"select count(*) as total, count_if({ACTIVE}) as active, count_if({ACTIVE} and tier = 'tier_1') as active_tier_1, count_if({ACTIVE} and tier = 'tier_2') as active_tier_2, count_if(cast(first_seen as date) = date '2001-07-25') as new_today, count_if({ACTIVE} and {LABEL} in ('D-DAY', 'D-1', 'D-2', 'D-3')) as d3, count_if({ACTIVE} and {LABEL} <> '') as d7 from notices")
 of_notices("e10_prune_audit", lambda n: n.agg(F.count_if(T.normalize_text(F.col("title")).contains("low")).alias("excluded"), F.count_if(~T.normalize_text(F.col("title")).contains("low") & (F.col("tier") == "unclassified")).alias("unrelated")), "select count_if(contains(lower(title), 'low')) as excluded, count_if(not contains(lower(title), 'low') and tier = 'unclassified') as unrelated from notices")
 _YEAR = "(case when year(deadline) < 1996 then null else year(deadline) end)"
-of_notices("e12_annual_summary", lambda n: n.groupBy(F.year("deadline").cast("bigint").alias("year")).agg(F.count("*").alias("total"), F.count_if(F.expr("tier = 'tier_1'")).alias("core"), F.sum(A.listing_budget(F.col("budget"))).cast("bigint").alias("budget")), "select year(deadline) as year, count(*) as total, count_if(tier = 'tier_1') as core, cast(sum(cast(budget as bigint)) as bigint) as budget from notices group by 1")
 of_notices("e13_category_summary", lambda n: n.select(F.explode("keywords").alias("category"), "tier").groupBy("category").agg(F.count("*").alias("total"), F.count_if(F.expr("tier = 'tier_1'")).alias("core")).orderBy(F.desc("total"), "category"), "select category, count(*) as total, count_if(tier = 'tier_1') as core from (select unnest(keywords) as category, tier from notices) group by 1")
 add("e14_history_kpis", lambda s, d: N(s, d).agg(F.count("*").alias("total"), F.min("deadline_at").alias("first"), F.max("deadline_at").alias("last"), F.sum(F.when(F.year("deadline") >= 1996, F.col("budget").cast("bigint"))).alias("budget")).crossJoin(A_(s, d).agg(F.count_distinct("notice_id").alias("with_detail"))), f"select count(*) as total, min(deadline_at) as first, max(deadline_at) as last, cast(sum(case when {_YEAR} is not null then cast(budget as bigint) end) as bigint) as budget, (select count(distinct notice_id) from attachments) as with_detail from notices", "notices", "attachments")
-of_notices("e15_workbook_counts", lambda n: n.groupBy("tier", "active").count(), f"select tier, {ACTIVE} as active, count(*) as count from notices group by 1, 2")
 add("e16_status_label_counts", lambda s, d: I(s, d).groupBy(T.labelled(F.col("status"), {"extracted": "done"}).alias("label")).count(), "select case status when 'extracted' then 'done' else status end as label, count(*) as count from insights group by 1", "attachments", "insights")
 of_notices("e18_qa_distributions", lambda n: n.groupBy(F.coalesce(F.nullif(F.when(F.col("id") % 9 == 0, "").otherwise(F.col("source_id")), F.lit("")), F.lit("(blank)")).alias("value")).count().orderBy(F.desc("count"), "value"), "select case when id % 9 = 0 then '(blank)' else source_id end as value, count(*) as count from notices group by 1")
 add("e19_search_term_set", lambda s, d: A_(s, d).groupBy("notice_id").agg(F.array_join(F.array_sort(F.collect_set("label")), "; ").alias("terms")), "select notice_id, string_agg(distinct label, '; ' order by label) as terms from attachments group by 1", "attachments")
@@ -343,8 +336,6 @@ def _workbench(s, d):
 bind.SQL["bench"] = f"best as (select * from (select notice_id, summary, status, row_number() over (partition by notice_id order by case status when 'extracted' then 0 when 'processed_no_evidence' then 1 when 'missing_document_url' then 2 else 5 end, document_label, id) as rn from insights where summary <> '') where rn = 1), bench as (select n.*, {DAYS} as days, {LABEL} as label, {ACTIVE} as active, {TIER} as tier_rank, b.summary, b.status as document_status, coalesce(fit, 'not_reviewed') as fit from notices n left join best b on b.notice_id = n.id left join reviews r on r.notice_id = n.id where {VISIBLE})"
 _BV = ("notices", "attachments", "insights", "reviews", "bench")
 bench = lambda name, q, sql: add(name, lambda s, d: q(_workbench(s, d)), sql, *_BV)
-bench("m03_workbench", lambda w: w.select("id", "summary", "document_status", "fit", "active"), "select id, summary, document_status, fit, active from bench")
-of_notices("m05_new_tier1_today", lambda n: n.filter((F.to_date("first_seen") == F.lit("2001-07-11").cast("date")) & (F.col("tier") == "tier_1") & F.col("active")).select("id"), f"select id from notices where cast(first_seen as date) = date '2001-07-11' and tier = 'tier_1' and {ACTIVE}")
 of_notices("m06_urgent_list", lambda n: n.filter(f"active and {VISIBLE} and label <> ''").select("id", "label"), f"select id, {LABEL} as label from notices where {ACTIVE} and {VISIBLE} and {LABEL} <> ''")
 of_notices("m07_upcoming_list", lambda n: n.filter(D.is_upcoming(F.col("category"), F.col("deadline"), F.lit(""), F.col("deadline") - F.expr("interval 3 days"), tz()) & (F.col("tier") == "tier_1")).select("id"), f"select id from notices where category = 'grant_application' and tier = 'tier_1' and deadline - interval 3 day > {AT}")
 of_notices("m08_priority_list", lambda n: n.filter("tier = 'tier_1' and active and review_status not in ('not_relevant', 'lost', 'closed')").select("id"), f"select id from notices where tier = 'tier_1' and {ACTIVE} and review_status not in ('not_relevant', 'lost', 'closed')")

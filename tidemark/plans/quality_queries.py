@@ -26,7 +26,7 @@ def history(s, d):
         "o_orderkey", _if(97, "", key).alias("record_id"), _if(89, "", F.col("o_custkey").cast("string")).alias("bid_no"), _if(83, "x", day(F.lit(0))).alias("notice_date"), _if(79, day(F.lit(-10)), day(F.lit(10))).alias("close_date"),
         day(F.lit(11)).alias("open_date"), _if(73, "1900", F.year("o_orderdate").cast("string")).alias("notice_year"), _if(71, "abc", F.floor("o_totalprice").cast("string")).alias("budget"), _if(67, "-5", "").alias("price"),
         _if(5, "collected", "pending").alias("participant_status"), _if(10, "3", "").alias("participant_count"), _if(6, "완료", "미수집").alias("award_status"), _if(12, "c", "").alias("award_company"),
-        _if(7, "success", "").alias("contract_status"), _if(14, "n", "").alias("contract_no"), _if(8, "completed", "").alias("request_status"), _if(16, "q", "").alias("request_no"), _if(24, "name", "").alias("request_name"),
+        _if(7, "success", "").alias("contract_status"), _if(14, "n", "").alias("contract_no"), _if(8, "completed", "").alias("request_status"), _if(16, "q", "").alias("request_no"), _if(24, "name", "").alias("request_name"), _if(21, 2, 0).alias("contract_details"),
     )
 
 
@@ -73,7 +73,7 @@ _DAY = "cast(o_orderdate as date)"
 _NOTICE = [
     ("blank_record_id", k(97)), ("blank_bid_notice_no", k(89)), ("invalid_date_value", k(83)), ("notice_date_outside_period", f"not {k(83)} and not {_DAY} between date '{START}' and date '{END}'"),
     ("date_chronology_violation", f"{k(79)} and not {k(83)}"), ("notice_year_mismatch", f"{k(73)} and not {k(83)}"), ("non_numeric_amount", k(71)), ("negative_amount", k(67)),
-    ("participant_status_without_data", f"{k(5)} and not {k(10)}"), ("award_status_without_data", f"{k(6)} and not {k(12)}"), ("contract_status_without_data", f"{k(7)} and not {k(14)}"),
+    ("participant_status_without_data", f"{k(5)} and not {k(10)}"), ("award_status_without_data", f"{k(6)} and not {k(12)}"), ("contract_status_without_data", f"{k(7)} and not {k(14)} and not {k(21)}"),
     ("request_status_without_data", f"{k(8)} and not {k(16)} and not {k(24)}"), ("procurement_request_data_without_number", f"{k(24)} and not {k(16)}"),
 ]
 _RID = "(case when part % 31 = 0 then 'none' else cast(notice_id as varchar) end)"
@@ -82,7 +82,7 @@ _RATE = ("invalid_{0}_rate", "part % 47 = 0 or part % 53 = 0")
 
 
 def _notices(v):
-    return K.report(v.history, K.notice_rules(START, END, ["budget", "price"]), F.col("record_id"))
+    return K.report(v.history, K.notice_rules(START, END, ["budget", "price"], F.col("contract_details")), F.col("record_id"))
 
 
 def _detail(prefix, rate):
@@ -106,8 +106,11 @@ ORACLES["k01_duplicate_record_id"] = f"select 'duplicate_record_id' as code, cas
 
 
 def _mismatch(v):
-    n = v.history.select("record_id", (F.col("o_orderkey") % 5).alias("detail_count"), _if(3, "v", "").alias("detail_value"))
-    return K.summary_mismatch(n, v.details, "award_detail_summary_mismatch", "multiple_result_summarized_unsafely")
+    fields = ("company", "amount", "rate", "order")
+    own = lambda i: (F.col("o_orderkey") % (i + 3)).cast("string")
+    n = v.history.select("record_id", (F.col("o_orderkey") % 5).alias("detail_count"), _if(3, "v", "").alias("detail_value"), *[_if(11 + 2 * i, "x", own(i)).alias(f"award_{c}") for i, c in enumerate(fields)])
+    found = v.details.drop("amount", "rate").withColumns({c: F.when(F.col("record_id") != "none", (F.col("record_id").cast("long") % (i + 3)).cast("string")) for i, c in enumerate(fields)})
+    return K.summary_mismatch(n, found, "award_detail_summary_mismatch", "multiple_result_summarized_unsafely", pairs={f"award_{c}": c for c in fields})
 
 
 def _contract_mismatch(v):
@@ -118,7 +121,7 @@ def _contract_mismatch(v):
 
 _COUNTED = f", c as (select {_RID} as r, count(*) as n from attachments where part % 59 <> 0 group by 1), j as (select o_orderkey, {_SID} as r, coalesce(n, 0) as n from orders left join c on c.r = {_SID}) "
 _REPORTS["k15_summary_mismatch"] = _mismatch
-ORACLES["k15_summary_mismatch"] = bind.sql("attachments") + _COUNTED + _rows([("award_detail_summary_mismatch", "o_orderkey % 5 <> n", "r"), ("multiple_result_summarized_unsafely", "n > 1 and o_orderkey % 3 = 0", "r")], "j")
+ORACLES["k15_summary_mismatch"] = bind.sql("attachments") + _COUNTED + _rows([("award_detail_summary_mismatch", "o_orderkey % 5 <> n or (n = 1 and (" + " or ".join(k(11 + 2 * i) for i in range(4)) + "))", "r"), ("multiple_result_summarized_unsafely", "n > 1 and o_orderkey % 3 = 0", "r")], "j")
 _REPORTS["k16_contract_detail_summary_mismatch"] = _contract_mismatch
 ORACLES["k16_contract_detail_summary_mismatch"] = bind.sql("attachments") + _COUNTED + _rows([("contract_detail_summary_mismatch", "o_orderkey % 5 <> n or (n = 1 and o_orderkey % 3 = 0)", "r")], "j")
 
@@ -199,7 +202,7 @@ def _gate(s, d):
     a.select(F.lit("").alias("value")).limit(1).coalesce(1).write.text(f"{at}/bad/bidders")
     paths = {"notices": f"{at}/good/notices", "awards": f"{at}/bad/awards", "contracts": f"{at}/bad/contracts", "requests": f"{at}/bad/requests", "bidders": f"{at}/bad/bidders"}
     read = lambda: s.read.csv(f"{at}/good/notices", header=True, inferSchema=False).fillna("")
-    report = lambda: K.report(read(), K.notice_rules(START, END, ["budget", "price"]), F.col("record_id"))
+    report = lambda: K.report(read(), K.notice_rules(START, END, ["budget", "price"], F.col("contract_details").cast("int")), F.col("record_id"))
     runs = {"whole": ({"notices": paths["notices"], "awards": f"{at}/good/awards"}, START), "broken": (paths, "2001-13-01"), "period": ({"notices": paths["notices"]}, "2001-07-01")}
     out = [G.gated(G.fatal(s, p, {k: _REQUIRED[k] for k in p}, start, END), report).select(F.lit(name).alias("files"), "code", "count", "samples") for name, (p, start) in runs.items()]
     return reduce(lambda x, y: x.unionByName(y), out)
@@ -239,7 +242,7 @@ l as (select cast(notice_id as varchar) as r from attachments union all select '
 select '{START}' as start_date, '{END}' as end_date, count(*) as notices, (select count(*) from d) as awards, (select count(*) from d where supp % 3 = 0) as contracts, (select count(*) from d where supp % 2 = 0) as bidders, (select count(*) from d) as procurement_requests, (select count(*) from supplier) as access_rows,
   count_if(r <> '') - count(distinct case when r <> '' then r end) as duplicate_record_rows, count_if({_CONDITIONS["blank_bid_notice_no"]}) as blank_bid_notice_no, count_if({_CONDITIONS["notice_date_outside_period"]}) as notice_date_outside_period, count_if({_CONDITIONS["invalid_date_value"]}) as invalid_date_values,
   count_if({_CONDITIONS["date_chronology_violation"]}) as chronology_violations, count_if({_CONDITIONS["non_numeric_amount"]}) as invalid_amount_values, count_if({_CONDITIONS["negative_amount"]}) as negative_amount_values,
-  {", ".join(f"count_if({_CONDITIONS[x + '_status_without_data']}) as {x}_status_without_data" for x in ("participant", "award", "contract", "request"))}, count_if({_CONDITIONS["procurement_request_data_without_number"]}) as procurement_request_data_without_number,
+  {", ".join(f"count_if({_CONDITIONS[x + '_status_without_data']}) as {x}_status_without_data" for x in ("participant", "award", "request"))}, count_if({k(7)} and not {k(14)} and c = 0) as contract_status_without_data, count_if({_CONDITIONS["procurement_request_data_without_number"]}) as procurement_request_data_without_number,
   count_if(o_orderkey % 5 <> a) as award_detail_summary_mismatch, count_if(o_orderkey % 4 <> c) as contract_detail_summary_mismatch, count_if(a > 1 and {k(3)}) as unsafe_multiple_summary,
   (select count(*) from d where r not in (select r from h)) as orphan_award_rows, (select count(*) from d where supp % 3 = 0 and r not in (select r from h)) as orphan_contract_rows, (select count(*) from d where supp % 2 = 0 and r not in (select r from h)) as orphan_bidder_rows,
   (select count(*) from l where r not in (select r from h)) as orphan_procurement_request_links, (select max(case when s_suppkey % 7 = 0 then 'error' else 'usable' end) from supplier where s_suppkey = 1) as collection_run_status,
