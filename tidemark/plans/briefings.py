@@ -115,7 +115,7 @@ _NEW_1 = "(tier = 'tier_1' and (is_new or (tier_source = 'manual' and id % 2 = 0
 add("m03_workbench", lambda s, d: _bench(s, d).select("id", "tier", "active", "label", "document_status", F.col("priority.status").alias("priority"), F.col("priority.rank").alias("rank"), "new_today", "new_tier_1", "readable", "fallback", F.coalesce(F.size("attachments"), F.lit(0)).alias("links")),
     f"select id, tier, is_active as active, label, document_status, priority, rank, is_new as new_today, {_NEW_1} as new_tier_1, reads as readable, document_status <> 'extracted' as fallback, links from desk", *_DESK)
 add("m03_documents", lambda s, d: W.documents(_bench(s, d)).select("notice_id", "title", "document_label", "document_url", "summary"),
-    f"select n.id as notice_id, title, {_LABEL} as document_label, case line % 4 when 3 then '' when 2 then 'ftp://h/' || part else a.url end as document_url, 'task ' || part as summary from desk n join attachments a on a.notice_id = n.id where {_READ} and a.id <= 3", *_DESK)
+    f"select n.id as notice_id, title, name as document_label, case line % 4 when 3 then '' when 2 then 'ftp://h/' || part else a.url end as document_url, 'task ' || part as summary from desk n join (select *, {_LABEL} as name from attachments) a on a.notice_id = n.id where {_READ} and a.id <= 3", *_DESK)
 add("m05_new_tier1_today", lambda s, d: _bench(s, d).filter("new_tier_1").select("id"), f"select id from desk where {_NEW_1}", *_DESK)
 add("c25_priority_metadata", lambda s, d: _bench(s, d).select("id", "priority.status", "priority.rank", (F.length("priority.reason") > 0).alias("reasoned")), "select id, priority as status, rank, true as reasoned from desk", *_DESK)
 add("e05_workbench_summary", lambda s, d: W.counts(_bench(s, d)), f"""select count(*) as total_notices, count_if(is_active) as active_notices, {", ".join(f"count_if(is_active and tier = '{x}') as active_{x}, count_if(tier = '{x}') as {x}" for x in W.TIERS)}, count_if(is_new) as new_today, count_if(is_new and is_active) as new_active_today, count_if({_NEW_1}) as new_tier_1_today,
