@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.oracle import connect, same
-from tidemark.llm import chat, common, decontaminate, jaccard, langid, neighbours, packing, registry, repeats, secret_scan, trees, urls, warc
+from tidemark.llm import chat, common, decontaminate, jaccard, langid, neighbours, packing, registry, repeats, secret_scan, suffixes, trees, urls, warc
+from tidemark.llm.anchors import Hashes
 
 DOCS = "doc_id long, text string, extra string, n long"
 DOCS_COLUMNS = ["doc_id", "text", "extra", "n"]
@@ -351,7 +352,7 @@ def test_url_suffixes_of_all_labels(spark):
 # ---- 10
 @pytest.mark.parametrize("hot", [4000, 1])
 def test_repeats_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT_CONTEXTS", hot)
+    monkeypatch.setattr(repeats, "MOST_CONTEXTS", hot)
     rng = np.random.default_rng(6)
     word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
     shared, other = word(650), word(405)
@@ -374,6 +375,47 @@ def test_repeats_brute_force(spark, monkeypatch, hot):
     assert got == exp
 
 
+def test_repeats_without_ids_and_with_clashing_names(spark):
+    rng = np.random.default_rng(7)
+    text, alone = "".join(map(chr, rng.integers(97, 123, 700))), "".join(map(chr, rng.integers(97, 123, 700)))
+    rows = [(None, text, 1), (3, text, 2), (3, text, 2), (None, None, 3), (None, alone, 4), (5, "z" + text[:450], 5), (6, text[:399], 6)]
+    docs = spark.createDataFrame([(*r, r[2], "s", r[2]) for r in rows], "doc_id long, text string, __key int, __r int, __spans string, n_bytes int")
+    out = repeats.remove_repeats(docs)
+    assert set(out.columns) == {"doc_id", "text", "__key", "__r", "__spans", "n_bytes", "n_removed", "n_spans", "kept", "n_kept_chars"}
+    got = sorted((r["__key"], r["__r"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in out.collect())
+    assert got == [(1, 1, 700, 700, 1), (2, 2, 700, 700, 1), (2, 2, 700, 700, 1), (3, 3, 0, 0, 0), (4, 4, 700, 0, 0), (5, 5, 451, 450, 1), (6, 6, 399, 0, 0)]
+
+
+@pytest.mark.parametrize("hashed", [True, False])
+@pytest.mark.parametrize("size", [3, 20, 400])
+def test_repeats_come_from_common_prefixes(hashed, size):
+    rng = np.random.default_rng(size)
+    base = bytes(rng.integers(97, 100, 1500).astype(np.uint8))
+    texts = [base[a : a + n] for a, n in zip(rng.integers(0, 900, 14).tolist(), rng.integers(0, 900, 14).tolist(), strict=True)]
+    seen = {}
+    for k, t in enumerate(texts):
+        for i in range(len(t) - size + 1):
+            seen.setdefault(t[i : i + size], set()).add((k, i))
+    text, place, run = suffixes.repeated_starts(texts, size, (lambda flat, a, b: Hashes(flat).of(a, b)) if hashed else None)
+    found = {}
+    for k, i, r in zip(text.tolist(), place.tolist(), run.tolist(), strict=True):
+        found.setdefault(r, set()).add((k, i))
+    assert sorted(map(sorted, found.values())) == sorted(sorted(x) for x in seen.values() if len(x) > 1) and (found or size == 400)
+
+
+def test_repeats_need_the_suffix_array(monkeypatch):
+    """Another order, by the hashes alone or by place, does not do."""
+    texts = [bytes(np.random.default_rng(k % 3).integers(97, 123, 500).astype(np.uint8)) for k in range(6)]
+    hashes = lambda flat, a, b: Hashes(flat).of(a, b)
+    right = len(suffixes.repeated_starts(texts, 400, hashes)[0])
+    assert right == 6 * 101
+    monkeypatch.setattr(suffixes, "suffix_array", lambda text, depth, alike=None: np.arange(len(text)))
+    assert len(suffixes.repeated_starts(texts, 400, hashes)[0]) < right
+    monkeypatch.undo()
+    constant = lambda flat, a, b: np.arange(len(a), dtype=np.uint64)  # noqa: E731  hashes that call nothing equal
+    assert len(suffixes.repeated_starts(texts, 400, constant)[0]) == right
+
+
 def test_repeats_empty(spark):
     assert repeats.remove_repeats(_docs(spark, [])).count() == 0
 

@@ -5,16 +5,20 @@
    all windows that can contain it; equal contexts are counted before they are moved.
 2. A context that stands more than once is covered in all its places.
 3. Anchors with several contexts: one copy of each context goes to the anchor's bucket, where
-   a suffix array (two-stage sorting) brings equal 400-byte strings together. The contexts of
-   an anchor that has more than ``HOT_CONTEXTS`` of them are too many for one task: their
-   400-byte strings are dealt by hash instead and compared there, all of them.
-4. The intervals of a document are merged and cut out.
+   a suffix array (two-stage sorting) brings equal strings together; neighbours with a common
+   prefix of 400 bytes are the repeats.
+4. An anchor with more than ``MOST_CONTEXTS`` contexts, too many for one suffix array, becomes
+   several longer ones first: its windows are dealt into ranges by how many bytes they have
+   before the anchor, and all windows of a range share the anchor and some of the bytes beside
+   it. That is the new anchor, the range's windows are its context, and steps 2 and 3 apply to
+   it; what is still too many is dealt again. A range of one window has one context.
+5. The intervals of a document are merged and cut out.
 
 Only different places count: strings of contexts that overlap in one document are the same
 place. Defined cases: a null text is empty; texts shorter than 400 bytes stay; equal rows
-count as documents of their own; further columns stay, but those named
-like the results are replaced; an empty table gives an empty
-result; rows without a doc_id take part like all others.
+count as documents of their own; further columns stay, whatever their names, but those named
+like the results are replaced; an empty table gives an empty result; rows without a doc_id take
+part like all others.
 """
 
 from __future__ import annotations
@@ -28,14 +32,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import Hashes, anchors, pieces
-from .common import small_batches, table, written
+from .common import boxed, small_batches, table, unboxed, written
 from .suffixes import repeated_starts
 
 WINDOW, GRAM = 400, 100
 BUCKET_BYTES = 600_000
-HOT_CONTEXTS = 4000
+MOST_CONTEXTS = 4000
+RANGES = 4  # into which a range of offsets is dealt
 SLICE_BYTES = 4_000_000
 INTERVAL = "key long, start long, end long"
+CONTEXT = "anchor long, key long, lo long, before int, n long, bytes binary"
 
 
 def _utf8(texts: pd.Series) -> list[bytes]:
@@ -43,7 +49,8 @@ def _utf8(texts: pd.Series) -> list[bytes]:
 
 
 def occurrences(keyed: DataFrame) -> DataFrame:
-    """(key, text) to anchor, context (hashes), key, lo, hi: where the context stands."""
+    """(key, text) to anchor, context (hashes), key, lo, hi: where the context stands, and
+    before: its bytes before the anchor."""
     def found(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             keys = part["key"].to_numpy()
@@ -53,25 +60,25 @@ def occurrences(keyed: DataFrame) -> DataFrame:
                 lo, hi = np.maximum(place - (WINDOW - GRAM), begins[number]), np.minimum(place + WINDOW, ends[number])
                 context = hashes.of(lo, hi) + ((place - lo) * 1000 + hi - place).astype(np.uint64)
                 base = np.array([a for _, a, _ in batch])[number] - begins[number]
-                yield pd.DataFrame({"anchor": h.view(np.int64), "context": context.view(np.int64), "key": keys[np.array([k for k, _, _ in batch])[number]], "lo": lo + base, "hi": hi + base})
+                yield pd.DataFrame({"anchor": h.view(np.int64), "context": context.view(np.int64), "key": keys[np.array([k for k, _, _ in batch])[number]], "lo": lo + base, "hi": hi + base, "before": place - lo})
 
-    return keyed.select("key", "text").mapInPandas(found, "anchor long, context long, key long, lo long, hi long")
+    return keyed.select("key", "text").mapInPandas(found, "anchor long, context long, key long, lo long, hi long, before int")
 
 
 def _contexts(wanted: DataFrame, keyed: DataFrame) -> DataFrame:
-    """wanted (anchor, key, lo, hi, n, contexts) with the bytes of each context."""
-    fields = ["anchor", "key", "lo", "hi", "n", "contexts"]
+    """wanted (anchor, key, lo, hi, before, n) with the bytes of each context."""
+    fields = ["anchor", "key", "lo", "hi", "before", "n"]
 
     def rows(held: list[tuple]) -> pd.DataFrame:
         *numbers, found = zip(*held, strict=True)
-        out = {c: np.concatenate(x) for c, x in zip(("anchor", "key", "lo", "n", "contexts"), numbers, strict=True)}
+        out = {c: np.concatenate(x) for c, x in zip(("anchor", "key", "lo", "before", "n"), numbers, strict=True)}
         return pd.DataFrame(out | {"bytes": [b for x in found for b in x]})
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             held, size = [], 0
-            for text, anchor, key, lo, hi, n, contexts in zip(_utf8(part["text"]), *(part[c] for c in fields), strict=True):
-                held.append((anchor, key, lo, n, contexts, [text[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]))
+            for text, anchor, key, lo, hi, before, n in zip(_utf8(part["text"]), *(part[c] for c in fields), strict=True):
+                held.append((anchor, key, lo, before, n, [text[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]))
                 size += int((hi - lo).sum())
                 if size > SLICE_BYTES:
                     yield rows(held)
@@ -80,7 +87,7 @@ def _contexts(wanted: DataFrame, keyed: DataFrame) -> DataFrame:
                 yield rows(held)
 
     per_text = wanted.groupBy("key").agg(F.collect_list(F.struct(*fields)).alias("want")).select(F.col("key").alias("__key"), *[F.col(f"want.{c}").alias(c) for c in fields])
-    return per_text.join(keyed.select(F.col("key").alias("__key"), "text"), "__key").drop("__key").mapInPandas(cut, "anchor long, key long, lo long, n long, contexts long, bytes binary")
+    return per_text.join(keyed.select(F.col("key").alias("__key"), "text"), "__key").drop("__key").mapInPandas(cut, CONTEXT)
 
 
 def _intervals(key: np.ndarray, start: np.ndarray) -> pd.DataFrame:
@@ -114,49 +121,72 @@ def by_suffixes(contexts: DataFrame, buckets: int) -> DataFrame:
     return contexts.groupBy(F.pmod(F.col("anchor"), F.lit(buckets)).alias("bucket")).applyInPandas(matched, INTERVAL)
 
 
-def by_hashes(contexts: DataFrame, buckets: int) -> DataFrame:
-    """The same for anchors of very many contexts: tasks pack the hashes of the 400-byte
-    strings by bucket, one row a bucket."""
-    def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def longer_anchors(contexts: DataFrame) -> DataFrame:
+    """contexts (CONTEXT and low, high: how many bytes their windows have before the anchor),
+    each dealt into ranges low to high of its own: anchor is then that of the bytes that all
+    windows of the range share, context the hash of all its windows."""
+    def dealt(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            part = part[part["bytes"].str.len() >= WINDOW]
-            if not len(part):
-                continue
-            sizes = part["bytes"].str.len().to_numpy()
-            begins = np.cumsum(sizes) - sizes
-            owner = np.repeat(np.arange(len(part)), sizes)
-            at = np.nonzero(np.arange(len(owner)) + WINDOW <= (begins + sizes)[owner])[0]
-            h, owner = Hashes(np.frombuffer(b"".join(part["bytes"]), np.uint8)).of(at, at + WINDOW), owner[at]
-            start, bucket = part["lo"].to_numpy()[owner] + at - begins[owner], (h >> np.uint64(32)) % np.uint64(buckets)
-            key, many = part["key"].to_numpy()[owner], part["n"].to_numpy()[owner] > 1
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.concatenate([[0], np.nonzero(np.diff(bucket[order]))[0] + 1, [len(order)]])
-            rows = [(int(bucket[o[0]]), *(x[o].tobytes() for x in (h, key, start, many))) for o in (order[a:b] for a, b in zip(cuts, cuts[1:], strict=False))]
-            yield pd.DataFrame(rows, columns=["bucket", "h", "keys", "starts", "many"])
-
-    def matched(rows: pd.DataFrame) -> pd.DataFrame:
-        h, key, start, many = (np.frombuffer(b"".join(rows[c]), t) for c, t in (("h", np.uint64), ("keys", np.int64), ("starts", np.int64), ("many", bool)))
-        _, run = np.unique(h, return_inverse=True)
-        held = _elsewhere(run, key, start, many)
-        return _intervals(key[held], start[held])
-
-    return contexts.mapInPandas(packed, "bucket long, h binary, keys binary, starts binary, many binary").groupBy("bucket").applyInPandas(matched, INTERVAL)
+            sizes = part["bytes"].str.len().to_numpy().astype(np.int64)
+            hashes = Hashes(np.frombuffer(b"".join(part["bytes"]), np.uint8))
+            begins, before = np.cumsum(sizes) - sizes, part["before"].to_numpy().astype(np.int64)
+            low, high = part["low"].to_numpy().astype(np.int64), part["high"].to_numpy().astype(np.int64)
+            width = -(-(high - low + 1) // RANGES)
+            for r in range(RANGES):
+                a, b = low + r * width, np.minimum(high, low + (r + 1) * width - 1)
+                least, most = np.maximum(a, WINDOW - (sizes - before)), np.minimum(b, before)  # near a text's ends not all
+                at = np.flatnonzero(least <= most)
+                if not len(at):
+                    continue
+                place, least, most, a, b = begins[at] + before[at], least[at], most[at], a[at], b[at]
+                shared = hashes.of(place - a, place - b + WINDOW) + part["anchor"].to_numpy()[at].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + a.astype(np.uint64)
+                lo, hi = place - most, place - least + WINDOW
+                context = hashes.of(lo, hi) + (most * 1000 + hi - lo).astype(np.uint64)
+                cut = [t[i:j] for t, i, j in zip(part["bytes"].to_numpy()[at], (lo - begins[at]).tolist(), (hi - begins[at]).tolist(), strict=True)]
+                yield pd.DataFrame({"anchor": shared.view(np.int64), "context": context.view(np.int64), "key": part["key"].to_numpy()[at], "lo": part["lo"].to_numpy()[at] + lo - begins[at],
+                                    "before": most, "n": part["n"].to_numpy()[at], "bytes": cut, "low": a, "high": b})
+
+    return contexts.mapInPandas(dealt, CONTEXT + ", context long, low int, high int")
+
+
+def _buckets(size: int) -> int:
+    return max(1, -(-size // BUCKET_BYTES))
+
+
+def by_longer_anchors(contexts: DataFrame) -> DataFrame:
+    """The same for anchors of too many contexts, which become longer ones until they aren't."""
+    level, out = contexts.withColumns({"low": F.lit(0), "high": F.lit(WINDOW - GRAM)}), None
+    while True:
+        dealt = written(longer_anchors(level), "dealt")
+        same = ["anchor", "context"]
+        once = written(dealt.groupBy(*same).agg(F.count("*").alias("places"), F.max("n").alias("n"), F.min(F.struct("key", "lo")).alias("one"), *[F.first(c).alias(c) for c in ("before", "bytes", "low", "high")]), "longer")
+        whole = dealt.join(once.filter("places > 1").select(*same), same).select("key", F.col("lo").alias("start"), (F.col("lo") + F.octet_length("bytes")).alias("end"))
+        several = once.groupBy("anchor").agg(F.count("*").alias("contexts")).filter("contexts > 1")
+        rest = written(once.join(several, "anchor").select("anchor", "one.*", "before", F.greatest("n", "places").alias("n"), "bytes", "low", "high", "contexts"), "rest")
+        hot = F.col("contexts") > MOST_CONTEXTS
+        size, left = rest.agg(F.coalesce(F.sum(F.when(~hot, F.octet_length("bytes"))), F.lit(0)), F.count_if(hot)).first()
+        found = whole.union(by_suffixes(rest.filter(~hot), _buckets(size)))
+        out = out.union(found) if out else found
+        if not left:
+            return out
+        level = rest.filter(hot)
 
 
 def repeated_intervals(keyed: DataFrame) -> DataFrame:
     """(key, text) to the intervals covered by repeated strings, in bytes: key, start, end."""
     found = written(occurrences(keyed), "anchors")
-    counted = found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi")).alias("one"))
+    counted = found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi", "before")).alias("one"))
     per_anchor = counted.groupBy("anchor").agg(F.count("*").alias("contexts"), F.sum("n").alias("places"))
     repeated = written(counted.join(per_anchor.filter("places > 1"), "anchor").select("anchor", "context", "n", "contexts", "one.*"), "contexts")
     everywhere = found.join(repeated.filter("n > 1 and hi - lo >= %d" % WINDOW).select("anchor", "context"), ["anchor", "context"]).select("key", F.col("lo").alias("start"), F.col("hi").alias("end"))
     wanted = repeated.filter("contexts > 1")
-    hot = F.col("contexts") > HOT_CONTEXTS
+    hot = F.col("contexts") > MOST_CONTEXTS
     sizes = {r["hot"]: r["bytes"] for r in wanted.groupBy(hot.alias("hot")).agg(F.sum(F.col("hi") - F.col("lo")).alias("bytes")).collect()}
     out = everywhere
-    for is_hot, matched in ((False, by_suffixes), (True, by_hashes)):
-        if sizes.get(is_hot):
-            out = out.union(matched(_contexts(wanted.filter(hot if is_hot else ~hot), keyed), max(1, -(-sizes[is_hot] // BUCKET_BYTES))))
+    if sizes.get(False):
+        out = out.union(by_suffixes(_contexts(wanted.filter(~hot), keyed), _buckets(sizes[False])))
+    if sizes.get(True):
+        out = out.union(by_longer_anchors(_contexts(wanted.filter(hot), keyed)))
     return written(out.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")), "intervals")
 
 
@@ -186,8 +216,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 rows.append((len(text), removed, n, left, len(left.decode("utf-8", "ignore"))))
             yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept", "n_kept_chars"])
 
-    return docs.withColumn("__key", key).join(spans, "__key", "left").withColumn("__r", cut("text", "__spans")) \
-        .select(*[F.col(c) for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept", "n_kept_chars")], "__r.*")
+    keyed = boxed(docs).withColumn("__key", F.xxhash64("__row.doc_id", "__row.text"))
+    out = keyed.join(spans, "__key", "left").withColumn("__r", cut("__row.text", "__spans"))
+    return unboxed(out, docs.columns, **{c: F.col(f"__r.{c}") for c in ("n_bytes", "n_removed", "n_spans", "kept", "n_kept_chars")})
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,10 +108,51 @@ def suffix_array(text: np.ndarray, depth: int, alike: np.ndarray | None = None)
     return out
 
 
-def repeated_starts(texts: list[bytes], size: int, hashes_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _matched(flat: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """How many bytes from a and from b agree, ``most`` at most: eight bytes at a time, for the
+    pairs that still agree. Both stay within the text for as long as that."""
+    words = np.lib.stride_tricks.sliding_window_view(np.concatenate([flat, np.zeros(most + 8, np.uint8)]), 8)
+    out, live = np.full(len(a), most, np.int64), np.arange(len(a))
+    for r in range(0, most, 8):
+        x, y = words[a[live] + r], words[b[live] + r]
+        apart = np.ascontiguousarray(x).view(np.uint64).ravel() != np.ascontiguousarray(y).view(np.uint64).ravel()
+        out[live[apart]] = np.minimum(most, r + (x[apart] != y[apart]).argmax(axis=1))
+        live = live[~apart]
+        if not len(live):
+            break
+    return out
+
+
+def reach(flat: np.ndarray, order: np.ndarray, size: int) -> np.ndarray:
+    """For suffixes in order: does each have ``size`` bytes in common with the one before it?
+    Neighbours of successive suffixes tend to be successive too: along a stretch of places at one
+    distance from their neighbours each common prefix is one byte shorter than the last, so it
+    is enough to compare the stretch with its neighbours byte by byte, and what follows it."""
+    n = len(order)
+    out = np.zeros(n, bool)
+    if n < 2:
+        return out
+    before = np.full(len(flat), -1, np.int64)
+    before[order[1:]] = order[:-1]
+    at = np.sort(order[1:])
+    far = at - before[at]
+    new = np.concatenate([[True], (far[1:] != far[:-1]) | (at[1:] != at[:-1] + 1)])
+    last = at[np.concatenate([new[1:], [True]])]
+    stretch = np.cumsum(new) - 1
+    behind = _matched(flat, last + 1, last + 1 - far[np.concatenate([new[1:], [True]])], size)
+    differ = np.where(flat[at] != flat[at - far], at, len(flat) + size)
+    following = np.minimum.accumulate(differ[::-1])[::-1]
+    common = np.where(following <= last[stretch], following, last[stretch] + 1 + behind[stretch]) - at
+    enough = np.zeros(len(flat), bool)
+    enough[at] = common >= size
+    return enough[order]
+
+
+def repeated_starts(texts: list[bytes], size: int, hashes_of=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Groups of equal ``size``-byte strings in the texts, from their joint suffix array: runs
-    of neighbours whose common prefixes reach that length. ``hashes_of(flat, a, b)`` gives the
-    hashes of the stretches a to b, which stand for prefixes (shorter ones at a text's end).
+    of neighbours whose common prefixes, compared byte by byte, reach that length.
+    ``hashes_of(flat, a, b)`` may give the hashes of the stretches a to b, so that the sort
+    handles equal beginnings once; it has no say in what is equal.
     Returns text number, place and run of every start whose string stands more than once."""
     gap = np.zeros(1, np.uint8)
     flat = np.concatenate([x for t in texts for x in (np.frombuffer(t, np.uint8), gap)])
@@ -119,12 +160,12 @@ def repeated_starts(texts: list[bytes], size: int, hashes_of) -> tuple[np.ndarra
     begins = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     at, ends = np.arange(len(flat)), (begins + sizes - 1)[owner]
-    alike = hashes_of(flat, at, np.minimum(at + size, ends))
+    alike = hashes_of(flat, at, np.minimum(at + size, ends)) if hashes_of else None
     order = suffix_array(flat, size, alike)
     order = order[(at + size <= ends)[order]]
     if not len(order):
         return order, order, order
-    run = np.cumsum(np.concatenate([[0], alike[order[1:]] != alike[order[:-1]]]))
+    run = np.cumsum(~reach(flat, order, size)) - 1
     more = np.bincount(run)[run] > 1
     at, run = order[more], run[more]
     return owner[at], at - begins[owner[at]], run
