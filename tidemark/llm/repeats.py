@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import Hashes, anchors, pieces
-from .common import boxed, small_batches, table, unboxed, written
+from .common import bloom, boxed, in_bloom, release_memory, small_batches, table, unboxed, written
 from .suffixes import repeated_starts
 
 WINDOW, GRAM = 400, 100
 BUCKET_BYTES = 600_000
-MOST_CONTEXTS = 4000
+MOST_CONTEXTS = 2000
 RANGES = 4  # into which a range of offsets is dealt
 SLICE_BYTES = 4_000_000
 INTERVAL = "key long, start long, end long"
@@ -87,7 +87,8 @@ def _contexts(wanted: DataFrame, keyed: DataFrame) -> DataFrame:
                 yield rows(held)
 
     per_text = wanted.groupBy("key").agg(F.collect_list(F.struct(*fields)).alias("want")).select(F.col("key").alias("__key"), *[F.col(f"want.{c}").alias(c) for c in fields])
-    return per_text.join(keyed.select(F.col("key").alias("__key"), "text"), "__key").drop("__key").mapInPandas(cut, CONTEXT)
+    texts = in_bloom(keyed.select(F.col("key").alias("__key"), "text"), "__key", bloom(wanted, "key"))  # others don't move
+    return per_text.join(texts, "__key").drop("__key").mapInPandas(cut, CONTEXT)
 
 
 def _intervals(key: np.ndarray, start: np.ndarray) -> pd.DataFrame:
@@ -116,7 +117,10 @@ def by_suffixes(contexts: DataFrame, buckets: int) -> DataFrame:
         text, place, run = repeated_starts(rows["bytes"].tolist(), WINDOW, lambda flat, a, b: Hashes(flat).of(a, b))
         key, start = rows["key"].to_numpy()[text], rows["lo"].to_numpy()[text] + place
         held = _elsewhere(run, key, start, rows["n"].to_numpy()[text] > 1)
-        return _intervals(key[held], start[held])
+        found = _intervals(key[held], start[held])
+        del rows, text, place, run, key, start, held
+        release_memory()
+        return found
 
     return contexts.groupBy(F.pmod(F.col("anchor"), F.lit(buckets)).alias("bucket")).applyInPandas(matched, INTERVAL)
 
@@ -144,9 +148,9 @@ def longer_anchors(contexts: DataFrame) -> DataFrame:
                 context = hashes.of(lo, hi) + (most * 1000 + hi - lo).astype(np.uint64)
                 cut = [t[i:j] for t, i, j in zip(part["bytes"].to_numpy()[at], (lo - begins[at]).tolist(), (hi - begins[at]).tolist(), strict=True)]
                 yield pd.DataFrame({"anchor": shared.view(np.int64), "context": context.view(np.int64), "key": part["key"].to_numpy()[at], "lo": part["lo"].to_numpy()[at] + lo - begins[at],
-                                    "before": most, "n": part["n"].to_numpy()[at], "bytes": cut, "low": a, "high": b})
+                                    "before": most, "n": part["n"].to_numpy()[at], "bytes": cut, "low": a, "high": b, "size": hi - lo})
 
-    return contexts.mapInPandas(dealt, CONTEXT + ", context long, low int, high int")
+    return contexts.mapInPandas(dealt, CONTEXT + ", context long, low int, high int, size int")
 
 
 def _buckets(size: int) -> int:
@@ -159,10 +163,11 @@ def by_longer_anchors(contexts: DataFrame) -> DataFrame:
     while True:
         dealt = written(longer_anchors(level), "dealt")
         same = ["anchor", "context"]
-        once = written(dealt.groupBy(*same).agg(F.count("*").alias("places"), F.max("n").alias("n"), F.min(F.struct("key", "lo")).alias("one"), *[F.first(c).alias(c) for c in ("before", "bytes", "low", "high")]), "longer")
-        whole = dealt.join(once.filter("places > 1").select(*same), same).select("key", F.col("lo").alias("start"), (F.col("lo") + F.octet_length("bytes")).alias("end"))
-        several = once.groupBy("anchor").agg(F.count("*").alias("contexts")).filter("contexts > 1")
-        rest = written(once.join(several, "anchor").select("anchor", "one.*", "before", F.greatest("n", "places").alias("n"), "bytes", "low", "high", "contexts"), "rest")
+        once = written(dealt.groupBy(*same).agg(F.count("*").alias("places"), F.max("n").alias("many"), F.min(F.struct("key", "lo")).alias("one")), "longer")
+        whole = dealt.join(once.filter("places > 1").select(*same), same).select("key", F.col("lo").alias("start"), (F.col("lo") + F.col("size")).alias("end"))
+        several = written(once.groupBy("anchor").agg(F.count("*").alias("contexts")).filter("contexts > 1"), "several")
+        needed = once.join(several, "anchor").select(*same, "one.*", F.greatest("many", "places").alias("many"), "contexts")
+        rest = written(dealt.join(needed, [*same, "key", "lo"]).select("anchor", "key", "lo", "before", F.col("many").alias("n"), "bytes", "low", "high", "contexts"), "rest")
         hot = F.col("contexts") > MOST_CONTEXTS
         size, left = rest.agg(F.coalesce(F.sum(F.when(~hot, F.octet_length("bytes"))), F.lit(0)), F.count_if(hot)).first()
         found = whole.union(by_suffixes(rest.filter(~hot), _buckets(size)))
@@ -217,7 +222,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept", "n_kept_chars"])
 
     keyed = boxed(docs).withColumn("__key", F.xxhash64("__row.doc_id", "__row.text"))
-    out = keyed.join(spans, "__key", "left").withColumn("__r", cut("__row.text", "__spans"))
+    pages = bloom(spans, "__key")
+    none = F.lit(None).cast(spans.schema["__spans"].dataType)
+    touched = in_bloom(keyed, "__key", pages).join(spans, "__key", "left")
+    out = touched.unionByName(in_bloom(keyed, "__key", pages, inside=False).withColumn("__spans", none)).withColumn("__r", cut("__row.text", "__spans"))
     return unboxed(out, docs.columns, **{c: F.col(f"__r.{c}") for c in ("n_bytes", "n_removed", "n_spans", "kept", "n_kept_chars")})
 
 

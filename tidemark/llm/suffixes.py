@@ -38,14 +38,19 @@ def _sorted_direct(text: np.ndarray, at: np.ndarray, depth: int, alike: np.ndarr
     return at[by[np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(len(at))]]
 
 
+def _eights(text: np.ndarray, order: str, more: int = 8) -> np.ndarray:
+    """The eight bytes from each place on as a number, ``more`` places beyond the end included."""
+    return np.ndarray(len(text) + more - 7, f"{order}u8", text.tobytes() + bytes(more), strides=(1,))
+
+
 def _order(text: np.ndarray, at: np.ndarray, depth: int, rounds: int = 4) -> np.ndarray:
     """By eight bytes at a time as long as ``rounds``, then the remaining ties by the rest."""
     whole = text.tobytes()
-    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(8 * rounds, np.uint8)]), 8)
+    eights = _eights(text, ">", 8 * rounds)
     out, group = np.arange(len(at)), np.zeros(len(at), np.int64)
     tied = np.arange(len(at))
     for r in range(rounds):
-        keys = np.ascontiguousarray(windows[at[out[tied]] + 8 * r]).view(">u8").ravel().astype(np.uint64)
+        keys = eights[at[out[tied]] + 8 * r].astype(np.uint64)
         order = np.lexsort((keys, group[tied])) if r else np.argsort(keys)
         out[tied], keys = out[tied[order]], keys[order]
         first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (group[tied[1:]] != group[tied[:-1]])])
@@ -111,12 +116,13 @@ def suffix_array(text: np.ndarray, depth: int, alike: np.ndarray | None = None)
 def _matched(flat: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """How many bytes from a and from b agree, ``most`` at most: eight bytes at a time, for the
     pairs that still agree. Both stay within the text for as long as that."""
-    words = np.lib.stride_tricks.sliding_window_view(np.concatenate([flat, np.zeros(most + 8, np.uint8)]), 8)
+    eights = _eights(flat, "<", most + 8)
     out, live = np.full(len(a), most, np.int64), np.arange(len(a))
     for r in range(0, most, 8):
-        x, y = words[a[live] + r], words[b[live] + r]
-        apart = np.ascontiguousarray(x).view(np.uint64).ravel() != np.ascontiguousarray(y).view(np.uint64).ravel()
-        out[live[apart]] = np.minimum(most, r + (x[apart] != y[apart]).argmax(axis=1))
+        differ = eights[a[live] + r] ^ eights[b[live] + r]
+        apart = differ != 0
+        lowest = differ[apart] & (~differ[apart] + np.uint64(1))
+        out[live[apart]] = np.minimum(most, r + np.log2(lowest.astype(np.float64)).astype(np.int64) // 8)
         live = live[~apart]
         if not len(live):
             break
@@ -132,19 +138,20 @@ def reach(flat: np.ndarray, order: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(n, bool)
     if n < 2:
         return out
-    before = np.full(len(flat), -1, np.int64)
+    before = np.full(len(flat), -1, np.int32)  # the texts of one task; half the memory
     before[order[1:]] = order[:-1]
-    at = np.sort(order[1:])
+    at = np.sort(order[1:]).astype(np.int32)
     far = at - before[at]
+    del before
     new = np.concatenate([[True], (far[1:] != far[:-1]) | (at[1:] != at[:-1] + 1)])
     last = at[np.concatenate([new[1:], [True]])]
-    stretch = np.cumsum(new) - 1
+    stretch = np.cumsum(new, dtype=np.int32) - 1
     behind = _matched(flat, last + 1, last + 1 - far[np.concatenate([new[1:], [True]])], size)
-    differ = np.where(flat[at] != flat[at - far], at, len(flat) + size)
-    following = np.minimum.accumulate(differ[::-1])[::-1]
-    common = np.where(following <= last[stretch], following, last[stretch] + 1 + behind[stretch]) - at
+    following = np.minimum.accumulate(np.where(flat[at] != flat[at - far], at, np.int32(len(flat) + size))[::-1])[::-1]
+    ends = (last + 1 + behind).astype(np.int32)
+    del far, new, behind
     enough = np.zeros(len(flat), bool)
-    enough[at] = common >= size
+    enough[at] = np.where(following <= last[stretch], following, ends[stretch]) - at >= size
     return enough[order]
 
 
@@ -163,6 +170,7 @@ def repeated_starts(texts: list[bytes], size: int, hashes_of=None) -> tuple[np.n
     alike = hashes_of(flat, at, np.minimum(at + size, ends)) if hashes_of else None
     order = suffix_array(flat, size, alike)
     order = order[(at + size <= ends)[order]]
+    del alike, at, ends
     if not len(order):
         return order, order, order
     run = np.cumsum(~reach(flat, order, size)) - 1
