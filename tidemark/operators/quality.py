@@ -23,14 +23,17 @@ def blank(c: str) -> Column:
 
 
 def report(df: DataFrame, rules: Mapping[str, Column], sample_id: Column, samples: int = AMOUNT_SAMPLES) -> DataFrame:
-    """code, count, samples of all the rules, zero counts included."""
-    flagged = df.select(sample_id.cast("string").alias("id"), *[F.coalesce(flag, F.lit(False)).alias(code) for code, flag in rules.items()])
-    counts = flagged.agg(*[F.count_if(F.col(c)).alias(c) for c in rules])
-    rows = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("code"), F.col(c).alias("count")) for c in rules])).alias("r")).select("r.*")
-    broken = flagged.select("id", F.explode(F.array_compact(F.array(*[F.when(F.col(c), F.lit(c)) for c in rules]))).alias("code")).distinct()
-    top = broken.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("id"))).filter(F.col("n") <= samples)
+    """code, count, samples of all the rules, zero counts included. The flags are computed once:
+    what breaks a rule comes down to a row a code and id, from which both counts and samples
+    follow."""
+    codes = F.array_compact(F.array(*[F.when(flag, F.lit(code)) for code, flag in rules.items()]))
+    broken = df.select(sample_id.cast("string").alias("id"), F.explode(codes).alias("code")).groupBy("code", "id").agg(F.count("*").alias("n"))
+    counts = broken.groupBy("code").agg(F.sum("n").alias("count"))
+    # n in the order, which it doesn't change, keeps both uses of the aggregate alike: it is shuffled once
+    top = broken.withColumn("place", F.row_number().over(Window.partitionBy("code").orderBy("id", "n"))).filter(F.col("place") <= samples)
     listed = top.groupBy("code").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("samples"))
-    return rows.join(listed, "code", "left").withColumn("samples", F.coalesce("samples", F.lit("")))
+    every = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, rules))).alias("code"))
+    return every.join(counts, "code", "left").join(listed, "code", "left").select("code", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("samples", F.lit("")).alias("samples"))
 
 
 def duplicates(df: DataFrame, keys: Sequence[str], code: str, surplus: bool = True) -> DataFrame:
