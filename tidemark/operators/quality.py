@@ -50,13 +50,19 @@ def orphans(details: DataFrame, notices: DataFrame, key: str, code: str) -> Data
     return report(lost, {code: F.lit(True)}, F.col(key))
 
 
-def notice_rules(start: str, end: str, amounts: Sequence[str], contract_details: Column | None = None) -> dict[str, Column]:
-    """contract_details: the notice's good contract rows, which count as contract data."""
-    notice, close, opening = (parse_data_ts(F.coalesce(F.col(c), F.lit(""))) for c in ("notice_date", "close_date", "open_date"))
+def parsed(notices: DataFrame, amounts: Sequence[str]) -> DataFrame:
+    """Adds what notice_rules reads, so that each date and amount is parsed once a row."""
+    dates = {f"__{c}": parse_data_ts(F.coalesce(F.col(c), F.lit(""))) for c in ("notice_date", "close_date", "open_date")}
+    return notices.withColumns({**dates, "__states": F.array(*[amount_status(F.col(a))["status"] for a in amounts])})
+
+
+def notice_rules(start: str, end: str, contract_details: Column | None = None) -> dict[str, Column]:
+    """Rules of ``parsed`` notices. contract_details: the notice's good contract rows, which count
+    as contract data."""
+    notice, close, opening = (F.col(f"__{c}") for c in ("notice_date", "close_date", "open_date"))
     bad = notice.isNull() | (~blank("close_date") & close.isNull()) | (~blank("open_date") & opening.isNull())
     chronology = F.when(notice > close, True).otherwise(F.coalesce(close > opening, F.lit(False)))
-    states = [amount_status(F.col(a))["status"] for a in amounts]
-    any_ = lambda what: F.exists(F.array(*states), lambda s: s == what)
+    any_ = lambda what: F.array_contains("__states", what)
     missing = lambda status, *values: status_means_collected(F.col(status)) & F.forall(F.array(*[blank(v) for v in values]), lambda b: b)
     return {
         "blank_record_id": blank("record_id"), "blank_bid_notice_no": blank("bid_no"), "invalid_date_value": bad,
@@ -164,9 +170,8 @@ def summary_record(notices: DataFrame, details: Mapping[str, DataFrame], request
     read once: its flags are summed in one aggregate, details and links come down to a row a
     record (``write`` keeps that table), which the notices are joined with. details: awards,
     contracts, bidders; requests has links (ids joined by ;); access service_id, status."""
-    rules = notice_rules(start, end, amounts, F.col("contracts_good"))
-    states = F.array(*[amount_status(F.col(a))["status"] for a in amounts])
-    values = lambda what: F.coalesce(F.sum(F.size(F.filter(states, lambda s: s == what))), F.lit(0))
+    notices, rules = parsed(notices, amounts), notice_rules(start, end, F.col("contracts_good"))
+    values = lambda what: F.coalesce(F.sum(F.size(F.filter("__states", lambda s: s == what))), F.lit(0))
     n = lambda code: F.count_if(F.coalesce(rules[code], F.lit(False)))
     links = requests.select(F.explode(F.filter(F.split(F.coalesce("links", F.lit("")), ";"), lambda x: F.trim(x) != "")).alias("record_id"))
     records = write(per_record(details, links))

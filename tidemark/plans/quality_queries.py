@@ -82,7 +82,7 @@ _RATE = ("invalid_{0}_rate", "part % 47 = 0 or part % 53 = 0")
 
 
 def _notices(v):
-    return K.report(v.history, K.notice_rules(START, END, ["budget", "price"], F.col("contract_details")), F.col("record_id"))
+    return K.report(K.parsed(v.history, ["budget", "price"]), K.notice_rules(START, END, F.col("contract_details")), F.col("record_id"))
 
 
 def _detail(prefix, rate):
@@ -202,7 +202,7 @@ def _gate(s, d):
     a.select(F.lit("").alias("value")).limit(1).coalesce(1).write.text(f"{at}/bad/bidders")
     paths = {"notices": f"{at}/good/notices", "awards": f"{at}/bad/awards", "contracts": f"{at}/bad/contracts", "requests": f"{at}/bad/requests", "bidders": f"{at}/bad/bidders"}
     read = lambda: s.read.csv(f"{at}/good/notices", header=True, inferSchema=False).fillna("")
-    report = lambda: K.report(read(), K.notice_rules(START, END, ["budget", "price"], F.col("contract_details").cast("int")), F.col("record_id"))
+    report = lambda: K.report(K.parsed(read(), ["budget", "price"]), K.notice_rules(START, END, F.col("contract_details").cast("int")), F.col("record_id"))
     runs = {"whole": ({"notices": paths["notices"], "awards": f"{at}/good/awards"}, START), "broken": (paths, "2001-13-01"), "period": ({"notices": paths["notices"]}, "2001-07-01")}
     out = [G.gated(G.fatal(s, p, {k: _REQUIRED[k] for k in p}, start, END), report).select(F.lit(name).alias("files"), "code", "count", "samples") for name, (p, start) in runs.items()]
     return reduce(lambda x, y: x.unionByName(y), out)
