@@ -88,3 +88,12 @@ def test_unnotified_every_recipient(spark):
     sent = spark.sql("select 'immediate' as type, 'sent' as status, '1' as key, '7' as recipient")
     out = tables.unnotified(notices, recipients, sent, F.lit("2001-01-01").cast("timestamp"), 2, ("tier_1",), ("closed",))
     assert out.select("recipient").distinct().count() == 1499
+
+
+def test_every_row_for_every_recipient(spark, monkeypatch):
+    monkeypatch.setattr(tables, "GRID_ROWS", 7)
+    rows, recipients = spark.range(40).withColumn("x", F.lit("r")), spark.range(30).selectExpr("cast(id as string) as recipient")
+    want = sorted((i, "r", str(k)) for i in range(40) for k in range(30))
+    assert sorted(map(tuple, tables.for_each(rows, recipients).collect())) == want
+    dealt = tables.for_each(rows, recipients, most=5)
+    assert sorted(map(tuple, dealt.collect())) == want and "CartesianProduct" not in dealt._jdf.queryExecution().executedPlan().toString()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: what a date looks like.
 DATE = r"(?<!\d)(20\d{2})\s*[./-]\s*(\d{1,2})\s*[./-]\s*(\d{1,2})(?!\d)"
 
 
@@ -45,6 +46,7 @@ def _clock(tail: Column, last: bool) -> Column:
     return F.when((h <= 23) & (m <= 59), F.concat(F.lpad(h.cast("string"), 2, "0"), F.lit(":"), F.lpad(m.cast("string"), 2, "0"))).otherwise("")
 
 
+# The label of an application period, and how far its dates may stand from it.
 def application_window(c: Column, label: str = r"(?:신청|접수)\s*(?:기간|기한)\s*[:：]?\s*") -> Column:
     """struct<start, end> of a labelled application period; one date is the deadline."""
     text = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))

@@ -128,6 +128,7 @@ def compact_summary(c: Column, most: int) -> Column:
 
 
 def meaningful_paragraph(c: Column) -> Column:
+    # The least length, and what tables of contents and appendices begin with.
     text = collapse(c)
     return (F.length(text) >= 18) & ~text.contains("목 차") & ~text.startswith("[표]") & ~text.startswith("[별지]") & ~text.rlike(r"^[ⅠⅡⅢⅣⅤⅥ0-9 .-]+$")
 

@@ -30,6 +30,7 @@ class TierTerms:
     goods: Sequence[str] = ()
     private_buyer: Sequence[str] = ()
     topic: Sequence[str] = ()
+    # The patterns below, unless others are given.
     auction: str = "경매사업"
     topic_pattern: str = "기후(?!부)"
     feasibility: Sequence[str] = (r"해외\s*(?:환경|녹색|재생에너지|수소|ccus)\s*프로젝트", r"타당성\s*조사", "지원사업", "모집|공고")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import amounts, dates, text
 
+# The order of tiers, best first.
 TIER_ORDER = ("tier_1", "tier_2", "tier_3")
 # Amount labels in order of preference, and what an amount looks like.
 AMOUNT_LABELS = (
@@ -16,6 +17,7 @@ AMOUNT_LABELS = (
     ("추정가격", r"추\s*정\s*가\s*격"), ("계약금액", r"계\s*약\s*금\s*액"), ("입찰금액", r"입\s*찰\s*금\s*액"), ("예정가격", r"예\s*정\s*가\s*격"), ("사업비", r"사\s*업\s*비"),
 )
 AMOUNT = r"(?:금\s*)?(\d{1,3}(?:,\d{3})+|\d+)\s*(원|억원|천만원|백만원)"
+# The order of extraction outcomes, most useful first.
 STATUS_ORDER = ("extracted", "processed_no_evidence", "missing_document_url", "unsupported_file_type", "sample_source", "download_failed", "parse_failed", "not_attempted")
 
 
@@ -75,11 +77,28 @@ def readable(documents: DataFrame, insights: DataFrame) -> DataFrame:
     return documents.withColumn("__url", F.coalesce("document_url", F.lit(""))).join(good, ["id", "__url"], "left_semi").drop("__url")
 
 
+BROADCAST_ROWS, GRID_ROWS = 10_000, 1000
+
+
+def for_each(rows: DataFrame, recipients: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Every row for every recipient. Up to ``most`` recipients, which are counted first, are sent
+    to all tasks; more are dealt by hash into blocks of about GRID_ROWS, rows into as many, and
+    each pair of blocks meets in a join of its own key."""
+    n = recipients.limit(most + 1).count()
+    if n <= most:
+        return rows.crossJoin(F.broadcast(recipients))  # of the size just counted
+    blocks = -(-recipients.count() // GRID_ROWS)
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    block = lambda df: F.pmod(F.xxhash64(*df.columns), F.lit(blocks))
+    left, right = rows.withColumn("__a", block(rows)), recipients.withColumn("__b", block(recipients))
+    return left.withColumn("__b", every).join(right.withColumn("__a", every), ["__a", "__b"]).drop("__a", "__b")
+
+
 def unnotified(notices: DataFrame, recipients: DataFrame, deliveries: DataFrame, baseline: Column, least: int, tiers: Sequence[str], closed: Sequence[str]) -> DataFrame:
     """New notices since the baseline, for each recipient who hasn't had the alert."""
     fresh = notices.filter((F.col("first_seen") >= baseline) & (F.col("score") >= least) & F.col("tier").isin(*tiers) & ~F.col("review_status").isin(*closed))
     sent = deliveries.filter((F.col("type") == "immediate") & (F.col("status") == "sent")).select(F.col("key").alias("__key"), "recipient").distinct()
-    return fresh.withColumn("__key", F.col("id").cast("string")).crossJoin(recipients).join(sent, ["__key", "recipient"], "left_anti").drop("__key")
+    return for_each(fresh.withColumn("__key", F.col("id").cast("string")), recipients).join(sent, ["__key", "recipient"], "left_anti").drop("__key")
 
 
 def similar_pairs(notices: DataFrame, order: Sequence[Column], limit: int = 8, considered: int = 20) -> DataFrame:

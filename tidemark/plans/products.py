@@ -112,7 +112,15 @@ add("d11_orphan_anti", lambda s, d: A_(s, d).join(N(s, d).filter("id % 4 <> 0").
 _LINKS = lambda s, d: bind.read(s, d, "pages").select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)">([^<]*)</a>'), F.lit(0))).alias("ord", "a")).select("page_id", "url", "ord", F.regexp_extract("a", 'href="([^"]*)"', 1).alias("href"), F.regexp_extract("a", ">([^<]*)<", 1).alias("text"))
 bind.SQL["links"] = """links as (select page_id, url, unnest(range(len(m))) as ord, regexp_extract(unnest(m), 'href="([^"]*)"', 1) as href, regexp_extract(unnest(m), '>([^<]*)<', 1) as text from (select page_id, url, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>') as m from pages))"""
 add("a04_extract_links", lambda s, d: _LINKS(s, d).filter(~F.col("href").rlike("(?i)^(javascript|mailto|tel):")).select("page_id", "ord", "href", "text"), "select page_id, cast(ord as int) as ord, href, text from links where not regexp_matches(href, '(?i)^(javascript|mailto|tel):')", "links")
-add("d12_listing_detail_join", lambda s, d: bind.read(s, d, "pages").select(T.canonical_url(F.col("url")).alias("u"), "page_id").join(bind.read(s, d, "pages").select(T.canonical_url(F.col("url")).alias("u"), F.col("page_id").alias("detail_id"), "html"), "u").filter(F.lower("html").contains("the")).select("page_id", "detail_id"), "select l.page_id, r.page_id as detail_id from pages l join pages r on regexp_replace(l.url, '#.*$', '') = regexp_replace(r.url, '#.*$', '') where contains(lower(r.html), 'the')")
+def _detail_pages(s, d):
+    """Each listing page with the detail page of its URL: the first of those that hold the word,
+    brought down to one a URL before the join."""
+    pages = bind.read(s, d, "pages").select(T.canonical_url(F.col("url")).alias("u"), "page_id", "html")
+    details = pages.filter(F.lower("html").contains("the")).groupBy("u").agg(F.min("page_id").alias("detail_id"))
+    return pages.select("u", "page_id").join(details, "u").select("page_id", "detail_id")
+
+
+add("d12_listing_detail_join", _detail_pages, "select l.page_id, r.detail_id from pages l join (select regexp_replace(url, '#.*$', '') as u, min(page_id) as detail_id from pages where contains(lower(html), 'the') group by 1) r on regexp_replace(l.url, '#.*$', '') = r.u")
 _flagged = lambda s, d: _LINKS(s, d).withColumns({"is_notice": F.length("text") <= 3, "is_document": F.length("text") > 3})
 add("d13_attach_follow_links", lambda s, d: O.attach_follow_links(_flagged(s, d)).select("page_id", "ord", "notice_ord"), "select page_id, cast(ord as int) as ord, cast(n as int) as notice_ord from (select *, max(case when length(text) <= 3 then ord end) over (partition by page_id order by ord) as n from links) where length(text) > 3", "links")
 add("d14_official_attachments", lambda s, d: O.first_by(_LINKS(s, d).filter(F.col("text").contains("th")), ["page_id", "href"], F.col("ord")).select("page_id", "href", "ord"), "select page_id, href, cast(min(ord) as int) as ord from links where contains(text, 'th') group by 1, 2", "links")
