@@ -160,15 +160,6 @@ def _json(s, d):
 add("a13_write_nested_json", _json, "select n.id as notice_id, title, (select cast(count(*) as int) from attachments a where a.notice_id = n.id) as n, fit from notices n left join reviews r on r.notice_id = n.id", "notices", "attachments", "reviews")
 
 
-def _history_csv(s, d):
-    at = folder(s, "awards")
-    P.write_csv(products._awards(s, d), at, ["notice_id", "item_index", "company", "parse_status", "raw_entry"])
-    return s.read.csv(at, header=True, inferSchema=False).groupBy("parse_status").count()
-
-
-add("a14_write_history_csvs", _history_csv, "select case when line = 3 and quantity > 40 then 'expected 3, got 2' else 'ok' end as parse_status, count(*) as count from attachments group by 1", "attachments")
-
-
 def _stream(s, d, name):
     table = bind.read(s, d, name)
     if any(f"/{name}.parquet/" in f for f in table.inputFiles()):  # a folder of part files

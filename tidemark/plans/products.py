@@ -362,7 +362,6 @@ add("m17_documents", lambda s, d: _with_insights(s, d).select("id", F.col("attac
 add("m18_fallback", lambda s, d: _workbench(s, d).filter("summary is null").join(O.first_by(A_(s, d), ["notice_id"], F.col("id")).select(F.col("notice_id").alias("id"), F.col("url").alias("link")), "id", "left").select("id", F.coalesce("link", "url").alias("link")), "select b.id, coalesce(a.url, b.url) as link from bench b left join attachments a on a.notice_id = b.id and a.id = 1 where summary is null", *_BV)
 bench("m19_new", lambda w: w.filter("first_seen >= timestamp '2001-06-01'").select("id", "tier"), "select id, tier from bench where first_seen >= timestamp '2001-06-01'")
 bench("m20_fit", lambda w: w.filter("fit <> 'not_reviewed'").select("id", "fit", "decision"), "select id, fit, 'pending' as decision from bench where fit <> 'not_reviewed'")
-add("m21_history_bundle", lambda s, d: _history(s, d).agg(F.lit("notices").alias("table"), F.count("*").alias("n")).unionByName(_awards(s, d).agg(F.lit("awards").alias("table"), F.count("*").alias("n"))), "select 'notices' as \"table\", count(*) as n from orders union all select 'awards', count(*) from lineitem")
 add("m22_enrichment_outcome", lambda s, d: O.exact_link(_details(s, d), _history(s, d)).agg(F.count("*").alias("lookups"), F.count_if(F.expr("exact = 'N'")).alias("unmatched"), F.count_if(F.expr("parse_status <> 'ok'")).alias("malformed")), "select count(*) as lookups, count_if(record_id is null) as unmatched, count_if(parse_status <> 'ok') as malformed from det left join h using (bid_no, k)", "attachments", "hist")
 add("m23_access_status", lambda s, d: bind.read(s, d, "events").withColumn("code", F.get_json_object("props", "$.k").cast("bigint")).groupBy(F.when(F.col("code") % 4 == 0, "usable").when(F.col("code") % 4 == 1, "apply").when(F.col("code") % 4 == 2, "permission").otherwise("error").alias("status")).count(), "select case cast(json_extract(props, '$.k') as bigint) % 4 when 0 then 'usable' when 1 then 'apply' when 2 then 'permission' else 'error' end as status, count(*) as count from events group by 1")
 of_notices("m24_grant_check", lambda n: n.filter("category = 'grant_application'").groupBy("source_id").agg(F.count("*").alias("grants"), F.count_if(F.expr("tier = 'tier_2'")).alias("tier_2"), F.count_if(F.col("active")).alias("open")), f"select source_id, count(*) as grants, count_if(tier = 'tier_2') as tier_2, count_if({ACTIVE}) as open from notices where category = 'grant_application' group by 1")
