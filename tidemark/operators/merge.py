@@ -53,6 +53,12 @@ def upsert_attachments(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return merged.unionByName(doubles)
 
 
+def upsert_insights(current: DataFrame, incoming: DataFrame, as_of: Column) -> DataFrame:
+    """By notice and document link: all that was found the last time is replaced, also by blanks."""
+    key = ["notice_id", "document_url"]
+    return upsert(current, _one_each(incoming, *key).withColumn("extracted_at", as_of), key)
+
+
 def upsert_fit_review(current: DataFrame, patch: DataFrame, notices: DataFrame, defaults: Mapping[str, str], allowed: Mapping[str, Sequence[str]]) -> tuple[DataFrame, DataFrame]:
     """Given value, else stored, else default; of several valid patches of a notice the last
     counts. Returns the table and the rejected patches."""

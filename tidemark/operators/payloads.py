@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+from .merge import upsert_attachments
+from .tables import first_by
+
 ITEMS = "$.response.body.items"
 #: Fixed value: where the services put an error of their own.
 API_ERROR = "$.OpenAPI_ServiceResponse.cmmMsgHeader"
@@ -42,3 +46,60 @@ def field(*names: str, item: str = "item") -> Column:
     """The first of these fields of an item that isn't blank, trimmed; else ''."""
     texts = [F.trim(F.try_variant_get(F.col(item), f"$.{n}", "string")) for n in names]
     return F.coalesce(*[F.when(t != "", t) for t in texts], F.lit(""))
+
+
+# The services' names of a notice's fields; the first that isn't blank counts.
+NOTICE_FIELDS = {
+    "title": ("bidNtceNm", "bidNm", "ntceNm"),
+    "bid_no": ("bidNtceNo", "bidNo"),
+    "bid_order": ("bidNtceOrd", "bidOrd"),
+    "url": ("bidNtceDtlUrl", "ntceDtlUrl", "bidNtceUrl"),
+    "published_at": ("bidNtceDt", "ntceDt"),
+    "deadline_at": ("bidClseDt", "opengDt"),
+    "buyer": ("dminsttNm", "ntceInsttNm"),
+    "budget": ("asignBdgtAmt", "presmptPrce"),
+    "procurement_method": ("cntrctCnclsMthdNm", "bidMethdNm"),
+}
+# The numbered pairs of link and file name.
+SPEC_URL, SPEC_NAME, SPEC_PAIRS = "ntceSpecDocUrl", "ntceSpecFileNm", 10
+
+
+def map_notice_items(items: DataFrame, source_id: Column) -> DataFrame:
+    """Rows with an item (a variant) to notices. The id is number and order, as far as given, else
+    a hash of source and title; items without a title are left out."""
+    rows = items.withColumns({name: field(*names) for name, names in NOTICE_FIELDS.items()}).filter("title <> ''")
+    given = F.concat_ws("-", F.nullif("bid_no", F.lit("")), F.nullif("bid_order", F.lit("")))
+    return rows.withColumns({"source_id": source_id, "external_id": F.when(given != "", given).otherwise(text.stable_id(source_id, F.col("title")))}).drop("item", "bid_no", "bid_order")
+
+
+def spec_links(rows: DataFrame, raw: str, unnamed: str = "attachment") -> DataFrame:
+    """rows without their answer (JSON), a row a link that it names, in the order of their numbers
+    (n). A file name tells the type where the link doesn't; links that repeat stay."""
+    fields = _map(F.try_parse_json(raw))
+    get = lambda name, n: F.trim(F.try_variant_get(F.try_element_at(fields, F.concat(F.lit(name), n.cast("string"))), "$", "string"))
+    pairs = F.transform(F.sequence(F.lit(1), F.lit(SPEC_PAIRS)), lambda n: F.struct(n.alias("n"), get(SPEC_URL, n).alias("url"), get(SPEC_NAME, n).alias("name")))
+    kept = [c for c in rows.columns if c != raw]
+    found = rows.select(*kept, F.inline(pairs)).filter(text.is_http(F.col("url")))
+    found = found.withColumn("label", F.coalesce(F.nullif("name", F.lit("")), F.concat(F.lit(f"{unnamed} "), F.col("n").cast("string"))))
+    return found.withColumn("file_type", F.coalesce(F.nullif(text.file_extension(F.col("label")), F.lit("")), text.file_extension(F.col("url")))).drop("name")
+
+
+def backfill(notices: DataFrame, stored: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
+    """Links out of the answers that notices (id, source_id, raw_json) were made from, merged into
+    the stored ones (notice_id, id, label, url) of the same notices; other links stay. Returns the
+    merged links and one row of counts."""
+    raw = F.coalesce(F.nullif("raw_json", F.lit("")), F.lit("{}"))
+    read = notices.filter(F.col("source_id").startswith(prefix)).select(F.col("id").alias("notice_id"), raw.alias("raw"))
+    links = first_by(spec_links(read, "raw"), ["notice_id", "url"], F.col("n"))  # the first of a link counts
+    came = links.select("notice_id", F.col("n").cast("long").alias("id"), "label", "url")
+    named = came.select("notice_id").distinct()
+    there, other = (stored.join(named, "notice_id", how) for how in ("left_semi", "left_anti"))
+    merged = upsert_attachments(there, came)
+    change = lambda x: F.count_if(F.col("change") == x)
+    seen = read.agg(F.count("*").alias("processed_notices"), F.count_if(_map(F.try_parse_json("raw")).isNull()).alias("invalid_raw_json"))
+    some = named.agg(F.count("*").alias("with_explicit_attachments"))
+    done = merged.agg(change("inserted").alias("added"), change("updated").alias("updated"), change("deduplicated").alias("deduplicated"))
+    parts = seen.unionByName(some, allowMissingColumns=True).unionByName(done, allowMissingColumns=True)
+    counts = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in parts.columns])
+    counts = counts.withColumn("without_explicit_attachments", F.expr("processed_notices - invalid_raw_json - with_explicit_attachments"))
+    return merged.unionByName(other.withColumn("change", F.lit("kept")), allowMissingColumns=True), counts

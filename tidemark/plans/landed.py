@@ -122,35 +122,6 @@ def _csv(s, d):
 add("a10_read_contract_csv", _csv, "select id, title, case when id % 3 <> 0 then buyer else '' end as buyer, '000' as \"order\" from notices", "notices")
 
 
-def _written(s, rows, columns, what):
-    """Written as CSV and read back, all strings."""
-    at = folder(s, what)
-    P.write_csv(rows, at, columns)
-    return s.read.csv(at, header=True, inferSchema=False).fillna("")
-
-
-_NOTICE_COLUMNS = ["id", "source_id", "external_id", "title", "url", "buyer", "budget", "category", "score", "review_status", "tier", "tier_source", "deadline_at", "first_seen", "label", "active", "keywords"]
-
-
-def _notices_csv(s, d):
-    n = products.view(s, d).filter(products.VISIBLE)
-    rows = n.withColumns({"label": F.when(F.col("active"), F.col("label")).otherwise(""), "first_seen": F.date_format("first_seen", "yyyy-MM-dd"), "keywords": F.array_join("keywords", ", ")})
-    return _written(s, rows, _NOTICE_COLUMNS, "notices-csv").withColumns({"id": F.col("id").cast("bigint"), "score": F.col("score").cast("int")})
-
-
-add("a11_write_notices_csv", _notices_csv, f"select id, source_id, external_id, title, url, buyer, budget, category, score, review_status, tier, tier_source, deadline_at, strftime(first_seen, '%Y-%m-%d') as first_seen, case when {products.ACTIVE} then {products.LABEL} else '' end as label, case when {products.ACTIVE} then 'true' else 'false' end as active, array_to_string(keywords, ', ') as keywords from notices where {products.VISIBLE}", "notices")
-_DOCUMENT_COLUMNS = ["id", "source_id", "external_id", "title", "url", "buyer", "budget", "category", "tier", "review_status", "deadline_at", "days_remaining", "deadline_label", "attachment_id", "document_label", "document_url", "kind", "kind_order"]
-
-
-def _documents_csv(s, d):
-    rows = O.document_rows(bind.notices(s, d), bind.attachments(s, d), bind.as_of())
-    out = _written(s, rows, _DOCUMENT_COLUMNS, "documents-csv")
-    return out.withColumns({c: F.col(c).cast("bigint") for c in ("id", "days_remaining")})
-
-
-add("a12_write_documents_csv", _documents_csv, f"select n.id, source_id, external_id, title, n.url, buyer, budget, category, tier, review_status, deadline_at, {products.DAYS} as days_remaining, {products.LABEL} as deadline_label, coalesce(cast(a.id as varchar), '') as attachment_id, coalesce(label, '') as document_label, coalesce(a.url, '') as document_url, case when a.id is null then 'missing' else 'other' end as kind, cast(list_position({list(T.KINDS)}, case when a.id is null then 'missing' else 'other' end) - 1 as varchar) as kind_order from notices n left join attachments a on a.notice_id = n.id", "notices", "attachments")
-
-
 def _json(s, d):
     at = folder(s, "json")
     P.write_json(products._nested(s, d).select("notice_id", "title", "attachments", "review"), at)

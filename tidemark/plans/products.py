@@ -269,7 +269,6 @@ add("h12_missing_row_drop", lambda s, d: I(s, d).filter("summary <> ''").unionBy
 of_notices("h13_history_notice_rows", lambda n: n.select(A.notice_identity(F.col("buyer"), F.lpad((F.col("id") % 10).cast("string"), 3, "0")).alias("record_id"), F.col("id"), F.year("deadline").cast("bigint").alias("year"), F.when(F.col("id") % 2 == 0, "not collected").otherwise("pending").alias("data_status")), "select buyer || '-' || lpad(cast(id % 10 as varchar), 3, '0') as record_id, id, year(deadline) as year, case when id % 2 = 0 then 'not collected' else 'pending' end as data_status from notices")
 
 # payloads and companies
-add("a02_map_notice_item", lambda s, d: bind.read(s, d, "events").select("event_id", F.coalesce(F.nullif(F.get_json_object("props", "$.title"), F.lit("")), F.get_json_object("props", "$.k"), F.lit("")).alias("title"), A.notice_identity(F.col("user_id").cast("string"), F.get_json_object("props", "$.k")).alias("external_id")), "select event_id, coalesce(json_extract_string(props, '$.k'), '') as title, user_id || '-' || json_extract_string(props, '$.k') as external_id from events")
 
 
 def _grants(s, d):
@@ -295,7 +294,6 @@ add("i01_upsert_notices", lambda s, d: M.upsert_notices(_current(s, d), _coming(
 _slim = lambda s, d: A_(s, d).select("notice_id", "id", "label", "url")
 _upd = lambda s, d: M.upsert_attachments(_slim(s, d).filter("id <= 4"), _slim(s, d).filter("id >= 4"))
 add("i02_upsert_attachments", lambda s, d: _upd(s, d).groupBy("change").count(), "select change, count(*) as count from (select case when i is null then 'kept' when c is null then 'inserted' else 'updated' end as change from (select notice_id, label, line, min(case when id <= 4 then id end) as c, min(case when id >= 4 then id end) as i from attachments group by 1, 2, 3) union all select 'deduplicated' from (select *, row_number() over (partition by notice_id, label, line order by id) as rn from attachments where id <= 4) where rn > 1) group by 1", "attachments")
-add("i03_upsert_insights", lambda s, d: M.upsert(I(s, d).filter("id = 1").drop("id"), I(s, d).filter("id = 2").drop("id").dropDuplicates(["notice_id", "document_url"]), ["notice_id", "document_url"]).groupBy("change").count(), "select change, count(*) as count from (select case when min(id) = 2 then 'inserted' when max(id) = 2 then 'updated' else 'kept' end as change from insights group by notice_id, document_url) group by 1", "attachments", "insights")
 
 
 def _fit(s, d):
@@ -325,7 +323,6 @@ add("i07_delete_cascade", _cascade, "select 'attachments' as \"table\", count(*)
 add("i10_prune", lambda s, d: M.delete_cascade(N(s, d), {"attachments": A_(s, d)}, N(s, d).select(F.col("id").alias("notice_id")), N(s, d).filter(T.normalize_text(F.col("title")).contains("low")))["attachments"].select("notice_id", "id"), "select notice_id, id from attachments where notice_id not in (select id from notices where contains(lower(title), 'low'))", "notices", "attachments")
 _again = lambda s, d: _upd(s, d).filter("change <> 'deduplicated'").select("notice_id", "id", "label", "url")
 add("i11_backfill_attachments", lambda s, d: M.upsert_attachments(_again(s, d), _slim(s, d)).groupBy("change").count(), "select 'updated' as change, count(*) as count from (select distinct notice_id, label, line from attachments)", "attachments")
-add("e11_backfill_summary", lambda s, d: _upd(s, d).agg(F.count_if(F.expr("change = 'inserted'")).alias("added"), F.count_if(F.expr("change = 'updated'")).alias("updated"), F.count_if(F.expr("change = 'deduplicated'")).alias("deduplicated")), "select count_if(c is null) as added, count_if(c is not null and i is not null) as updated, (select count(*) from (select row_number() over (partition by notice_id, label, line order by id) as rn from attachments where id <= 4) where rn > 1) as deduplicated from (select notice_id, label, line, min(case when id <= 4 then id end) as c, min(case when id >= 4 then id end) as i from attachments group by 1, 2, 3)", "attachments")
 add("i12_record_delivery", lambda s, d: M.record_delivery(L(s, d), L(s, d).filter("status = 'failed'").withColumn("status", F.lit("sent")), tz(bind.EVENTS_AS_OF)).groupBy("status", "change").count(), "select 'sent' as status, case when status = 'failed' then 'updated' else 'kept' end as change, count(*) as count from deliveries group by 2", "deliveries")
 of_notices("i13_add_missing_columns", lambda n: M.add_missing_columns(n.select("id"), {"note": "", "id": 0}), "select id, '' as note from notices")
 _base = lambda n, where: M.baseline(n.filter(where).select(F.col("deadline").alias("baseline_at")), tz()).select(F.date_format("baseline_at", "yyyy-MM-dd HH:mm:ss").alias("baseline_at"), "first")
