@@ -2,9 +2,10 @@
 
 Words are runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z. Every window of
 ten consecutive words of a benchmark item (all of a shorter item) goes into sorted hash
-arrays; a window of a document found there is compared word by word before it counts. A
-benchmark of more than ``block_bytes`` is passed in blocks, each broadcast alone; each pass is
-written to the shared folder, so that one block at a time is held.
+arrays; a window of a document found there is compared word by word before it counts. A window
+takes 20 bytes, a distinct word about 150. A benchmark of more than ``block_bytes`` is passed in
+blocks, each broadcast alone; each pass is written to the shared folder, so that one block at a
+time is held.
 
 Defined cases: null texts have no words; a null item id counts as an empty one; items with
 equal ids count once; repeated documents are judged alike; further columns stay (one named
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from pyspark.sql.types import StringType
 from .common import boxed, small_batches, table, unboxed, written
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 RESULT = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Bytes of UTF-8: A-Z to a-z, other ASCII that is in no word to a space.
@@ -48,47 +49,80 @@ def _hashes(ids: np.ndarray, size: int) -> np.ndarray:
 
 
 class WindowSet:
-    """The windows of some items, by length: sorted hashes, word numbers, items."""
+    """The windows of some items, by length, without an object a window: the word numbers of all
+    items in one array; per length the sorted hashes, of each the place of its words and the items
+    that have it."""
 
-    def __init__(self, items: list[tuple[str, str | None]]):
+    def __init__(self, items: Iterable[tuple[str, str | None]]):
         self.vocab: dict[bytes, int] = {}
-        self.names = [name for name, _ in items]
-        windows: dict[int, dict[tuple[int, ...], set[int]]] = defaultdict(lambda: defaultdict(set))
-        for k, (_, text) in enumerate(items):
-            ids = [self.vocab.setdefault(w, len(self.vocab)) for w in words_of(text)]
-            size = min(WINDOW, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                windows[size][tuple(ids[i : i + size])].add(k)
-        self.sizes = {}
-        for size, found in windows.items():
-            rows = np.array(list(found), np.int64)
-            order = np.argsort(h := np.concatenate([_hashes(r, size) for r in rows]), kind="stable")
-            owners = [sorted(x) for x in found.values()]
-            self.sizes[size] = (h[order], rows[order], [owners[i] for i in order])
+        self.names: list[str] = []
+        parts, at, found = [], 0, defaultdict(list)
+        for k, (name, text) in enumerate(items):
+            self.names.append(name)
+            words = words_of(text)
+            ids = np.fromiter((self.vocab.setdefault(w, len(self.vocab)) for w in words), np.int32, len(words))
+            if size := min(WINDOW, len(ids)):
+                found[size].append((k, at, len(ids) - size + 1))
+                parts.append(ids)
+                at += len(ids)
+        self.words = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        self.sizes = {size: self._sorted(size, runs) for size, runs in found.items()}
+
+    def _sorted(self, size: int, runs: list[tuple[int, int, int]]):
+        n = sum(r[2] for r in runs)
+        h, place, owner = np.empty(n, np.uint64), np.empty(n, np.int32), np.empty(n, np.int32)
+        i = 0
+        for k, at, m in runs:
+            h[i : i + m] = _hashes(self.words[at : at + m + size - 1], size)
+            place[i : i + m] = np.arange(at, at + m, dtype=np.int32)
+            owner[i : i + m] = k
+            i += m
+        order = np.lexsort((owner, h)).astype(np.int32)
+        h, place, owner = h[order], place[order], owner[order]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        first = place[new][np.cumsum(new, dtype=np.int32) - 1]
+        differ = np.zeros(n, bool)  # other words of the same hash
+        for j in range(size):
+            differ |= self.words[first + j] != self.words[place + j]
+        others = defaultdict(set)
+        for x in np.nonzero(differ)[0].tolist():
+            others[tuple(self.words[place[x] : place[x] + size].tolist())].add(int(owner[x]))
+        keep = ~differ & (new | np.concatenate([[True], owner[1:] != owner[:-1]]))
+        h, place, owner = h[keep], place[keep], owner[keep]
+        begin = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0].astype(np.int32)
+        return h[begin], place[begin], np.append(begin, np.int32(len(h))), owner, dict(others)
 
     def scan(self, docs: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set[str]]]:
         """For each document the merged word spans that windows cover, and the items hit."""
         get, out = self.vocab.get, []
-        flat = np.fromiter((x for words in docs for x in (*(get(w, -1) for w in words), -1)), np.int64)
+        flat = np.fromiter((x for words in docs for x in (*(get(w, -1) for w in words), -1)), np.int32)
         ends = np.cumsum([len(w) + 1 for w in docs]) if docs else np.zeros(0, np.int64)
         bad = np.concatenate([[0], np.cumsum(flat < 0)])
-        hits: dict[int, tuple[list, set]] = defaultdict(lambda: ([], set()))
-        for size, (known, rows, items) in self.sizes.items():
-            if len(flat) < size:
-                continue
-            at = np.nonzero(bad[size:] == bad[:-size])[0]
+        spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        items: dict[int, set[int]] = defaultdict(set)
+        for size, (known, place, begin, owner, others) in self.sizes.items():
+            at = np.nonzero(bad[size:] == bad[:-size])[0] if len(flat) >= size else np.zeros(0, np.int64)
             if not len(at):
                 continue
             h = _hashes(flat, size)[at]
             k = np.minimum(np.searchsorted(known, h), len(known) - 1)
             at, k = at[(ok := known[k] == h)], k[ok]
-            same = (flat[at[:, None] + np.arange(size)] == rows[k]).all(axis=1) if len(at) else np.zeros(0, bool)
-            for i, j, d in zip(at[same].tolist(), k[same].tolist(), np.searchsorted(ends, at[same], side="right").tolist(), strict=True):
-                base = ends[d] - len(docs[d]) - 1
-                hits[d][0].append((int(i - base), int(i - base + size)))
-                hits[d][1].update(self.names[x] for x in items[j])
+            same = np.ones(len(at), bool)
+            for j in range(size):
+                same &= flat[at + j] == self.words[place[k] + j]
+            hit, doc = same.copy(), np.searchsorted(ends, at, side="right")
+            if others:
+                for x in range(len(at)):
+                    if more := others.get(tuple(flat[at[x] : at[x] + size].tolist())):
+                        hit[x] = True
+                        items[int(doc[x])] |= more
+            base = ends[doc] - np.array([len(w) + 1 for w in docs])[doc] if len(at) else at
+            for i, d in zip((at - base)[hit].tolist(), doc[hit].tolist(), strict=True):
+                spans[d].append((i, i + size))
+            for d, g in set(zip(doc[same].tolist(), k[same].tolist(), strict=True)):
+                items[d].update(owner[begin[g] : begin[g + 1]].tolist())
         for d in range(len(docs)):
-            out.append((merge_spans(hits[d][0]), hits[d][1]) if d in hits else ([], set()))
+            out.append((merge_spans(spans[d]), {self.names[x] for x in items[d]}) if d in spans else ([], set()))
         return out
 
 
@@ -128,7 +162,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, block_bytes: int) -> DataFram
     out = boxed(docs, "text").withColumn("__found", empty)
     for b in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        known = spark.sparkContext.broadcast(WindowSet([tuple(r) for r in part.toLocalIterator()]))
+        known = spark.sparkContext.broadcast(WindowSet(tuple(r) for r in part.toLocalIterator()))
         out = out.withColumn("__found", _scanner(known)(F.col("text"), F.col("__found")))
         if blocks > 1:
             out = written(out, "contamination")
