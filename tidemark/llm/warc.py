@@ -40,9 +40,10 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def dedupe_payloads(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, html) to page_id, payload, payload_bytes, payload_digest, refers_to: null for
-    responses, else the largest page_id with an equal payload."""
-    rows = pages.filter("page_id is not null").select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("payload")) \
+    """(page_id, html and perhaps url) to page_id, url, payload, payload_bytes, payload_digest,
+    refers_to: null for responses, else the largest page_id with an equal payload."""
+    url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
+    rows = pages.filter("page_id is not null").select("page_id", url.alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload")) \
         .withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32_sha1(F.col("payload"))})
     twice = rows.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).filter(F.col("n") > 1).drop("n")
     first = written(twice, "payloads")
@@ -50,7 +51,7 @@ def dedupe_payloads(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     joined = in_bloom(rows, "payload_digest", pages_of).join(first, ["payload_digest", "payload_bytes"], "left").select(*rows.columns, "first_id")
     single = in_bloom(rows, "payload_digest", pages_of, inside=False).withColumn("first_id", F.lit(None).cast("long"))
     return joined.unionByName(single).select(
-        "page_id", "payload", "payload_bytes", "payload_digest", F.when((F.col("payload_bytes") >= min_bytes) & (F.col("first_id") != F.col("page_id")), F.col("first_id")).alias("refers_to")
+        "page_id", "url", "payload", "payload_bytes", "payload_digest", F.when((F.col("payload_bytes") >= min_bytes) & (F.col("first_id") != F.col("page_id")), F.col("first_id")).alias("refers_to")
     )
 
 
@@ -61,12 +62,17 @@ def record_text(chunk: int) -> Column:
     segmented = F.col("payload_bytes") > chunk
     line = lambda name, value, when=None: F.concat(F.lit(name + ": "), value, F.lit("\r\n")) if when is None else F.when(when, F.concat(F.lit(name + ": "), value, F.lit("\r\n"))).otherwise("")
     uri = lambda c: F.concat(F.lit("<urn:page:"), c, F.lit(">"))
+    # a header is one line, whatever the page's link holds; without one the record names itself
+    target = F.nullif(F.regexp_replace("url", r"[\x00-\x20\x7F]", ""), F.lit(""))
+    last = (F.col("chunk_no") + 1) * chunk >= F.col("payload_bytes")
     kind = F.when(revisit, "revisit").when(first, "response").otherwise("continuation")
     return F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", kind), line("WARC-Record-ID", uri(F.when(first, n("page_id")).otherwise(F.concat(n("page_id"), F.lit(":"), n("chunk_no"))))), line("WARC-Date", F.lit(DATE)),
+        line("WARC-Target-URI", F.coalesce(target, F.concat(F.lit("urn:page:"), n("page_id")))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))), line("WARC-Payload-Length", n("payload_bytes")),
         line("WARC-Profile", F.lit(PROFILE), revisit), line("WARC-Refers-To", uri(n("refers_to")), revisit),
         line("WARC-Segment-Number", (F.col("chunk_no") + 1).cast("string"), segmented & ~revisit), line("WARC-Segment-Origin-ID", uri(n("page_id")), segmented & ~revisit & ~first),
+        line("WARC-Segment-Total-Length", n("payload_bytes"), segmented & ~revisit & last),
         line("Content-Length", F.octet_length("block").cast("string")), F.lit("\r\n"), F.col("block").cast("string"), F.lit("\r\n"),
     )
 
@@ -139,7 +145,7 @@ def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
-    write_archives(dedupe_payloads(table(spark, sf_dir, "pages").select("page_id", "html")), path)
+    write_archives(dedupe_payloads(table(spark, sf_dir, "pages").select("page_id", "url", "html")), path)
     return read_chunks(spark, path).filter("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", (F.col("chunk_no") + 1).alias("n_chunks"))
 
 
