@@ -86,6 +86,25 @@ def test_mining_heaps_merge_in_any_order():
         assert [sorted(h)[:5] for h in held] == want
 
 
+def test_mining_meets_all_tiles(spark):
+    """In as many shuffle partitions as tiles might go to, and with scores of which a hundredfold
+    doesn't fit in 64 bits."""
+    rng = np.random.default_rng(5)
+    rows = [(i, int(rng.integers(0, 3)), [float(x) for x in rng.integers(-99, 400, 6) * 2.0**13]) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    conf = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = sorted(map(tuple, hard_negatives.mine(df, F.col("vec_id") % 10 == 0, anchor_tile=4, candidate_tile=20).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = _mined(rows, lambda i: i % 10 == 0)
+    assert got == want and len(want) > 100 and max(r[4] for r in want) > 2**63 // 100
+
+
 # ---- 12
 def _deduped(docs):
     """(doc_id, n_words, kept) by looking at all windows."""

@@ -105,7 +105,8 @@ def mine(rows: DataFrame, is_anchor: Column, corrupted: Column | None = None, po
     total, asked, size = good.agg(F.count("*"), F.count_if(is_anchor), F.max(F.size("embedding"))).first()
     n_anchor, n_candidate = max(1, math.ceil(asked / anchor_tile)), max(1, math.ceil(total / candidate_tile))
     tiles = ["anchors", "candidates"]
-    at_anchor, at_candidate = F.pmod(F.xxhash64("key"), F.lit(n_anchor)), F.pmod(F.xxhash64("key"), F.lit(n_candidate))
+    # numbers of one type on both sides: cogroup casts none, and an int and a long of a value hash apart
+    at_anchor, at_candidate = (F.pmod(F.xxhash64("key"), F.lit(n)).cast("int") for n in (n_anchor, n_candidate))
 
     def every(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -136,7 +137,8 @@ def mine(rows: DataFrame, is_anchor: Column, corrupted: Column | None = None, po
                 best = np.array([a["positives"].iloc[i][p]["positive_score"] for i in some])[:, None]
                 near = scores[some]
                 # the window's limits as whole scores: no product that might not fit
-                inside = other[some] & (near >= -(-LOW * best // 100)) & (near <= HIGH * best // 100)
+                whole, part = best // 100, best % 100
+                inside = other[some] & (near >= LOW * whole - (-LOW * part // 100)) & (near <= HIGH * whole + HIGH * part // 100)
                 r, k = heaps(near, inside, ids, negatives)
                 keys = np.array([a["positives"].iloc[i][p]["positive_key"] for i in some], np.int64)
                 found.append(pd.DataFrame({"key": a["key"].to_numpy()[some][r], "positive_key": keys[r], "negative_id": ids[k], "negative_score": near[r, k]}))
