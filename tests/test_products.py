@@ -89,3 +89,17 @@ def test_quarantine_leaves_the_rest(spark, note):
     policy = F.when(F.col("id") == 4, "strong").otherwise("ignore")
     out = audits.quarantine(n, policy, note, F.col("source_id") == "a")
     assert sorted(map(tuple, out.collect())) == [(1, "a", "needs_review", note), (2, "a", "won", "x"), (3, "b", "new", "x"), (4, "a", "new", "x")] and out.columns == n.columns
+
+
+def test_header_of_a_file_in_many_splits(spark, tmp_path):
+    (tmp_path / "long.csv").write_text("a,b\n" + "1,2\n" * 2000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        first = gate.first_line(spark, str(tmp_path / "long.csv"))
+        assert [r["value"] for r in first.collect()] == ["a,b"] and "Exchange" not in first._jdf.queryExecution().executedPlan().toString()
+        assert gate.headers(spark, {"t": str(tmp_path)}) == {"t": {f"file:{tmp_path}/long.csv": ["a", "b"]}}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")

@@ -26,11 +26,16 @@ def files(spark: SparkSession, path: str) -> list[str]:
     return sorted(found)
 
 
+def first_line(spark: SparkSession, path: str) -> DataFrame:
+    """A file's first line, of its first split: a limit over several splits would take any one's."""
+    return spark.read.text(path).where("_metadata.file_block_start = 0").coalesce(1).limit(1)
+
+
 def headers(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, dict[str, list[str]]]:
     """table -> file -> header. The first line of each file and no more, of all files in one job;
     an empty file has no header. A byte order mark doesn't count."""
     by_table = {name: files(spark, path) for name, path in paths.items()}
-    first = [spark.read.text(f).limit(1).select(F.lit(name).alias("name"), F.lit(f).alias("file"), "value") for name, found in by_table.items() for f in found]
+    first = [first_line(spark, f).select(F.lit(name).alias("name"), F.lit(f).alias("file"), "value") for name, found in by_table.items() for f in found]
     lines = {(r["name"], r["file"]): r["value"] for r in reduce(lambda a, b: a.unionAll(b), first).collect()} if first else {}
     parsed = lambda line: next(csv.reader([line.lstrip("﻿")]), []) if line else []
     return {name: {f: parsed(lines.get((name, f))) for f in found} for name, found in by_table.items()}
