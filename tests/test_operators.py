@@ -6,7 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from tidemark.functions import amounts, dates, text
-from tidemark.operators import merge, quality, tables
+from tidemark.operators import merge, payloads, quality, tables
 from tidemark.sources import pages
 
 
@@ -97,3 +97,8 @@ def test_every_row_for_every_recipient(spark, monkeypatch):
     assert sorted(map(tuple, tables.for_each(rows, recipients).collect())) == want
     dealt = tables.for_each(rows, recipients, most=5)
     assert sorted(map(tuple, dealt.collect())) == want and "CartesianProduct" not in dealt._jdf.queryExecution().executedPlan().toString()
+
+
+def test_application_window_stays_small(spark):
+    plan = spark.range(1).select(dates.application_window(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp") < 200  # the plan named its parts thousands of times
