@@ -102,3 +102,11 @@ def test_every_row_for_every_recipient(spark, monkeypatch):
 def test_application_window_stays_small(spark):
     plan = spark.range(1).select(dates.application_window(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp") < 200  # the plan named its parts thousands of times
+
+
+def test_items_are_read_once(spark):
+    items = spark.sql("""select id, try_parse_json(j) as item from values (1, '{"bidNm":" a ","bidNtceNm":" ","bidNo":7}'), (2, '{"bidNm":" "}'), (3, 'x'), (4, '[1]') as t(id, j)""")
+    found = payloads.map_notice_items(items, F.lit("s"))
+    assert [(r["id"], r["title"], r["external_id"], r["url"]) for r in found.collect()] == [(1, "a", "7", "")]
+    parsed = payloads.map_notice_items(spark.range(9).select("id", F.try_parse_json(F.concat(F.lit('{"bidNm":'), "id", F.lit("}"))).alias("item")), F.lit("s"))
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
