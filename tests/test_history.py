@@ -84,3 +84,23 @@ def test_items_and_insights(spark):
     old = spark.createDataFrame([(1, "u", "text", None)], "notice_id long, document_url string, summary string, extracted_at timestamp")
     new = spark.createDataFrame([(1, "u", "first", 1), (1, "u", "", 2), (2, "u", "x", 1)], "notice_id long, document_url string, summary string, arrival int")
     assert {(r["notice_id"], r["summary"], r["change"]) for r in M.upsert_insights(old, new, F.lit("2024-01-01").cast("timestamp")).collect()} == {(1, "", "updated"), (2, "x", "inserted")}
+
+
+def test_entries_and_numbers_are_read_once(spark):
+    notices = spark.sql("select '1' as record_id, 'A' as bid_notice_no, '0' as bid_notice_order, 1L as ord")
+    responses = spark.sql("select 'A' as bid_notice_no, '0' as bid_notice_order, 1L as contract_process_item_index, concat('[', id, '^a^-^-^5^6%^7^d]') as bidwinr_info_list from range(2)")
+    plan = H.award_rows(responses, notices)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2  # the list, and an entry in it
+
+
+def test_stored_links_are_joined_once(spark):
+    stored = spark.sql("select 1L as notice_id, id, 'a' as label, 'u' as url from values 5L, 6L as t(id)")
+    out = M.upsert_attachments(stored, spark.sql("select 1L as notice_id, 9L as id, 'A' as label, 'v' as url"))
+    assert sorted((r["id"], r["url"], r["change"]) for r in out.collect()) == [(5, "v", "updated"), (6, "u", "deduplicated")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_saved_answers_are_parsed_once(spark):
+    rows = spark.sql("""select 1 as notice_id, '{"ntceSpecDocUrl1":"http://h/a","ntceSpecDocUrl10":"http://h/b"}' as raw from range(1)""")
+    found = P.spec_links(rows, "raw")
+    assert [(r["n"], r["url"], r["label"]) for r in found.orderBy("n").collect()] == [(1, "http://h/a", "attachment 1"), (10, "http://h/b", "attachment 10")]
