@@ -243,6 +243,29 @@ def test_neighbours_search_less_than_all(spark):
     assert [x for _, x in sorted(got[4000])] == [50, 4001, 4002, 4003, 4004]
 
 
+def test_neighbours_few_rows_leave_the_leaves(spark):
+    """A leaf's rows that can't be among a query's nearest stay where they are."""
+    v = np.random.default_rng(6).normal(size=(6000, 16))
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    m = v / np.linalg.norm(v, axis=1)[:, None]
+    out = neighbours.nearest(df, F.col("vec_id") % 50 == 0, sample_rows=2000, searched=24_000)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    best = {i: [int(x) for x in np.argsort(-(m @ m[i]))[1:6]] for i in range(0, 6000, 50)}
+    assert {len(x) for x in got.values()} == {5} and np.mean([len({x for _, x in got[i]} & set(best[i])) / 5 for i in best]) >= 0.9
+    made, plan = [], [out._jdf.queryExecution().executedPlan()]
+    while plan:
+        n = plan.pop()
+        kind = n.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec" or kind.endswith("QueryStageExec"):
+            plan.append(n.executedPlan() if kind == "AdaptiveSparkPlanExec" else n.plan())
+            continue
+        made += [n.metrics().apply("pythonNumRowsReceived").value()] if "CoGroups" in n.nodeName() else []
+        plan += [n.children().apply(i) for i in range(n.children().size())]
+    assert len(made) == 1 and 120 * 5 <= made[0] < 120 * 16 * 12  # all that each of 120 leaves a query knows, before
+
+
 # ---- 7
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "a"), (2, None), (3, "a"), (4, ""), (5, "é\r\n\r\nWARC/1.1\r\n" * 50), (None, "x")]

@@ -7,7 +7,9 @@ one priority queue, by the sum of squared distances to the planes it crosses, un
 it has taken hold as many rows as ``search_rows`` allows; each leaf's rows are then ranked for
 its queries by the exact cosine in double precision. The allowance grows with the number of
 rows to the power 0.8 (``SEARCH_FACTOR``), so the share of the table that a query sees falls as
-the table grows; below ``SEARCH_LEAST`` rows a query sees every leaf. Large leaves are dealt in
+the table grows; below ``SEARCH_LEAST`` rows a query sees every leaf. Rows of the sample that are
+in a query's leaves say how near its k-th nearest row is at least, so leaves keep back what is
+farther. Large leaves are dealt in
 blocks and so are the queries of a leaf that very many visit: no task holds more than
 ``BLOCK_ROWS`` of its rows and about ``BLOCK_QUERIES`` of its queries. Equal vectors are one
 entry with their k + 1 smallest ids, which is all that k places can need.
@@ -132,10 +134,11 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, trees: int = TREES, l
     dtype = "<f4" if "float" in good.schema["embedding"].dataType.simpleString() else "<f8"
     total, n_asked = good.agg(F.count("*"), F.count_if(is_query)).first()
     share = (searched or search_rows(total)) / max(total, 1)
-    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").toPandas()["embedding"]
-    points = _unit(np.array(sample.tolist(), np.float64)) if len(sample) else np.zeros((0, 1))
+    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vec_id", "embedding").toPandas()
+    points = _unit(np.array(sample["embedding"].tolist(), np.float64)) if len(sample) else np.zeros((0, 1))
     depth = max(1, min(math.ceil(math.log2(max(total, 1) / leaf_rows)), int(math.log2(max(len(points), 1) / 16)))) if len(points) > 1 else 0
     forest = spark.sparkContext.broadcast(Forest(points, trees, depth))
+    known = spark.sparkContext.broadcast((sample["vec_id"].to_numpy(), points, forest.value.leaves(points) if len(points) else None))
     # blocks of a leaf's rows, and of the queries that visit it if they come in proportion to its rows
     per_leaf = [np.maximum(1, np.ceil(t[4] * total / BLOCK_ROWS)).astype(int) for t in forest.value.trees]
     per_asked = max(1, math.ceil(n_asked * min(1.0, share / trees) / BLOCK_QUERIES))
@@ -150,15 +153,23 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, trees: int = TREES, l
                     yield pd.DataFrame({"tree": t, "leaf": leaves[:, t], "block": firsts % per_leaf[t][leaves[:, t]], "ask": ask, "ids": part["ids"].to_numpy(), "vector": raw})
 
     def visits(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sampled, units, leaves = known.value
+        visited = np.zeros((trees, max(len(t[4]) for t in forest.value.trees)), bool)
         for part in parts:
-            m = np.array(part["embedding"].tolist(), np.float64)
+            m, least = np.array(part["embedding"].tolist(), np.float64), np.full(len(part), -np.inf)
             found, who = [], []
-            for i, unit in enumerate(_unit(m)):
-                mine = [(t, leaf, b) for t, leaf in forest.value.search(unit, share) for b in range(per_leaf[t][leaf])]
+            for i, (unit, own) in enumerate(zip(_unit(m), part["vec_id"], strict=True)):
+                taken = forest.value.search(unit, share)
+                visited[:] = False
+                visited[tuple(np.array(taken).T)] = True
+                near = (units @ unit)[visited[np.arange(trees), leaves].any(axis=1) & (sampled != own)]
+                if len(near) >= k:
+                    least[i] = np.partition(near, len(near) - k)[-k] - 1e-9
+                mine = [(t, leaf, b) for t, leaf in taken for b in range(per_leaf[t][leaf])]
                 found += mine
                 who += [i] * len(mine)
             ids, raw = part["vec_id"].to_numpy()[who], np.array([v.tobytes() for v in m.astype(dtype)], object)[who]
-            yield pd.DataFrame(found, columns=["tree", "leaf", "block"]).assign(ask=ids % per_asked, query_id=ids, vector=raw)
+            yield pd.DataFrame(found, columns=["tree", "leaf", "block"]).assign(ask=ids % per_asked, query_id=ids, least=least[who], vector=raw)
 
     def rank(entries: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         found = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []})]
@@ -168,10 +179,12 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, trees: int = TREES, l
             flat, begins = np.concatenate(ids), np.cumsum(many) - many
             for a in range(0, len(asked), 1000):
                 some = asked.iloc[a : a + 1000]
-                q, query = _matrix(some["vector"], dtype), some["query_id"].to_numpy()
+                q, query, least = _matrix(some["vector"], dtype), some["query_id"].to_numpy(), some["least"].to_numpy()
                 own = np.sqrt((q * q).sum(axis=1))
                 e, j = _best((v / norms[:, None]) @ (q / own[:, None]).T, k + 1)  # the query itself may be one
                 exact = (v[e] * q[j]).sum(axis=1) / (norms[e] * own[j])
+                enough = exact >= least[j]
+                e, j, exact = e[enough], j[enough], exact[enough]
                 times = many[e]
                 member = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(begins[e], times)
                 out = pd.DataFrame({"query_id": np.repeat(query[j], times), "vec_id": flat[member], "score": np.repeat(exact, times)})
@@ -183,7 +196,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, trees: int = TREES, l
     entries = good.withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k + 1).groupBy("embedding").agg(F.collect_list("vec_id").alias("ids"))
     keys, at = ["tree", "leaf", "block", "ask"], "tree int, leaf int, block long, ask long, "
     indexed = entries.select("ids", "embedding").mapInPandas(index, at + "ids array<long>, vector binary")
-    asked = good.filter(is_query).select("vec_id", "embedding").repartition(spark.sparkContext.defaultParallelism).mapInPandas(visits, at + "query_id long, vector binary")
+    asked = good.filter(is_query).select("vec_id", "embedding").repartition(spark.sparkContext.defaultParallelism).mapInPandas(visits, at + "query_id long, least double, vector binary")
     found = indexed.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(rank, "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
