@@ -75,6 +75,25 @@ def test_bloom(spark):
     assert inside.join(keys, "id", "left_semi").count() == keys.count() and inside.count() + outside.count() == 5000 and inside.count() < 1000
 
 
+def test_signatures_take_few_bytes_and_lose_no_link(spark, monkeypatch):
+    """A class is named once a bucket, in four bytes; what has the same four is compared too."""
+    rng = np.random.default_rng(8)
+    sig, cls = rng.integers(0, 1 << 63, 60_000).astype(np.uint64), np.tile(rng.integers(-(1 << 62), 1 << 62, 100), 600)
+    rows = jaccard._packed(cls, sig, 40)
+    assert sum(rows[c].str.len().sum() for c in ("refs", "counts", "sigs")) <= 4 * 60_000 + 5 * 100 * 40
+    got = {(int(b), int(c), int(x)) for b, refs, counts, sigs in rows.itertuples(index=False) for c, x in zip(np.repeat(np.frombuffer(refs, np.uint32), np.frombuffer(counts, np.uint8)), np.frombuffer(sigs, np.uint32), strict=True)}
+    assert got == {((int(x) >> 32) * 40 >> 32, int(c) & 0xFFFFFFFF, int(x) & 0xFFFFFFFF) for x, c in zip(sig, cls, strict=True)}
+    long = jaccard._packed(np.full(1000, 7), np.arange(1000).astype(np.uint64), 1)
+    assert len(long) == 1 and np.frombuffer(long["counts"][0], np.uint8).astype(int).sum() == 1000
+    # all classes share their ref: every text is compared with every other
+    real = jaccard.set_key
+    words = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(6)]
+    docs = [(i, t) for i, t in enumerate(words)] + [(10 + i, t + " more") for i, t in enumerate(words)]
+    monkeypatch.setattr(jaccard, "set_key", lambda s: real(s) & ~0xFFFFFFFF)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar(_docs(spark, docs)).collect()}
+    assert got == {i % 10: i % 10 for i in range(6)} | {10 + i: i for i in range(6)}
+
+
 # ---- 2
 def test_chat_trees(spark):
     rows = [(1, 1, None, "user", "a", 0.0), (1, 2, 1, "assistant", "b", 1.0), (1, 3, 1, "assistant", "c#<\\h", 2.0), (1, 4, 3, "user", None, 1.0), (2, 9, 77, None, "orphan", None), (3, 1, 2, "x", "cycle", 0.0), (3, 2, 1, "x", "cycle", 0.0), (None, 1, None, "x", "none", 0.0)]

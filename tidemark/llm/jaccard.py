@@ -2,8 +2,10 @@
 
 1. Every text becomes a set of shingle hashes; equal sets are one class.
 2. Each class signs by PartEnum. A task packs its signatures by bucket, so the shuffle moves
-   a few bytes a signature; classes that share a signature meet in its bucket and are tied to
-   the smallest of them, which makes (representative, member) rows, never pairs.
+   a few bytes a signature: the low 32 bits of it and, once a bucket, of the class (its ref).
+   Refs that share a signature meet in its bucket and are tied to the smallest of them, which
+   makes (representative, member) rows, never pairs. A ref stands for all classes that have it,
+   so those are tied too.
 3. A representative's members are compared by sketches (a lower bound of the sets'
    difference), which gives a forest of the members they connect, not the pairs. Many members
    are dealt in blocks: all against the first block, then those not in the most common
@@ -65,7 +67,7 @@ def with_sets(docs: DataFrame) -> DataFrame:
 
 
 def shared_signatures(docs: DataFrame, buckets: int) -> DataFrame:
-    """(rep, cls): classes that share a signature with a class, the smallest of those."""
+    """(rep, ref): refs that share a signature with a ref, the smallest of those."""
     def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for part in parts:
@@ -83,41 +85,41 @@ def shared_signatures(docs: DataFrame, buckets: int) -> DataFrame:
 
     def met(parts: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(parts["sigs"]), np.uint32)
-        cls = np.repeat(np.frombuffer(b"".join(parts["classes"]), np.int64), np.frombuffer(b"".join(parts["counts"]), np.uint16))
+        cls = np.repeat(np.frombuffer(b"".join(parts["refs"]), np.uint32), np.frombuffer(b"".join(parts["counts"]), np.uint8))
         order = np.sort(sig)
         twice = np.unique(order[1:][order[1:] == order[:-1]])
         if not len(twice):
-            return pd.DataFrame({"rep": [], "cls": []}).astype("int64")
+            return pd.DataFrame({"rep": [], "ref": []}).astype("int64")
         mine = twice[np.minimum(np.searchsorted(twice, sig), len(twice) - 1)] == sig
         sig, cls = sig[mine], cls[mine]
         order = np.lexsort((cls, sig))
         sig, cls = sig[order], cls[order]
         first = np.concatenate([[True], sig[1:] != sig[:-1]])
         rep = cls[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
-        found = pd.DataFrame({"rep": rep, "cls": cls})[rep != cls].drop_duplicates()
+        found = pd.DataFrame({"rep": rep, "ref": cls})[rep != cls].drop_duplicates().astype("int64")
         del sig, cls, order, mine, first, rep
         release_memory()
         return found
 
-    blobs = docs.filter("doc_id is not null and text is not null").select("text").mapInPandas(packed, "bucket int, classes binary, counts binary, sigs binary")
-    return blobs.groupBy("bucket").applyInPandas(met, "rep long, cls long").distinct()
+    blobs = docs.filter("doc_id is not null and text is not null").select("text").mapInPandas(packed, "bucket int, refs binary, counts binary, sigs binary")
+    return blobs.groupBy("bucket").applyInPandas(met, "rep long, ref long").distinct()
 
 
 def _packed(cls: np.ndarray, sig: np.ndarray, buckets: int) -> pd.DataFrame:
-    """One row a bucket: the classes in it, how many signatures each has, their low 32 bits."""
-    bucket = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
-    order = np.argsort(bucket, kind="stable")
-    bucket, cls, low = bucket[order], cls[order], sig[order].astype(np.uint32)
+    """One row a bucket: the refs in it, how many signatures each has, their low 32 bits."""
+    bucket, ref = (sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), cls.astype(np.uint32)
+    order = np.argsort((bucket << np.uint64(32)) + ref)  # a ref's signatures in a bucket side by side
+    bucket, ref, low = bucket[order], ref[order], sig[order].astype(np.uint32)
     cuts = np.concatenate([[0], np.nonzero(bucket[1:] != bucket[:-1])[0] + 1, [len(bucket)]])
     rows = []
     for a, b in zip(cuts, cuts[1:], strict=False):
-        starts = np.concatenate([[0], np.nonzero(np.diff(cls[a:b]))[0] + 1])
+        starts = np.concatenate([[0], np.nonzero(ref[a + 1 : b] != ref[a : b - 1])[0] + 1])
         sizes = np.diff([*starts, b - a])
-        if sizes.max() >= 1 << 16:  # a count in 16 bits: cut long runs
-            starts = np.unique(np.concatenate([starts, np.arange(0, b - a, 1 << 15)]))
+        if sizes.max() >= 1 << 8:  # a count in 8 bits: cut long runs
+            starts = np.unique(np.concatenate([starts, np.arange(0, b - a, 1 << 7)]))
             sizes = np.diff([*starts, b - a])
-        rows.append((int(bucket[a]), cls[a:b][starts].tobytes(), sizes.astype(np.uint16).tobytes(), low[a:b].tobytes()))
-    return pd.DataFrame(rows, columns=["bucket", "classes", "counts", "sigs"])
+        rows.append((int(bucket[a]), ref[a:b][starts].tobytes(), sizes.astype(np.uint8).tobytes(), low[a:b].tobytes()))
+    return pd.DataFrame(rows, columns=["bucket", "refs", "counts", "sigs"])
 
 
 def _groups(parts: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
@@ -241,11 +243,14 @@ def similar(docs: DataFrame) -> DataFrame:
     classes = members.filter("cls <> 0").groupBy("cls").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("c")).select("cls", "c.*")
     total = members.agg(F.sum("n")).first()[0] or 0
     ties = written(shared_signatures(docs, max(1, -(-total * 13 // (10 * BUCKET_SIGNATURES)))), "ties")
-    ties = ties.union(ties.select("rep", F.col("rep").alias("cls")).distinct())
+    named = members.filter("cls <> 0").select(F.col("cls").bitwiseAND(0xFFFFFFFF).alias("ref"), "cls", "n").distinct()
+    refs = named.groupBy("ref").agg(F.count("*").alias("classes"), F.max("n").alias("n"))
+    alone = ties.select("rep").union(refs.filter("classes > 1").select("ref")).distinct()
+    ties = ties.union(alone.select("rep", F.col("rep").alias("ref")))
     block_rows = F.greatest(F.lit(BLOCK_LEAST), F.least(F.lit(BLOCK_MOST), (F.lit(BLOCK_SHINGLES) / F.col("n")).cast("int")))
-    sizes = ties.groupBy("rep").agg(F.count("*").alias("members")).join(classes.select(F.col("cls").alias("rep"), "n"), "rep") \
+    sizes = ties.groupBy("rep").agg(F.count("*").alias("members")).join(refs.withColumnRenamed("ref", "rep"), "rep") \
         .select("rep", F.ceil(F.col("members") / block_rows).cast("int").alias("blocks"))
-    dealt = written(ties.join(sizes, "rep").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks"))), "blocks")
+    dealt = written(ties.join(sizes, "rep").join(named, "ref").select("rep", "cls", "blocks", F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("block")), "blocks")
     first = dealt.withColumn("task", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).when(F.col("block") > 0, F.array("block")).otherwise(F.sequence(F.lit(1).cast("long"), F.col("blocks").cast("long") - 1))))
     links = written(_links(first.select("rep", "task", "cls"), classes, docs), "links")
     labels = components(links)
