@@ -110,3 +110,27 @@ def test_items_are_read_once(spark):
     assert [(r["id"], r["title"], r["external_id"], r["url"]) for r in found.collect()] == [(1, "a", "7", "")]
     parsed = payloads.map_notice_items(spark.range(9).select("id", F.try_parse_json(F.concat(F.lit('{"bidNm":'), "id", F.lit("}"))).alias("item")), F.lit("s"))
     assert parsed._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
+def test_amounts_and_days_that_need_no_cleaning(spark):
+    """The short way says what the long one says, also where only one of them is taken."""
+    texts = ["12", " 12.5 ", "0", "-3", "1,200", "₩5", "x", "", "  ", None, "1e3", "12.", ".5", "12\n", "1.1234567", "9" * 21, "9" * 40, "-", "٣"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = df.orderBy("i").select(amounts.amount_state(F.col("t")).alias("a"), amounts.amount_status(F.col("t")).alias("b"), amounts._cleaned(F.col("t")).alias("c")).collect()
+    assert [(r["a"], r["b"]) for r in rows] == [(r["c"]["status"], r["c"]) for r in rows]
+    assert [r["a"] for r in rows[:8]] == ["ok", "ok", "ok", "negative", "ok", "ok", "invalid", "blank"]
+    days = {"2001-02-03": "2001-02-03 00:00:00", " 2001-02-03 ": "2001-02-03 00:00:00", "2001-02-30": None, "20010203": "2001-02-03 00:00:00", "": None, "x": None, "2001-02-03T10:11Z": "2001-02-03 10:11:00"}
+    got = spark.createDataFrame([(t,) for t in days], "t string").select("t", dates.parse_data_ts(F.col("t")).cast("string").alias("d")).collect()
+    assert {r["t"]: r["d"] for r in got} == days
+
+
+def test_findings_count_rows_of_keys_met_once(spark):
+    """Keys are counted before the join and weigh as many rows; only bad amounts become rows."""
+    details = spark.createDataFrame([("a",)] * 3 + [("b",)] * 4 + [(" ",), (None,), ("c",)], "record_id string")
+    known = spark.createDataFrame([("b",), ("b",)], "record_id string")
+    lost = quality.orphans(details, known, "record_id", "lost")
+    assert [tuple(r) for r in lost.collect()] == [("lost", 4, "a,c")]
+    requests = spark.createDataFrame([("1", "5", "-2"), ("2", "x", ""), ("3", None, "7")], "request_no string, a string, b string")
+    out = quality.request_amounts(requests, ["a", "b"])
+    assert sorted(tuple(r) for r in out.collect()) == [("invalid_procurement_request_amount", 1, "2:a"), ("negative_procurement_request_amount", 1, "1:b")]
+    assert "array_compact" in out._jdf.queryExecution().analyzed().toString()

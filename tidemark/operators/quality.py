@@ -12,7 +12,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.amounts import amount_status, status_means_collected
+from ..functions.amounts import amount_state, amount_status, status_means_collected
 from ..functions.dates import parse_data_ts
 
 AMOUNT_SAMPLES = 5
@@ -22,12 +22,13 @@ def blank(c: str) -> Column:
     return F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
 
 
-def report(df: DataFrame, rules: Mapping[str, Column], sample_id: Column, samples: int = AMOUNT_SAMPLES) -> DataFrame:
-    """code, count, samples of all the rules, zero counts included. The flags are computed once:
+def report(df: DataFrame, rules: Mapping[str, Column], sample_id: Column, samples: int = AMOUNT_SAMPLES, weight: Column | None = None) -> DataFrame:
+    """code, count, samples of all the rules, zero counts included; a row counts ``weight`` times.
+    The flags are computed once:
     what breaks a rule comes down to a row a code and id, from which both counts and samples
     follow."""
     codes = F.array_compact(F.array(*[F.when(flag, F.lit(code)) for code, flag in rules.items()]))
-    broken = df.select(sample_id.cast("string").alias("id"), F.explode(codes).alias("code")).groupBy("code", "id").agg(F.count("*").alias("n"))
+    broken = df.select(sample_id.cast("string").alias("id"), (F.lit(1).cast("long") if weight is None else weight).alias("w"), F.explode(codes).alias("code")).groupBy("code", "id").agg(F.sum("w").alias("n"))
     counts = broken.groupBy("code").agg(F.sum("n").alias("count"))
     # n in the order, which it doesn't change, keeps both uses of the aggregate alike: it is shuffled once
     top = broken.withColumn("place", F.row_number().over(Window.partitionBy("code").orderBy("id", "n"))).filter(F.col("place") <= samples)
@@ -45,15 +46,16 @@ def duplicates(df: DataFrame, keys: Sequence[str], code: str, surplus: bool = Tr
 
 
 def orphans(details: DataFrame, notices: DataFrame, key: str, code: str) -> DataFrame:
-    """Details whose non-blank key no notice has."""
-    lost = details.filter(~blank(key)).join(notices.select(key).distinct(), key, "left_anti")
-    return report(lost, {code: F.lit(True)}, F.col(key))
+    """Details whose non-blank key no notice has. Keys are counted before they are looked up."""
+    keys = details.filter(~blank(key)).groupBy(key).agg(F.count("*").alias("__n"))
+    lost = keys.join(notices.select(key).distinct(), key, "left_anti")
+    return report(lost, {code: F.lit(True)}, F.col(key), weight=F.col("__n"))
 
 
 def parsed(notices: DataFrame, amounts: Sequence[str]) -> DataFrame:
     """Adds what notice_rules reads, so that each date and amount is parsed once a row."""
     dates = {f"__{c}": parse_data_ts(F.coalesce(F.col(c), F.lit(""))) for c in ("notice_date", "close_date", "open_date")}
-    return notices.withColumns({**dates, "__states": F.array(*[amount_status(F.col(a))["status"] for a in amounts])})
+    return notices.withColumns({**dates, "__states": F.array(*[amount_state(F.col(a)) for a in amounts])})
 
 
 def notice_rules(start: str, end: str, contract_details: Column | None = None) -> dict[str, Column]:
@@ -75,7 +77,7 @@ def notice_rules(start: str, end: str, contract_details: Column | None = None) -
 
 
 def detail_rules(prefix: str, rate: str | None = None) -> dict[str, Column]:
-    state = amount_status(F.col("amount"))["status"]
+    state = amount_state(F.col("amount"))
     rules = {
         f"invalid_{prefix}_amount": state == "invalid", f"negative_{prefix}_amount": state == "negative",
         f"{prefix}_parse_error_without_raw": (F.col("parse_status") != "ok") & blank("raw_entry"), f"{prefix}_order_not_exact": ~F.coalesce(F.col("exact"), F.lit("")).isin("Y", ""),
@@ -102,9 +104,11 @@ def summary_mismatch(notices: DataFrame, details: DataFrame, code: str, unsafe:
 
 
 def request_amounts(requests: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Amounts of a request that are no number or negative, field by field."""
-    each = requests.select("request_no", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("amount")) for f in fields])).alias("a"))
-    state = amount_status(F.col("a.amount"))["status"]
+    """Amounts of a request that are no number or negative, field by field; only those become rows."""
+    states = {f: amount_state(F.col(f)) for f in fields}
+    bad = F.array_compact(F.array(*[F.when(x.isin("invalid", "negative"), F.struct(F.lit(f).alias("field"), x.alias("state"))) for f, x in states.items()]))
+    each = requests.select("request_no", F.explode(bad).alias("a"))
+    state = F.col("a.state")
     rules = {f"{what}_procurement_request_amount": state == what.replace("non_numeric", "invalid") for what in ("invalid", "negative")}
     return report(each, rules, F.concat_ws(":", "request_no", "a.field"))
 
