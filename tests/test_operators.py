@@ -75,6 +75,7 @@ def test_archive_paragraphs(spark):
         z.writestr("Contents/section0.xml", "<s xmlns='u'><p>a  b</p><p>a b</p><p/><p>c</p></s>")
     df = spark.createDataFrame([("x", bytearray(f.getvalue())), ("y", bytearray(b"broken"))], "path string, content binary")
     got = sorted((r["path"], r["seq"], r["paragraph"], r["status"]) for r in pages.archive_paragraphs(df).collect())
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "500"  # whole files: few at a time
     assert got == [("x", 0, "a b", "ok"), ("x", 1, "c", "ok"), ("y", 0, None, "parse_failed")]
 
 
