@@ -458,6 +458,38 @@ def test_repeats_need_the_suffix_array(monkeypatch):
     assert len(suffixes.repeated_starts(texts, 400, constant)[0]) == right
 
 
+@pytest.mark.parametrize("letters", [1, 2, 20])
+def test_only_suffixes_where_a_match_can_start_are_sorted(letters):
+    rng = np.random.default_rng(letters)
+    text = rng.integers(97, 97 + letters, 2000).astype(np.uint8)
+    skipped = np.arange(2000) % 500 >= 100  # four texts, a start in the first 100 bytes of each
+    got = suffixes.suffix_array(text, 2000, np.ma.array(np.arange(2000), mask=skipped))
+    want = sorted(np.flatnonzero(~skipped).tolist(), key=lambda p: text[p:].tobytes())
+    assert got[~skipped[got]].tolist() == want
+    assert len(np.unique(got)) == len(got) and (letters == 1 or len(got) < 500)
+
+
+def test_equal_suffixes_stay_in_the_order_of_the_text():
+    text = np.tile(np.random.default_rng(5).integers(97, 123, 600).astype(np.uint8), 20)
+    at = np.arange(len(text) - 400)
+    alike = np.concatenate([at % 600, len(text) + np.arange(400)])
+    order = suffixes.suffix_array(text, 400, alike)
+    order = order[order < len(at)]
+    same = order[1:] % 600 == order[:-1] % 600
+    assert same.sum() == len(at) - 600 and (np.diff(order)[same] == 600).all()  # so one distance for all, few stretches
+
+
+@pytest.mark.parametrize("pairs", [3, 1000])
+def test_common_prefixes_brute_force(monkeypatch, pairs):
+    monkeypatch.setattr(suffixes, "PAIRS", pairs)
+    text = np.tile(np.random.default_rng(6).integers(97, 123, 450).astype(np.uint8), 3)
+    text[[460, 905, 1200, 1349]] = 0
+    a, b = np.array([0, 0, 1, 10, 300, 449, 450, 5]), np.array([450, 900, 451, 460, 750, 899, 900, 455])
+    for most in (5, 20, 400):
+        want = [next((i for i in range(most) if max(x, y) + i >= len(text) or text[x + i] != text[y + i]), most) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        assert suffixes._matched(text, a, b, most).tolist() == want
+
+
 def test_repeats_empty(spark):
     assert repeats.remove_repeats(_docs(spark, [])).count() == 0
 
