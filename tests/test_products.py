@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import audits, briefing, gate, quality
+from tidemark.sources import pages
 
 NOTICE = "id long, source_id string, title string, url string, category string, deadline timestamp, deadline_at string, first_seen timestamp, score int, review_status string, tier string"
 
@@ -103,3 +104,16 @@ def test_header_of_a_file_in_many_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_csv_files_are_small_and_whole(spark, tmp_path):
+    rows = spark.range(20000).selectExpr("id", "concat('said \"no\", then ', id % 3) as note", "if(id % 2 = 0, '', '값') as empty")
+    paths = {c: f"{tmp_path}/{c}" for c in ("gzip", "none")}
+    pages.write_csv(rows, paths["gzip"], ["note", "id", "empty"])
+    pages.write_csv(rows, paths["none"], ["note", "id", "empty"], compression="none")
+    size = {c: sum(f.stat().st_size for f in (tmp_path / c).glob("part-*")) for c in paths}
+    assert 5 * size["gzip"] < size["none"]
+    for path in paths.values():
+        back = spark.read.csv(path, header=True, escape="\\").fillna("")
+        assert back.columns == ["note", "id", "empty"] and sorted(map(tuple, back.selectExpr("int(id)", "note", "empty").collect())) == sorted(map(tuple, rows.collect()))
+        assert list(gate.headers(spark, {"t": path})["t"].values())[0] == ["note", "id", "empty"]
