@@ -1,10 +1,13 @@
 """Payload shapes, and runs in which sources fail."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as T
 from tidemark.operators import payloads, sync
-from tidemark.operators.classify import TierTerms
+from tidemark.operators.classify import TierTerms, tier_cascade, tier_of_text
 
 TERMS = TierTerms(domain_1=("carbon",), work_1=("report",), topic=("carbon",))
 STORED = "source_id string, external_id string, title string, category string, buyer string, review_status string, tier_source string, tier string, first_seen timestamp, last_seen timestamp"
@@ -61,3 +64,23 @@ def test_a_run_that_breaks_is_in_the_ledger(spark, tmp_path):
         _run(spark, tmp_path, [("b", 0, _item(("1", "carbon report")), "")], [sync.Source("b")])
     line = spark.read.parquet(f"{tmp_path}/ledger").collect()[0]
     assert (line["status"], line["message"], line["candidates"]) == ("failed", "AnalysisException", 0)
+
+
+def test_the_rules_are_evaluated_once(spark):
+    terms = TierTerms(domain_1=("carbon",), work_1=("report",), topic=("carbon",), science_only=("onlyonce",))
+    landed = spark.createDataFrame([("b", 0, _item(("1", "Carbon  Report")), "")], LANDED)
+    plan = sync.accepted(landed, ["b"], terms)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("onlyonce") == 1
+    for made in (payloads.items(F.col("payload")), payloads.payload_error(F.col("payload"))):
+        plan = landed.select(made.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall(r"parse_?json", plan, re.I)) == 1
+
+
+def test_tier_of_a_normalised_text(spark):
+    terms = TierTerms(domain_1=("carbon",), work_1=("report",), topic=("carbon",), non_consulting=("bus",), science_only=("lab",))
+    rows = [(t, c) for t in (None, "", " Carbon\tREPORT ", "carbon lab report", "carbon bus", "nothing", "carbon") for c in ("grant_application", "g2b_service", "", None)]
+    df = spark.createDataFrame(rows, "title string, category string")
+    none = F.lit("")
+    whole = tier_cascade(F.col("title"), F.col("category"), none, none, terms)["tier"]
+    alone = tier_of_text(T.normalize_text(F.col("title")), F.col("category"), none, none, terms)
+    assert df.filter(~whole.eqNullSafe(alone)).count() == 0 and df.select(whole.alias("t")).distinct().count() > 1

@@ -15,6 +15,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from . import classify as C
 from .merge import upsert_notices
 from .payloads import explode_items, field, payload_error
@@ -45,10 +46,13 @@ def accepted(landed: DataFrame, sources: Sequence[str], terms: C.TierTerms) -> D
     """Notices of these sources that the title rules keep, with their tier. ``arrival`` is the
     place of the call and of the item in it."""
     rows = explode_items(landed.filter(F.col("source_id").isin(*sources)).select("source_id", "pos", "payload"), "payload")
-    n = rows.select("source_id", field("id").alias("external_id"), field("title", "name").alias("title"), field("category").alias("category"), field("buyer").alias("buyer"),
-                    F.lit("new").alias("review_status"), F.lit("automatic").alias("tier_source"), F.struct("pos", "item_pos").alias("arrival"))
-    tier = C.tier_cascade(F.col("title"), F.col("category"), F.col("buyer"), F.lit(""), terms)["tier"]
-    return n.filter("title <> '' and external_id <> ''").withColumn("tier", tier).filter(C.related_reference(F.col("title"), F.col("tier"), terms))
+    names = {"external_id": ("id",), "title": ("title", "name"), "category": ("category",), "buyer": ("buyer",)}
+    # inlined, so that the rules read columns and don't make the fields, the text or the tier again
+    read = F.transform(F.array("item"), lambda v: F.struct(*[field(*of, item=v).alias(c) for c, of in names.items()]))
+    n = rows.select("source_id", F.struct("pos", "item_pos").alias("arrival"), F.inline(F.filter(read, lambda x: (x["title"] != "") & (x["external_id"] != ""))))
+    judged = F.transform(F.array(T.normalize_text(F.col("title"))), lambda text: F.struct(text.alias("__text"), C.tier_of_text(text, F.col("category"), F.col("buyer"), F.lit(""), terms).alias("tier")))
+    kept = n.select("*", F.inline(judged)).filter(C.related_text(F.col("__text"), F.col("tier"), terms)).drop("__text")
+    return kept.withColumns({"review_status": F.lit("new"), "tier_source": F.lit("automatic")})
 
 
 def _observed(metrics: Observation) -> dict[str, int]:
