@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import history as H
 from tidemark.operators import merge as M
 from tidemark.operators import payloads as P
+from tidemark.plans import products
 
 
 @pytest.fixture(scope="module")
@@ -104,3 +105,32 @@ def test_saved_answers_are_parsed_once(spark):
     rows = spark.sql("""select 1 as notice_id, '{"ntceSpecDocUrl1":"http://h/a","ntceSpecDocUrl10":"http://h/b"}' as raw from range(1)""")
     found = P.spec_links(rows, "raw")
     assert [(r["n"], r["url"], r["label"]) for r in found.orderBy("n").collect()] == [(1, "http://h/a", "attachment 1"), (10, "http://h/b", "attachment 10")]
+
+
+def test_links_under_other_keys(spark):
+    """Numbered pairs first, then every key with url in it whose link shows a document's extension."""
+    raw = json.dumps({"zUrl": "http://h/z.zip", f"{P.SPEC_URL}1": "http://h/a.pdf?x=1", f"{P.SPEC_NAME}1": "Scope.HWP", "aURLs": " http://h/b.docx#p ", "url": "http://h/page", "fileUrl.hwp": "ftp://h/c.pdf", "link": "http://h/d.pdf", "urlAgain": "http://h/a.pdf?x=1", "x.pdf url": "http://h/e.xls", "url2": {"u": "http://h/f.pdf"}, "url3": None})
+    answers = spark.createDataFrame([(1, "g2b_a", raw), (2, "g2b_a", "[1]"), (3, "g2b_a", "{"), (4, "board", raw), (5, "g2b_b", "")], "id long, source_id string, raw_json string")
+    found = P.saved_links(answers, "g2b_").orderBy("id").collect()
+    assert [(r["notice_id"], r["label"], r["url"], r["file_type"]) for r in found] == [(1, "Scope.HWP", "http://h/a.pdf?x=1", "hwp"), (1, "zUrl", "http://h/z.zip", "zip"), (1, "aURLs", "http://h/b.docx#p", "docx"), (1, "x.pdf url", "http://h/e.xls", "xls")]
+
+
+def test_backfill_again_adds_nothing(spark):
+    raw = json.dumps({f"{P.SPEC_URL}1": "http://h/a?fileSeq=1&t=2", f"{P.SPEC_NAME}1": "A.hwp", "docUrl": "http://h/b.pdf"})
+    notices = spark.createDataFrame([(1, "g2b_a", raw), (2, "g2b_a", "{}")], "id long, source_id string, raw_json string")
+    stored = spark.sql("select 1L as notice_id, 7L as id, 'a.hwp' as label, 'http://h/a?fileSeq=1' as url, '' as file_type union all select 2L, id, 'k', 'u', '' from values 1L, 2L as t(id)")
+    merged, counts = P.backfill(notices, stored, "g2b_")
+    assert {(r["notice_id"], r["id"], r["url"], r["file_type"], r["change"]) for r in merged.collect()} == {(1, 7, "http://h/a?fileSeq=1&t=2", "hwp", "updated"), (1, 12, "http://h/b.pdf", "pdf", "inserted"), (2, 1, "u", "", "kept"), (2, 2, "u", "", "kept")}
+    again, more = P.backfill(notices, merged.select(*stored.columns), "g2b_")
+    assert (counts.first()["added"], more.first()["added"], more.first()["updated"], again.count()) == (1, 0, 2, 4)
+
+
+def test_backfill_query_reads_saved_answers(spark, sf, monkeypatch):
+    """Without answers of the source nothing comes, and all that is stored stays."""
+    answers = products._answers
+    ids = answers(spark, sf).filter("source_id like 'g2b%'").agg(F.count("*"), F.count_distinct("id")).first()
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_orderkey").count()
+    most = lines.agg(F.count("*"), F.sum(F.ceil(F.col("count") / P.SPEC_PAIRS)), F.sum(F.least("count", F.lit(4)))).first()
+    assert (ids[1], ids[0]) == (most[0], most[1])  # links past the tenth stand in a further answer
+    monkeypatch.setattr(products, "_answers", lambda s, d: answers(s, d).withColumn("source_id", F.lit("board")))
+    assert [tuple(r) for r in products.QUERIES["i11_backfill_attachments"](spark, sf).collect()] == [("kept", most[2])]
